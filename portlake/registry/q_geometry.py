@@ -55,12 +55,12 @@ def _(v):
 
 @query("affine_round_trip", "objects", """, t AS (SELECT object_id, x, y, 500.0 + port AS g1, 10.0 AS g2, 0.5 AS g3, 90000.0 AS g4, 0.25 AS g5, -10.0 AS g6 FROM objects),
  w AS (SELECT *, g1 + x*g2 + y*g3 AS wx, g4 + x*g5 + y*g6 AS wy FROM t)
-SELECT object_id, round(wx, 4) AS wx, round(wy, 4) AS wy, round(((wx - g1)*g6 - (wy - g4)*g3) / (g2*g6 - g3*g5), 4) AS col, round(((wy - g4)*g2 - (wx - g1)*g5) / (g2*g6 - g3*g5), 4) AS row FROM w""")
+SELECT object_id, round(wx, 5) AS wx, round(wy, 5) AS wy, round(((wx - g1)*g6 - (wy - g4)*g3) / (g2*g6 - g3*g5), 5) AS col, round(((wy - g4)*g2 - (wx - g1)*g5) / (g2*g6 - g3*g5), 5) AS row FROM w""")
 def _(v):
     t = F.array(500.0 + F.col("port"), *[F.lit(g) for g in (10.0, 0.5, 90000.0, 0.25, -10.0)])
     w = v.objects.withColumn("w", G.affine_apply(t, F.col("x"), F.col("y")))
     back = G.affine_invert(t, F.col("w.x"), F.col("w.y"))
-    return rounded(w.select("object_id", F.col("w.x").alias("wx"), F.col("w.y").alias("wy"), back["col"].alias("col"), back["row"].alias("row")), 4)
+    return rounded(w.select("object_id", F.col("w.x").alias("wx"), F.col("w.y").alias("wy"), back["col"].alias("col"), back["row"].alias("row")), 5)
 
 
 @query("utm_round_trip")

@@ -97,7 +97,7 @@ def with_views(names: str, sql: str) -> str:
                 order.append(m)
     if not order:
         return sql
-    return "WITH " + ", ".join(f"{n} AS ({_SQL[n]})" for n in order) + " " + sql
+    return ("WITH RECURSIVE " if " reach AS (" in sql else "WITH ") + ", ".join(f"{n} AS ({_SQL[n]})" for n in order) + " " + sql
 
 
 class Views:
