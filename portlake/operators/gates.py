@@ -1 +1,17 @@
+"""Label-free gates between a base and an expert, and the policies built on them."""
 
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def rarity(df: DataFrame, port: str, pred: str, classes: int) -> DataFrame:
+    """1 / count of each predicted class (0 counts as 1), scaled to mean one per port."""
+    n = df.groupBy(port).agg(*[F.count_if(F.col(pred) == c).alias(f"_{c}") for c in range(classes)])
+    inv = lambda c: 1.0 / F.greatest(F.lit(1), F.col(f"_{c}"))
+    mean = sum((inv(c) for c in range(classes)), F.lit(0.0)) / classes
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), (inv(c) / mean).alias("rarity")) for c in range(classes)]))
+    return n.select(port, each.alias("_e")).select(port, "_e.*")
