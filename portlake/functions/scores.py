@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(c: Column, fn) -> Column:
+    """`fn(c)` with `c` evaluated once per row, however often `fn` uses it."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
@@ -16,7 +21,7 @@ def mean(a: Column) -> Column:
 
 def argmax(a: Column) -> Column:
     """Index of the largest score, lowest index on a tie."""
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    return let(a, lambda x: (F.array_position(x, F.array_max(x)) - 1).cast("int"))
 
 
 def ranked_score(a: Column, k: int) -> Column:
@@ -25,19 +30,22 @@ def ranked_score(a: Column, k: int) -> Column:
 
 
 def margin(a: Column) -> Column:
-    return ranked_score(a, 1) - ranked_score(a, 2)
+    return let(F.sort_array(a, asc=False), lambda s: F.element_at(s, 1) - F.element_at(s, 2))
 
 
 def softmax(a: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda v: F.exp((v - top) / temperature))
-    return F.transform(e, lambda v: v / total(e))
+    def spread(x):
+        return let(F.array_max(x), lambda top: let(F.transform(x, lambda v: F.exp((v - top) / temperature)), scale))
+
+    def scale(e):
+        return let(total(e), lambda t: F.transform(e, lambda v: v / t))
+
+    return let(a, spread)
 
 
 def normalise(a: Column) -> Column:
     """Scale to sum one; a row that sums to zero stays as it is."""
-    s = total(a)
-    return F.transform(a, lambda v: F.when(s > 1e-12, v / s).otherwise(v))
+    return let(a, lambda x: let(total(x), lambda s: F.when(s > 1e-12, F.transform(x, lambda v: v / s)).otherwise(x)))
 
 
 def entropy(p: Column) -> Column:
@@ -46,8 +54,7 @@ def entropy(p: Column) -> Column:
 
 def energy(a: Column) -> Column:
     """log(sum(exp(score)))."""
-    top = F.array_max(a)
-    return top + F.log(total(F.transform(a, lambda v: F.exp(v - top))))
+    return let(F.array_max(a), lambda top: top + F.log(total(F.transform(a, lambda v: F.exp(v - top)))))
 
 
 def dot(a: Column, b: Column) -> Column:

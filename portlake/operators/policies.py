@@ -26,13 +26,16 @@ def balanced_weights(df: DataFrame, port: str, cls: str) -> DataFrame:
 
 def direction_operator(p: Column, gain: Column, kappa: float = 1.0, topk: int = 3) -> Column:
     """Move probability from the predicted class towards the `topk` largest positive gains, mass conserved."""
-    a = S.argmax(p)
-    u = F.transform(gain, lambda g, i: F.when(i == a, 0.0).otherwise(F.greatest(g, F.lit(0.0))))
-    limit = F.element_at(F.sort_array(u, asc=False), topk)
-    r = F.transform(u, lambda g: F.when(g >= limit, g * kappa).otherwise(0.0))
-    out = F.transform(r, lambda g: F.element_at(p, a + 1) * g / (1.0 + S.total(r)))
-    moved = F.zip_with(p, out, lambda x, f: x + f)
-    return F.transform(moved, lambda x, i: F.greatest(F.lit(0.0), F.when(i == a, x - S.total(out)).otherwise(x)))
+    def step(row):
+        q, a = row["p"], row["a"]
+        u = F.transform(row["g"], lambda g, i: F.when(i == a, 0.0).otherwise(F.greatest(g, F.lit(0.0))))
+        strong = S.let(u, lambda v: S.let(F.element_at(F.sort_array(v, asc=False), topk), lambda limit: F.transform(v, lambda g: F.when(g >= limit, g * kappa).otherwise(0.0))))
+        flow = S.let(strong, lambda r: S.let(F.element_at(q, a + 1) / (1.0 + S.total(r)), lambda unit: F.transform(r, lambda g: unit * g)))
+        return S.let(flow, lambda f: S.let(S.total(f), lambda out: F.transform(
+            F.zip_with(q, f, lambda x, y: x + y), lambda x, i: F.greatest(F.lit(0.0), F.when(i == a, x - out).otherwise(x)))))
+
+    bound = S.let(p, lambda q: F.struct(q.alias("p"), S.argmax(q).alias("a"), gain.alias("g")))
+    return S.let(bound, step)
 
 
 def coupling_law(visual: Column, knowledge: Column, novelty: Column, kappa: float) -> Column:
@@ -57,7 +60,7 @@ def prior_offset(scores: Column, prior: Column) -> Column:
 def support_mask(p: Column, prior: Column, tau: float) -> Column:
     """Drop classes whose estimated prior is below `tau` and renormalise; unmasked if nothing survives."""
     kept = F.zip_with(p, prior, lambda x, q: F.when(q >= tau, x).otherwise(0.0))
-    return F.when(S.total(kept) > 1e-12, F.transform(kept, lambda x: x / S.total(kept))).otherwise(p)
+    return S.let(kept, lambda k: S.let(S.total(k), lambda t: F.when(t > 1e-12, F.transform(k, lambda x: x / t)).otherwise(p)))
 
 
 def hash_permutation(df: DataFrame, keys: Sequence[str], key: str, seed: str) -> DataFrame:

@@ -45,8 +45,8 @@ def pair_matrix(profiles: DataFrame, key: str, d: str, x: str, top: int = 10) ->
 def mean_shift(df: DataFrame, port: str, value: str) -> DataFrame:
     """Per target port: subtract its own mean, add the mean of the other ports (sums once, totals minus own)."""
     m = df.select(port, F.posexplode(value).alias("d", "x")).groupBy(port, "d").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    t = m.groupBy("d").agg(F.sum("s").alias("S"), F.sum("n").alias("N"))
-    m = m.join(F.broadcast(t), "d").select(port, "d", ((F.col("S") - F.col("s")) / (F.col("N") - F.col("n")) - F.col("s") / F.col("n")).alias("m"))
+    t = m.groupBy("d").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+    m = m.join(F.broadcast(t), "d").select(port, "d", ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n")) - F.col("s") / F.col("n")).alias("m"))
     a = m.groupBy(port).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("_m"))
     return df.join(F.broadcast(a), port).withColumn(value, S.add(F.col(value), F.col("_m"))).drop("_m")
 
@@ -59,20 +59,21 @@ def neighbour_entropy(df: DataFrame, port: str, key: str, vector: str, temperatu
     n = df.groupBy(port).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(block)))).cast("int").alias("_k"))
     d = df.join(F.broadcast(n), port).select(port, key, vector, "_k", F.pmod(F.xxhash64(key), F.col("_k")).cast("int").alias("_b"))
     left = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select(port, key, vector, F.col("_b").alias("_i"), F.col("_o").alias("_j"))
-    right = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select(port, key, vector, F.col("_o").alias("_i"), F.col("_b").alias("_j"))
+    right = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select(
+        F.col(port).alias("_rp"), F.col(key).alias("_rk"), F.col(vector).alias("_rv"), F.col("_o").alias("_ri"), F.col("_b").alias("_rj"))
     kt = dict(df.dtypes)
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({port: [], key: [], "z": [], "zs": []})
         unit = lambda m: m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
-        s = unit(np.stack(a[vector].to_numpy())) @ unit(np.stack(b[vector].to_numpy())).T / temperature
+        s = unit(np.stack(a[vector].to_numpy())) @ unit(np.stack(b["_rv"].to_numpy())).T / temperature
         e = np.exp(s)
-        same = a[key].to_numpy()[:, None] == b[key].to_numpy()[None, :]
+        same = a[key].to_numpy()[:, None] == b["_rk"].to_numpy()[None, :]
         e[same] = 0.0
         return pd.DataFrame({port: a[port], key: a[key], "z": e.sum(1), "zs": (e * s).sum(1)})
 
-    parts = left.groupBy(port, "_i", "_j").cogroup(right.groupBy(port, "_i", "_j")).applyInPandas(
+    parts = left.groupBy(port, "_i", "_j").cogroup(right.groupBy("_rp", "_ri", "_rj")).applyInPandas(
         tile, f"`{port}` {kt[port]}, `{key}` {kt[key]}, z double, zs double")
     r = parts.groupBy(port, key).agg(F.sum("z").alias("z"), F.sum("zs").alias("zs")).where("z > 0")
     return r.groupBy(port).agg(F.avg(F.log("z") - F.col("zs") / F.col("z")).alias("snd"))
