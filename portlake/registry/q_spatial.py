@@ -233,3 +233,26 @@ def _(v):
 def _(v):
     a = v.ais.withColumn("ts", F.timestamp_seconds("t"))
     return T.windowed_cell_counts(a, ["port"], 2000.0, "6 hours")
+
+
+@query("object_table", "objects facilities", _NEAR + f""", d AS (SELECT object_id, min(dist) FILTER (kind = 'liquid' AND dist <= 2000) AS q, min(struct_pack(d := dist, f := facility_id)) FILTER (dist <= 25) AS h FROM dd GROUP BY object_id), n AS (SELECT a.object_id, count(*) FILTER ({_D2} <= 250000) - 1 AS n5, min(sqrt({_D2})) FILTER (a.object_id <> b.object_id) AS nn FROM objects a JOIN objects b USING (port) GROUP BY a.object_id)
+SELECT o.object_id AS det, o.port, round(coalesce(q, 2000), 3) AS d_quay, h.f AS facility_id, n5 AS n_r500, round(nn, 3) AS nn FROM objects o LEFT JOIN d USING (object_id) JOIN n USING (object_id)""")
+def _(v):
+    """The whole plan over surrogate detections; a slice of its columns is compared."""
+    from ..plans.object_table import object_table
+
+    pt = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    det = v.objects.select(
+        F.col("product").cast("string").alias("product"), F.col("pol").cast("string").alias("pol"), F.array(F.lit(0.0), F.lit(0.0)).alias("roi_origin"),
+        F.col("object_id").cast("string").alias("detection_id"), F.lit(0).alias("ordinal"), F.array(pt(8.0, 2.0), pt(-8.0, 2.0), pt(-8.0, -2.0), pt(8.0, -2.0)).alias("source_pts"),
+        F.col("conf"), F.lit("unique_spatial_candidate").alias("match_status"), F.lit("ok").alias("pixel_status"), F.lit("known").alias("coast_status"),
+        F.lit(None).cast("double").alias("coast_exclusion_m"), F.col("object_id").cast("string").alias("matched_mmsi"), F.lit(None).cast("string").alias("candidate_mmsi"))
+    reg = v.objects.select(F.col("product").cast("string").alias("product"), "port").distinct().select(
+        "product", "port", F.lit("2024-01-01").alias("start_date"), F.array(*[F.lit(g) for g in (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)]).alias("geo"))
+    fac = v.facilities.select("port", "facility_id", "element", F.when(F.col("kind") == "liquid", "quay").otherwise("silo_yard").alias("facility_kind"), "x1", "y1", "x2", "y2")
+    dates = v.facilities.select("facility_id", "element", F.lit("2023-05-01").alias("timestamp"))
+    cls = v.mapping.select(F.col("mmsi").cast("string").alias("mmsi"), "status", "final_class")
+    none = cls.where("false")
+    fin = none.select("mmsi", "final_class", F.lit("fine").alias("class_level"), F.lit("s").alias("source"))
+    t = object_table(det, reg, fac, dates, fin, cls, none.select("mmsi", "final_class", F.lit("s").alias("source")), v.cells.select("port", "cx", "cy", "code"), field(v), 1000.0)
+    return rounded(t.select(F.col("detection_id").cast("long").alias("det"), "port", "d_quay", "facility_id", "n_r500", "nn"), 3)

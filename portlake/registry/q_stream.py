@@ -1 +1,51 @@
+"""Streams over the events table, drained and compared with their batch form."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import tracks as R
+from .base import query, rounded
+from .q_sources import scratch
+from .q_spatial import _STEPS
+
+
+def source(v):
+    """The position table written as files, then read as a stream (one file per trigger, in time order)."""
+    path = scratch(v, "stream")
+    a = v.ais.select("event_id", "mmsi", F.col("product").cast("int").alias("product"), F.col("port").cast("int").alias("port"), "t", "x", "y", "type_code")
+    a.repartitionByRange(4, "t").write.parquet(path)
+    return R.ais_stream(v.spark, path, files_per_trigger=4)
+
+
+@query("track_steps_stream", "ais", _STEPS.format(gap=3600) + " SELECT event_id, t, x, y, dt, round(dx, 4) + 0.0 AS dx, round(dy, 4) + 0.0 AS dy FROM steps")
+def _(v):
+    out = scratch(v, "steps")
+    q = R.track_steps_incremental(source(v), out + "-tail", out, out + "-ck", 3600)
+    q.awaitTermination()
+    return rounded(v.spark.read.parquet(out).select("event_id", "t", "x", "y", "dt", "dx", "dy"), 4)
+
+
+@query("mmsi_profile_stream", "ais", "SELECT mmsi, type_code, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM ais GROUP BY ALL")
+def _(v):
+    out = scratch(v, "profile")
+    r = R.drain(R.mmsi_profile_stream(source(v)), out, out + "-ck", "update")
+    newest = r.groupBy("mmsi", "type_code").agg(F.max_by(F.struct("n", "first_t", "last_t"), "epoch").alias("r"))
+    return newest.select("mmsi", "type_code", "r.*")
+
+
+@query("cell_counts_stream", "ais", "SELECT time_bucket(INTERVAL 6 HOUR, make_timestamp(t * 1000000)) AS window_start, port, CAST(floor(x/2000) AS BIGINT) AS cx, CAST(floor(y/2000) AS BIGINT) AS cy, count(*) AS points FROM ais GROUP BY ALL")
+def _(v):
+    out = scratch(v, "cells")
+    r = R.drain(R.cell_counts_stream(source(v), 2000.0, "6 hours", delay="40 days"), out, out + "-ck", "update")
+    return r.groupBy("window_start", "port", "cx", "cy").agg(F.max_by("points", "epoch").alias("points"))
+
+
+@query("incremental_enrich", "ais", "SELECT event_id, mmsi, t % 2 = 0 AS even FROM ais")
+def _(v):
+    """Run twice over the same files; the second run adds nothing."""
+    out, s = scratch(v, "enrich"), source(v)
+    fn = lambda d: d.select("event_id", "mmsi", (F.col("t") % 2 == 0).alias("even"))
+    for k in ("1", "2"):
+        R.incremental_enrich(s, out, ["event_id"], fn, f"{out}-ck{k}").awaitTermination()
+    return v.spark.read.parquet(out)
