@@ -90,11 +90,11 @@ def with_radius_sums(df, group, radii, values=None, x="x", y="y", rows: DataFram
     return df.join(radius_sums(df if rows is None else rows, group, radii, values, x, y), [*group, x, y], "left")
 
 
-def nearest_position(df: DataFrame, group: Sequence[str], x: str = "x", y: str = "y", first: float = 50.0, steps: int = 4) -> DataFrame:
+def nearest_position(df: DataFrame, group: Sequence[str], x: str = "x", y: str = "y", first: float = 50.0, steps: int = 3) -> DataFrame:
     """One row per distinct (group, x, y) with `nn`: distance to the nearest other row of the group.
 
-    Positions shared by several rows have distance 0.  The rest climb a ladder of cell sizes, each four times
-    the last; a distance no larger than the cell is final.  Positions still open after the ladder are compared
+    Positions shared by several rows have distance 0.  The rest climb a ladder of cell sizes, each eight
+    times the last; a distance no larger than the cell is final.  Positions still open after the ladder are compared
     with the boxes of occupied coarse cells, and only cells that can hold the nearest row are opened.
     """
     group = list(group)
@@ -113,7 +113,7 @@ def nearest_position(df: DataFrame, group: Sequence[str], x: str = "x", y: str =
         rest = cut(rest.join(found.select(*group, x, y), [*group, x, y], "left_anti"))
         if rest.isEmpty():
             return done
-        size *= 4
+        size *= 8
     big = q.withColumns({"cx": cell("qx", size), "cy": cell("qy", size)})
     boxes = big.groupBy(*group, "cx", "cy").agg(
         F.min("qx").alias("x0"), F.max("qx").alias("x1"), F.min("qy").alias("y0"), F.max("qy").alias("y1"), F.count(F.lit(1)).alias("m"))
