@@ -19,6 +19,7 @@ SHRINKAGE = 0.05
 ALIGN_RIDGE = 1e-6
 MODEL_BYTES_LIMIT = 256 * 1024 * 1024
 COMBINE_SALT = 64
+HELD_GROUPS = 2048
 
 
 def sufficient_stats(df: DataFrame, port: str, cls: str, vector: str) -> DataFrame:
@@ -31,7 +32,12 @@ def sufficient_stats(df: DataFrame, port: str, cls: str, vector: str) -> DataFra
 
     def fold(batches):
         acc: dict = {}
+        salt = TaskContext.get().partitionId() % COMBINE_SALT
+        rows = lambda: pd.DataFrame([(p, c, salt, n, s, g.ravel()) for (p, c), (n, s, g) in acc.items()], columns=["port", "cls", "salt", "n", "s", "g"])
         for pdf in batches:
+            if len(acc) > HELD_GROUPS:
+                yield rows()
+                acc.clear()
             if pdf.empty:
                 continue
             x = np.stack(pdf[vector].to_numpy()).astype(float)
@@ -40,9 +46,7 @@ def sufficient_stats(df: DataFrame, port: str, cls: str, vector: str) -> DataFra
                 m = x[codes == k]
                 n, s, g = acc.get(key, (0.0, 0.0, 0.0))
                 acc[key] = (n + len(m), s + m.sum(0), g + m.T @ m)
-        salt = TaskContext.get().partitionId() % COMBINE_SALT
-        rows = [(p, c, salt, n, s, g.ravel()) for (p, c), (n, s, g) in acc.items()]
-        yield pd.DataFrame(rows, columns=["port", "cls", "salt", "n", "s", "g"])
+        yield rows()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]

@@ -14,6 +14,9 @@ from .clean import confidence_tier
 PURITY_MIN, SUPPORT_MIN, LABEL_PURITY_MIN = 0.95, 5, 0.9
 RESOLVED = "fine_class_mapped"
 
+# fixed values: names of the sources a class may come from
+BY_CODE, BY_REGISTRY, BY_LABEL, BY_HAND = "bundle_ais_type_code", "sarais_backend_type_code", "myshiptracking_label", "needs_manual"
+
 
 def top_values(df: DataFrame, key: Sequence[str], value: str, k: int) -> DataFrame:
     """The k most frequent values per key with counts, ties to the smallest value."""
@@ -70,17 +73,17 @@ def apply_rules(vessels: DataFrame, rules: DataFrame, label_rules: DataFrame, mi
 
     vessels(mmsi, ais_rows, codes array<string>, registry_code, scraped_label)."""
     good = rules.where((F.col("purity") >= min_purity) & (F.col("support") >= min_support))
-    seen = vessels.select("mmsi", F.explode("codes").alias("code"), F.lit(0).alias("prio"), F.lit("bundle_ais_type_code").alias("source")).where("code <> '' and code <> '0'")
-    reg = vessels.where(blank_to_null(F.col("registry_code")).isNotNull()).select("mmsi", F.col("registry_code").alias("code"), F.lit(1).alias("prio"), F.lit("sarais_backend_type_code").alias("source"))
+    seen = vessels.select("mmsi", F.explode("codes").alias("code"), F.lit(0).alias("prio"), F.lit(BY_CODE).alias("source")).where("code <> '' and code <> '0'")
+    reg = vessels.where(blank_to_null(F.col("registry_code")).isNotNull()).select("mmsi", F.col("registry_code").alias("code"), F.lit(1).alias("prio"), F.lit(BY_REGISTRY).alias("source"))
     by_code = seen.unionByName(reg).join(good, "code")
     by_label = vessels.where(blank_to_null(F.col("scraped_label")).isNotNull()).select(
-        "mmsi", F.col("scraped_label").alias("code"), F.lit(2).alias("prio"), F.lit("myshiptracking_label").alias("source"), F.lower(F.trim(F.col("scraped_label"))).alias("label"))
+        "mmsi", F.col("scraped_label").alias("code"), F.lit(2).alias("prio"), F.lit(BY_LABEL).alias("source"), F.lower(F.trim(F.col("scraped_label"))).alias("label"))
     by_label = by_label.join(label_rules, "label").drop("label")
     cand = by_code.unionByName(by_label)
     best = cand.groupBy("mmsi").agg(F.min(F.struct("prio", (-F.col("support")).alias("neg"), "code", "rule_class", "purity", "support", "source")).alias("b"))
     j = vessels.join(best, "mmsi", "left")
     return j.select(
-        "mmsi", "ais_rows", F.col("b.rule_class").alias("final_class"), F.coalesce("b.source", F.lit("needs_manual")).alias("source"),
+        "mmsi", "ais_rows", F.col("b.rule_class").alias("final_class"), F.coalesce("b.source", F.lit(BY_HAND)).alias("source"),
         F.col("b.code").alias("type_code"), F.col("b.purity").alias("rule_purity"), F.col("b.support").alias("rule_support"),
         F.when(F.col("b.support").isNotNull(), confidence_tier(F.col("b.support"))).alias("confidence"))
 

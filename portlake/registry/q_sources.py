@@ -17,6 +17,10 @@ from ..sources import sinks as K
 from .base import query, rounded
 
 
+# ids per written document: the fixtures' documents stay small however large a product or port is
+DOC = 1000
+
+
 def scratch(v, name: str) -> str:
     return os.path.join(shared_folder(v.spark), f"portlake-{name}-{uuid.uuid4().hex}")
 
@@ -59,15 +63,15 @@ def _(v):
     return t.groupBy((F.col("mmsi").cast("bigint") % 100).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"), F.count("name").alias("named"))
 
 
-@query("read_detections", "objects", """, o AS (SELECT product, count(*) AS n, round(sum(conf), 4) AS conf FROM objects GROUP BY product) SELECT product, n, conf, (SELECT count(*) FROM o) + 1 AS documents, CAST(1 AS BIGINT) AS unreadable FROM o""")
+@query("read_detections", "objects", """, o AS (SELECT product, count(*) AS n, round(sum(conf), 4) AS conf FROM objects GROUP BY product) SELECT product, n, conf, (SELECT count(DISTINCT (product, object_id // 1000)) FROM objects) + 1 AS documents, CAST(1 AS BIGINT) AS unreadable FROM o""")
 def _(v):
-    """One JSON array per product plus one broken file."""
+    """JSON arrays of bounded size per product plus one broken file."""
     path = scratch(v, "det")
     o = v.objects.select(
-        F.col("product").alias("p"), F.array(F.array("x", "y"), F.array(F.col("x") + 1, F.col("y")), F.array("x", F.col("y") + 1)).alias("pts"),
+        F.concat_ws("_", "product", F.floor(F.col("object_id") / DOC)).alias("p"), F.array(F.array("x", "y"), F.array(F.col("x") + 1, F.col("y")), F.array("x", F.col("y") + 1)).alias("pts"),
         F.col("product").cast("string").alias("product"), F.col("object_id").cast("string").alias("detection_id"), "conf")
     docs = o.groupBy("p").agg(F.to_json(F.collect_list(F.struct("pts", "product", "detection_id", "conf"))).alias("value"))
-    broken = docs.limit(1).select(F.lit(-1).cast("long").alias("p"), F.lit("{not json").alias("value"))
+    broken = docs.limit(1).select(F.lit("broken").alias("p"), F.lit("{not json").alias("value"))
     docs.unionByName(broken).write.partitionBy("p").text(path)
     rows, counts = D.read_detections(v.spark, path)
     per = rows.groupBy(F.col("product").cast("bigint").alias("product")).agg(F.count(F.lit(1)).alias("n"), F.sum("conf").alias("conf"))
@@ -79,8 +83,8 @@ def _(v):
     path = scratch(v, "scene")
     meta = F.map_from_arrays(F.array(F.lit("prelabel_class"), F.lit("matched_mmsi")), F.array(
         F.when(F.col("cls") == 0, " ").otherwise(F.concat(F.lit("class_"), F.col("cls").cast("string"))), F.when(F.col("cls") % 2 == 1, "9").otherwise("")))
-    o = v.objects.select("product", F.struct(F.array(F.array("x", "y")).alias("pts"), F.lit(1).alias("cls_id"), "conf", meta.alias("meta")).alias("o"))
-    o.groupBy("product").agg(F.collect_list("o").alias("objects")).select(
+    o = v.objects.select("product", F.floor(F.col("object_id") / DOC).alias("part"), F.struct(F.array(F.array("x", "y")).alias("pts"), F.lit(1).alias("cls_id"), "conf", meta.alias("meta")).alias("o"))
+    o.groupBy("product", "part").agg(F.collect_list("o").alias("objects")).select(
         F.col("product").cast("string").alias("product"), F.lit("VV").alias("polarization"), F.lit("i").alias("image"), "objects").write.option(
         "maxRecordsPerFile", 1).json(path)
     s = D.read_scene_labels(v.spark, path)
@@ -112,7 +116,8 @@ def _(v):
     feat = F.struct(
         F.lit("Feature").alias("type"), F.struct(F.col("kind").alias("facility_kind"), F.col("element").alias("osm_element"), F.col("facility_id").cast("string").alias("osm_id")).alias("properties"),
         F.struct(F.lit("LineString").alias("type"), F.array(F.array("x1", "y1"), F.array("x2", "y2")).alias("coordinates")).alias("geometry"))
-    v.facilities.groupBy("port").agg(F.to_json(F.struct(F.collect_list(feat).alias("features"))).alias("value")).write.partitionBy("port").text(path)
+    docs = v.facilities.groupBy("port", F.floor(F.col("facility_id") / DOC).alias("part")).agg(F.to_json(F.struct(F.collect_list(feat).alias("features"))).alias("value"))
+    docs.write.partitionBy("port", "part").text(path)
     vert = D.explode_geojson(v.spark.read.text(path, wholetext=True).select("value"))
     n = vert.groupBy("osm_id", "facility_kind", "osm_element").agg(F.count(F.lit(1)).alias("vertices"))
     s = D.segments(vert).withColumn("l", F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2))

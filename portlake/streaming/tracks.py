@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.tracks import MAX_GAP, MIN_STEP, windowed_cell_counts
 
@@ -21,40 +21,33 @@ def ais_stream(spark: SparkSession, path: str, schema: str = AIS_SCHEMA, files_p
     return s.withColumn("ts", F.timestamp_seconds("t"))
 
 
-class StepProcessor(StatefulProcessor):
-    """Keeps the last fix of each (product, vessel) and emits the step to the next one."""
+def _steps_of(max_gap: int, min_step: float):
+    """State function: the last fix of a (product, vessel) is kept until the watermark passes its gap."""
 
-    def __init__(self, max_gap: int = MAX_GAP, min_step: float = MIN_STEP):
-        self.max_gap, self.min_step = max_gap, min_step
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # a fix older than the gap can never start a step, so the state may expire
-        self.last = handle.getValueState("last", "t bigint, x double, y double", ttlDurationMs=self.max_gap * 1000 * 24)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["t", "event_id"])
-        prev = self.last.get() if self.last.exists() else None
-        t = pdf.t.tolist()
-        x = pdf.x.tolist()
-        y = pdf.y.tolist()
-        first = [prev[0], prev[1], prev[2]] if prev else [None, None, None]
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(frames)).sort_values(["t", "event_id"])
+        last = state.get if state.exists else (None, None, None)
+        t, x, y = pdf.t.tolist(), pdf.x.tolist(), pdf.y.tolist()
         out = pd.DataFrame({"product": key[0], "mmsi": key[1], "event_id": pdf.event_id.to_numpy(), "t": t, "x": x, "y": y,
-                            "pt": [first[0], *t[:-1]], "px": [first[1], *x[:-1]], "py": [first[2], *y[:-1]]})
-        self.last.update((t[-1], x[-1], y[-1]))
+                            "pt": [last[0], *t[:-1]], "px": [last[1], *x[:-1]], "py": [last[2], *y[:-1]]})
+        state.update((int(t[-1]), float(x[-1]), float(y[-1])))
+        state.setTimeoutTimestamp(max((int(t[-1]) + max_gap) * 1000, state.getCurrentWatermarkMs() + 1))
         out = out[out.pt.notna()]
         if len(out):
             out = out.assign(dt=(out.t - out.pt).astype("int64"), dx=(out.x - out.px).astype(float), dy=(out.y - out.py).astype(float))
-            out = out[(out.dt > 0) & (out.dt <= self.max_gap) & ((out.dx**2 + out.dy**2) ** 0.5 >= self.min_step)]
-            yield out[["product", "mmsi", "event_id", "t", "x", "y", "dt", "dx", "dy"]]
+            keep = (out.dt > 0) & (out.dt <= max_gap) & ((out.dx**2 + out.dy**2) ** 0.5 >= min_step)
+            yield out.loc[keep, ["product", "mmsi", "event_id", "t", "x", "y", "dt", "dx", "dy"]]
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def track_steps_stream(ais: DataFrame, max_gap: int = MAX_GAP, min_step: float = MIN_STEP, delay: str = "10 minutes") -> DataFrame:
-    """Steps of a stream; rows later than the watermark are dropped. Needs the RocksDB state store."""
-    s = ais.withWatermark("ts", delay)
-    return s.groupBy("product", "mmsi").transformWithStateInPandas(StepProcessor(max_gap, min_step), STEP_SCHEMA, "append", "processingTime")
+    """Steps of a stream by keyed state; rows later than the watermark are dropped."""
+    g = ais.withWatermark("ts", delay).groupBy("product", "mmsi")
+    return g.applyInPandasWithState(_steps_of(max_gap, min_step), STEP_SCHEMA, "t bigint, x double, y double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def track_steps_incremental(ais: DataFrame, tail_path: str, out_path: str, checkpoint: str, max_gap: int = MAX_GAP, min_step: float = MIN_STEP):
