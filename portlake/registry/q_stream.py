@@ -49,3 +49,11 @@ def _(v):
     for k in ("1", "2"):
         R.incremental_enrich(s, out, ["event_id"], fn, f"{out}-ck{k}").awaitTermination()
     return v.spark.read.parquet(out)
+
+
+@query("track_steps_state", "ais", _STEPS.format(gap=3600) + " SELECT event_id, t, x, y, dt, round(dx, 4) + 0.0 AS dx, round(dy, 4) + 0.0 AS dy FROM steps")
+def _(v):
+    """Keyed state instead of tables; the delay is long enough that no row of the month is late."""
+    out = scratch(v, "state")
+    r = R.drain(R.track_steps_stream(source(v), 3600, delay="40 days"), out, out + "-ck")
+    return rounded(r.select("event_id", "t", "x", "y", "dt", "dx", "dy"), 4)
