@@ -34,10 +34,12 @@ def running(
     """Add `rn` (row number in `order` within `keys`), `n` (group size) and, for each entry of `sums`,
     `run_<name>` (running sum up to and including the row) and `tot_<name>`."""
     keys, sums = list(keys), dict(sums or {})
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
     base = df.withColumns({f"_v_{s}": e for s, e in sums.items()}) if sums else df
-    base = cut(base.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_slab", F.spark_partition_id()))
+    # without a number, adaptive execution merges small slabs (neighbours stay neighbours) up to its advisory size
+    by = [*[F.col(k) for k in keys], *order]
+    base = base.repartitionByRange(parts, *by) if parts else base.repartitionByRange(*by)
+    base = cut(base.withColumn("_slab", F.spark_partition_id()))
 
     per = base.groupBy(*keys, "_slab").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(f"_v_{s}").alias(f"_s_{s}") for s in sums])
     before = Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)

@@ -181,7 +181,8 @@ def _(v):
     return rounded(P.wilcoxon(gains(v), "gain"))
 
 
-@query("sign_test", "preds")
+@query("sign_test", "preds", _GAIN + """, g AS (SELECT count(*) FILTER (gain > 0) AS positive, count(*) FILTER (gain <> 0) AS n FROM gn), t AS (SELECT positive, n, unnest(range(0, least(positive, n - positive) + 1)) AS i FROM g)
+SELECT positive, n, round(least(1.0, 2*sum(factorial(CAST(n AS INT))/(factorial(CAST(i AS INT))*factorial(CAST(n - i AS INT))))/pow(2.0, n)), 6) AS p_value FROM t GROUP BY positive, n""")
 def _(v):
     return rounded(P.sign_test(gains(v), "gain"))
 
