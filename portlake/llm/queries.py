@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, packing, tokencount, tokenfile, warc
+from . import chat, langid, ngram_join, packing, text, tokencount, tokenfile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,15 @@ def op7(read):
 def op10(read):
     pieces = packing.pack(read("documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=1024)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op5_ngram_join")
+def op5(read):
+    return ngram_join.similar(read("documents"))
+
+
+@query("op8_language_id")
+def op8(read):
+    docs = read("documents").select("doc_id", "text", "lang")
+    known = langid.fit(docs.where(text.in_fold()))
+    return langid.classify(docs, known).select("doc_id", (~text.in_fold()).alias("held_out"), "lang_pred", "score", "margin", "rejected")
