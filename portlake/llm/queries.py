@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, langid, ngram_join, packing, text, tokencount, tokenfile, warc
+from . import chat, decontam, langid, ngram_join, packing, quality, text, tokencount, tokenfile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,3 +90,14 @@ def op8(read):
     docs = read("documents").select("doc_id", "text", "lang")
     known = langid.fit(docs.where(text.in_fold()))
     return langid.classify(docs, known).select("doc_id", (~text.in_fold()).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@query("op6_quality_rules")
+def op6(read):
+    docs = read("documents").select("doc_id", "text")
+    return quality.assess(docs, quality.fit(docs, read("labels")))
+
+
+@query("op9_decontamination")
+def op9(read):
+    return decontam.contaminated(read("documents"), read("benchmark"))
