@@ -32,10 +32,10 @@ def folded_hash() -> text.WordTable:
     return text.WordTable(lambda w: xxhash.xxh3_64_intdigest(f) if (f := text.folded(w)) else 0, np.uint64)
 
 
-def folded_words(texts: list[bytes], hashes: text.WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def folded_words(texts: pa.Array, hashes: text.WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, where each text's words end, and each word's place in its text."""
-    words, ends = text.words_of(texts)
-    h = hashes(words)
+    words, code, ends = text.words_of(texts)
+    h = hashes(words)[code]
     place = np.arange(len(h)) - np.repeat(text.starts_of(ends), np.diff(ends, prepend=0))
     keep = h != 0
     return h[keep], np.concatenate([[0], np.cumsum(keep)])[ends], place[keep]
@@ -73,7 +73,7 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[bytes], n: int):
         self.ids = ids
-        h, ends, _ = folded_words(texts, folded_hash())
+        h, ends, _ = folded_words(pa.array(texts, pa.binary()), folded_hash())
         self.words = [h[a:b] for a, b in zip(text.starts_of(ends), ends)]
         self.n = [min(n, len(w)) for w in self.words]  # a shorter item is one n-gram
         self.grams = [text.ngrams(w, k) if k else w for w, k in zip(self.words, self.n)]
@@ -102,7 +102,7 @@ def gram_counts(rows: DataFrame, wanted: np.ndarray, sizes: list[int]) -> np.nda
     def run(batches):
         hashes, total = folded_hash(), np.zeros(len(sent.value), np.int64)
         for b in text.slices(batches):
-            h, ends, _ = folded_words(b.column("text").to_pylist(), hashes)
+            h, ends, _ = folded_words(b.column("text"), hashes)
             found = [np.zeros(0, np.int64)]
             for size in sizes:
                 doc, _, gram = _hits(h, ends, size, sent.value)
@@ -145,13 +145,13 @@ def windows(places: list[tuple[int, int]], length: int, first: int, last: int) -
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, share: float = SHARE, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS,
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and item found in it: doc_id, item_id, score (0 to 1), begin and end (words of the document), seeds.
+    """One row per document and item found in it: doc_id, text_hash, item_id, score (0 to 1), begin and end (words of the document), seeds.
 
     Null and empty texts match nothing; an item with fewer than `n` words is its own seed.  Repeated documents
     and items each give their rows.  Null ids are carried as nulls.  An empty benchmark or table gives no rows.
     """
     spark = docs.sparkSession
-    rows = text.text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = text.text_rows(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), "text")
     items = text.text_rows(benchmark, item_col, item_text).withColumn("doc_id", F.col("doc_id").cast("long"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + int(size) // (6 * block_words)
@@ -165,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, share: f
 
 def _in_block(rows: DataFrame, items: Items, share: float, min_score: float) -> DataFrame:
     spark = rows.sparkSession
-    kind = "doc_id long, item_id long, score double, begin long, end long, seeds long"
+    kind = "doc_id long, text_hash long, item_id long, score double, begin long, end long, seeds long"
     wanted = items.vocabulary()
     if not len(wanted):
         return spark.createDataFrame([], kind)
@@ -173,20 +173,19 @@ def _in_block(rows: DataFrame, items: Items, share: float, min_score: float) ->
     seeds = seeds_of(items, wanted, counts, share)
     rare = np.array(sorted(seeds), np.uint64)
     sent = spark.sparkContext.broadcast((rare, [seeds[int(g)] for g in rare], items.words, items.ids, items.sizes))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int64()), ("end", pa.int64()), ("seeds", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int64()), ("end", pa.int64()), ("seeds", pa.int64())])
 
     def run(batches):
         rare, owners, words, ids, sizes = sent.value
         hashes = folded_hash()
         for b in text.slices(batches):
-            h, ends, place = folded_words(b.column("text").to_pylist(), hashes)
-            starts, docs_ = text.starts_of(ends), b.column("doc_id").to_pylist()
+            h, ends, place = folded_words(b.column("text"), hashes)
+            starts, docs_, hashes_ = text.starts_of(ends), b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
             places: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for length in sizes:
                 for doc, at, gram in zip(*(x.tolist() for x in _hits(h, ends, length, rare))):
                     for item, p in owners[gram]:
-                        if min(length, len(words[item])) == length or len(words[item]) >= length:
-                            places.setdefault((doc, item), []).append((at, p))
+                        places.setdefault((doc, item), []).append((at, p))
             out: list[list] = [[] for _ in schema]
             for (doc, item), marks in places.items():
                 full, best = MATCH * len(words[item]), (0, 0, 0)
@@ -195,7 +194,7 @@ def _in_block(rows: DataFrame, items: Items, share: float, min_score: float) ->
                     if score > best[0]:
                         best = (score, begin + a, begin + z)
                 if best[0] >= min_score * full:
-                    row = (docs_[doc], ids[item], best[0] / full, int(place[best[1]]), int(place[best[2] - 1]) + 1, len(marks))
+                    row = (docs_[doc], hashes_[doc], ids[item], best[0] / full, int(place[best[1]]), int(place[best[2] - 1]) + 1, len(marks))
                     for c, v in zip(out, row):
                         c.append(v)
             yield text.batch_of(schema, *out)

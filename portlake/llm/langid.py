@@ -61,8 +61,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     give the first language by name, and a rejection.  score is margin / (margin + 5 x the limit), 0 to 1.
     """
     told = [("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())]
-    rows = text.text_rows(docs, id_col, text_col, *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)])
-    out_type = rows.drop("text").schema.simpleString()[7:-1] + ",lang_pred:string,score:double,margin:double,rejected:boolean"
+    rows = text.text_rows(docs, id_col, text_col, keep)
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches):
@@ -80,9 +79,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                     rejected = lead < margin
                 for c, v in zip(cols, (lang, lead / (lead + 5 * margin) if lead else 0.0, lead, rejected)):
                     c.append(v)
-            names = [n for n in b.schema.names if n != "text"]
-            schema = pa.schema([b.schema.field(n) for n in names] + [pa.field(*t) for t in told])
-            yield text.batch_of(schema, *[b.column(n) for n in names], *cols)
+            yield text.with_rides(b, told, *cols)
 
-    made = rows.mapInArrow(run, out_type)
-    return made.select("doc_id", "lang_pred", "score", "margin", "rejected", *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])
+    made = rows.mapInArrow(run, text.ddl(rows, "lang_pred string", "score double", "margin double", "rejected boolean"))
+    return text.restored(made, keep, "doc_id", "lang_pred", "score", "margin", "rejected")

@@ -27,18 +27,37 @@ def fit_sparse(index: np.ndarray, value: np.ndarray, ends: np.ndarray, label: np
     return w, float(bias)
 
 
-def calibrate(z: np.ndarray, label: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """(a, b) so that sigmoid(a z + b) is the probability of label 1, by Newton steps with Platt's smoothed targets."""
+def fit_dense(x: np.ndarray, label: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> np.ndarray:
+    """Weights of the columns of `x` and a bias (last) for the probability of label 1.
+
+    Newton steps with Platt's smoothed targets on columns brought to one scale; a step is halved until it helps.
+    """
     ones, zeros = int((label == 1).sum()), int((label == 0).sum())
     target = np.where(label == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
-    scale = max(1e-9, float(z.std())) if len(z) else 1.0
-    x = np.stack([z / scale, np.ones(len(z))], 1)
-    theta = np.zeros(2)
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    theta = np.zeros(z.shape[1])
+    damp = ridge * len(x) * np.eye(len(theta))
+
+    def loss(t):
+        u = z @ t
+        return (np.logaddexp(0, u) - target * u).sum() + 0.5 * t @ damp @ t
+
     for _ in range(rounds):
-        p = sigmoid(x @ theta)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (p - target) + 1e-6 * theta)
-        theta -= np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-9:
+        p = sigmoid(z @ theta)
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + damp
+        step = np.linalg.solve(hessian, z.T @ (p - target) + damp @ theta)
+        size = 1.0
+        while size > 1e-6 and loss(theta - size * step) > loss(theta):
+            size /= 2
+        theta = theta - size * step
+        if np.abs(size * step).max() < 1e-9:
             break
-    return float(theta[0] / scale), float(theta[1])
+    weights = theta[:-1] / scale
+    return np.append(weights, theta[-1] - weights @ mean)
+
+
+def calibrate(z: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """(a, b) so that sigmoid(a z + b) is the probability of label 1."""
+    a, b = fit_dense(z[:, None], label)
+    return float(a), float(b)

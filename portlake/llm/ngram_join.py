@@ -43,10 +43,10 @@ def multipliers(n: int) -> np.ndarray:
     return text.mixed(np.arange(1, n + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
-def shingles(texts: list[bytes], hashes: text.WordTable, n: int) -> list[np.ndarray]:
+def shingles(texts: pa.Array, hashes: text.WordTable, n: int) -> list[np.ndarray]:
     """Sorted hashes of the distinct runs of `n` words; a shorter text is one run, one without words has none."""
-    words, ends = text.words_of(texts)
-    h = hashes(words)
+    words, code, ends = text.words_of(texts)
+    h = hashes(words)[code]
     grams = text.ngrams(h, n)
     out = []
     for a, b in zip(text.starts_of(ends), ends):
@@ -66,16 +66,16 @@ def signature(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, n: int, values: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
+    """(doc_id, text_hash, n_shingles, digest, signature) of every row of (doc_id, text_hash, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 
     def run(batches):
         hashes, factors = text.plain_hash(), multipliers(values)
         for b in text.slices(batches):
-            sets = shingles(b.column("text").to_pylist(), hashes, n)
-            yield text.batch_of(schema, b.column("doc_id"), [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [signature(s, factors).tobytes() for s in sets])
+            sets = shingles(b.column("text"), hashes, n)
+            yield text.batch_of(schema, b.column("doc_id"), b.column("text_hash"), [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [signature(s, factors).tobytes() for s in sets])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
 
 
 def candidates(found: DataFrame, threshold: float, trees: int, depth: int, recall: float) -> DataFrame:
@@ -171,7 +171,7 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, class_id, n_links, n_texts, n_copies.
+    """One row per row of `docs`: doc_id, text_hash, class_id, n_links, n_texts, n_copies.
 
     Two documents are linked if the Jaccard similarity of their sets of `words`-word runs is at least
     `threshold`; class_id is the smallest doc_id that links lead to.  n_links counts the other documents linked to
@@ -181,7 +181,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, t
     class is its own id.  A document without an id takes part as a copy of one with an id, and else is linked
     to nothing.  Repeated rows count as copies.  Other columns are left out.
     """
-    rows = text.text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = text.text_rows(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), "text")
     found = cut(prints(rows, words, trees * depth))
     texts = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"))
     tied = components(candidates(found.where("doc_id is not null"), threshold, trees, depth, recall))
@@ -192,7 +192,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, t
     def sets(batches):
         hashes = text.plain_hash()
         for b in text.slices(batches):
-            made = shingles(b.column("text").to_pylist(), hashes, words)
+            made = shingles(b.column("text"), hashes, words)
             nodes = b.column("node").to_pylist()
             same = [xxhash.xxh3_128_digest(s.tobytes()) == n for s, n in zip(made, nodes)]  # another text may have the same id
             keep = pa.array(same)
@@ -210,8 +210,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, t
     linked = roots.join(classes, "root").select(F.col("node").alias("digest"), "class_id").join(links, "digest")
     told = texts.select("digest", "first", "copies").join(linked, "digest", "left")
     empty = F.col("n_shingles") == 0
-    out = found.select("doc_id", "digest", "n_shingles").join(told, "digest")
+    out = found.select("doc_id", "text_hash", "digest", "n_shingles").join(told, "digest")
     return out.select(
-        "doc_id", F.when(empty, F.col("doc_id")).otherwise(F.coalesce("class_id", "first")).alias("class_id"),
+        "doc_id", "text_hash", F.when(empty, F.col("doc_id")).otherwise(F.coalesce("class_id", "first")).alias("class_id"),
         F.when(empty, 0).otherwise(F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_texts"), F.when(empty, 1).otherwise(F.col("copies")).cast("long").alias("n_copies"))

@@ -37,14 +37,14 @@ def _sums(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 class Slice:
     """Texts of a slice as one run of bytes and one run of words, with what the rules and features need."""
 
-    def __init__(self, texts: list[bytes], hashes: text.WordTable):
-        self.texts = texts
-        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
-        self.byte_ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    def __init__(self, texts: pa.Array, hashes: text.WordTable):
+        self.texts = texts.to_pylist()
+        self.bytes = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.byte_ends = np.cumsum([len(t) for t in self.texts], dtype=np.int64)
         self.byte_starts = text.starts_of(self.byte_ends)
-        words, self.ends = text.words_of(texts)
+        words, code, self.ends = text.words_of(texts)
         self.starts = text.starts_of(self.ends)
-        self.hashes = hashes(words)
+        self.hashes = hashes(words)[code]
 
     def counts(self) -> dict[str, np.ndarray]:
         at = (self.byte_starts, self.byte_ends)
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     def run(batches):
         hashes, found, labels_, order = text.plain_hash(), [], [], []
         for b in text.slices(batches):
-            found += Slice(b.column("text").to_pylist(), hashes).sparse()
+            found += Slice(b.column("text"), hashes).sparse()
             labels_ += b.column("label").to_pylist()
             order += b.column("h").to_pylist()
         y, part = np.array(labels_, np.int64), np.array(order, np.int64) % 4 == 0  # a quarter calibrates
@@ -151,13 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return got and {"w": bytes(got["w"]), "bias": got["bias"], "a": got["a"], "b": got["b"]}
 
 
-def assess(docs: DataFrame, model: dict | None, keep_at: float = KEEP_AT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept.
+def assess(docs: DataFrame, model: dict | None, keep_at: float = KEEP_AT, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept, and the columns in `keep`.
 
     A null or empty text has no words and fails the base rules.  `quality` is the calibrated probability of label 1, 1 without a
     model; a text is kept if it passes the base rules and has `quality` of at least `keep_at`.
     """
-    rows = text.text_rows(docs, id_col, text_col)
+    rows = text.text_rows(docs, id_col, text_col, keep)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -165,12 +165,13 @@ def assess(docs: DataFrame, model: dict | None, keep_at: float = KEEP_AT, id_col
         weights = np.frombuffer(sent.value["w"], np.float32) if sent.value else None
         hashes = text.plain_hash()
         for b in text.slices(batches):
-            s = Slice(b.column("text").to_pylist(), hashes)
+            s = Slice(b.column("text"), hashes)
             counts = s.counts()
             n, again = counts["n_words"], counts["n_repeat_words"]
             failed = (n < MIN_WORDS) | (100 * again > MAX_REPEATED * n)
             p = np.ones(len(n)) if weights is None else linear.sigmoid(sent.value["a"] * s.scores(weights, sent.value["bias"]) + sent.value["b"])
-            schema = pa.schema([b.schema.field("doc_id"), *[(c, pa.int64()) for c in names], ("base_failed", pa.bool_()), ("quality", pa.float64()), ("kept", pa.bool_())])
-            yield text.batch_of(schema, b.column("doc_id"), *[counts[c] for c in names], failed, p, ~failed & (p >= keep_at))
+            told = [*[(c, pa.int64()) for c in names], ("base_failed", pa.bool_()), ("quality", pa.float64()), ("kept", pa.bool_())]
+            yield text.with_rides(b, told, *[counts[c] for c in names], failed, p, ~failed & (p >= keep_at))
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {', '.join(f'{c} long' for c in names)}, base_failed boolean, quality double, kept boolean")
+    made = rows.mapInArrow(run, text.ddl(rows, *[f"{c} long" for c in names], "base_failed boolean", "quality double", "kept boolean"))
+    return text.restored(made, keep, "doc_id", *names, "base_failed", "quality", "kept")

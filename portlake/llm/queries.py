@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, decontam, langid, ngram_join, packing, quality, text, tokencount, tokenfile, warc
+from . import chat, decontam, langid, ngram_join, packing, quality, text, tokencount, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +101,11 @@ def op6(read):
 @query("op9_decontamination")
 def op9(read):
     return decontam.contaminated(read("documents"), read("benchmark"))
+
+
+@query("op4_toxicity")
+def op4(read):
+    docs = read("documents").select("doc_id", "text")
+    learn = docs.where(text.in_fold())
+    told = toxicity.score(docs, toxicity.fit(learn, read("labels")))
+    return told.select("doc_id", (~text.in_fold()).alias("held_out"), "score", "predicted", F.size("spans").cast("long").alias("n_spans"), F.get("spans", F.lit(0))["begin"].alias("first_begin"))

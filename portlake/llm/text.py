@@ -12,16 +12,42 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 CACHE_WORDS = 400_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """(doc_id, text as UTF-8 bytes, ...): a null text is an empty one; all other columns stay out, whatever their names."""
+def text_rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text as UTF-8 bytes): a null text is an empty one; other columns stay out, whatever their names.
+
+    Columns named in `keep` ride along as keep_0, keep_1, ...; `restored` gives them their names back.
+    """
+    more = [F.col(f"`{c}`").alias(f"keep_{k}") for k, c in enumerate(keep)]
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *more)
 
 
+def restored(made: DataFrame, keep: tuple[str, ...], *own: str) -> DataFrame:
+    """The columns `own` and those that rode along, under their names."""
+    return made.select(*own, *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])
+
+
+def ddl(rows: DataFrame, *more: str) -> str:
+    """Schema of `rows` without the text, and more fields."""
+    return ", ".join([*[f"{c} {t}" for c, t in rows.dtypes if c != "text"], *more])
+
+
+def with_rides(batch: pa.RecordBatch, names: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
+    """A batch of everything but the text in `batch`, and more columns."""
+    kept = [n for n in batch.schema.names if n != "text"]
+    schema = pa.schema([batch.schema.field(n) for n in kept] + [pa.field(*n) for n in names])
+    return batch_of(schema, *[batch.column(n) for n in kept], *columns)
+
+
+def text_hash(text_col: str = "text") -> Column:
+    """Tells texts under one id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def in_fold(id_col: str = "doc_id") -> Column:
     """True for rows that models may learn from: crc32 of the id as text, modulo 3, is not 1."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 != 1
@@ -44,14 +70,29 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """All words `[^\\x20\\x09-\\x0D]+` of the texts in a row, and where each text's words end."""
-    words: list[bytes] = []
-    ends = np.empty(len(texts), np.int64)
-    for k, t in enumerate(texts):
-        words += t.split()  # bytes split at exactly these characters
-        ends[k] = len(words)
-    return words, ends
+def as_text(texts: pa.Array) -> pa.Array:
+    """UTF-8 bytes as an Arrow string array; bytes that are no UTF-8 become replacement characters."""
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+
+def coded(lists: pa.ListArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Lists of words as (distinct words, number of each word in a row, where each list ends)."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    codes = lists.values.dictionary_encode()
+    return codes.dictionary.cast(pa.binary()).to_pylist(), codes.indices.to_numpy()[ends[0] : ends[-1]], ends[1:] - ends[0]
+
+
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of the texts: the distinct ones, the number of each in a row, and where each text's words end."""
+    words, code, ends = coded(pc.ascii_split_whitespace(as_text(texts)))  # Arrow's ASCII white space is exactly these characters
+    if b"" in words:  # at the edges of a text
+        keep = code != words.index(b"")
+        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+        code = code[keep]
+    return words, code, ends
 
 
 class WordTable:
@@ -60,14 +101,17 @@ class WordTable:
     def __init__(self, value, dtype, limit: int = CACHE_WORDS):
         self.value, self.dtype, self.limit, self.known = value, dtype, limit, {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.known)
+    def values(self, words: list[bytes]) -> list:
+        new = [w for w in words if w not in self.known]
         if len(new) + len(self.known) > self.limit:
-            self.known.clear()
-            new = set(words)
+            self.known, old = {}, self.known
+            self.known.update([(w, old[w]) for w in words if w in old])
         value = self.value
         self.known.update([(w, value(w)) for w in new])
-        return np.fromiter(map(self.known.__getitem__, words), self.dtype, len(words))
+        return [self.known[w] for w in words]
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        return np.array(self.values(words), self.dtype)
 
 
 def plain_hash() -> WordTable:
