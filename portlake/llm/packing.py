@@ -43,22 +43,24 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 1024, id_col
     def run(batches):
         task = TaskContext.get().partitionId()
         used = [0] * size.bit_length()
-        end = np.array([end_id], "<u4")
         model = vocab.tokens(vocabulary)
-        for b in text.slices(batches):
+        for b in text.slices(batches, vocab.SLICE_BYTES):
             rows: list[list] = [[] for _ in range(6)]
-            for doc, ids in zip(b.column("doc_id").to_pylist(), model.encode(b.column("text").to_pylist())):
-                full = np.concatenate([np.frombuffer(ids, model.dtype).astype("<u4"), end])
-                data = memoryview(full.tobytes())
-                for start, length in binary_pieces(len(full), size):
+            ids, ends = model.encode(b.column("text"))
+            ids = np.insert(ids.astype("<u4"), ends, end_id)
+            ends += np.arange(1, len(ends) + 1)
+            data, begin = memoryview(ids.tobytes()), 0
+            for doc, stop in zip(b.column("doc_id").to_pylist(), ends.tolist()):
+                for start, length in binary_pieces(stop - begin, size):
                     rank = size.bit_length() - length.bit_length()
                     rows[0].append(doc)
                     rows[1].append(start)
                     rows[2].append(length)
-                    rows[3].append(bytes(data[4 * start : 4 * (start + length)]))
-                    rows[4].append(len(full))
+                    rows[3].append(data[4 * (begin + start) : 4 * (begin + start + length)])
+                    rows[4].append(stop - begin)
                     rows[5].append((rank << _TASK_BITS | task) << _RUN_BITS | used[rank])
                     used[rank] += 1
+                begin = stop
             yield text.batch_of(schema, *rows, np.zeros(len(rows[0]), np.int64))
 
     rows = text.text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))

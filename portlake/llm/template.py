@@ -129,7 +129,7 @@ _TAG = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
 _TOKEN = re.compile(r"\s*(?:(\d+)|('(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+*~<>()\[\].|]))", re.S)
 _ESCAPE = {"n": "\n", "t": "\t"}
 _WORDS = {"true": True, "false": False, "none": None}
-_BINARY = [("or",), ("and",), ("not",), ("==", "!=", "<", "<=", ">", ">=", "in"), ("+", "-", "~"), ("*",)]
+_BINARY = [("or",), ("and",), ("not",), ("==", "!=", "<", "<=", ">", ">=", "in"), ("~",), ("+", "-"), ("*",)]
 
 
 class _Expression:
@@ -313,7 +313,10 @@ def fold(node):
     if isinstance(node, Op):
         args = [fold(a) for a in node.args]
         if all(isinstance(a, Const) for a in args):
-            return Const(_OPS[node.op](*(a.value for a in args)))
+            try:
+                return Const(_OPS[node.op](*(a.value for a in args)))
+            except TypeError:  # it may never be reached; if it is, rendering says so
+                return Op(node.op, args)
         if isinstance(args[0], Const) and node.op in ("and", "or", "choice"):
             if node.op == "choice":
                 return args[1] if args[0].value else args[2]

@@ -11,19 +11,23 @@ from __future__ import annotations
 
 import os
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from . import text
-from .vocab import _RUN, word_rule
+from .vocab import chunks, word_rule
 
 FREQUENT = 200_000
 FREQUENT_LENGTH = 64
+SLICE_BYTES = 4 << 20
+#: Below this code point all libraries agree on what a letter is.
+_LEAD, _BEYOND = " ", "\u0250"
 
 
 class PreTokens:
@@ -49,29 +53,34 @@ class PreTokens:
             return tuple(w.decode() for w in part.encode().split())
         return tuple(norm[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(norm))
 
-    def count(self, texts: list[bytes]) -> Iterator[dict[str, int]]:
-        """Frequencies of the pre-tokens of each text."""
-        for t in texts:
-            if self.rule != "spaced" or _RUN.search(t):
-                yield Counter(self.cut(t.decode("utf-8", "replace")))
-                continue
-            words: Counter = Counter()
-            for line in t.split(b"\n"):
-                first, *rest = line.split(b" ")
-                words[first] += 1
-                words.update([b" " + w for w in rest])
-            if b"\n" in t:
-                words[b"\n"] += t.count(b"\n")
-            found: dict[str, int] = {}
-            if len(self.known) > self.limit:
-                self.known.clear()
-            for w, n in words.items():
-                parts = self.known.get(w)
-                if parts is None:
-                    parts = self.known[w] = self.cut(w.decode("utf-8", "replace"))
-                for p in parts:
-                    found[p] = found.get(p, 0) + n
-            yield found
+    def count(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pre-tokens, and for each text and pre-token in it: text, number of the pre-token, frequency."""
+        keys, code, ends = chunks(texts, self.rule)
+        doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        pairs, times = np.unique(doc * len(keys) + code, return_counts=True)
+        doc, code = np.divmod(pairs, max(1, len(keys)))
+        if len(self.known) > self.limit:
+            self.known = {k: self.known[k] for k in keys if k in self.known}
+        number: dict[str, int] = {}
+        flat: list[int] = []
+        sizes = np.empty(len(keys), np.int64)
+        for k, key in enumerate(keys):
+            parts = self.known.get(key)
+            if parts is None:
+                word = key.decode("utf-8", "replace")
+                body = word[1:] if word[:1] == _LEAD else word
+                if self.rule == "spaced" and body.isalpha() and max(body) < _BEYOND:
+                    parts = (word,)  # letters only: one pre-token
+                else:
+                    parts = self.known[key] = self.cut(word)
+            sizes[k] = len(parts)
+            flat += [number.setdefault(p, len(number)) for p in parts]
+        begin, size = np.cumsum(sizes) - sizes, sizes[code]
+        stop = np.cumsum(size)
+        piece = np.array(flat, np.int64)[np.repeat(begin[code] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        pairs, back = np.unique(np.repeat(doc, size) * max(1, len(number)) + piece, return_inverse=True)
+        doc, piece = np.divmod(pairs, max(1, len(number)))
+        return list(number), doc, piece, np.bincount(back, np.repeat(times, size), len(pairs)).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -85,10 +94,10 @@ def vocabulary_of(rows: DataFrame, path: str, room: int = 300_000) -> DataFrame:
 
     def run(batches):
         seen: Counter = Counter()
-        for b in text.slices(batches):
-            for found in pre_tokens(path).count(b.column("text").to_pylist()):
-                for p, n in found.items():
-                    seen[p] += n
+        for b in text.slices(batches, SLICE_BYTES):
+            pieces, _, piece, n = pre_tokens(path).count(b.column("text"))
+            for p, k in zip(pieces, np.bincount(piece, n, len(pieces)).astype(np.int64).tolist()):
+                seen[p] += k
             if len(seen) > room:
                 yield text.batch_of(schema, list(seen), list(seen.values()))
                 seen = Counter()
@@ -125,27 +134,19 @@ def count_tokens(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT, id_
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_bytes", pa.int64()), ("copies", pa.int64()), ("piece", pa.string()), ("rare", pa.bool_()), ("n", pa.int64())])
 
     def run(batches):
-        get = common.value.get
-        for b in text.slices(batches):
-            docs_, digests, sizes, copies, pieces, flags, ns = [], [], [], [], [], [], []
-            texts = b.column("text").to_pylist()
-            for doc, digest, t, found in zip(b.column("doc_id").to_pylist(), b.column("digest").to_pylist(), texts, pre_tokens(vocabulary).count(texts)):
-                sure, rare = 0, []
-                for p, n in found.items():
-                    each = get(p)
-                    if each is None:
-                        rare.append((p, n))
-                    else:
-                        sure += n * each
-                k = 1 + len(rare)
-                docs_ += [doc] * k
-                digests += [digest] * k
-                sizes += [len(t)] * k
-                copies += [1] + [0] * len(rare)
-                pieces += [str(doc)] + [p for p, _ in rare]
-                flags += [False] + [True] * len(rare)
-                ns += [sure] + [n for _, n in rare]
-            yield text.batch_of(schema, docs_, digests, sizes, copies, pieces, flags, ns)
+        for b in text.slices(batches, SLICE_BYTES):
+            pieces, doc, piece, n = pre_tokens(vocabulary).count(b.column("text"))
+            each = np.fromiter((common.value.get(p, -1) for p in pieces), np.int64, len(pieces))[piece]
+            rows_ = len(b)
+            sure = np.bincount(doc, np.where(each >= 0, n * each, 0), rows_).astype(np.int64)
+            rare = np.flatnonzero(each < 0)
+            at = pa.array(np.concatenate([np.arange(rows_), doc[rare]]))
+            own = pa.array([str(d) for d in b.column("doc_id").to_pylist()], pa.string())
+            names = pa.array([pieces[p] for p in piece[rare].tolist()], pa.string())
+            flag = np.arange(rows_ + len(rare)) >= rows_
+            yield text.batch_of(
+                schema, b.column("doc_id").take(at), b.column("digest").take(at), pc.binary_length(b.column("text")).cast(pa.int64()).take(at),
+                (~flag).astype(np.int64), pa.concat_arrays([own, names]), flag, np.concatenate([sure, n[rare]]))
 
     parts = rows.withColumn("digest", F.xxhash64("text")).mapInArrow(run, "doc_id long, digest long, n_bytes long, copies long, piece string, rare boolean, n long")
     # a document's own row carries the tokens of its frequent pre-tokens; it matches nothing and is dealt out by its id

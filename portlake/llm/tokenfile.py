@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +35,7 @@ MAX_BITS = 16
 CHECKPOINT = 64
 BLOCK_IDS = 1 << 16
 RUN_IDS = 1 << 18
+COUNTS = -1
 MAGIC = b"IDH1"
 
 
@@ -85,22 +87,29 @@ class Code:
         filled = np.repeat(order, wide)
         self.table[: len(filled)] = filled
 
-    def encode(self, ids: np.ndarray) -> bytes:
-        """A block."""
+    def encode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """A block for each run of ids that ends at one of `ends`; all runs are coded side by side."""
+        sizes = np.diff(ends, prepend=0)
         bits = self.lengths[ids].astype(np.int64)
-        ends = np.cumsum(bits)
-        total = int(ends[-1]) if len(ids) else 0
-        starts = ends - bits
-        words = np.zeros((total >> 5) + 3, np.uint64)
-        at, shift = starts >> 5, (64 - (starts & 31) - bits).astype(np.uint64)
-        value = self.codes[ids] << shift  # in the 64 bits that begin at word `at`
+        total = np.concatenate([[0], np.cumsum(bits)])
+        spans = total[ends] - total[ends - sizes]  # bits of each run
+        room = (spans + 7 >> 3) + 8
+        base = np.cumsum(room) - room  # each run begins at a byte
+        starts = total[:-1] + np.repeat(8 * base - total[ends - sizes], sizes)
+        words = np.zeros((int(room.sum()) >> 2) + 3, np.uint64)
+        at = starts >> 5
+        value = self.codes[ids] << (64 - (starts & 31) - bits).astype(np.uint64)  # in the 64 bits that begin at word `at`
         if len(ids):
             first = np.flatnonzero(np.diff(at, prepend=-1))
             words[at[first]] += np.add.reduceat(value >> np.uint64(32), first)
             words[at[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
-        data = words.astype(">u4").tobytes()[: (total + 7) // 8]
-        marks = starts[::CHECKPOINT].astype("<u4")
-        return np.array([len(ids), total, CHECKPOINT, len(data)], "<u4").tobytes() + marks.tobytes() + data + bytes(8)
+        data = words.astype(">u4").tobytes()
+        out = []
+        for n, end, span, b in zip(sizes.tolist(), ends.tolist(), spans.tolist(), base.tolist()):
+            marks = (starts[end - n : end : CHECKPOINT] - 8 * b).astype("<u4")
+            head = np.array([n, span, CHECKPOINT, span + 7 >> 3], "<u4")
+            out.append(head.tobytes() + marks.tobytes() + data[b : b + (span + 7 >> 3)] + bytes(8))
+        return out
 
     def decode(self, data: bytes) -> list[np.ndarray]:
         """The ids of each of the blocks that fill `data`; the stretches between checkpoints are decoded side by side."""
@@ -136,19 +145,17 @@ def _open(path: str):
     return pafs.LocalFileSystem(), path
 
 
-def id_counts(stored: DataFrame, dtype: str, size: int) -> np.ndarray:
-    """Occurrences of each id; every task returns at most one row per id of the vocabulary."""
+def id_counts(stored: DataFrame, size: int) -> np.ndarray:
+    """Occurrences of each id, summed over the tasks; a partial sum has at most one entry per id of the vocabulary."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        total = np.zeros(size, np.int64)
-        for b in text.slices(batches, column="ids"):
-            for ids in b.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(ids, dtype), minlength=size)
-        at = np.flatnonzero(total)
-        yield text.batch_of(schema, at, total[at])
+        for b in batches:
+            for data in b.column("ids").to_pylist():
+                at, n = np.frombuffer(data, np.int64).reshape(2, -1)
+                yield text.batch_of(schema, at, n)
 
-    found = stored.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = stored.where(F.col("row") == COUNTS).select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, np.int64)
     out[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
@@ -167,66 +174,67 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str | Non
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches):
-        row, end = TaskContext.get().partitionId() << 40, np.array([end_id], dtype).tobytes()
-        for b in text.slices(batches):
-            ids = vocab.tokens(vocabulary).encode(b.column("text").to_pylist())
-            yield text.batch_of(schema, b.column("doc_id"), np.arange(row, row + len(ids)), [i + end for i in ids])
-            row += len(ids)
+        total = np.zeros(size, np.int64)
+        row = TaskContext.get().partitionId() << 40
+        for b in text.slices(batches, vocab.SLICE_BYTES):
+            ids, ends = vocab.tokens(vocabulary).encode(b.column("text"))
+            ids = np.insert(ids.astype(dtype), ends, end_id)
+            ends = np.dtype(dtype).itemsize * (ends + np.arange(1, len(ends) + 1))
+            data = ids.tobytes()
+            yield text.batch_of(schema, b.column("doc_id"), np.arange(row, row + len(ends)), [data[x:y] for x, y in zip([0, *ends.tolist()], ends.tolist())])
+            row += len(ends)
+            total += np.bincount(ids, minlength=size)
+        at = np.flatnonzero(total)  # one more row: the task's id counts
+        yield text.batch_of(schema, [None], [COUNTS], [np.stack([at, total[at]]).tobytes()])
 
     rows = text.text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     stored = cut(rows.mapInArrow(encode, "doc_id long, row long, ids binary"))
-    lengths = code_lengths(id_counts(stored, dtype, size))
+    lengths = code_lengths(id_counts(stored, size))
     put_lengths(spark, folder, lengths)
     code = spark.sparkContext.broadcast(lengths.tobytes())
 
-    parts = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("segment", pa.int64()), ("n", pa.int64()), ("block", pa.binary())])
-
-    def to_bits(batches):
-        huffman = Code(np.frombuffer(code.value, np.uint8))
-        for b in text.slices(batches, column="ids"):
-            rows: list[list] = [[] for _ in parts]
-            for doc, row, data in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "ids"))):
-                ids = np.frombuffer(data, dtype)
-                for k, at in enumerate(range(0, len(ids), BLOCK_IDS)):
-                    part = ids[at : at + BLOCK_IDS]
-                    for c, v in zip(rows, (doc, row, k, len(part), huffman.encode(part))):
-                        c.append(v)
-            yield text.batch_of(parts, *rows)
-
     index = pa.schema([("part", pa.int64()), ("shard", pa.string()), ("offset", pa.int64()), ("bytes", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 
     def append(batches):
         """One shard: blocks in order; an index row for each run of whole documents."""
         path, out, at, before = f"{folder}/{uuid.uuid4().hex}.ids", None, len(MAGIC), 0
         part = TaskContext.get().partitionId()
-        begin, docs_, sizes, last = at, [], [], None
+        begin, docs_, sizes, held = at, [], [], 0
 
         def close():
-            return text.batch_of(index, [part], [path], [begin], [at - begin], [before], [sum(sizes)], [docs_], [sizes])
+            return text.batch_of(index, [part], [path], [begin], [at - begin], [before], [held], [docs_], [sizes])
 
-        for b in batches:
-            for doc, row, segment, n, block in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "segment", "n", "block"))):
+        huffman = Code(np.frombuffer(code.value, np.uint8))
+        for b in text.slices(batches, 1 << 20, column="ids"):
+            ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype)
+            lengths = pc.binary_length(b.column("ids")).to_numpy().astype(np.int64) // ids.itemsize
+            parts = -(-lengths // BLOCK_IDS)
+            last = np.cumsum(parts)
+            # every document in blocks of at most BLOCK_IDS ids
+            ends = np.repeat(np.cumsum(lengths) - lengths, parts) + np.minimum(
+                BLOCK_IDS * (np.arange(last[-1]) - np.repeat(last - parts, parts) + 1), np.repeat(lengths, parts))
+            blocks = huffman.encode(ids, ends)
+            for doc, n, z, k in zip(b.column("doc_id").to_pylist(), lengths.tolist(), last.tolist(), parts.tolist()):
                 if out is None:
                     system, where = _open(path)
                     system.create_dir(where.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(where)
                     out.write(MAGIC)
-                if segment == 0:
-                    if sum(sizes) >= RUN_IDS:
-                        yield close()
-                        before += sum(sizes)
-                        begin, docs_, sizes = at, [], []
-                    docs_.append(doc)
-                    sizes.append(0)
-                sizes[-1] += n
-                out.write(block)
-                at += len(block)
+                if held >= RUN_IDS:
+                    yield close()
+                    before += held
+                    begin, docs_, sizes, held = at, [], [], 0
+                docs_.append(doc)
+                sizes.append(n)
+                held += n
+                for block in blocks[z - k : z]:
+                    out.write(block)
+                    at += len(block)
         if out is not None:
             out.close()
             yield close()
 
-    in_order = stored.mapInArrow(to_bits, "doc_id long, row long, segment long, n long, block binary")
-    in_order = in_order.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("row")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row", "segment")
+    in_order = stored.where(F.col("row") >= 0).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("row")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
     in_order.mapInArrow(append, "part long, shard string, offset long, bytes long, before long, n long, docs array<long>, lengths array<long>").write.parquet(f"{folder}/index")
     return folder
 
@@ -269,7 +277,8 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                 yield text.batch_of(schema, *rows)
 
     joined = index.join(shards, "shard").select("shard", "offset", "bytes", "before", "docs", "lengths", "first")
-    return joined.repartition("shard", "offset").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # the rows are few and small, so that their bytes must not decide how many tasks there are
+    return joined.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "offset").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _blocks(f, offset: int, size: int, huffman: Code):
