@@ -18,7 +18,7 @@ from .selective import hash_cap
 # fixed values: odds limits, harm weight, group pipeline
 ODDS_LOW, ODDS_HIGH = 0.05, 20.0
 HARM_WEIGHT = 2.0
-GROUP_CAP, GROUP_AXES, GROUPS = 2000, 16, 4
+GROUP_AXES, GROUPS = 16, 4
 
 
 def vectors(df: DataFrame, columns: Sequence[str] | str, out: str = "_x") -> DataFrame:
@@ -101,9 +101,10 @@ def calibrated_gate(source: DataFrame, target: DataFrame, difference: str, bette
     return target.withColumns({"switch_point": F.lit(point), "use_expert": F.col(difference) > point})
 
 
-def group_assign(df: DataFrame, port: str, key: str, vector: str, sources: Column, cap: int = GROUP_CAP, axes: int = GROUP_AXES, groups: int = GROUPS) -> DataFrame:
-    """Scale, project and cluster a capped sample of source rows, then give every row its nearest frozen centre (`grp`)."""
-    train = hash_cap(df.where(sources).select(port, key, vector), [port], key, cap)
+def group_assign(df: DataFrame, port: str, key: str, vector: str, sources: Column, cap: int | None = None, axes: int = GROUP_AXES, groups: int = GROUPS) -> DataFrame:
+    """Scale, project and cluster all source rows (or `cap` rows a port in hash order), then give every row its nearest frozen centre (`grp`)."""
+    rows = df.where(sources).select(port, key, vector)
+    train = hash_cap(rows, [port], key, cap) if cap else rows
     pipe = Pipeline(stages=[
         StandardScaler(inputCol="_x", outputCol="_s", withMean=True, withStd=True), PCA(k=axes, inputCol="_s", outputCol="_p"),
         KMeans(k=groups, seed=1, featuresCol="_p", predictionCol="grp", maxIter=30)])

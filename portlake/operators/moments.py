@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # fixed values: covariance shrinkage and ridge of the aligners
 SHRINKAGE = 0.05
 ALIGN_RIDGE = 1e-6
@@ -154,12 +156,18 @@ def fit_ridge(stats: DataFrame, folds: DataFrame, arms: Sequence[tuple[str, floa
     return signed.groupBy("fold").applyInPandas(solve, f"fold string, target {t['target']}, arm string, cls {t['cls']}, w array<double>, b double")
 
 
+def small_enough(df: DataFrame, *arrays: str) -> pd.DataFrame:
+    """The rows of `df`, once Spark has found that their arrays keep within the limit."""
+    df = cut(df)
+    size = df.agg(F.sum(sum((F.size(a) for a in arrays), F.lit(0)) * 8)).first()[0] or 0
+    if size > MODEL_BYTES_LIMIT:
+        raise ValueError(f"models take {size} bytes, more than a broadcast may; fit fewer folds or arms at a time")
+    return df.toPandas()
+
+
 def collect_models(models: DataFrame) -> dict:
     """Models by target: {target: [(fold, arm, classes, W, b)]}. Size is folds x arms x classes x dimensions, and checked."""
-    pdf = models.toPandas()
-    size = sum(len(w) * 8 for w in pdf.w)
-    if size > MODEL_BYTES_LIMIT:
-        raise ValueError(f"models take {size} bytes; fit fewer arms at a time")
+    pdf = small_enough(models, "w")
     out: dict = {}
     for (target, fold, arm), rows in pdf.groupby(["target", "fold", "arm"], sort=True):
         rows = rows.sort_values("cls")
@@ -253,11 +261,16 @@ def fit_pca(stats: DataFrame, folds: DataFrame, k: int) -> DataFrame:
     return per_fold(stats, folds, axes, f"fold string, target {t}, axis int, variance double, share double, v array<double>, mean array<double>")
 
 
-def _power(cov: np.ndarray, e: float) -> np.ndarray:
-    val, vec = np.linalg.eigh((cov + cov.T) / 2)
-    if val.min() <= np.finfo(float).eps * max(val.max(), 1.0):
-        raise ValueError("covariance is not positive definite; use a larger ridge")
-    return (vec * val**e) @ vec.T
+def root_pair(side: str, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symmetric square root of a covariance and its inverse.
+
+    A direction whose spread is lost in rounding next to the widest one makes the inverse meaningless and is refused."""
+    axes, spread, _ = np.linalg.svd(cov, hermitian=True)
+    flat = np.flatnonzero(spread < spread[0] * len(spread) * np.finfo(float).eps)
+    if len(flat):
+        raise ValueError(f"{len(flat)} of {len(spread)} directions of the {side} rows have no spread; raise the ridge")
+    deviation = np.sqrt(spread)
+    return axes * deviation @ axes.T, axes / deviation @ axes.T
 
 
 def coral(stats: DataFrame, direction: str = "t2s", ridge: float = ALIGN_RIDGE) -> DataFrame:
@@ -282,7 +295,7 @@ def coral(stats: DataFrame, direction: str = "t2s", ridge: float = ALIGN_RIDGE)
 
         own, rest = side(r.n, r.s, r.g), side(r.tn - r.n, r.ts - r.s, r.tg - r.g)
         (mo, co), (md, cd) = (own, rest) if direction == "t2s" else (rest, own)
-        m = _power(co, -0.5) @ _power(cd, 0.5)
+        m = root_pair("origin", co)[1] @ root_pair("destination", cd)[0]  # whiten, then colour
         res = np.linalg.norm(m.T @ co @ m - cd) / np.linalg.norm(cd)
         return pd.DataFrame({"target": [r.port], "origin_mean": [mo], "destination_mean": [md], "m": [m.ravel()], "residual": [res]})
 
@@ -292,10 +305,8 @@ def coral(stats: DataFrame, direction: str = "t2s", ridge: float = ALIGN_RIDGE)
 
 def apply_maps(df: DataFrame, maps: DataFrame, port: str, vector: str, own: bool = True) -> DataFrame:
     """Move each row by the map of its port (`own`), or by every other port's map (adds `target`)."""
-    pdf = maps.toPandas()
-    if sum(len(m) * 8 for m in pdf.m) > MODEL_BYTES_LIMIT:
-        raise ValueError("maps are too large to broadcast")
-    held = df.sparkSession.sparkContext.broadcast({r.target: (r.origin_mean, r.destination_mean, r.m.reshape(len(r.origin_mean), -1)) for r in pdf.itertuples()})
+    pdf = small_enough(maps, "m")
+    held = df.sparkSession.sparkContext.broadcast({r.target: (np.asarray(r.origin_mean, float), np.asarray(r.destination_mean, float), np.asarray(r.m, float).reshape(len(r.origin_mean), -1)) for r in pdf.itertuples()})
     t = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {t[c]}" for c in df.columns) + f", target {t[port]}"
 
@@ -332,14 +343,12 @@ def precision_models(stats: DataFrame, folds: DataFrame, centred: bool, diagonal
 
 def class_distances(df: DataFrame, models: DataFrame, port: str, key: str, vector: str, keep: Sequence[str] = ()) -> DataFrame:
     """Squared distance of each row to the class means of its port's fold: (`key`, kept, classes, d2 array)."""
-    pdf = models.toPandas()
+    pdf = small_enough(models, "mu", "precision")
     held = {}
     for target, rows in pdf.groupby("target"):
         rows = rows.sort_values("cls")
         d = len(rows.mu.iloc[0])
-        held[target] = (rows.cls.tolist(), np.stack(rows.mu.to_numpy()), rows.precision.iloc[0].reshape(d, d))
-    if sum(m.nbytes + p.nbytes for _, m, p in held.values()) > MODEL_BYTES_LIMIT:
-        raise ValueError("precision matrices are too large to broadcast")
+        held[target] = (rows.cls.tolist(), np.stack(rows.mu.to_numpy()), np.asarray(rows.precision.iloc[0], float).reshape(d, d))
     held = df.sparkSession.sparkContext.broadcast(held)
     t = dict(df.dtypes)
     cols = [key, *keep]
@@ -429,28 +438,31 @@ def profile_gate(profiles: DataFrame, gains: DataFrame, alpha: float = 10.0) ->
 
 def linear_map(rows: DataFrame, port: str, truth: str, vector: str, key: str, grid: Sequence[tuple[float, float]], cap: int, steps: int = 300, rate: float = 1e-2) -> DataFrame:
     """Diagonal feature map per target port and (lam, mu): cross-entropy on source rows plus covariance and mean penalties on
-    the target's rows, by Adam. Each group holds at most `cap` source and `cap` target rows (reproducible samples, as the
-    method itself prescribes)."""
+    the target's rows, by Adam. The target enters by the mean and covariance of all its rows; the labelled source rows of a
+    fit are bounded by `cap` (chosen in hash order)."""
     from .selective import hash_cap
 
     s = hash_cap(rows.select(port, truth, vector, key), [port], key, cap)
     folds = rows.select(F.col(port).alias("target")).distinct()
-    f = s.join(F.broadcast(folds)).withColumn("side", (F.col(port) == F.col("target")).cast("int"))
-    f = hash_cap(f, ["target", "side"], key, cap)
-    g = f.withColumn("pen", F.explode(F.array(*[F.struct(F.lit(a).alias("lam"), F.lit(b).alias("mu")) for a, b in grid]))).select("target", "side", truth, vector, "pen.lam", "pen.mu")
+    f = hash_cap(s.join(F.broadcast(folds)).where(F.col(port) != F.col("target")), ["target"], key, cap)
+    arms = F.explode(F.array(*[F.struct(F.lit(a).alias("lam"), F.lit(b).alias("mu")) for a, b in grid]))
+    g = f.withColumn("pen", arms).select("target", truth, vector, "pen.lam", "pen.mu")
+    whole = sufficient_stats(rows.withColumn("_all", F.lit(0)), port, "_all", vector).withColumn("pen", arms)
+    whole = whole.select(F.col("port").alias("target"), "pen.lam", "pen.mu", "n", "s", "g")
     t = dict(rows.dtypes)[port]
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+    def train(pdf: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or stats.empty:
+            return pd.DataFrame({"target": [], "lam": [], "mu": [], "scale": [], "loss": []})
         lam, mu = float(pdf.lam.iloc[0]), float(pdf.mu.iloc[0])
-        src, tgt = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        x, y = np.stack(src[vector].to_numpy()).astype(float), src[truth].to_numpy()
-        a = np.stack(tgt[vector].to_numpy()).astype(float)
+        x, y = np.stack(pdf[vector].to_numpy()).astype(float), pdf[truth].to_numpy()
+        n, mean = float(stats.n.iloc[0]), np.asarray(stats.s.iloc[0], float) / float(stats.n.iloc[0])
+        cov = (np.asarray(stats.g.iloc[0], float).reshape(len(mean), -1) - n * np.outer(mean, mean)) / max(1.0, n - 1)
         cls = np.unique(y)
         hot = (y[:, None] == cls[None, :]).astype(float)
         d, c = x.shape[1], len(cls)
         p = {"s": np.ones(d), "w": np.zeros((d, c)), "b": np.zeros(c)}
         m1, m2 = ({k: np.zeros_like(q) for k, q in p.items()} for _ in range(2))
-        cov, mean = np.cov(a.T), a.mean(0)
         for step in range(1, steps + 1):
             z = (x * p["s"]) @ p["w"] + p["b"]
             e = np.exp(z - z.max(1, keepdims=True))
@@ -466,7 +478,7 @@ def linear_map(rows: DataFrame, port: str, truth: str, vector: str, key: str, gr
         loss = -np.log(np.maximum((np.exp(z - z.max(1, keepdims=True)) / np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True) * hot).sum(1), 1e-12)).mean()
         return pd.DataFrame({"target": [pdf.target.iloc[0]], "lam": [lam], "mu": [mu], "scale": [p["s"]], "loss": [loss]})
 
-    return g.groupBy("target", "lam", "mu").applyInPandas(train, f"target {t}, lam double, mu double, scale array<double>, loss double")
+    return g.groupBy("target", "lam", "mu").cogroup(whole.groupBy("target", "lam", "mu")).applyInPandas(train, f"target {t}, lam double, mu double, scale array<double>, loss double")
 
 
 def drop_one_arms(d: int, alpha: float) -> list[tuple[str, float, list[int]]]:

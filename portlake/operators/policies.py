@@ -197,12 +197,10 @@ def sign_test(pairs: DataFrame, delta: str) -> DataFrame:
     g = pairs.agg(F.count_if(F.col(delta) > 0).alias("positive"), F.count_if(F.col(delta) != 0).alias("n"))
     k = F.least(F.col("positive"), F.col("n") - F.col("positive"))
     upto = lambda i: F.when(i > 0, F.sequence(F.lit(1), i)).otherwise(F.array().cast("array<bigint>"))
-    exact = lambda i: F.aggregate(upto(i), F.lit(1.0), lambda s, j: s * (F.col("n") - j + 1) / j)
-    by_log = lambda i: F.exp(F.aggregate(upto(i), F.lit(0.0), lambda s, j: s + F.log((F.col("n") - j + 1) / j)))
-    # plain products stay exact for the usual number of units and would overflow only beyond a thousand
-    choose = lambda i: F.when(F.col("n") <= 1000, exact(i)).otherwise(by_log(i))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k), F.lit(0.0), lambda s, i: s + choose(i))
-    return g.select("positive", "n", F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), F.col("n"))).alias("p_value"))
+    # log of C(n, i) / 2^n, so that no number of units overflows
+    share = lambda i: F.exp(F.aggregate(upto(i), -F.col("n") * F.log(F.lit(2.0)), lambda s, j: s + F.log((F.col("n") - j + 1) / j)))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k), F.lit(0.0), lambda s, i: s + share(i))
+    return g.select("positive", "n", F.least(F.lit(1.0), 2 * tail).alias("p_value"))
 
 
 def permutation_null(df: DataFrame, key: str, score: str, label: Column, reps: int, seed: str) -> DataFrame:

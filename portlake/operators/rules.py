@@ -15,7 +15,7 @@ PURITY_MIN, SUPPORT_MIN, LABEL_PURITY_MIN = 0.95, 5, 0.9
 RESOLVED = "fine_class_mapped"
 
 # fixed values: names of the sources a class may come from
-BY_CODE, BY_REGISTRY, BY_LABEL, BY_HAND = "bundle_ais_type_code", "sarais_backend_type_code", "myshiptracking_label", "needs_manual"
+BY_CODE, BY_REGISTRY, BY_LABEL, BY_HAND = "position_type_code", "registry_type_code", "web_label", "needs_manual"
 
 
 def top_values(df: DataFrame, key: Sequence[str], value: str, k: int) -> DataFrame:

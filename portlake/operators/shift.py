@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.text import hash_key
+from ..session import cut
 from .selective import cap_per_group, hash_cap
 
-ENERGY_CAP = 800
 BLOCK_ROWS = 2048
 
 
@@ -79,22 +79,36 @@ def neighbour_entropy(df: DataFrame, port: str, key: str, vector: str, temperatu
     return r.groupBy(port).agg(F.avg(F.log("z") - F.col("zs") / F.col("z")).alias("snd"))
 
 
-def energy_distance(df: DataFrame, port: str, key: str, vector: str, cap: int = ENERGY_CAP, seed: str = "") -> DataFrame:
-    """Energy distance between every two ports on a reproducible sample of at most `cap` rows each (the cap is the measure's own)."""
-    s = hash_cap(df.select(port, key, vector), [port], key, cap, seed)
-    ports = df.select(port).distinct()
-    other = ports.withColumnRenamed(port, "_o")
-    # every sampled row meets each other port once; a group holds at most 2 x cap rows
-    as_a = s.join(F.broadcast(other), F.col(port) != F.col("_o")).select(F.col(port).alias("a"), F.col("_o").alias("b"), F.lit(0).alias("side"), vector)
-    as_b = s.join(F.broadcast(other), F.col(port) != F.col("_o")).select(F.col("_o").alias("a"), F.col(port).alias("b"), F.lit(1).alias("side"), vector)
-    pt = dict(df.dtypes)[port]
+def energy_distance(df: DataFrame, port: str, key: str, vector: str, cap: int | None = None, seed: str = "", block: int = BLOCK_ROWS) -> DataFrame:
+    """Energy distance between every two ports over all their rows, or over `cap` rows a port in hash order if given.
 
-    def energy(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = (np.stack(pdf.loc[pdf.side == k, vector].to_numpy()) for k in (0, 1))
-        dist = lambda p, q: np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T, 0)).mean()
-        return pd.DataFrame({"a": [pdf.a.iloc[0]], "b": [pdf.b.iloc[0]], "energy": [2 * dist(x, y) - dist(x, x) - dist(y, y)]})
+    Rows are dealt into blocks of about `block` rows; each pair of blocks is one task that returns a single sum of distances."""
+    rows = hash_cap(df.select(port, key, vector), [port], key, cap, seed) if cap else df.select(port, key, vector)
+    sizes = rows.groupBy(port).agg(F.count(F.lit(1)).alias("rows"))
+    blocks = sizes.select(F.col(port).alias("p"), F.ceil(F.col("rows") / F.lit(float(block))).cast("int").alias("k"))
+    dealt = rows.select(F.col(port).alias("p"), key, vector).join(blocks, "p").select("p", F.pmod(F.xxhash64(key), F.col("k")).cast("int").alias("i"), vector)
+    each = blocks.select("p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    one, two = each.toDF("a", "i"), each.toDF("b", "j")
+    tiles = one.join(two, (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("i") <= F.col("j"))))  # of blocks, not rows
+    left = tiles.join(dealt.toDF("a", "i", vector), ["a", "i"]).select("a", "i", "b", "j", vector)
+    right = tiles.join(dealt.toDF("b", "j", vector), ["b", "j"]).select(*[F.col(c).alias(f"_{c}") for c in "aibj"], F.col(vector).alias(vector))
+    pt = dict(df.dtypes)[port]
 
-    return as_a.unionByName(as_b).where("a < b").groupBy("a", "b").applyInPandas(energy, f"a {pt}, b {pt}, energy double")
+    def tile(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": [], "b": [], "total": []})
+        p, q = (np.stack(s[vector].to_numpy()).astype(float) for s in (x, y))
+        apart = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T, 0))
+        a, i, b, j = key
+        return pd.DataFrame({"a": [a], "b": [b], "total": [apart.sum() * (2 if a == b and i != j else 1)]})
+
+    sums = left.groupBy("a", "i", "b", "j").cogroup(right.groupBy("_a", "_i", "_b", "_j")).applyInPandas(tile, f"a {pt}, b {pt}, total double")
+    sums = sums.groupBy("a", "b").agg(F.sum("total").alias("total"))
+    size = lambda name, n: sizes.select(F.col(port).alias(name), F.col("rows").alias(n))
+    mean = cut(sums.join(size("a", "na"), "a").join(size("b", "nb"), "b").select("a", "b", (F.col("total") / F.col("na") / F.col("nb")).alias("m")))
+    own = mean.where("a = b")
+    return mean.where("a < b").join(own.select("a", F.col("m").alias("ma")), "a").join(own.select("b", F.col("m").alias("mb")), "b").select(
+        "a", "b", (2 * F.col("m") - F.col("ma") - F.col("mb")).alias("energy"))
 
 
 def nonnegative_solve(a: np.ndarray, b: np.ndarray, rounds: int = 200) -> np.ndarray:

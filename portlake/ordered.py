@@ -16,14 +16,6 @@ from pyspark.sql import functions as F
 from .session import cut
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality over `keys`."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -70,25 +62,21 @@ def running(
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Mapping[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles of `value` per group, plus `n` non-null values."""
+    """Exact linearly interpolated quantiles of `value` per group, plus `n` non-null values.
+
+    Equal values are counted first, so that a value that fills a group is one row from then on."""
     keys = list(keys)
-    r = running(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [F.col(value)])
-    lo = {q: F.floor(F.lit(p) * (F.col("n") - 1)) + 1 for q, p in qs.items()}
-    hi = {q: F.ceil(F.lit(p) * (F.col("n") - 1)) + 1 for q, p in qs.items()}
-    wanted = F.lit(False)
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    r = running(per, keys, [F.col(value)], {"_c": F.col("_c")})
+    top, n = F.col("run__c"), F.col("tot__c")  # ranks top - _c + 1 .. top have this value
+    holds = lambda rank: (rank <= top) & (rank > top - F.col("_c"))
+    place = {q: F.lit(p) * (n - 1) for q, p in qs.items()}
+    aggs = [F.max(n).alias("n")]
     for q in qs:
-        wanted = wanted | (F.col("rn") == lo[q]) | (F.col("rn") == hi[q])
-    aggs = [F.max("n").alias("n")]
-    for q, p in qs.items():
-        aggs += [
-            F.max(F.when(F.col("rn") == lo[q], F.col(value))).alias(f"_lo_{q}"),
-            F.max(F.when(F.col("rn") == hi[q], F.col(value))).alias(f"_hi_{q}"),
-        ]
-    out = r.where(wanted).groupBy(*keys).agg(*aggs)
-    frac = {q: F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1)) for q, p in qs.items()}
-    return out.select(
-        *keys, "n", *[(F.col(f"_lo_{q}") + (F.col(f"_hi_{q}") - F.col(f"_lo_{q}")) * frac[q]).alias(q) for q in qs]
-    )
+        aggs += [F.max(F.when(holds(F.floor(place[q]) + 1), F.col(value))).alias(f"_lo_{q}"), F.max(F.when(holds(F.ceil(place[q]) + 1), F.col(value))).alias(f"_hi_{q}")]
+    out = r.groupBy(*keys).agg(*aggs)
+    share = {q: F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1)) for q, p in qs.items()}
+    return out.select(*keys, "n", *[(F.col(f"_lo_{q}") + (F.col(f"_hi_{q}") - F.col(f"_lo_{q}")) * share[q]).alias(q) for q in qs])
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, counts: Mapping[str, Column] | None = None) -> DataFrame:

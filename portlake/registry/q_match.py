@@ -145,8 +145,8 @@ def _(v):
 
 
 @query("apply_rules", "ais mapping", _PURE + """, vs AS (SELECT mmsi, count(*) AS ais_rows, CASE WHEN mmsi % 5 = 0 THEN [CAST(mmsi % 25 AS VARCHAR), '0'] ELSE ['999'] END AS codes, CASE WHEN mmsi % 3 = 0 THEN CAST(100 + mmsi % 4 AS VARCHAR) END AS registry_code, CASE WHEN mmsi % 2 = 0 THEN ' Machinery ' END AS scraped FROM ais GROUP BY mmsi),
- g AS (SELECT * FROM rules WHERE purity >= 0.22 AND support >= 5), k AS (SELECT mmsi, 0 AS prio, code, rule_class, purity, support, 'bundle_ais_type_code' AS source FROM (SELECT mmsi, unnest(codes) AS code FROM vs) u JOIN g USING (code) WHERE code <> '0'
- UNION ALL SELECT mmsi, 1, code, rule_class, purity, support, 'sarais_backend_type_code' FROM vs JOIN g ON g.code = vs.registry_code UNION ALL SELECT mmsi, 2, scraped, 'MACHINERY', 1.0, (SELECT count(*) FROM mapping WHERE final_class = 'MACHINERY'), 'myshiptracking_label' FROM vs WHERE scraped IS NOT NULL AND EXISTS (SELECT 1 FROM mapping WHERE final_class = 'MACHINERY')),
+ g AS (SELECT * FROM rules WHERE purity >= 0.22 AND support >= 5), k AS (SELECT mmsi, 0 AS prio, code, rule_class, purity, support, 'position_type_code' AS source FROM (SELECT mmsi, unnest(codes) AS code FROM vs) u JOIN g USING (code) WHERE code <> '0'
+ UNION ALL SELECT mmsi, 1, code, rule_class, purity, support, 'registry_type_code' FROM vs JOIN g ON g.code = vs.registry_code UNION ALL SELECT mmsi, 2, scraped, 'MACHINERY', 1.0, (SELECT count(*) FROM mapping WHERE final_class = 'MACHINERY'), 'web_label' FROM vs WHERE scraped IS NOT NULL AND EXISTS (SELECT 1 FROM mapping WHERE final_class = 'MACHINERY')),
  b AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY prio, support DESC, code) AS rn FROM k)
 SELECT vs.mmsi, ais_rows, rule_class AS final_class, coalesce(source, 'needs_manual') AS source, code AS type_code, round(purity, 6) AS rule_purity, support AS rule_support, CASE WHEN support >= 100 THEN 'high' WHEN support >= 10 THEN 'medium' WHEN support IS NOT NULL THEN 'low' END AS confidence FROM vs LEFT JOIN b ON b.mmsi = vs.mmsi AND rn = 1""")
 def _(v):

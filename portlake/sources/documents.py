@@ -74,17 +74,36 @@ def read_features(vectors: DataFrame, index: DataFrame, id_col: str, vector: str
 
 
 def explode_geojson(docs: DataFrame) -> DataFrame:
-    """`value` holds one FeatureCollection; one row per vertex of each Point, LineString or Polygon ring."""
-    feature = "struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+    """`value` holds one FeatureCollection; one row per vertex of each point, line or ring.
+
+    Parts of multiple geometries and of collections (one level) follow each other; `ring` counts the lines and rings of a
+    feature.  A feature whose geometry is missing, empty or of another kind has one row without a vertex (ring -1), so that it can be counted.
+    """
+    shape = "type:string,coordinates:string"
+    feature = f"struct<type:string,properties:map<string,string>,geometry:struct<{shape},geometries:array<struct<{shape}>>>>"
     f = docs.select(F.explode(F.from_json("value", f"struct<features:array<{feature}>>")["features"]).alias("f"))
-    g = f.select(F.col("f.properties").alias("p"), F.col("f.geometry.type").alias("gtype"), F.col("f.geometry.coordinates").alias("c"))
-    point = F.array(F.array(F.from_json("c", "array<double>")))
-    line = F.array(F.from_json("c", "array<array<double>>"))
-    rings = F.when(F.col("gtype") == "Point", point).when(F.col("gtype") == "LineString", line).otherwise(F.from_json("c", "array<array<array<double>>>"))
-    out = g.select("p", "gtype", F.posexplode(rings).alias("ring", "pts")).select("p", "gtype", "ring", F.posexplode("pts").alias("k", "pt"))
+    own = F.array(F.struct(F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates")))
+    parts = F.when(F.col("f.geometry.type") == "GeometryCollection", F.col("f.geometry.geometries")).otherwise(own)
+    vertex, path = "array<double>", "array<array<double>>"
+
+    def lines(g):
+        """The vertex lists of one geometry."""
+        kind, c = g["type"], g["coordinates"]
+        return (
+            F.when(kind == "Point", F.array(F.array(F.from_json(c, vertex))))
+            .when(kind == "MultiPoint", F.transform(F.from_json(c, path), lambda p: F.array(p)))
+            .when(kind == "LineString", F.array(F.from_json(c, path)))
+            .when(kind.isin("MultiLineString", "Polygon"), F.from_json(c, f"array<{path}>"))
+            .when(kind == "MultiPolygon", F.flatten(F.from_json(c, f"array<array<{path}>>"))))
+
+    listed = F.transform(parts, lambda g: F.transform(lines(g), lambda pts: F.struct(g["type"].alias("gtype"), pts.alias("pts"))))
+    rings = F.flatten(F.filter(listed, lambda x: x.isNotNull()))
+    rings = F.filter(rings, lambda r: F.size(r["pts"]) > 0)
+    g = f.select(F.col("f.properties").alias("p"), F.posexplode_outer(rings).alias("ring", "r"))
+    out = g.select("p", F.col("r.gtype").alias("gtype"), F.coalesce("ring", F.lit(-1)).alias("ring"), F.posexplode_outer("r.pts").alias("k", "pt"))
     return out.select(
         F.col("p")["facility_kind"].alias("facility_kind"), F.col("p")["osm_element"].alias("osm_element"), F.col("p")["osm_id"].alias("osm_id"),
-        "gtype", "ring", "k", F.element_at("pt", 1).alias("lon"), F.element_at("pt", 2).alias("lat"))
+        "gtype", "ring", "k", F.get("pt", F.lit(0)).alias("lon"), F.get("pt", F.lit(1)).alias("lat"))
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -95,6 +114,6 @@ def segments(vertices: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """Vertex rows of `explode_geojson` to segments; a single point is a segment of length zero."""
     w = ["facility_kind", "osm_element", "osm_id", "ring"]
     nxt = vertices.select(*w, (F.col("k") - 1).alias("k"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    a = vertices.select(*w, "k", "gtype", F.col(x).alias("x1"), F.col(y).alias("y1")).join(nxt, [*w, "k"], "left")
-    return a.where(F.col("x2").isNotNull() | (F.col("gtype") == "Point")).select(
+    a = vertices.where(F.col("k").isNotNull()).select(*w, "k", "gtype", F.col(x).alias("x1"), F.col(y).alias("y1")).join(nxt, [*w, "k"], "left")
+    return a.where(F.col("x2").isNotNull() | F.col("gtype").isin("Point", "MultiPoint")).select(
         *w, "k", "x1", "y1", F.coalesce("x2", "x1").alias("x2"), F.coalesce("y2", "y1").alias("y2"))
