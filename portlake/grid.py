@@ -158,3 +158,31 @@ def near_segments(points: DataFrame, segs: DataFrame, group: Sequence[str], reac
     p = points.withColumns({"cx": cell("x", reach), "cy": cell("y", reach)})
     s = cover_cells(segs, reach, reach)
     return p.join(s, [*group, "cx", "cy"]).withColumn("dist", segment_distance()).where(F.col("dist") <= reach).drop("cx", "cy")
+
+
+#: Cells by the size of an area: a side of at most 16 cells of its level, the last level whatever its side.
+AREA_LEVELS = 4
+
+
+def inside_areas(points: DataFrame, rings: DataFrame, group: Sequence[str], key: str, area: str, size: float = 1000.0) -> DataFrame:
+    """(`key`, `area`) for every point that lies in an area of its group by the even-odd rule over all its rings.
+
+    `rings` has the ring segments x1, y1, x2, y2 of each area; a hole is one more ring.  A large area is looked up in larger cells, so
+    that it is repeated over a bounded number of them; the crossings of a point are counted, never gathered."""
+    group = list(group)
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    box = rings.groupBy(*group, area).agg(
+        F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x1"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y1"))
+    level = F.greatest(F.lit(0.0), F.least(F.lit(float(AREA_LEVELS - 1)), F.ceil(F.log(16.0, F.greatest(side, F.lit(1.0)) / (16 * size)))))
+    box = box.withColumn("lv", level.cast("int")).withColumn("step", size * F.pow(F.lit(16.0), F.col("lv")))
+    at = lambda c: F.floor(F.col(c) / F.col("step")).cast("long")
+    box = box.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    levels = F.array(*[F.struct(F.lit(k).alias("lv"), F.lit(size * 16.0**k).alias("step")) for k in range(AREA_LEVELS)])
+    probe = points.select(key, *group, F.col("x").alias("px"), F.col("y").alias("py"), F.explode(levels).alias("l")).select("*", "l.lv", "l.step").drop("l")
+    probe = probe.withColumns({"cx": at("px"), "cy": at("py")}).drop("step")
+    cand = probe.join(box.drop("step"), [*group, "lv", "cx", "cy"]).where("px between x0 and x1 and py between y0 and y1").select(key, *group, area, "px", "py")
+    lines = rings.select(*group, area, "x1", "y1", "x2", "y2")
+    crossing = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (
+        F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    hits = cand.join(lines, [*group, area]).where(crossing).groupBy(key, *group, area).agg(F.count(F.lit(1)).alias("n"))
+    return hits.where("n % 2 = 1").select(key, area)

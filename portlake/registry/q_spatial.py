@@ -256,3 +256,42 @@ def _(v):
     fin = none.select("mmsi", "final_class", F.lit("fine").alias("class_level"), F.lit("s").alias("source"))
     t = object_table(det, reg, fac, dates, fin, cls, none.select("mmsi", "final_class", F.lit("s").alias("source")), v.cells.select("port", "cx", "cy", "code"), field(v), 1000.0)
     return rounded(t.select(F.col("detection_id").cast("long").alias("det"), "port", "d_quay", "facility_id", "n_r500", "nn"), 3)
+
+
+# areas: squares around every 25th object, each third with a square hole; the distance of a point to such a square is closed
+_AREAS = """, ar AS (SELECT object_id AS area_id, port, x AS ax, y AS ay, 600.0 * (1 + object_id % 4) AS h, CASE WHEN object_id % 3 = 0 THEN 150.0 * (1 + object_id % 4) ELSE 0.0 END AS hole, CASE WHEN object_id % 2 = 0 THEN 'basin' ELSE 'dock' END AS kind FROM objects WHERE object_id % 25 = 0),
+ p AS (SELECT o.object_id, ar.*, greatest(abs(o.x - ax), abs(o.y - ay)) AS c, greatest(abs(o.x - ax) - h, 0.0) AS ox, greatest(abs(o.y - ay) - h, 0.0) AS oy FROM objects o JOIN ar USING (port)),
+ d AS (SELECT object_id, area_id, kind, CASE WHEN c < hole THEN hole - c WHEN c <= h THEN 0.0 ELSE sqrt(ox*ox + oy*oy) END AS dist FROM p)"""
+
+
+def areas(v):
+    """Ring segments of the squares and their holes."""
+    k = F.col("object_id") % 4 + 1
+    a = v.objects.where("object_id % 25 = 0").select(
+        F.col("object_id").alias("area_id"), "port", "x", "y", F.when(F.col("object_id") % 2 == 0, "basin").otherwise("dock").alias("kind"),
+        F.explode(F.when(F.col("object_id") % 3 == 0, F.array(600.0 * k, 150.0 * k)).otherwise(F.array(600.0 * k))).alias("h"))
+    corners = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+    ends = F.explode(F.array(*[F.array(*[F.lit(float(c)) for c in (*corners[i], *corners[(i + 1) % 4])]) for i in range(4)]))
+    s = a.withColumn("e", ends)
+    at = lambda c, i: (F.col(c) + F.col("h") * F.get("e", F.lit(i)))
+    return s.select("port", "area_id", "kind", at("x", 0).alias("x1"), at("y", 1).alias("y1"), at("x", 2).alias("x2"), at("y", 3).alias("y2"))
+
+
+@query("nearest_area", "objects", _AREAS + """ SELECT o.object_id, round(coalesce(min(dist) FILTER (d.kind = 'basin' AND dist <= 2000), 2000), 4) AS d_basin, round(coalesce(min(dist) FILTER (d.kind = 'dock' AND dist <= 2000), 2000), 4) AS d_dock
+FROM objects o LEFT JOIN d USING (object_id) GROUP BY o.object_id""")
+def _(v):
+    o = v.objects.select("object_id", "port", "x", "y")
+    return rounded(D.nearest_within(o, areas(v), ["port"], "object_id", ["basin", "dock"], "kind", area="area_id").select("object_id", "d_basin", "d_dock"), 4)
+
+
+@query("area_hit", "objects", _AREAS + """, b AS (SELECT object_id, min(struct_pack(dist := round(dist, 4), area_id := area_id, kind := kind)) AS s FROM d WHERE dist <= 25 GROUP BY object_id)
+SELECT o.object_id, s.dist AS dist, s.area_id AS area_id, s.kind AS kind FROM objects o LEFT JOIN b USING (object_id)""")
+def _(v):
+    o = v.objects.select("object_id", "port", "x", "y")
+    return rounded(D.facility_hit(o, areas(v), ["port"], "object_id", ["area_id", "kind"], "area_id", area="area_id").select("object_id", "dist", "area_id", "kind"), 4)
+
+
+@query("proximity_to_areas", "objects", _AREAS + """ SELECT object_id, round(min(dist) FILTER (kind = 'basin'), 4) AS d_basin, round(min(dist) FILTER (kind = 'dock'), 4) AS d_dock, round(min(dist), 4) AS d_any FROM d WHERE dist <= 2000 GROUP BY object_id""")
+def _(v):
+    o = v.objects.select("object_id", "port", "x", "y")
+    return rounded(D.proximity_by_group(o, areas(v), ["port"], "object_id", ["basin", "dock"], area="area_id").select("object_id", "d_basin", "d_dock", "d_any"), 4)
