@@ -13,12 +13,12 @@ from ..operators.match import attach_dates, resolve_class
 
 
 def shape(detections: DataFrame) -> DataFrame:
-    """Centre, area, sides and axis from the polygon (`source_pts`), and a full object id."""
-    p = F.col("source_pts")
+    """Centre, area and sides from the polygon in the full image (`source_pts`, else `pts`), the axis from `pts`, and a full object id."""
+    p = F.coalesce("source_pts", "pts")
     side, c = G.side_lengths(p), G.poly_centroid(p)
     oid = F.concat_ws("|", "product", "pol", F.concat_ws(",", F.transform("roi_origin", lambda z: z.cast("string"))), "detection_id", F.col("ordinal").cast("string"))
     return detections.withColumns({
-        "object_id": oid, "col": c["x"], "row": c["y"], "area_px2": G.poly_area(p), "long_px": F.array_max(side), "short_px": F.array_min(side), "axis_deg": G.long_axis_deg(p)})
+        "object_id": oid, "col": c["x"], "row": c["y"], "area_px2": G.poly_area(p), "long_px": F.array_max(side), "short_px": F.array_min(side), "axis_deg": G.long_axis_deg(F.col("pts"))})
 
 
 def locate(objects: DataFrame, registry: DataFrame) -> DataFrame:
@@ -34,11 +34,11 @@ def object_table(detections: DataFrame, registry: DataFrame, facilities: DataFra
 
     facilities: port, facility_id, element, facility_kind, x1, y1, x2, y2 (segments). cover: port, cx, cy, code.
     field: port, cell_x, cell_y, points, direction, anisotropy."""
-    key, port = "object_id", ["port"]
+    key, port, product = "object_id", ["port"], ["product"]
     # located once and written: every context below starts from the slim table and returns to it by id, so the
     # plan grows by one branch per context instead of doubling with each
     base = cut(locate(shape(detections), registry))
-    slim = base.select(key, "port", "x", "y", "axis_deg")
+    slim = base.select(key, "port", "product", "x", "y", "axis_deg")
     layered = facilities.withColumn("layer", F.explode(C.facility_groups(F.col("facility_kind"))))
     segs = cut(layered.select("port", "layer", "facility_id", "element", "facility_kind", "x1", "y1", "x2", "y2"))
     nav, fac = segs.where("layer = 'nav'"), segs.where("layer = 'facility'")
@@ -47,10 +47,11 @@ def object_table(detections: DataFrame, registry: DataFrame, facilities: DataFra
         D.facility_hit(slim, fac, port, key, ["facility_id", "element", "facility_kind"], "facility_id").withColumnRenamed("dist", "facility_distance"),
         D.channel_angle(slim, nav, field, port, key, "facility_id"),
         D.sample_cells(slim, cover, port, cover_size, "code").withColumn("semantic_area", C.semantic_area(F.col("code"))),
-        D.heading_dispersion(slim, port), D.radius_counts(slim, port), D.nn_distance(slim, port)]
+        # neighbours are those of one acquisition
+        D.heading_dispersion(slim, product), D.radius_counts(slim, product), D.nn_distance(slim, product)]
     o = base
     for c in contexts:
-        o = o.join(c.drop("port", "x", "y", "axis_deg"), key)
+        o = o.join(c.drop("port", "product", "x", "y", "axis_deg"), key)
     o = attach_dates(o, dates).withColumn("facility_temporal_valid", C.existed_at(F.col("facility_edit_ts"), F.col("start_date")))
     o = o.withColumn("mmsi", F.coalesce("matched_mmsi", "candidate_mmsi"))
     o = resolve_class(o, final, curated, filled)

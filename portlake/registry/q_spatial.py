@@ -235,8 +235,9 @@ def _(v):
     return T.windowed_cell_counts(a, ["port"], 2000.0, "6 hours")
 
 
-@query("object_table", "objects facilities", _NEAR + f""", d AS (SELECT object_id, min(dist) FILTER (kind = 'liquid' AND dist <= 2000) AS q, min(struct_pack(d := dist, f := facility_id)) FILTER (dist <= 25) AS h FROM dd GROUP BY object_id), n AS (SELECT a.object_id, count(*) FILTER ({_D2} <= 250000) - 1 AS n5, min(sqrt({_D2})) FILTER (a.object_id <> b.object_id) AS nn FROM objects a JOIN objects b USING (port) GROUP BY a.object_id)
-SELECT o.object_id AS det, o.port, round(coalesce(q, 2000), 3) AS d_quay, h.f AS facility_id, n5 AS n_r500, round(nn, 3) AS nn FROM objects o LEFT JOIN d USING (object_id) JOIN n USING (object_id)""")
+@query("object_table", "objects facilities", _NEAR + f""", d AS (SELECT object_id, min(dist) FILTER (kind = 'liquid' AND dist <= 2000) AS q, min(struct_pack(d := dist, f := facility_id)) FILTER (dist <= 25) AS h FROM dd GROUP BY object_id), n AS (SELECT a.object_id, count(*) FILTER ({_D2} <= 250000) - 1 AS n5, count(*) FILTER ({_D2} <= 1000000) - 1 AS n10, min(sqrt({_D2})) FILTER (a.object_id <> b.object_id) AS nn FROM objects a JOIN objects b USING (product) GROUP BY a.object_id)
+SELECT o.object_id AS det, o.port, CAST(o.product AS VARCHAR) AS product, o.x, o.y, 64.0 AS area_px2, 16.0 AS long_px, 4.0 AS short_px, 90.0 AS axis_deg, round(coalesce(q, 2000), 3) AS d_quay, 2000.0 AS d_coast_m, h.f AS facility_id, round(h.d, 3) AS facility_distance,
+ n5 AS n_r500, n10 AS n_r1000, round(nn, 3) AS nn FROM objects o LEFT JOIN d USING (object_id) JOIN n USING (object_id)""")
 def _(v):
     """The whole plan over surrogate detections; a slice of its columns is compared."""
     from ..plans.object_table import object_table
@@ -245,6 +246,7 @@ def _(v):
     det = v.objects.select(
         F.col("product").cast("string").alias("product"), F.col("pol").cast("string").alias("pol"), F.array(F.lit(0.0), F.lit(0.0)).alias("roi_origin"),
         F.col("object_id").cast("string").alias("detection_id"), F.lit(0).alias("ordinal"), F.array(pt(8.0, 2.0), pt(-8.0, 2.0), pt(-8.0, -2.0), pt(8.0, -2.0)).alias("source_pts"),
+        F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((2.0, 8.0), (2.0, -8.0), (-2.0, -8.0), (-2.0, 8.0))]).alias("pts"),
         F.col("conf"), F.lit("unique_spatial_candidate").alias("match_status"), F.lit("ok").alias("pixel_status"), F.lit("known").alias("coast_status"),
         F.lit(None).cast("double").alias("coast_exclusion_m"), F.col("object_id").cast("string").alias("matched_mmsi"), F.lit(None).cast("string").alias("candidate_mmsi"))
     reg = v.objects.select(F.col("product").cast("string").alias("product"), "port").distinct().select(
@@ -255,7 +257,9 @@ def _(v):
     none = cls.where("false")
     fin = none.select("mmsi", "final_class", F.lit("fine").alias("class_level"), F.lit("s").alias("source"))
     t = object_table(det, reg, fac, dates, fin, cls, none.select("mmsi", "final_class", F.lit("s").alias("source")), v.cells.select("port", "cx", "cy", "code"), field(v), 1000.0)
-    return rounded(t.select(F.col("detection_id").cast("long").alias("det"), "port", "d_quay", "facility_id", "n_r500", "nn"), 3)
+    return rounded(t.select(
+        F.col("detection_id").cast("long").alias("det"), "port", "product", "x", "y", "area_px2", "long_px", "short_px", "axis_deg", "d_quay", "d_coast_m", "facility_id", "facility_distance",
+        "n_r500", "n_r1000", "nn"), 3)
 
 
 # areas: squares around every 25th object, each third with a square hole; the distance of a point to such a square is closed
