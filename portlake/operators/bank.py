@@ -64,17 +64,18 @@ def filter_bank(m: DataFrame, keys: Sequence[str], tau: float | Column) -> DataF
     return s.withColumns({"status": status, "retained": F.col("feasible") | ~any_ok})
 
 
-def static_filter(m: DataFrame, keys: Sequence[str], tau: float) -> DataFrame:
-    """Ablation: residuals averaged over cells instead of the worst one."""
-    res = F.when(F.col("active"), F.abs(F.col("predicted") - F.col("observed")))
-    a = m.groupBy(*keys, "head", "mech").agg(F.avg(res).alias("worst")).groupBy(*keys, "head").agg(F.min("worst").alias("score"))
-    return a.withColumn("feasible", F.coalesce(F.col("score") <= tau + SLACK, F.lit(False)))
+def dimension_filter(m: DataFrame, keys: Sequence[str], tau: float, dims: Column) -> DataFrame:
+    """Ablation: the filter with only the moments of some dimensions, a condition on `d`."""
+    return filter_bank(m.where(dims), keys, tau)
 
 
-def per_group_filter(m: DataFrame, keys: Sequence[str], tau: float, group: str = "grp") -> DataFrame:
-    """Ablation: every group may use its own mechanism."""
-    s = _scores(m, [*keys, group]).groupBy(*keys, "head").agg(F.max("score").alias("score"))
-    return s.withColumn("feasible", F.coalesce(F.col("score") <= tau + SLACK, F.lit(False)))
+def group_mechanisms(m: DataFrame, keys: Sequence[str], group: str = "grp") -> DataFrame:
+    """Ablation: each group takes the mechanism whose worst residual over all heads and active dimensions is smallest
+    (the first on a tie, and where nothing is active)."""
+    res = F.when(F.col("active"), F.abs(F.col("predicted") - F.col("observed")))
+    worst = m.groupBy(*keys, group, "mech").agg(F.coalesce(F.max(res), F.lit(float("inf"))).alias("score"))
+    return worst.groupBy(*keys, group).agg(F.min(F.struct("score", "mech")).alias("b")).select(
+        *keys, group, F.col("b.mech").alias("mechanism"), F.when(F.col("b.score") < float("inf"), F.col("b.score")).alias("score"))
 
 
 def single_best(m: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,21 +114,18 @@ def subset_predictions(samples: DataFrame, heads: int, keep: Sequence[str], p: s
 def subset_oracle(samples: DataFrame, heads: int, key: str, truth: str) -> DataFrame:
     """Accuracy, balanced accuracy, rescues and harms of every subset against the full bank (evaluation only)."""
     full = 2**heads - 1
-    s = subset_predictions(samples, heads, [key, truth])
-    # the full bank's verdict travels with every row of the sample, no second pass over the samples
-    b = subset_full(samples, heads, key)
-    j = s.join(b, key).withColumns({"_ok": (F.col("pred") == F.col(truth)).cast("int"), "_base": (F.col("_full") == F.col(truth)).cast("int")})
-    c = j.groupBy("mask", "size", truth).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_ok").alias("ok"), F.sum(F.when((F.col("_ok") == 1) & (F.col("_base") == 0), 1).otherwise(0)).alias("r"),
-        F.sum(F.when((F.col("_ok") == 0) & (F.col("_base") == 1), 1).otherwise(0)).alias("h"))
+    s = subset_predictions(samples.withColumn("_full", full_bank(heads)), heads, [key, truth, "_full"])
+    ok, base = F.col("pred") == F.col(truth), F.col("_full") == F.col(truth)
+    c = s.groupBy("mask", "size", truth).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("ok"), F.count_if(ok & ~base).alias("r"), F.count_if(~ok & base).alias("h"))
     return c.groupBy("mask", "size").agg(
         (F.sum("ok") / F.sum("n")).alias("accuracy"), F.avg(F.col("ok") / F.col("n")).alias("ba"), F.sum("r").alias("rescue"), F.sum("h").alias("harm")).withColumn(
         "deployable", F.lit(False)).withColumn("is_full", F.col("mask") == full)
 
 
-def subset_full(samples: DataFrame, heads: int, key: str, p: str = "ps") -> DataFrame:
+def full_bank(heads: int, p: str = "ps") -> Column:
+    """Argmax of the mean over all heads."""
     total = F.aggregate(F.slice(F.col(p), 2, heads - 1), F.element_at(F.col(p), 1), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
-    return samples.select(key, argmax(F.transform(total, lambda v: F.round(v / heads, 9))).alias("_full"))
+    return argmax(F.transform(total, lambda v: F.round(v / heads, 9)))
 
 
 def oracle_summary(subsets: DataFrame) -> DataFrame:

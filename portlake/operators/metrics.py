@@ -76,6 +76,15 @@ def class_prior(df: DataFrame, keys: Sequence[str], label: str, classes: int) ->
     return n.select(*keys, each.alias("_p")).select(*keys, "_p.cls", "_p.prior")
 
 
+def others_prior(df: DataFrame, port: str, label: str, classes: int) -> DataFrame:
+    """Share of every class over all other ports: totals minus own counts (`port`, `cls`, `prior`), one pass over the rows."""
+    own = df.groupBy(port).agg(*[F.count_if(F.col(label) == c).alias(f"_{c}") for c in range(classes)], F.count(F.lit(1)).alias("_n"))
+    total = own.agg(*[F.sum(c).alias(f"t{c}") for c in own.columns if c != port])
+    j = own.join(F.broadcast(total))  # one row
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), ((F.col(f"t_{c}") - F.col(f"_{c}")) / (F.col("t_n") - F.col("_n"))).alias("prior")) for c in range(classes)]))
+    return j.select(port, each.alias("_p")).select(port, "_p.cls", "_p.prior")
+
+
 def prior_distance(p: DataFrame, q: DataFrame, keys: Sequence[str], eps: float = 1e-9) -> DataFrame:
     """Total variation and KL(p || q) of two priors over the same keys, entropy of p."""
     j = p.join(q.withColumnRenamed("prior", "_q"), [*keys, "cls"])

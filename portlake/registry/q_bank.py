@@ -63,19 +63,38 @@ def _(v):
     return rounded(B.ensemble_predict(probs, keep, ["port"]))
 
 
-@query("variant_filters", "preds features", _FILT + """, st AS (SELECT port, head, min(w) AS score FROM (SELECT port, head, mech, avg(CASE WHEN reason = 'active' THEN abs(predicted - observed) END) AS w FROM mo GROUP BY ALL) q GROUP BY ALL), pg AS (SELECT port, head, max(s) AS score FROM (SELECT port, grp, head, min(w) AS s FROM (SELECT port, grp, head, mech, max(CASE WHEN reason = 'active' THEN abs(predicted - observed) END) AS w FROM mo GROUP BY ALL) q GROUP BY ALL) q2 GROUP BY ALL),
- sb AS (SELECT port, head, score FROM (SELECT *, row_number() OVER (PARTITION BY port ORDER BY score, head) AS rn FROM sc WHERE score IS NOT NULL) q WHERE rn = 1)
-SELECT 'static' AS variant, port, head, round(score, 6) AS score FROM st UNION ALL SELECT 'per_group', port, head, round(score, 6) FROM pg UNION ALL SELECT 'single_best', port, head, round(score, 6) FROM sb""")
+_POOL = """, obs0 AS (SELECT port, d, avg(phi) AS observed, count(phi) AS n, count(DISTINCT CASE WHEN phi IS NOT NULL THEN block END) AS blocks FROM phi GROUP BY ALL),
+ pm0 AS (SELECT f.port, f.d, head, mech, avg(list_sum(list_transform(list_zip(p, q), lambda t: t[1]*t[2]))) AS predicted FROM phi f JOIN rel r ON r.sample = f.sample AND r.d = f.d JOIN probs b ON b.sample = f.sample WHERE phi IS NOT NULL GROUP BY ALL),
+ res AS (SELECT 'full' AS variant, port, head, mech, CASE WHEN reason = 'active' THEN abs(predicted - observed) END AS r FROM mo
+  UNION ALL SELECT CASE WHEN d = 2 THEN 'group_only' ELSE 'static' END, port, head, mech, CASE WHEN reason = 'active' THEN abs(predicted - observed) END FROM mo
+  UNION ALL SELECT 'pooled', port, head, mech, CASE WHEN n >= 23 AND blocks >= 3 THEN abs(predicted - observed) END FROM pm0 JOIN obs0 USING (port, d)),
+ arm AS (SELECT variant, port, head, min(w) AS score FROM (SELECT variant, port, head, mech, max(r) AS w FROM res GROUP BY ALL) q GROUP BY ALL)"""
+
+
+@query("variant_filters", "preds features", _FILT + _POOL + """, sb AS (SELECT port, head, score FROM (SELECT *, row_number() OVER (PARTITION BY port ORDER BY score, head) AS rn FROM sc WHERE score IS NOT NULL) q WHERE rn = 1)
+SELECT variant, port, head, round(score, 6) AS score, coalesce(score <= 0.275 + 1e-12, false) AS feasible FROM arm UNION ALL SELECT 'single_best', port, head, round(score, 6), true FROM sb""")
 def _(v):
+    """Dimension 2 is the group dimension here; `pooled` puts all rows of a port into one group."""
     m = bank_moments(v)
-    parts = {"static": B.static_filter(m, ["port"], TAU), "per_group": B.per_group_filter(m, ["port"], TAU), "single_best": B.single_best(m, ["port"])}
+    phi, probs, rel = bank(v)
+    one = B.moments(phi.withColumn("grp", F.lit(0)), probs.drop("port"), rel, ["port"], min_cell=CELL, min_blocks=BLOCKS)
+    d = F.col("d")
+    parts = {
+        "static": B.dimension_filter(m, ["port"], TAU, d != 2), "group_only": B.dimension_filter(m, ["port"], TAU, d == 2), "full": B.filter_bank(m, ["port"], TAU),
+        "pooled": B.filter_bank(one, ["port"], TAU), "single_best": B.single_best(m, ["port"]).withColumn("feasible", F.lit(True))}
     out = None
-    for n, d in parts.items():
-        d = d.select(F.lit(n).alias("variant"), "port", "head", "score")
-        out = d if out is None else out.unionByName(d)
+    for n, part in parts.items():
+        part = part.select(F.lit(n).alias("variant"), "port", "head", "score", "feasible")
+        out = part if out is None else out.unionByName(part)
     return rounded(out)
 
 
+@query("group_mechanisms", "preds features", _FILT + """, w AS (SELECT port, grp, mech, coalesce(max(CASE WHEN reason = 'active' THEN abs(predicted - observed) END), 1e9) AS s FROM mo GROUP BY ALL)
+SELECT port, grp, mech AS mechanism, round(CASE WHEN s < 1e9 THEN s END, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY port, grp ORDER BY s, mech) AS rn FROM w) q WHERE rn = 1""")
+def _(v):
+    return rounded(B.group_mechanisms(bank_moments(v), ["port"]))
+
+
 @query("moment_cell_report", "preds features", _BASE + """, h AS (SELECT port, grp, d, max(r) AS spread_head FROM (SELECT port, grp, d, head, max(predicted) - min(predicted) AS r FROM mo GROUP BY ALL) q GROUP BY ALL), k AS (SELECT port, grp, d, max(r) AS spread_mech FROM (SELECT port, grp, d, mech, max(predicted) - min(predicted) AS r FROM mo GROUP BY ALL) q GROUP BY ALL)
 SELECT port, grp, d, round(any_value(observed), 6) AS observed, any_value(n) AS n, any_value(reason) AS reason, round(any_value(zero_share), 6) AS zero_share, round(min(predicted), 6) AS predicted_min, round(max(predicted), 6) AS predicted_max, round(avg(predicted), 6) AS predicted_mean, round(max(abs(predicted - observed)), 6) AS worst_residual, round(any_value(spread_head), 6) AS spread_head, round(any_value(spread_mech), 6) AS spread_mech FROM mo JOIN h USING (port, grp, d) JOIN k USING (port, grp, d) GROUP BY port, grp, d""")
 def _(v):

@@ -35,7 +35,7 @@ def _(v):
     return rounded(s.select("port", "cls", "n", F.element_at("s", 1).alias("s_first"), F.element_at("s", D).alias("s_last"), F.element_at("g", D + 3).alias("g_cross"), trace.alias("g_trace")))
 
 
-@query("standardise", "features dims", """, s AS (SELECT f.port AS fold, d, avg(x) AS mu, stddev_pop(x) AS sd FROM dims JOIN (SELECT DISTINCT port FROM features) f ON f.port <> dims.port GROUP BY ALL) SELECT id, x.d, round((x - mu)/sd, 6) + 0.0 AS z FROM dims x JOIN s ON s.fold = x.port AND s.d = x.d""")
+@query("standardise", "features dims", """, t AS (SELECT port, d, count(x) AS n, sum(x) AS s, sum(x*x) AS q FROM dims GROUP BY ALL), a AS (SELECT d, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM t GROUP BY d), m AS (SELECT t.port, t.d, (a.s - t.s)/(a.n - t.n) AS mu, (a.q - t.q)/(a.n - t.n) AS m2 FROM t JOIN a USING (d)) SELECT id, x.d, round((x - mu)/sqrt(m2 - mu*mu), 6) + 0.0 AS z FROM dims x JOIN m USING (port, d)""")
 def _(v):
     return rounded(E.impute_standardise(v.dims, "port", v.features.select("port").distinct()).select("id", "d", "z"))
 

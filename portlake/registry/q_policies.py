@@ -52,9 +52,7 @@ _PRI = ", k AS (SELECT unnest(range(10)) AS cls), pa AS (SELECT port, list(pr OR
 def source_prior(v):
     from ..operators.shift import prior_array
 
-    f = v.preds.select(F.col("port").alias("fold")).distinct()
-    e = v.preds.join(F.broadcast(f), F.col("port") != F.col("fold"))
-    return prior_array(M.class_prior(e, ["fold"], "truth", CLASSES), "fold", "a", CLASSES).withColumnRenamed("fold", "port")
+    return prior_array(M.others_prior(v.preds, "port", "truth", CLASSES), "port", "a", CLASSES)
 
 
 @query("prior_offset", "preds", _PRI + f" SELECT id, CAST(c - 1 AS INT) AS cls, round(s1[c] + ln(greatest(a[c], 1e-9)), 6) AS x FROM preds JOIN pa USING (port), (SELECT unnest({_TEN}) AS c) z")

@@ -37,7 +37,7 @@ def test_conflict_keeps_all_and_shows(spark):
 def test_one_mechanism_must_fit_all_groups(spark):
     m = moments(spark, [(0, 0, 0, 0, .2, .2), (1, 0, 0, 0, .2, .8), (0, 0, 0, 1, .8, .2), (1, 0, 0, 1, .8, .8)])
     assert B.filter_bank(m, ["k"], .05).head().status == "mechanism_conflict"
-    assert B.per_group_filter(m, ["k"], .05).head().feasible
+    assert {r.grp: r.mechanism for r in B.group_mechanisms(m, ["k"]).collect()} == {0: 0, 1: 1}
 
 
 def test_masked_rows_leave_both_moments(spark):

@@ -111,3 +111,25 @@ def test_neighbour_entropy_blocks_do_not_matter(data):
     a = H.neighbour_entropy(df, "port", "id", "v", block=37).toPandas().sort_values("port").snd
     b = H.neighbour_entropy(df, "port", "id", "v", block=10_000).toPandas().sort_values("port").snd
     assert np.allclose(a, b)
+
+
+def test_energy_distance_over_all_rows(spark):
+    """More rows in a port than any block holds, against the plain mean over all pairs."""
+    from portlake.operators.shift import energy_distance
+
+    rng = np.random.default_rng(0)
+    rows = [(k, "a" if k < 2300 else "b", (rng.normal(size=3) + (k >= 2300)).tolist()) for k in range(2600)]
+    got = energy_distance(spark.createDataFrame(rows, "id long, p string, v array<double>"), "p", "id", "v", block=700).collect()
+    x, y = (np.array([v for _, p, v in rows if p == side]) for side in "ab")
+    far = lambda s, t: np.sqrt(((s[:, None, :] - t[None, :, :]) ** 2).sum(2)).mean()
+    assert len(got) == 1 and abs(got[0].energy - (2 * far(x, y) - far(x, x) - far(y, y))) < 1e-6
+
+
+def test_root_pair():
+    from portlake.operators.moments import root_pair
+
+    a = np.random.default_rng(1).normal(size=(40, 4))
+    root, inverse = root_pair("own", a.T @ a)
+    assert np.allclose(root @ root, a.T @ a) and np.allclose(root @ inverse, np.eye(4)) and np.allclose(root, root.T)
+    with pytest.raises(ValueError):
+        root_pair("own", np.diag([1.0, 0.0]))

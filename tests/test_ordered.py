@@ -49,3 +49,13 @@ def test_null_keys_keep_their_rows(spark):
     df = spark.createDataFrame([(1, None, 2.0), (2, None, 1.0), (3, "a", 5.0)], "id int, g string, v double")
     got = {r.id: (r.rn, r.n) for r in running(df, ["g"], [F.col("v")]).collect()}
     assert got == {1: (2, 2), 2: (1, 2), 3: (1, 1)}
+
+
+def test_quantiles_of_a_value_that_fills_its_group(spark):
+    from portlake.ordered import quantiles
+
+    rows = [("a", 0.0)] * 900 + [("a", float(k)) for k in range(1, 101)] + [("b", 2.0), ("b", 4.0)]
+    got = {r.g: r for r in quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"q50": 0.5, "q95": 0.95}).collect()}
+    import numpy as np
+    a = [v for g, v in rows if g == "a"]
+    assert got["a"].n == 1000 and got["a"].q50 == 0.0 and abs(got["a"].q95 - np.quantile(a, 0.95)) < 1e-9 and got["b"].q50 == 3.0

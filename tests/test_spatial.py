@@ -99,3 +99,32 @@ def test_sessions_across_windows(spark):
     cut = np.flatnonzero(np.diff(t) > 600)
     assert got.start.tolist() == t[np.r_[0, cut + 1]].tolist() and got.end.tolist() == t[np.r_[cut, len(t) - 1]].tolist()
     assert got.fixes.sum() == 2000
+
+
+def test_areas_with_holes_and_far_larger_than_a_cell(spark):
+    from portlake.grid import inside_areas
+
+    def ring(area, x0, y0, x1, y1):
+        c = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+        return [("g", area, *map(float, c[i]), *map(float, c[(i + 1) % 4])) for i in range(4)]
+
+    rings = spark.createDataFrame(ring("big", 0, 0, 500_000, 400_000) + ring("big", 100_000, 100_000, 200_000, 200_000) + ring("small", 10, 10, 20, 20), "g string, a string, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, "g", 15.0, 15.0), (2, "g", 150_000.0, 150_000.0), (3, "g", 499_000.0, 1.0), (4, "g", -1.0, 5.0), (5, "h", 15.0, 15.0)], "k int, g string, x double, y double")
+    assert {tuple(r) for r in inside_areas(points, rings, ["g"], "k", "a").collect()} == {(1, "big"), (1, "small"), (3, "big")}
+
+
+def test_all_geometry_types(spark):
+    import json
+
+    from portlake.sources.documents import explode_geojson, segments
+
+    shapes = [
+        {"type": "Point", "coordinates": [1, 2]}, {"type": "MultiPoint", "coordinates": [[1, 2], [3, 4]]}, {"type": "LineString", "coordinates": [[0, 0], [1, 1]]},
+        {"type": "MultiLineString", "coordinates": [[[0, 0], [1, 1]], [[2, 2], [3, 3]]]}, {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]},
+        {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]], [[5.5, 5.1], [5.6, 5.1], [5.6, 5.2], [5.5, 5.1]]]]},
+        {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [9, 9]}, {"type": "LineString", "coordinates": [[0, 0], [2, 2]]}]}, None, {"type": "Circle", "coordinates": [1]}]
+    doc = json.dumps({"features": [{"type": "Feature", "properties": {"osm_id": str(k), "osm_element": "way", "facility_kind": "f"}, "geometry": g} for k, g in enumerate(shapes)]})
+    rows = explode_geojson(spark.createDataFrame([(doc,)], "value string"))
+    n = {r.osm_id: (r.vertices, r.rings) for r in rows.groupBy("osm_id").agg(F.count("k").alias("vertices"), F.countDistinct("ring").alias("rings")).collect()}
+    assert n == {"0": (1, 1), "1": (2, 2), "2": (2, 1), "3": (4, 2), "4": (4, 1), "5": (12, 3), "6": (3, 2), "7": (0, 1), "8": (0, 1)}
+    assert {r.osm_id: r["count"] for r in segments(rows).groupBy("osm_id").count().collect()} == {"0": 1, "1": 2, "2": 1, "3": 2, "4": 3, "5": 9, "6": 2}
