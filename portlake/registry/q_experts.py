@@ -114,11 +114,10 @@ def _(v):
 
 @query("attribution")
 def _(v):
-    """Drop-one and single-dimension experts over the first eight dimensions, from one scan."""
-    f = v.features.withColumn("v", F.slice("v", 1, 8))
-    st = cut(M.sufficient_stats(f, "port", "y", "v"))
-    models = M.fit_ridge(st, M.lopo(st), M.drop_one_arms(8, 1.0) + M.single_arms(8, 1.0))
-    b = M.ba_of_counts(M.recall_counts(f, models, "port", "y", "v"))
+    """Drop-one and single-dimension experts over all dimensions, from one scan."""
+    st = stats(v)
+    models = M.fit_ridge(st, M.lopo(st), M.drop_one_arms(D, 1.0) + M.single_arms(D, 1.0))
+    b = M.ba_of_counts(M.recall_counts(v.features, models, "port", "y", "v"))
     return rounded(b.groupBy("arm").agg(F.avg("ba").alias("ba"), F.count(F.lit(1)).alias("folds")))
 
 
@@ -176,27 +175,26 @@ def _(v):
 
 @query("profile_gate")
 def _(v):
-    prof = v.dims.where("d < 5").groupBy("port", "d").agg(F.avg("x").alias("x")).groupBy("port").agg(
+    prof = v.dims.groupBy("port", "d").agg(F.avg("x").alias("x")).groupBy("port").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
     return rounded(M.profile_gate(prof, port_gain(v).withColumnRenamed("fold", "port")))
 
 
 @query("linear_map_adapt")
 def _(v):
-    f = v.features.withColumn("v", F.slice("v", 1, 8))
-    m = M.linear_map(f, "port", "y", "v", "id", [(0.0, 0.0), (1.0, 1.0)], 200, steps=40)
+    m = M.linear_map(v.features, "port", "y", "v", "id", [(0.0, 0.0), (1.0, 1.0)], 2000)
     return rounded(m.select("target", "lam", "mu", "loss", F.array_min("scale").alias("least_scale"), F.array_max("scale").alias("largest_scale")), 4)
 
 
-# ---------------------------------------------------------------- library models: two folds (even and odd ports), each scored once
-
-def halves(v, df):
-    return [(df.where(f"port % 2 = {1 - k}"), df.where(f"port % 2 = {k}")) for k in (0, 1)]
+# ---------------------------------------------------------------- library models: each port scored by a model of the others
 
-
-def both(v, df, fn):
-    a, b = (fn(tr, te) for tr, te in halves(v, df))
-    return a.unionByName(b)
+def lopo(v, df, fn):
+    """fn(rows of the other ports, rows of the port) for every port; the fits follow each other, so this is for tables with few ports."""
+    out = None
+    for p in sorted(r["port"] for r in v.features.select("port").distinct().collect()):
+        part = fn(df.where(F.col("port") != p), df.where(F.col("port") == p))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def gate_rows(v):
@@ -210,32 +208,31 @@ GATE = ["margin1", "margin2", "entropy1", "entropy2", "differ"]
 
 @query("logistic_probe")
 def _(v):
-    r = both(v, v.features, lambda tr, te: L.logistic_probe(tr, te, "v", "y", 0.01))
+    r = lopo(v, v.features, lambda tr, te: L.logistic_probe(tr, te, "v", "y", 0.01))
     return rounded(E.balanced_accuracy(r, ["port"], "y", "probe"))
 
 
 @query("fit_gate")
 def _(v):
-    r = both(v, gate_rows(v), lambda tr, te: L.fit_gate(tr.where("net <> 0"), te, GATE, "benefit", rounds=5, depth=3))
+    r = lopo(v, gate_rows(v), lambda tr, te: L.fit_gate(tr.where("net <> 0"), te, GATE, "benefit", rounds=5, depth=3))
     return rounded(r.groupBy("port").agg(F.count(F.lit(1)).alias("n"), F.avg("gate").alias("mean_gate")), 4)
 
 
 @query("decision_weighted_gate")
 def _(v):
-    r = both(v, gate_rows(v), lambda tr, te: L.fit_gate(L.decision_weights(tr.where("net <> 0"), "net", "truth"), te, GATE, "benefit", "weight", rounds=5, depth=3))
+    r = lopo(v, gate_rows(v), lambda tr, te: L.fit_gate(L.decision_weights(tr.where("net <> 0"), "net", "truth"), te, GATE, "benefit", "weight", rounds=5, depth=3))
     return rounded(r.groupBy("port").agg(F.count(F.lit(1)).alias("n"), F.avg("gate").alias("mean_gate")), 4)
 
 
 @query("density_ratio")
 def _(v):
-    f = v.features.withColumn("v", F.slice("v", 1, 8))
-    r = both(v, f, lambda tr, te: L.density_ratio(tr, te, "v", "id"))
+    r = lopo(v, v.features, lambda tr, te: L.density_ratio(tr, te, "v", "id"))
     return rounded(r.groupBy("port").agg(F.avg("ratio").alias("mean"), F.min("ratio").alias("low"), F.max("ratio").alias("high")), 4)
 
 
 @query("surrogate_risk")
 def _(v):
-    return rounded(both(v, gate_rows(v), lambda tr, te: L.surrogate_risk(tr, te, ["margin1", "entropy1"], "wrong", "margin1", "id", "port", 0.8)), 4)
+    return rounded(lopo(v, gate_rows(v), lambda tr, te: L.surrogate_risk(tr, te, ["margin1", "entropy1"], "wrong", "margin1", "id", "port", 0.8)), 4)
 
 
 @query("scaled_surrogate_thresholds", "preds", """, s AS (SELECT id, port, m1, 'confidence' AS surrogate, round(1 - least(1.0, m1), 6) AS v FROM preds UNION ALL SELECT id, port, m1, 'product', round((1 - least(1.0, m1))*(1 - least(1.0, m2)), 6) FROM preds), z AS (SELECT *, v/greatest(avg(v) OVER (PARTITION BY port, surrogate), 1e-6) AS w FROM s),
@@ -249,13 +246,13 @@ def _(v):
 @query("calibrated_gate")
 def _(v):
     g = gate_rows(v).withColumn("diff", F.col("m2") - F.col("m1"))
-    r = both(v, g, lambda tr, te: L.calibrated_gate(tr.where("net <> 0"), te, "diff", "benefit"))
+    r = lopo(v, g, lambda tr, te: L.calibrated_gate(tr.where("net <> 0"), te, "diff", "benefit"))
     return rounded(r.groupBy("port").agg(F.max("switch_point").alias("switch_point"), F.avg(F.col("use_expert").cast("int")).alias("share")), 4)
 
 
 @query("group_assign")
 def _(v):
-    g = L.group_assign(v.features, "port", "id", "v", F.col("port") != 0, axes=8)
+    g = L.group_assign(v.features, "port", "id", "v", F.col("port") != 0)
     return g.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("port").alias("ports"))
 
 
@@ -267,5 +264,5 @@ def _(v):
 
 @query("stacked_policy")
 def _(v):
-    r = both(v, v.preds, lambda tr, te: L.stacked_policy(tr, te, ["s1", "s2"], "truth"))
+    r = lopo(v, v.preds, lambda tr, te: L.stacked_policy(tr, te, ["s1", "s2"], "truth"))
     return rounded(E.balanced_accuracy(r, ["port"], "truth", "stacked"))
