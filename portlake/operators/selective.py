@@ -49,7 +49,7 @@ def conformal_threshold(df: DataFrame, keys: Sequence[str], score: str, wrong: C
 
 
 def threshold_by_class(df: DataFrame, keys: Sequence[str], pred: str, score: str, wrong: Column, alpha: float, key: str, min_rows: int = MIN_CLASS_CALIBRATION) -> DataFrame:
-    """Threshold per predicted class where it has `min_rows` calibration rows, else the global one."""
+    """Threshold per value of `pred` (a predicted class, a true class, a cluster) where it has `min_rows` calibration rows, else the global one."""
     g = conformal_threshold(df, keys, score, wrong, alpha, key).select(*keys, F.col("threshold").alias("_g"))
     c = conformal_threshold(df, [*keys, pred], score, wrong, alpha, key)
     j = c.join(g, list(keys)) if keys else c.crossJoin(g)

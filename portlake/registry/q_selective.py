@@ -35,6 +35,24 @@ def _(v):
     return S.threshold_by_class(v.preds, ["port"], "p1", "m1", wrong(), 0.8, "id", 6)
 
 
+@query("conformal_by_true_class", "preds", _RUN.format(k="port, truth").replace("r AS", "rc AS") + _RUN.format(k="port") + """, g AS (SELECT port, arg_max(m1, rn) FILTER (risk <= 0.8) AS t FROM r GROUP BY port), c AS (SELECT port, truth, any_value(n) AS n, arg_max(m1, rn) FILTER (risk <= 0.8) AS t FROM rc GROUP BY port, truth)
+SELECT c.port, c.truth, c.n, CASE WHEN c.n >= 6 THEN c.t ELSE g.t END AS threshold FROM c JOIN g USING (port)""")
+def _(v):
+    return S.threshold_by_class(v.preds, ["port"], "truth", "m1", wrong(), 0.8, "id", 6)
+
+
+@query("conformal_by_cluster", "preds features", """, k AS (SELECT p.*, list_position(v[1:8], list_max(v[1:8])) AS cluster FROM preds p JOIN (SELECT id, v FROM features) f USING (id)),
+ w AS (SELECT *, row_number() OVER a AS rn, count(*) OVER (PARTITION BY port, cluster) AS n, avg(CAST(p1 <> truth AS INT)) OVER a AS risk, row_number() OVER b AS gn, avg(CAST(p1 <> truth AS INT)) OVER b AS grisk FROM k
+  WINDOW a AS (PARTITION BY port, cluster ORDER BY m1 DESC, id ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY port ORDER BY m1 DESC, id ROWS UNBOUNDED PRECEDING)),
+ g AS (SELECT port, arg_max(m1, gn) FILTER (grisk <= 0.8) AS t FROM w GROUP BY port), c AS (SELECT port, cluster, any_value(n) AS n, arg_max(m1, rn) FILTER (risk <= 0.8) AS t FROM w GROUP BY port, cluster)
+SELECT c.port, CAST(c.cluster AS INT) AS cluster, c.n, CASE WHEN c.n >= 6 THEN c.t ELSE g.t END AS threshold FROM c JOIN g USING (port)""")
+def _(v):
+    """The cluster of a row is the largest of its first eight dimensions here; any cluster column will do."""
+    first = F.slice("v", 1, 8)
+    k = v.features.select("id", F.array_position(first, F.array_max(first)).cast("int").alias("cluster"))
+    return S.threshold_by_class(v.preds.join(k, "id"), ["port"], "cluster", "m1", wrong(), 0.8, "id", 6)
+
+
 @query("conformal_by_tercile", "preds", """, q AS (SELECT port, quantile_cont(m1, 1/3.0::DOUBLE) AS q1, quantile_cont(m1, 2/3.0::DOUBLE) AS q2 FROM preds GROUP BY port), z AS (SELECT p.*, CASE WHEN m1 <= q1 THEN 0 WHEN m1 <= q2 THEN 1 ELSE 2 END AS tercile FROM preds p JOIN q USING (port)),
  r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY port, tercile) AS n, avg(CAST(p1 <> truth AS INT)) OVER w AS risk FROM z WINDOW w AS (PARTITION BY port, tercile ORDER BY m1 DESC, id ROWS UNBOUNDED PRECEDING))
 SELECT port, tercile, any_value(n) AS n, arg_max(m1, rn) FILTER (risk <= 0.8) AS threshold, coalesce(max(rn) FILTER (risk <= 0.8), 0) AS accepted FROM r GROUP BY port, tercile""")
