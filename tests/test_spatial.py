@@ -128,3 +128,16 @@ def test_all_geometry_types(spark):
     n = {r.osm_id: (r.vertices, r.rings) for r in rows.groupBy("osm_id").agg(F.count("k").alias("vertices"), F.countDistinct("ring").alias("rings")).collect()}
     assert n == {"0": (1, 1), "1": (2, 2), "2": (2, 1), "3": (4, 2), "4": (4, 1), "5": (12, 3), "6": (3, 2), "7": (0, 1), "8": (0, 1)}
     assert {r.osm_id: r["count"] for r in segments(rows).groupBy("osm_id").count().collect()} == {"0": 1, "1": 2, "2": 1, "3": 2, "4": 3, "5": 9, "6": 2}
+
+
+def test_traffic_field_from_positions(spark):
+    """Vessels sailing east and west along a parallel: cells on their way, axis east, other boxes and bad ids left out."""
+    from portlake.plans.traffic_field import traffic_field_geo
+
+    rows = [(k, "123456789", 60 * k, 103.8 + 0.002 * k, 1.2) for k in range(60)] + [(300 + k, "123456781", 60 * k, 103.918 - 0.002 * k, 1.2) for k in range(60)] + [(100 + k, "000000000", 60 * k, 103.8 + 0.002 * k, 1.2) for k in range(60)] + [(200 + k, "123456780", 60 * k, 10.0 + k * 0.01, 1.2) for k in range(9)]
+    ais = spark.createDataFrame(rows, "event_id long, mmsi string, t long, lon double, lat double")
+    boxes = spark.createDataFrame([("S", 103.5, 1.0, 104.2, 1.5)], "port string, west double, south double, east double, north double")
+    got = traffic_field_geo(ais, boxes, size=5000.0, min_points=8).collect()
+    assert got and sum(r.points for r in got) <= 118
+    for r in got:
+        assert min(r.direction_deg, 180 - r.direction_deg) < 1 and 103.75 < r.cell_lon < 104.0 and abs(r.cell_lat - 1.2) < 0.05 and r.anisotropy > 100
