@@ -32,13 +32,23 @@ def mode(df: DataFrame, key: Sequence[str], value: str, out: str) -> DataFrame:
 
 
 def mmsi_profile(ais: DataFrame, key: str = "mmsi", code: str = "type_code", name: str = "name", length: str = "length", beam: str = "beam", names: int = 3) -> DataFrame:
-    """Per vessel: rows, histogram of type codes, top names, most frequent length and beam."""
-    k = [key]
-    rows = ais.groupBy(key).agg(F.count(F.lit(1)).alias("ais_rows"))
-    codes = ais.where(F.col(code).isNotNull()).groupBy(key, code).agg(F.count(F.lit(1)).alias("n"))
-    codes = codes.groupBy(key).agg(histogram_json(F.collect_list(F.struct(F.col(code), F.col("n")))).alias("type_codes"))
-    tops = top_values(ais, k, name, names).groupBy(key).agg(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(name).alias("v")))), lambda s: s["v"])).alias("names"))
-    return rows.join(codes, key, "left").join(tops, key, "left").join(mode(ais, k, length, "length_mode"), key, "left").join(mode(ais, k, beam, "beam_mode"), key, "left")
+    """Per vessel: rows, histogram of type codes, top names, most frequent length and beam.
+
+    One scan: every row gives one (field, value) pair per field, and pairs are counted once for all fields."""
+    kinds = dict(ais.dtypes)
+    fields = {"row": F.lit(""), "code": F.col(code).cast("string"), "name": F.col(name).cast("string"), "length": F.col(length).cast("string"), "beam": F.col(beam).cast("string")}
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in fields.items()]))
+    n = ais.select(key, pairs.alias("p")).select(key, "p.*").where("value is not null").groupBy(key, "field", "value").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda f, *cols: F.collect_list(F.when(F.col("field") == f, F.struct(*cols)))  # noqa: E731  a vessel's distinct values, most frequent first once sorted
+    ranked = lambda f: F.array_sort(of(f, (-F.col("n")).alias("neg"), "value"))
+    typed = lambda c: F.array_sort(of(c, (-F.col("n")).alias("neg"), F.col("value").cast(kinds[{"length": length, "beam": beam}[c]]).alias("value")))
+    g = n.groupBy(key).agg(
+        F.sum(F.when(F.col("field") == "row", F.col("n"))).alias("ais_rows"), of("code", F.col("value").alias(code), "n").alias("_codes"), ranked("name").alias("_names"),
+        typed("length").alias("_length"), typed("beam").alias("_beam"))
+    return g.select(
+        key, "ais_rows", F.when(F.size("_codes") > 0, histogram_json(F.col("_codes"))).alias("type_codes"),
+        F.when(F.size("_names") > 0, F.concat_ws("|", F.transform(F.slice("_names", 1, names), lambda s: s["value"]))).alias("names"),
+        F.get("_length", F.lit(0))["value"].alias("length_mode"), F.get("_beam", F.lit(0))["value"].alias("beam_mode"))
 
 
 def _purity(pairs: DataFrame, code: str, cls: str) -> DataFrame:
