@@ -198,7 +198,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, t
             keep = pa.array(same)
             yield text.batch_of(schema, b.column("root").filter(keep), b.column("node").filter(keep), b.column("copies").filter(keep), [s.tobytes() for s, k in zip(made, same) if k])
 
-    chosen = rows.join(members.withColumnRenamed("first", "doc_id"), "doc_id").select("root", "node", "copies", "text")
+    # candidates grow with the documents, so they are never broadcast, not even where they happen to be few
+    chosen = rows.join(members.withColumnRenamed("first", "doc_id").hint("merge"), "doc_id").select("root", "node", "copies", "text")
     made = chosen.mapInArrow(sets, "root binary, node binary, copies long, set binary").join(groups, "root")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
