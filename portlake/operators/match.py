@@ -12,7 +12,8 @@ from ..grid import around, cell, sq_dist
 
 # fixed values: match tiers (metres, seconds)
 TIERS = {"t1": (150.0, 180), "t2": (500.0, 300)}
-RESOLVED = "fine_class_mapped"
+# fixed values: the settled status, and the name of the curated layer
+RESOLVED, CURATED_SOURCE = "fine_class_mapped", "curated_mapping_layer"
 
 
 def resolve_class(df: DataFrame, final: DataFrame, curated: DataFrame, filled: DataFrame, key: str = "mmsi") -> DataFrame:
@@ -25,7 +26,7 @@ def resolve_class(df: DataFrame, final: DataFrame, curated: DataFrame, filled: D
     g = filled.where(blank_to_null(F.col("final_class")).isNotNull()).select(key, F.col("final_class").alias("_c3"), F.col("source").alias("_s3"))
     j = df.join(f, key, "left").join(c, key, "left").join(g, key, "left")
     level = F.when(F.col("_c1").isNotNull(), F.col("_l1")).when(F.coalesce("_c2", "_c3").isNotNull(), "fine")
-    src = F.when(F.col("_c1").isNotNull(), F.col("_s1")).when(F.col("_c2").isNotNull(), "curated_mapping_layer").otherwise(F.col("_s3"))
+    src = F.when(F.col("_c1").isNotNull(), F.col("_s1")).when(F.col("_c2").isNotNull(), CURATED_SOURCE).otherwise(F.col("_s3"))
     return j.select(*df.columns, F.coalesce("_c1", "_c2", "_c3").alias("ais_final_class"), level.alias("ais_class_level"), src.alias("ais_class_source"))
 
 
@@ -44,8 +45,8 @@ def refresh_class(df: DataFrame, layer: DataFrame, signals: Sequence[str], key:
 
 
 def attach_dates(df: DataFrame, dates: DataFrame, keys: Sequence[str] = ("element", "facility_id"), stamp: str = "timestamp") -> DataFrame:
-    """Edit date of the feature an object touches, by element and id (ids of ways and nodes overlap)."""
-    return df.join(dates.select(*keys, F.col(stamp).alias("facility_edit_ts")).dropDuplicates(list(keys)), list(keys), "left")
+    """Edit date of the feature an object touches, by element and id (ids of ways and nodes overlap); the latest of several."""
+    return df.join(dates.groupBy(*keys).agg(F.max(stamp).alias("facility_edit_ts")), list(keys), "left")
 
 
 def match_tiers(objects: DataFrame, ais: DataFrame, key: str, tiers: Mapping[str, tuple[float, int]] = TIERS, idx: str = "event_id") -> DataFrame:

@@ -12,6 +12,9 @@ from ..grid import around, cell, inside_areas, near_segments, nearest_position,
 from ..ordered import quantiles
 from ..session import cut
 
+# fixed values: names of where a channel angle comes from
+FROM_FAIRWAY, FROM_TRAFFIC = "osm_fairway", "ais_traffic"
+
 # fixed values: reach of a layer distance, facility buffer, line reach, fairway width, field anisotropy
 LAYER_REACH = 2000.0
 FACILITY_BUFFER = 25.0
@@ -78,7 +81,7 @@ def channel_angle(points: DataFrame, lines: DataFrame, cells: DataFrame, group:
     line = axial_diff(F.col(axis), F.col("b.bearing"))
     return out.select(
         *points.columns, F.coalesce(line, "field_angle").alias("channel_angle"),
-        F.when(line.isNotNull(), "osm_fairway").when(F.col("field_angle").isNotNull(), "ais_traffic").alias("angle_source"))
+        F.when(line.isNotNull(), FROM_FAIRWAY).when(F.col("field_angle").isNotNull(), FROM_TRAFFIC).alias("angle_source"))
 
 
 def radius_counts(df: DataFrame, group: Sequence[str], radii: Mapping[str, float] = DENSITY_RADII) -> DataFrame:
