@@ -47,7 +47,8 @@ def features_of(words: list[bytes], table: text.WordTable) -> np.ndarray:
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """(doc_id, text, label) of the documents with a label 0 or 1."""
     marked = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(marked, "doc_id")
+    # labels grow with the documents, so they are never broadcast, not even where they happen to be few
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(marked.hint("merge"), "doc_id")
 
 
 def evidence(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
