@@ -49,7 +49,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 1024, id_col
             ids, ends = model.encode(b.column("text"))
             ids = np.insert(ids.astype("<u4"), ends, end_id)
             ends += np.arange(1, len(ends) + 1)
-            data, begin = memoryview(ids.tobytes()), 0
+            data, begin = ids.tobytes(), 0  # slices of bytes: Arrow would keep views of a memoryview alive
             for doc, stop in zip(b.column("doc_id").to_pylist(), ends.tolist()):
                 for start, length in binary_pieces(stop - begin, size):
                     rank = size.bit_length() - length.bit_length()
