@@ -2,7 +2,7 @@
 
 1. Every task lists its distinct pre-tokens with their frequencies; one sum per pre-token gives the vocabulary.
 2. The library counts the pieces of each distinct pre-token once.
-3. The most frequent pre-tokens (a fixed number) are joined inside the tasks; all others through a shuffle on
+3. The most frequent pre-tokens (at most a fixed number) are joined inside the tasks; all others through a shuffle on
    the pre-token, which no longer holds any frequent, hence hot, key.
 4. Sums per document.
 """
@@ -120,6 +120,21 @@ def piece_counts(pieces: DataFrame, path: str) -> DataFrame:
     return pieces.mapInArrow(run, "piece string, n long, tokens long")
 
 
+def most_frequent(counted: DataFrame, room: int) -> DataFrame:
+    """(piece, tokens) of the pre-tokens above a frequency that at most `room` of them reach.
+
+    The frequency comes from counts on a logarithmic scale, some hundred rows; only what lies above it leaves Spark."""
+    short = counted.where(F.length("piece") <= FREQUENT_LENGTH).withColumn("step", F.floor(16 * F.log("n")))
+    steps = sorted(((r["step"], r["count"]) for r in short.groupBy("step").count().collect()), reverse=True)
+    at, held = None, 0
+    for step, count in steps:
+        held += count
+        if held > room:
+            break
+        at = step
+    return short.where(F.lit(False) if at is None else F.col("step") >= at).select("piece", "tokens")
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens.
 
@@ -129,7 +144,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT, id_
     """
     rows = text.text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     counted = cut(piece_counts(vocabulary_of(rows, vocabulary), vocabulary))
-    top = counted.where(F.length("piece") <= FREQUENT_LENGTH).orderBy(F.desc("n"), "piece").limit(frequent).select("piece", "tokens").toPandas()
+    top = most_frequent(counted, frequent).toPandas()
     common = rows.sparkSession.sparkContext.broadcast(dict(zip(top["piece"], map(int, top["tokens"]))))
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_bytes", pa.int64()), ("copies", pa.int64()), ("piece", pa.string()), ("rare", pa.bool_()), ("n", pa.int64())])
 
@@ -152,4 +167,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT, id_
     # a document's own row carries the tokens of its frequent pre-tokens; it matches nothing and is dealt out by its id
     summed = parts.join(counted.select("piece", F.lit(True).alias("rare"), "tokens"), ["piece", "rare"], "left").groupBy("doc_id", "digest", "n_bytes").agg(
         F.sum("copies").alias("copies"), F.sum(F.col("n") * F.coalesce("tokens", F.lit(1))).alias("n_tokens"))
-    return summed.select("doc_id", "n_bytes", (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+    return summed.select("doc_id", "n_bytes", F.expr("n_tokens div copies").alias("n_tokens"), F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
