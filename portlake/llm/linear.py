@@ -9,19 +9,28 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_sparse(index: np.ndarray, value: np.ndarray, ends: np.ndarray, label: np.ndarray, dims: int, rounds: int = 150, rate: float = 0.5, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias for rows given as runs of (index, value); Adagrad over all rows at once, both classes weighted alike."""
-    row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+def fit_sparse(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, dims: int, rounds: int = 150, rate: float = 0.5, penalty: float = 1e-5, run: int = 256) -> tuple[np.ndarray, float]:
+    """Weights and bias for rows given as (index, value); Adagrad over all rows, both classes weighted alike.
+
+    Rows are gone through some hundred at a time, so that little is held beside the rows themselves."""
+    runs = []
+    for k in range(0, len(rows), run):
+        part = rows[k : k + run]
+        sizes = [len(i) for i, _ in part]
+        runs.append((slice(k, k + len(part)), np.concatenate([i for i, _ in part]), np.concatenate([v for _, v in part]), np.repeat(np.arange(len(part), dtype=np.int32), sizes)))
+        rows[k : k + run] = [None] * len(part)  # held once
     share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
     w, bias = np.zeros(dims), 0.0
     square, square_b = np.full(dims, 1e-12), 1e-12
     for _ in range(rounds):
-        z = np.bincount(row, value * w[index], len(ends)) + bias
-        slope = share * (sigmoid(z) - label)
-        grad = np.bincount(index, value * slope[row], dims) + penalty * w
+        grad, g = penalty * w, 0.0
+        for at, index, value, row in runs:
+            z = np.bincount(row, value * w[index], at.stop - at.start) + bias
+            slope = share[at] * (sigmoid(z) - label[at])
+            grad += np.bincount(index, value * slope[row], dims)
+            g += slope.sum()
         square += grad * grad
         w -= rate * grad / np.sqrt(square)
-        g = slope.sum()
         square_b += g * g
         bias -= rate * g / np.sqrt(square_b)
     return w, float(bias)

@@ -106,8 +106,8 @@ class Slice:
             index, share = [], []
             for values, starts, ends in kinds:
                 found, times = np.unique(values[starts[k] : ends[k]], return_counts=True)
-                index.append(found.astype(np.int64))
-                share.append(times / max(1, ends[k] - starts[k]))
+                index.append(found.astype(np.int32))
+                share.append((times / max(1, ends[k] - starts[k])).astype(np.float32))
             out.append((np.concatenate(index), np.concatenate(share)))
         return out
 
@@ -134,16 +134,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
     def run(batches):
         hashes, found, labels_, order = text.plain_hash(), [], [], []
-        for b in text.slices(batches):
+        for b in text.slices(batches, 1 << 20):
             found += Slice(b.column("text"), hashes).sparse()
             labels_ += b.column("label").to_pylist()
             order += b.column("h").to_pylist()
         y, part = np.array(labels_, np.int64), np.array(order, np.int64) % 4 == 0  # a quarter calibrates
         if len(set(y[~part])) < 2 or len(set(y[part])) < 2:
             return
+        rest = [found[k] for k in np.flatnonzero(part)]
         learn = [found[k] for k in np.flatnonzero(~part)]
-        w, bias = linear.fit_sparse(np.concatenate([i for i, _ in learn]), np.concatenate([v for _, v in learn]), np.cumsum([len(i) for i, _ in learn]), y[~part], DIMS)
-        z = np.array([w[found[k][0]] @ found[k][1] + bias for k in np.flatnonzero(part)])
+        found.clear()
+        w, bias = linear.fit_sparse(learn, y[~part], DIMS)
+        z = np.array([w[i] @ v + bias for i, v in rest])
         a, b0 = linear.calibrate(z, y[part])
         yield text.batch_of(pa.schema([("w", pa.binary()), ("bias", pa.float64()), ("a", pa.float64()), ("b", pa.float64())]), [w.astype(np.float32).tobytes()], [bias], [a], [b0])
 
@@ -164,7 +166,7 @@ def assess(docs: DataFrame, model: dict | None, keep_at: float = KEEP_AT, id_col
     def run(batches):
         weights = np.frombuffer(sent.value["w"], np.float32) if sent.value else None
         hashes = text.plain_hash()
-        for b in text.slices(batches):
+        for b in text.slices(batches, 4 << 20):
             s = Slice(b.column("text"), hashes)
             counts = s.counts()
             n, again = counts["n_words"], counts["n_repeat_words"]
