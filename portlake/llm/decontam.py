@@ -1,10 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment of the passages they point at.
+"""Benchmark decontamination: word pairs point at passages, then local alignment; no passage is lost on the way.
 
-1. The n-grams of all benchmark items are counted over all documents (in how many documents each occurs).
-2. The rarer half of an item's n-grams are its seeds, so every item has seeds, however common its words.
-3. A seed found in a document marks a window around it; marks of one item that touch become one window.
-4. Smith-Waterman aligns the item's words with the window's words.  The score is the best local alignment over that
-   of an unchanged copy; documents with a score of at least `min_score` are contaminated.
+1. Two words of an item that are at most 2 places apart there and stand in the same order at most 2 places apart in a
+   document link their two places of the document to the item.
+2. An alignment gains MATCH for a matched word.  A matched word without a link has 2 or more errors to the next one,
+   which cost what it gained.  So an alignment of score s has s / MATCH linked places, and one that starts and
+   ends in linked places scores no less.  With m matches it covers 3 m - s words at most.
+3. Stretches of a document with so many linked places in so many words are aligned by Smith-Waterman.  The score is the
+   best local alignment over that of an unchanged copy; documents with a score of at least `min_score` are contaminated.
 
 The benchmark is dealt with in blocks of bounded size, each sent to all tasks; documents are never shuffled.
 """
@@ -21,10 +23,14 @@ from pyspark.sql import functions as F
 
 from . import text
 
-WORDS, SHARE, MIN_SCORE = 3, 0.5, 0.5
+WORDS, MIN_SCORE = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Words of benchmark text sent to the tasks at a time (8 bytes each, and as much again for the seeds).
+#: How far apart linked words may be; with MATCH = 2 and errors of 1, a wider step pays for the match before it.
+NEAR = 2
+#: Words of benchmark text sent to the tasks at a time (8 bytes each, and some 16 more for each pair).
 BLOCK_WORDS = 500_000
+#: Links and counts held at a time, and words in a batch of alignments.
+HELD_LINKS, HELD_WORDS = 4_000_000, 100_000
 
 
 def folded_hash() -> text.WordTable:
@@ -32,10 +38,15 @@ def folded_hash() -> text.WordTable:
     return text.WordTable(lambda w: xxhash.xxh3_64_intdigest(f) if (f := text.folded(w)) else 0, np.uint64)
 
 
-def folded_words(texts: pa.Array, hashes: text.WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts in a row, where each text's words end, and each word's place in its text."""
+def folded_numbers(number: dict[int, int]) -> text.WordTable:
+    """The same with the numbers of `number` for the hashes; 1 for a word that is not among them."""
+    return text.WordTable(lambda w: number.get(xxhash.xxh3_64_intdigest(f), 1) if (f := text.folded(w)) else 0, np.int64)
+
+
+def folded_words(texts: pa.Array, values: text.WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes or numbers of all texts' words in a row, where each text's words end, and each word's place in its text."""
     words, code, ends = text.words_of(texts)
-    h = hashes(words)[code]
+    h = values(words)[code]
     place = np.arange(len(h)) - np.repeat(text.starts_of(ends), np.diff(ends, prepend=0))
     keep = h != 0
     return h[keep], np.concatenate([[0], np.cumsum(keep)])[ends], place[keep]
@@ -68,86 +79,164 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return top
 
 
+def best_scores(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
+    """The scores of `align` for pairs of items and passages, side by side."""
+    wide = np.zeros((len(passages), max(map(len, passages))), np.int64)
+    for row, p in zip(wide, passages):
+        row[: len(p)] = p
+    words = np.full((max(map(len, items)), len(items)), -1, np.int64)
+    for k, w in enumerate(items):
+        words[: len(w), k] = w
+    steps = -GAP * np.arange(wide.shape[1] + 1, dtype=np.int32)
+    best = np.zeros((len(passages), wide.shape[1] + 1), np.int32)
+    top = np.zeros(len(items), np.int32)
+    for word in words:
+        new = np.maximum(best + np.int32(GAP), 0)
+        across = best[:, :-1] + np.where(wide == word[:, None], np.int32(MATCH), np.int32(MISMATCH))
+        new[:, 1:] = np.maximum(new[:, 1:], across)
+        best = np.maximum.accumulate(new + steps, 1) - steps
+        np.maximum(top, best.max(1), out=top)
+    return top
+
+
 class Items:
-    """Benchmark items as arrays of word hashes, and their n-grams."""
+    """Benchmark items as arrays of word numbers (2 and up), and what links a document to them."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], n: int):
+    def __init__(self, ids: list[int], texts: list[bytes], n: int, min_score: float):
         self.ids = ids
         h, ends, _ = folded_words(pa.array(texts, pa.binary()), folded_hash())
-        self.words = [h[a:b] for a, b in zip(text.starts_of(ends), ends)]
-        self.n = [min(n, len(w)) for w in self.words]  # a shorter item is one n-gram
-        self.grams = [text.ngrams(w, k) if k else w for w, k in zip(self.words, self.n)]
-        self.sizes = sorted({k for k in self.n if k})
-
-    def vocabulary(self) -> np.ndarray:
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *self.grams]))
-
-
-def _hits(h: np.ndarray, ends: np.ndarray, size: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of wanted n-grams: document, position in the row of words, index in `wanted`."""
-    grams = text.ngrams(h, size)
-    at = np.searchsorted(wanted, grams)
-    at[at == len(wanted)] = 0
-    where = np.flatnonzero(wanted[at] == grams)
-    doc = np.searchsorted(ends, where, "right")
-    inside = where + size <= ends[doc]
-    return doc[inside], where[inside], at[where[inside]]
-
-
-def gram_counts(rows: DataFrame, wanted: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """In how many documents each wanted n-gram occurs, over all documents."""
-    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
-    sent = rows.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches):
-        hashes, total = folded_hash(), np.zeros(len(sent.value), np.int64)
-        for b in text.slices(batches):
-            h, ends, _ = folded_words(b.column("text"), hashes)
-            found = [np.zeros(0, np.int64)]
-            for size in sizes:
-                doc, _, gram = _hits(h, ends, size, sent.value)
-                found.append(doc * len(total) + gram)
-            total += np.bincount(np.unique(np.concatenate(found)) % len(total), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield text.batch_of(schema, at, total[at])
-
-    counts = rows.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(wanted), np.int64)
-    out[counts["gram"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    return out
-
-
-def seeds_of(items: Items, wanted: np.ndarray, counts: np.ndarray, share: float) -> dict[int, list[tuple[int, int]]]:
-    """n-gram -> (item, its place there), for the rarest `share` of each item's places."""
-    out: dict[int, list[tuple[int, int]]] = {}
-    for k, grams in enumerate(items.grams):
-        rare = counts[np.searchsorted(wanted, grams)]
-        for p in np.argsort(rare, kind="stable")[: int(np.ceil(share * len(grams)))]:
-            out.setdefault(int(grams[p]), []).append((k, int(p)))
-    return out
-
-
-def windows(places: list[tuple[int, int]], length: int, first: int, last: int) -> Iterator[tuple[int, int]]:
-    """Stretches of a document in which an item of `length` words may lie, from (position, place in the item)."""
-    reach = length // 2 + 2
-    held: list[int] | None = None
-    for at, p in sorted(places, key=lambda x: x[0] - x[1]):
-        begin, end = max(first, at - p - reach), min(last, at - p + length + reach)
-        if held and begin <= held[1]:
-            held[1] = max(held[1], end)
-        else:
+        known, numbers = np.unique(h, return_inverse=True)
+        self.number = {int(x): k + 2 for k, x in enumerate(known)}
+        self.base = len(known) + 2
+        self.words = [(numbers + 2)[a:b] for a, b in zip(text.starts_of(ends), ends)]
+        length = np.array([len(w) for w in self.words], np.int64)
+        least = min_score * MATCH * length
+        self.score = min_score
+        #: Linked places that an alignment needs, and the words it covers at most.
+        self.places = np.maximum(1, np.ceil(least / MATCH)).astype(np.int64)
+        self.reach = np.maximum(1, np.floor(3 * length - least)).astype(np.int64)
+        owned, whole = [], {}
+        for k, w in enumerate(self.words):
+            if 0 < len(w) < n:  # found as a whole only
+                whole.setdefault(tuple(w.tolist()), []).append(k)
+            elif len(w) and least[k] <= MATCH:  # a single word may do
+                owned.append(np.stack([w * self.base, np.full(len(w), k)]))
+            else:
+                owned += [np.stack([w[:-d] * self.base + w[d:], np.full(len(w) - d, k)]) for d in range(1, NEAR + 1) if d < len(w)]
+        pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *owned], 1), axis=1)
+        self.keys, first = np.unique(pairs[0], return_index=True)
+        self.first, self.owners = np.append(first, pairs.shape[1]), pairs[1]
+        self.single = bool(len(self.keys)) and bool((self.keys % self.base == 0).any())
+        self.whole = whole
+        self.sizes = sorted({len(w) for w in whole})
+
+    def linked(self, h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, position) of linked places in order, for runs of whole documents."""
+        doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        at, key, step = [], [], []
+        for d in range(0 if self.single else 1, NEAR + 1):
+            here = np.flatnonzero((h[: len(h) - d] > 1) & ((h[d:] > 1) & (doc[: len(h) - d] == doc[d:]))) if d < len(h) else np.zeros(0, np.int64)
+            wanted = h[here] * self.base + (h[here + d] if d else 0)
+            found = np.searchsorted(self.keys, wanted)
+            found[found == len(self.keys)] = 0
+            hit = self.keys[found] == wanted if len(self.keys) else np.zeros(len(wanted), bool)
+            at.append(here[hit])
+            key.append(found[hit])
+            step.append(np.full(len(at[-1]), d))
+        at, key, step = np.concatenate(at), np.concatenate(key), np.concatenate(step)
+        times = self.first[key + 1] - self.first[key]
+        # an alignment lies in two neighbouring stretches of `wide` words, so a link stays if those have enough for its item
+        wide, items = int(self.reach.max()), len(self.words)
+        load = np.cumsum(np.bincount(doc[at], times, len(ends)) + (np.diff(ends, prepend=0) / wide + 1) * items)
+        run = (load // HELD_LINKS).astype(np.int64)[doc[at]]
+        for r in np.unique(run):
+            a, k, d, t = (x[run == r] for x in (at, key, step, times))
+            owner = self.owners[np.repeat(self.first[k] - np.cumsum(t) + t, t) + np.arange(t.sum())]
+            low = a.min() // wide
+            part = np.repeat(a // wide - low, t)
+            ahead = np.repeat((a + d) // wide - low, t)
+            rows = int(ahead.max()) + 1
+            count = (np.bincount(part * items + owner, minlength=rows * items) + np.bincount(ahead * items + owner, minlength=rows * items)).reshape(rows, items)
+            both = count.copy()
+            both[1:] += count[:-1]  # with the stretch before
+            enough = both >= self.places
+            enough[:-1] |= enough[1:]
+            stay = enough[part, owner] | enough[ahead, owner]
+            code = owner[stay] * len(h) + np.repeat(a, t)[stay]
+            code = np.sort(np.concatenate([code, code + np.repeat(d, t)[stay]]))
+            code = code[np.diff(code, prepend=-1) > 0]
+            yield code // len(h), code % len(h)
+
+    def stretches(self, h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, list[tuple[int, int]]]]:
+        """(document, item, its linked places, stretches of positions) wherever the item may lie."""
+        for item, at in self.linked(h, ends):
+            far = np.arange(len(at)) + self.places[item] - 1
+            inside = far < len(at)
+            far[~inside] = 0
+            doc = np.searchsorted(ends, at, "right")
+            begins = np.flatnonzero(inside & (item[far] == item) & (doc[far] == doc) & (at[far] - at < self.reach[item]))
+            stops = np.minimum(at[begins] + self.reach[item[begins]], ends[doc[begins]])
+            group = np.cumsum(np.append(0, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])))[: len(at)]
+            places = np.bincount(group)[group[begins]]
+            held: list = []
+            for k, d, n, a, z in zip(*(x.tolist() for x in (item[begins], doc[begins], places, at[begins], stops))):
+                if held and held[:2] == [d, k]:
+                    if a <= held[3][-1][1]:
+                        held[3][-1] = (held[3][-1][0], max(z, held[3][-1][1]))
+                    else:
+                        held[3].append((a, z))
+                    continue
+                if held:
+                    yield tuple(held)
+                held = [d, k, n, [(a, z)]]
             if held:
-                yield held[0], held[1]
-            held = [begin, end]
-    if held:
-        yield held[0], held[1]
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, share: float = SHARE, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS,
+                yield tuple(held)
+
+    def found(self, h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, float, int, int, int]]:
+        """(document, item, score, begin, end, linked places) of each contaminated document and item."""
+        for size in self.sizes:
+            held: dict[tuple[int, int], list[int]] = {}
+            for w, owners in self.whole.items():
+                if len(w) == size:
+                    same = np.ones(max(0, len(h) - size + 1), bool)
+                    for d, x in enumerate(w):
+                        same &= h[d : len(h) - size + 1 + d] == x
+                    where = np.flatnonzero(same)
+                    doc = np.searchsorted(ends, where, "right")
+                    for d, p in zip(doc[where + size <= ends[doc]].tolist(), where[where + size <= ends[doc]].tolist()):
+                        for k in owners:
+                            held.setdefault((d, k), []).append(p)
+            for (d, k), places in held.items():
+                yield d, k, 1.0, places[0], places[0] + size, len(places)
+        held, load = [], 0
+        for d, k, places, parts in self.stretches(h, ends):
+            for a, z in parts:
+                held.append((d, k, places, a, z))
+                load += z - a
+            if load > HELD_WORDS:  # all stretches of a document and item are held together
+                yield from self._aligned(h, held)
+                held, load = [], 0
+        yield from self._aligned(h, held)
+
+    def _aligned(self, h: np.ndarray, held: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int, float, int, int, int]]:
+        best: dict[tuple[int, int], tuple] = {}
+        order = sorted(range(len(held)), key=lambda x: held[x][4] - held[x][3])
+        for first in range(0, len(order), 256):
+            some = [held[x] for x in order[first : first + 256]]
+            scores = best_scores([self.words[k] for _, k, *_ in some], [h[a:z] for *_, a, z in some])
+            for (d, k, places, a, z), score in zip(some, scores.tolist()):
+                if score and score >= self.score * MATCH * len(self.words[k]) and (score, -a) > best.get((d, k), (0, 0)):
+                    best[d, k] = (score, -a, z, places)
+        for (d, k), (score, a, z, places) in best.items():
+            _, begin, end = align(self.words[k], h[-a:z])
+            yield d, k, score / (MATCH * len(self.words[k])), begin - a, end - a, places
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS,
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and item found in it: doc_id, text_hash, item_id, score (0 to 1), begin and end (words of the document), seeds.
+    """One row per document and item found in it: doc_id, text_hash, item_id, score (0 to 1), begin and end (words of the document), seeds (linked places).
 
-    Null and empty texts match nothing; an item with fewer than `n` words is its own seed.  Repeated documents
+    Null and empty texts match nothing; an item with fewer than `n` words is found as a whole only.  Repeated documents
     and items each give their rows.  Null ids are carried as nulls.  An empty benchmark or table gives no rows.
     """
     spark = docs.sparkSession
@@ -158,45 +247,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, share: f
     found = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k).toPandas()
-        hits = _in_block(rows, Items(part["doc_id"].tolist(), [bytes(t) for t in part["text"]], n), share, min_score)
+        hits = _in_block(rows, Items(part["doc_id"].tolist(), [bytes(t) for t in part["text"]], n, min_score))
         found = hits if found is None else found.unionAll(hits)
     return found
 
 
-def _in_block(rows: DataFrame, items: Items, share: float, min_score: float) -> DataFrame:
+def _in_block(rows: DataFrame, items: Items) -> DataFrame:
     spark = rows.sparkSession
     kind = "doc_id long, text_hash long, item_id long, score double, begin long, end long, seeds long"
-    wanted = items.vocabulary()
-    if not len(wanted):
+    if not any(len(w) for w in items.words):
         return spark.createDataFrame([], kind)
-    counts = gram_counts(rows, wanted, items.sizes)
-    seeds = seeds_of(items, wanted, counts, share)
-    rare = np.array(sorted(seeds), np.uint64)
-    sent = spark.sparkContext.broadcast((rare, [seeds[int(g)] for g in rare], items.words, items.ids, items.sizes))
+    sent = spark.sparkContext.broadcast(items)
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int64()), ("end", pa.int64()), ("seeds", pa.int64())])
 
     def run(batches):
-        rare, owners, words, ids, sizes = sent.value
-        hashes = folded_hash()
+        items = sent.value
+        numbers = folded_numbers(items.number)
         for b in text.slices(batches):
-            h, ends, place = folded_words(b.column("text"), hashes)
-            starts, docs_, hashes_ = text.starts_of(ends), b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
-            places: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for length in sizes:
-                for doc, at, gram in zip(*(x.tolist() for x in _hits(h, ends, length, rare))):
-                    for item, p in owners[gram]:
-                        places.setdefault((doc, item), []).append((at, p))
-            out: list[list] = [[] for _ in schema]
-            for (doc, item), marks in places.items():
-                full, best = MATCH * len(words[item]), (0, 0, 0)
-                for begin, end in windows(marks, len(words[item]), int(starts[doc]), int(ends[doc])):
-                    score, a, z = align(words[item], h[begin:end])
-                    if score > best[0]:
-                        best = (score, begin + a, begin + z)
-                if best[0] >= min_score * full:
-                    row = (docs_[doc], hashes_[doc], ids[item], best[0] / full, int(place[best[1]]), int(place[best[2] - 1]) + 1, len(marks))
-                    for c, v in zip(out, row):
-                        c.append(v)
-            yield text.batch_of(schema, *out)
+            h, ends, place = folded_words(b.column("text"), numbers)
+            out = [(d, items.ids[k], score, int(place[begin]), int(place[end - 1]) + 1, seeds) for d, k, score, begin, end, seeds in items.found(h, ends)]
+            doc, *told = zip(*out) if out else [()] * 6
+            yield text.batch_of(schema, b.column("doc_id").take(pa.array(doc, pa.int64())), b.column("text_hash").take(pa.array(doc, pa.int64())), *told)
 
     return rows.mapInArrow(run, kind)

@@ -159,6 +159,53 @@ def test_edited_copies(spark):
     assert {(r.doc_id, r.item_id, r.score) for r in in_blocks} == {(r.doc_id, r.item_id, r.score) for r in got}
 
 
+def test_single_copies_with_many_edits(spark):
+    """One edited copy of an item is found however its edits lie, if its alignment reaches the score."""
+    rng = random.Random(6)
+    words = [f"v{k}" for k in range(300)]
+    items = [(k, rng.choices(words, k=40)) for k in range(24)] + [(24 + k, rng.choices(words, k=3 + k)) for k in range(6)]
+    docs = []
+
+    def put(copy):
+        body = rng.choices(words, k=rng.randrange(90))
+        at = rng.randrange(len(body) + 1)
+        docs.append((len(docs), body[:at] + copy + body[at:]))
+
+    for k, w in items:
+        for step in (5, 4, 3):
+            put([f"x{p}" if p % step == step - 1 else x for p, x in enumerate(w)])
+        put([y for p, x in enumerate(w) for y in (x, f"x{p}")])  # no two neighbours are left
+        for share in (0.2, 0.25, 0.35):
+            put([f"x{p}" if rng.random() < share else x for p, x in enumerate(w)])
+            put([x for x in w if rng.random() > share])
+    put(rng.choices(words[:12], k=400))
+    want = {(d, i): smith_waterman(w, t) / (2 * len(w)) for d, t in docs for i, w in items}
+    want = {x: s for x, s in want.items() if s >= 0.5}
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for more in ({}, {"block_words": 300}):
+        got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(frame, bench, **more).collect()}
+        assert got == want
+    assert all((10 * k + e, k) in want for k in range(24) for e in (0, 1, 2, 3))
+
+
+def test_search_in_runs(monkeypatch):
+    """Any bound on what is held at a time, short items and other scores give what the whole table gives."""
+    rng = random.Random(8)
+    words = [f"v{k}" for k in range(25)]
+    items = [rng.choices(words, k=k) for k in (1, 2, 3, 4, 9, 20)]
+    texts = [rng.choices(words, k=rng.randrange(120)) for _ in range(40)]
+    for score in (0.3, 0.5, 0.8):
+        made = decontam.Items(list(range(6)), [" ".join(w).encode() for w in items], 3, score)
+        h, ends, _ = decontam.folded_words(decontam.pa.array([" ".join(t).encode() for t in texts], decontam.pa.binary()), decontam.folded_numbers(made.number))
+        want = {(d, k): smith_waterman(w, t) / (2 * len(w)) for d, t in enumerate(texts) for k, w in enumerate(items) if t}
+        want = {x: s for x, s in want.items() if s >= (1 if len(items[x[1]]) < 3 else score)}
+        for held in (decontam.HELD_LINKS, 50):
+            monkeypatch.setattr(decontam, "HELD_LINKS", held)
+            assert {(d, k): s for d, k, s, *_ in made.found(h, ends)} == want
+        monkeypatch.undo()
+
+
 def test_awkward_decontamination(spark):
     docs, rows = odd_docs(spark)
     bench = spark.createDataFrame([(1, "same text twice here now", 0), (2, None, 0), (3, "", 0), (4, "word", 0), (4, "word", 0), (5, "...", 0)], "item_id long, text string, score int")
