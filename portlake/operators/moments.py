@@ -222,6 +222,36 @@ def recall_counts(df: DataFrame, models: DataFrame, port: str, truth: str, vecto
     return c.groupBy("fold", "arm", "truth").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
 
 
+def intervention_counts(df: DataFrame, models: DataFrame, port: str, truth: str, vector: str, other: str, name: str, keys: Sequence[str] = (), joint: bool = False) -> DataFrame:
+    """Rows and hits per (`keys`, what, truth) when one dimension after the other is taken from the vector `other`.
+
+    A changed dimension adds (new - old) * weight to the scores, so no changed vector is built.  `what` is
+    `name`_d for dimension d, and with `joint` also `name`_all for all of them at once."""
+    held = df.sparkSession.sparkContext.broadcast(collect_models(models))
+    t, keys = dict(df.dtypes), list(keys)
+
+    def run(batches):
+        acc: dict = {}
+        for pdf in batches:
+            for at, rows in pdf.groupby([port, *keys]):
+                x, new, y = np.stack(rows[vector].to_numpy()).astype(float), np.stack(rows[other].to_numpy()).astype(float), rows[truth].to_numpy()
+                there, n = np.unique(y, return_inverse=True)
+                for _, _, cls, w, b in held.value.get(at[0], []):
+                    z = x @ w.T + b
+                    arms = [(f"{name}_{d}", z + (new[:, d] - x[:, d])[:, None] * w[:, d]) for d in range(x.shape[1])]
+                    for what, scores in [*arms, (f"{name}_all", new @ w.T + b)] if joint else arms:
+                        ok = np.bincount(n, cls[scores.argmax(1)] == y, len(there))
+                        for c, rows_, hits in zip(there, np.bincount(n), ok):
+                            k = acc.setdefault((*at[1:], what, c), [0, 0])
+                            k[0] += int(rows_)
+                            k[1] += int(hits)
+        yield pd.DataFrame([(*k, *v) for k, v in acc.items()], columns=[*keys, "what", "truth", "n", "ok"])
+
+    kind = ", ".join([*[f"`{k}` {t[k]}" for k in keys], f"what string, truth {t[truth]}, n bigint, ok bigint"])
+    c = df.select(port, truth, vector, other, *keys).mapInPandas(run, kind)
+    return c.groupBy(*keys, "what", "truth").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
+
+
 def ba_of_counts(counts: DataFrame, keys: Sequence[str] = ("fold", "arm")) -> DataFrame:
     """Balanced accuracy, accuracy and rows from recall counts."""
     return counts.groupBy(*keys).agg(F.avg(F.col("ok") / F.col("n")).alias("ba"), (F.sum("ok") / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))

@@ -71,6 +71,15 @@ def hash_permutation(df: DataFrame, keys: Sequence[str], key: str, seed: str) ->
     return a.join(b, [*keys, "rn"]).select(key, "donor")
 
 
+def hash_permutations(df: DataFrame, keys: Sequence[str], key: str, seeds: Sequence[str]) -> DataFrame:
+    """`key`, `donor`, `seed`: the permutations of `hash_permutation` for all seeds, with the seeds as rows."""
+    ids = df.select(*keys, key)
+    a = running(ids, keys, [F.col(key)]).drop("n")
+    many = ids.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    b = running(many, [*keys, "seed"], [F.sha2(F.concat("seed", F.col(key).cast("string")), 256), F.col(key)]).drop("n").withColumnRenamed(key, "donor")
+    return a.join(b, [*keys, "rn"]).select(key, "donor", "seed")
+
+
 def permuted(df: DataFrame, keys: Sequence[str], key: str, value: str, seed: str) -> DataFrame:
     """`df` with `value` taken from the donor row."""
     m = hash_permutation(df, keys, key, seed)

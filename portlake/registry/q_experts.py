@@ -17,6 +17,8 @@ from .views import CLASSES
 
 ALPHAS = [0.3, 1.0, 3.0, 10.0]
 D = 64
+#: Replicates of a permutation.
+SEEDS = 20
 
 
 def stats(v):
@@ -147,29 +149,22 @@ def _(v):
 
 @query("frozen_interventions")
 def _(v):
-    """A fixed expert under mean replacement of a dimension and under permutation of a dimension within its scene."""
-    from ..operators.policies import hash_permutation
+    """A fixed expert under mean replacement of each dimension and under permutation of each, or of all, within its scene."""
+    from ..operators.policies import hash_permutations
 
-    f = v.features.withColumn("v", F.slice("v", 1, 6))
-    st = cut(M.sufficient_stats(f, "port", "y", "v"))
+    f, st = v.features, stats(v)
     models = cut(M.fit_ridge(st, M.lopo(st), [("fixed", 1.0, None)]))
     means = f.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).groupBy().agg(
         F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("mean"))
+    # replicates are rows; what no seed changes is counted once
+    seeds = [str(k) for k in range(1, SEEDS + 1)]
     donor = f.select(F.col("id").alias("donor"), F.col("v").alias("dv"))
-    # replicates are rows
-    perm = None
-    for seed in ("1", "2"):
-        p = hash_permutation(f, ["product"], "id", seed).withColumn("seed", F.lit(seed))
-        perm = p if perm is None else perm.unionByName(p)
-    base = f.join(perm, "id").join(donor, "donor").join(F.broadcast(means))
-    arms = [F.struct(F.lit("none").alias("arm"), F.col("v").alias("v"))]
-    for d in range(3):
-        swap = lambda src, d=d: F.transform("v", lambda x, i: F.when(i == d, F.element_at(src, d + 1)).otherwise(x))
-        arms += [F.struct(F.lit(f"mean_{d}").alias("arm"), swap("mean").alias("v")), F.struct(F.lit(f"permute_{d}").alias("arm"), swap("dv").alias("v"))]
-    arms.append(F.struct(F.lit("permute_all").alias("arm"), F.col("dv").alias("v")))
-    e = base.select("id", "port", "y", "seed", F.explode(F.array(*arms)).alias("a")).select("id", "port", "y", "seed", F.col("a.arm").alias("what"), "a.v")
-    s = M.score(e, models, "port", "id", "v", ["port", "y", "seed", "what"], CLASSES)
-    b = E.balanced_accuracy(s, ["what", "seed"], "y", "pred").groupBy("what").agg(F.avg("ba").alias("ba"), F.count(F.lit(1)).alias("seeds"))
+    moved = f.join(hash_permutations(f, ["product"], "id", seeds), "id").join(donor, "donor")
+    drawn = M.intervention_counts(moved, models, "port", "y", "v", "dv", "permute", ["seed"], joint=True)
+    still = M.intervention_counts(f.join(F.broadcast(means)), models, "port", "y", "v", "mean", "mean")
+    none = M.recall_counts(f, models, "port", "y", "v").groupBy("truth").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok")).withColumn("what", F.lit("none"))
+    fixed = still.unionByName(none).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    b = M.ba_of_counts(drawn.unionByName(fixed), ["what", "seed"]).groupBy("what").agg(F.avg("ba").alias("ba"), F.count(F.lit(1)).alias("seeds"))
     return rounded(b)
 
 

@@ -133,3 +133,41 @@ def test_root_pair():
     assert np.allclose(root @ root, a.T @ a) and np.allclose(root @ inverse, np.eye(4)) and np.allclose(root, root.T)
     with pytest.raises(ValueError):
         root_pair("own", np.diag([1.0, 0.0]))
+
+
+def test_interventions_equal_changed_vectors(data):
+    """Every dimension, and all at once, against predictions of vectors that were really changed."""
+    from pyspark.sql import functions as F
+
+    from portlake.operators.policies import hash_permutation, hash_permutations
+
+    pdf, df, st = data
+    models = M.fit_ridge(st, M.lopo(st), [("r", 1.0, None)])
+    seeds = ["1", "2", "3"]
+    perm = hash_permutations(df, ["port"], "id", seeds).toPandas()
+    for s in seeds:
+        assert set(zip(perm.id[perm.seed == s], perm.donor[perm.seed == s])) == {tuple(r) for r in hash_permutation(df, ["port"], "id", s).collect()}
+    moved = df.join(df.sparkSession.createDataFrame(perm), "id").join(df.select(F.col("id").alias("donor"), F.col("v").alias("dv")), "donor")
+    c = M.intervention_counts(moved, models, "port", "y", "v", "dv", "permute", ["seed"], joint=True).toPandas()
+    assert len(c) == 3 * (D + 1) * C
+    m, x = models.toPandas(), np.stack(pdf.v.to_numpy())
+    for s in seeds:
+        new = x[perm[perm.seed == s].set_index("id").donor.loc[pdf.id].to_numpy()]
+        for what, dims in [(f"permute_{d}", [d]) for d in range(D)] + [("permute_all", list(range(D)))]:
+            z = x.copy()
+            z[:, dims] = new[:, dims]
+            pred = np.zeros(len(z), int)
+            for p in range(4):
+                w = m[m.target == p].sort_values("cls")
+                own = (pdf.port == p).to_numpy()
+                pred[own] = (z[own] @ np.stack(w.w.to_numpy()).T + w.b.to_numpy()).argmax(1)
+            got = c[(c.seed == s) & (c.what == what)].sort_values("truth")
+            assert got.n.tolist() == [int((pdf.y == k).sum()) for k in range(C)]
+            assert got.ok.tolist() == [int(((pdf.y == k) & (pred == k)).sum()) for k in range(C)]
+
+
+def test_interventions_cover_all_dimensions_and_seeds(spark):
+    import __spark_entry__ as entry
+
+    rows = {r.what: r.seeds for r in entry.queries()["frozen_interventions"](spark, "/root/testdata/sf0.001").collect()}
+    assert rows == {w: 20 for w in ["none", "permute_all", *[f"{k}_{d}" for k in ("mean", "permute") for d in range(64)]]}
