@@ -209,13 +209,13 @@ def _(v):
 
 @query("fit_gate")
 def _(v):
-    r = lopo(v, gate_rows(v), lambda tr, te: L.fit_gate(tr.where("net <> 0"), te, GATE, "benefit", rounds=5, depth=3))
+    r = lopo(v, gate_rows(v), lambda tr, te: L.fit_gate(tr.where("net <> 0"), te, GATE, "benefit"))
     return rounded(r.groupBy("port").agg(F.count(F.lit(1)).alias("n"), F.avg("gate").alias("mean_gate")), 4)
 
 
 @query("decision_weighted_gate")
 def _(v):
-    r = lopo(v, gate_rows(v), lambda tr, te: L.fit_gate(L.decision_weights(tr.where("net <> 0"), "net", "truth"), te, GATE, "benefit", "weight", rounds=5, depth=3))
+    r = lopo(v, gate_rows(v), lambda tr, te: L.fit_gate(L.decision_weights(tr.where("net <> 0"), "net", "truth"), te, GATE, "benefit", "weight"))
     return rounded(r.groupBy("port").agg(F.count(F.lit(1)).alias("n"), F.avg("gate").alias("mean_gate")), 4)
 
 

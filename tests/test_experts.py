@@ -171,3 +171,15 @@ def test_interventions_cover_all_dimensions_and_seeds(spark):
 
     rows = {r.what: r.seeds for r in entry.queries()["frozen_interventions"](spark, "/root/testdata/sf0.001").collect()}
     assert rows == {w: 20 for w in ["none", "permute_all", *[f"{k}_{d}" for k in ("mean", "permute") for d in range(64)]]}
+
+
+@pytest.mark.parametrize("name", ["fit_gate", "decision_weighted_gate"])
+def test_gates_are_fitted_in_full(spark, monkeypatch, name):
+    """The registered gates use the operator's own rounds and depth, in every fold."""
+    import __spark_entry__ as entry
+    from portlake.operators import models as L
+
+    made, real = [], L.GBTClassifier
+    monkeypatch.setattr(L, "GBTClassifier", lambda **kw: made.append((kw["maxIter"], kw["maxDepth"])) or real(**{**kw, "maxIter": 1, "maxDepth": 1}))
+    entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert made == [(20, 4)] * 8
