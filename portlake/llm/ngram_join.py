@@ -1,10 +1,10 @@
-"""Join of documents by the Jaccard similarity of their word shingles: MinHash LSH forest, then exact counts.
+"""Join of documents by the Jaccard similarity of their word shingles: MinHash bands, then exact counts.
 
 1. Each document becomes a set of hashed shingles, a digest of that set and a MinHash signature of
    `trees` x `depth` values.  Documents with equal sets are one text from here on.
-2. A tree is the trie of one stretch of the signature.  Prefixes are shortened from full depth until two texts
-   at the threshold share one in some tree with the target probability; each shared prefix ties its texts to one
-   of them, and the tied texts form candidate groups.
+2. A tree is one stretch of the signature, compared by a prefix of fixed depth: the deepest at which two texts at the
+   threshold share one in some tree with the target probability.  So this is banding; a pair that shares a deeper
+   prefix shares this one.  Each shared prefix ties its texts to one of them, and the tied texts form candidate groups.
 3. The sets of a candidate group are compared exactly, all with all, in blocks of bounded size: a task
    multiplies the incidence matrices of two blocks and returns sums and a spanning forest, never pairs.
 4. The verified links make the classes.
