@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, decontam, langid, ngram_join, packing, quality, text, tokencount, tokenfile, toxicity, warc
+from . import centroids, chat, collocation, curves, decontam, langid, ngram_join, packing, quality, text, tokencount, tokenfile, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,56 @@ def op4(read):
     learn = docs.where(text.in_fold())
     told = toxicity.score(docs, toxicity.fit(learn, read("labels")))
     return told.select("doc_id", (~text.in_fold()).alias("held_out"), "score", "predicted", F.size("spans").cast("long").alias("n_spans"), F.get("spans", F.lit(0))["begin"].alias("first_begin"))
+
+
+def _moved(k: int) -> str:
+    """SQL of one round of op11: assignments to the centroids c{k}, and the centroids c{k+1}."""
+    return f"""
+a{k} AS MATERIALIZED (SELECT i, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(j, d * 1000 + j) AS j, min(d) AS d FROM (
+  SELECT i, vec_id, v, j, list_sum(list_transform(range(1, 65), lambda e: (v[e] - c[e]) * (v[e] - c[e])))::BIGINT AS d FROM kept, c{k}) GROUP BY i),
+m{k} AS (SELECT j, list(f ORDER BY e) AS c FROM (
+  SELECT j, e, (s - ((s % n) + n) % n) // n AS f FROM (SELECT j, e, sum(v[e])::BIGINT AS s, count(*) AS n FROM a{k}, range(1, 65) r(e) GROUP BY j, e)) GROUP BY j),
+c{k + 1} AS MATERIALIZED (SELECT c{k}.j, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (j)),"""
+
+
+@query("op11_centroids", f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept) ORDER BY h, v LIMIT 40),
+{''.join(_moved(k) for k in range(6))}
+s AS (SELECT j, sum(d) AS s FROM a5 GROUP BY j)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(s AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a5 JOIN s USING (j) JOIN c5 USING (j)""")
+def op11(read):
+    return centroids.cluster(read("embeddings"))
+
+
+@query("op12_curves", """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, q.v AS q, v.vec_id, sqrt(list_reduce(list_transform(range(1, len(v.v) + 1), lambda i: (q.v[i] - v.v[i]) * (q.v[i] - v.v[i])), lambda a, b: a + b)) AS score FROM v q JOIN v ON len(q.v) = len(v.v) AND (q.vec_id <> v.vec_id OR q.v <> v.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10""")
+def op12(read):
+    return curves.neighbours(read("embeddings"))
+
+
+@query("op13_collocations", r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {'phrase': array_to_string(w[i:i + k - 1], ' '), 'l': i > 1, 'r': i + k <= len(w)})) AS g FROM w, range(1, 5) r(k)),
+c AS MATERIALIZED (SELECT lang, g.phrase AS phrase, any_value(k) AS k, count(*) AS f, count(*) FILTER (g.l) AS n_left, count(*) FILTER (g.r) AS n_right FROM g GROUP BY lang, g.phrase HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+x AS (SELECT lang, phrase, f AS a, n_left, n_right, string_split(phrase, ' ') AS w, k FROM c WHERE k > 1),
+q AS (SELECT lang, phrase, a, n_left, n_right, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:k], ' ') AS tail FROM x, range(1, 4) r(j) WHERE j < k),
+s AS (SELECT q.*, h.f AS l, t.f AS r, (2000000::HUGEINT * a) // (h.f::HUGEINT + t.f) AS score FROM q JOIN c h ON h.lang = q.lang AND h.phrase = head JOIN c t ON t.lang = q.lang AND t.phrase = tail),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS z FROM s) WHERE z = 1),
+o AS (SELECT lang, phrase, max(a) AS around FROM (
+  SELECT lang, a, unnest(list_transform(range(1, k - z + 2), lambda i: array_to_string(w[i:i + z - 1], ' '))) AS phrase FROM x, range(2, 4) r(z) WHERE z < k) GROUP BY lang, phrase),
+e AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a),
+f AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score, n_left, n_right FROM f JOIN n USING (lang) WHERE rank <= 2000""")
+def op13(read):
+    return collocation.collocations(read("documents"))
