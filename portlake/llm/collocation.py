@@ -1,11 +1,12 @@
 """Phrases that stand together more often than their parts: counts from FM-indexes of shards, summed across shards.
 
 1. A task turns its documents into shards of bounded size, one language each, and writes each shard's words and
-   its sequence of word numbers.  The index of a shard gives its words and word pairs with their counts.
-2. Words and pairs are summed over all shards under a 64-bit hash; what reaches the smallest count goes back to the
-   shards that hold it.  Two pairs under one hash can only let too much through, never too little.
-3. Each shard is indexed in both directions and its patterns are extended by a word at a time, to the right and to the
-   left in turn, where the new pair came back from step 2: no phrase that is frequent overall is missed.
+   its sequence of word numbers.
+2. The index of a shard gives its words and word pairs with their counts.  They are summed over all shards under a hash, each
+   count cut off at the smallest count that matters; what reaches it goes back, by its number, to the shards that hold it.
+   Two pairs under one hash can only let too much through, never too little.
+3. Each shard is indexed in both directions and its patterns are extended by a word at a time, to the left and to the
+   right in turn, where the new pair came back from step 2: no phrase that is frequent overall is missed.
 4. Phrases are summed over the shards by their text.  Parts and longer phrases of a frequent phrase meet in joins of the
    frequent phrases alone, and ranks come from a range-partitioned sort.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ordered import running
@@ -34,9 +35,10 @@ SHARD_WORDS = 3_000_000
 CHUNK = 2048
 UNKNOWN = "und"
 _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c | 32 if 65 <= c <= 90 else c for c in range(256))
-_WORDS, _CODES, _GRAMS = 0, 1, 2
-_ROWS = [("kind", pa.int32()), ("shard", pa.int64()), ("lang", pa.string()), ("seq", pa.int32()), ("pair", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]
-_DDL = "kind int, shard long, lang string, seq int, pair long, h long, n long, data binary"
+_WORDS, _CODES, _LIVE = 0, 1, 2
+_ROWS = [("kind", pa.int32()), ("shard", pa.int64()), ("lang", pa.string()), ("seq", pa.int32()), ("n", pa.int64()), ("data", pa.binary())]
+#: Bits of a shard's number within its task, and of a word or pair within its shard.
+_SHARD_BITS, _PLACE_BITS = 14, 26
 
 
 def pieces(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
@@ -68,7 +70,7 @@ class Shard:
         return len(code)
 
     def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
-        """The vocabulary, the word numbers, and each word and word pair with its count."""
+        """The vocabulary, with the number of words in the first row, and the word numbers."""
         schema = pa.schema(_ROWS)
         codes, words = np.concatenate(self.parts), list(self.number)
         if not words:
@@ -76,25 +78,11 @@ class Shard:
         count = int((codes != BREAK).sum())
         chunk = [b" ".join(words[k : k + CHUNK]) for k in range(0, len(words), CHUNK)]
         m = len(chunk)
-        yield text.batch_of(schema, np.full(m, _WORDS), np.full(m, shard), [self.lang] * m, np.arange(m), np.zeros(m, np.int64), np.zeros(m, np.int64), [count] + [0] * (m - 1), chunk)
+        yield text.batch_of(schema, np.full(m, _WORDS), np.full(m, shard), [self.lang] * m, np.arange(m), [count] + [0] * (m - 1), chunk)
         for k in range(0, len(codes), 64 * CHUNK):
             chunk = [codes[a : a + CHUNK].tobytes() for a in range(k, min(k + 64 * CHUNK, len(codes)), CHUNK)]
             m = len(chunk)
-            yield text.batch_of(schema, np.full(m, _CODES), np.full(m, shard), [self.lang] * m, np.arange(m) + k // CHUNK, np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64), chunk)
-        symbols = len(words) + 1
-        each = np.bincount(codes, minlength=symbols)
-        begin = np.cumsum(each) - each
-        of, before, _, n, _ = OneWay(codes, 1).extensions(begin[1:], each[1:], symbols)
-        hashes = np.concatenate([np.zeros(1, np.uint64), np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)])
-        salt = np.uint64(xxhash.xxh3_64_intdigest(self.lang.encode()))
-        first, second = np.concatenate([np.zeros(symbols - 1, np.int64), before]), np.concatenate([np.arange(1, symbols), of + 1])
-        h = text.mixed(text.mixed(hashes[first] + salt) + hashes[second] * np.uint64(3)).view(np.int64)
-        n = np.concatenate([each[1:], n])
-        pair = first << 32 | second
-        for k in range(0, len(pair), 100_000):
-            p = pair[k : k + 100_000]
-            m = len(p)
-            yield text.batch_of(schema, np.full(m, _GRAMS), np.full(m, shard), pa.nulls(m, pa.string()), np.zeros(m, np.int32), p, h[k : k + m], n[k : k + m], pa.nulls(m, pa.binary()))
+            yield text.batch_of(schema, np.full(m, _CODES), np.full(m, shard), [self.lang] * m, np.arange(m) + k // CHUNK, np.zeros(m, np.int64), chunk)
 
 
 def shards(docs: DataFrame, lang_col: str, text_col: str, shard_words: int) -> DataFrame:
@@ -102,7 +90,7 @@ def shards(docs: DataFrame, lang_col: str, text_col: str, shard_words: int) -> D
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
-        base, made = TaskContext.get().partitionId() << 24, 0
+        base, made = TaskContext.get().partitionId() << _SHARD_BITS, 0
         open_: dict[str, Shard] = {}
         for b in text.slices(batches, 4 << 20):
             for lang in b.column("lang").unique().to_pylist():
@@ -114,27 +102,86 @@ def shards(docs: DataFrame, lang_col: str, text_col: str, shard_words: int) -> D
         for shard in open_.values():
             yield from shard.rows(base + made)
             made += 1
+        if made > 1 << _SHARD_BITS:
+            raise ValueError("too many shards in one task: read the table in more parts")
 
-    return rows.mapInArrow(run, _DDL)
+    return rows.mapInArrow(run, "kind int, shard long, lang string, seq int, n long, data binary")
 
 
-def enumerated(codes: np.ndarray, words: list[bytes], live: np.ndarray, max_words: int) -> Iterator[tuple]:
-    """(words of the phrase, phrase, n, n_left, n_right) as arrays, for all phrases whose words and neighbouring pairs are `live`."""
-    symbols = len(words) + 1
-    index = BothWays(codes, symbols, max_words)
-    names = pa.array([b"", *words], pa.binary())
-    live = np.sort(live)
-    known = lambda a, b: live[np.minimum(np.searchsorted(live, a << 32 | b), len(live) - 1)] == (a << 32 | b)
-    p = index.single(live[live < 1 << 32])
+class Parts:
+    """A shard's rows put together: its language, words, word numbers, and what came back to it."""
+
+    def __init__(self, held: dict):
+        self.lang, self.words = held["lang"], b" ".join(held[_WORDS]).split(b" ")
+        self.codes = np.concatenate([np.frombuffer(c, np.int32) for c in held[_CODES]])
+        self.live = np.concatenate(held[_LIVE]) if _LIVE in held else np.zeros(0, np.int64)
+
+
+def by_shard(batches) -> Iterator[tuple[int, Parts]]:
+    """(shard, its parts) from rows in the order of (shard, kind, seq)."""
+    shard, held = None, {}
+    for b in batches:
+        which, kind = b.column("shard").to_numpy(), b.column("kind").to_numpy()
+        edges = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (kind[1:] != kind[:-1]))) if len(which) else np.zeros(0, np.int64)
+        for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(which)]):
+            if which[a] != shard:
+                if held:
+                    yield shard, Parts(held)
+                shard, held = int(which[a]), {}
+            if kind[a] == _LIVE:
+                held.setdefault(_LIVE, []).append(b.column("n").slice(a, z - a).to_numpy().copy())
+            else:
+                held["lang"] = b.column("lang")[a].as_py()
+                held.setdefault(int(kind[a]), []).extend(b.column("data").slice(a, z - a).to_pylist())
+    if held:
+        yield shard, Parts(held)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.select("kind", "shard", "lang", "seq", "n", "data").repartition("shard").sortWithinPartitions("shard", "kind", "seq")
+
+
+def grams(made: DataFrame, least: int) -> DataFrame:
+    """(h, n, at): a hash of each word and word pair of each shard, its count (at most `least`), and its shard and number there."""
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("at", pa.int64())])
+
+    def run(batches):
+        for shard, parts in by_shard(batches):
+            symbols = len(parts.words) + 1
+            each = np.bincount(parts.codes, minlength=symbols)
+            of, before, _, n, _ = OneWay(parts.codes, 1).extensions((np.cumsum(each) - each)[1:], each[1:], symbols)
+            hashes = np.array([0, *[xxhash.xxh3_64_intdigest(w) for w in parts.words]], np.uint64)
+            salt = np.uint64(xxhash.xxh3_64_intdigest(parts.lang.encode()))
+            h = text.mixed(hashes + salt)
+            h = np.concatenate([h[1:], text.mixed(h[before] + hashes[of + 1] * np.uint64(3))]).view(np.int64)
+            n = np.minimum(np.concatenate([each[1:], n]), least)
+            for k in range(0, len(n), 100_000):
+                yield text.batch_of(schema, h[k : k + 100_000], n[k : k + 100_000], shard << _PLACE_BITS | np.arange(k, min(k + 100_000, len(n))))
+
+    return dealt(made).mapInArrow(run, "h long, n long, at long")
+
+
+def enumerated(parts: Parts, max_words: int) -> Iterator[tuple]:
+    """(words of the phrase, phrase, n, n_left, n_right) as arrays, for all phrases whose words and neighbouring pairs are live."""
+    symbols = len(parts.words) + 1
+    index = BothWays(parts.codes, symbols, max_words)
+    names = pa.array([b"", *parts.words], pa.binary())
+    live = np.sort(parts.live)
+    p = index.single(live[live < symbols - 1] + 1)
+    pairs = np.zeros(0, np.int64)
     for length in range(1, max_words + 1):
-        if length > 1:
+        if length == 2:  # in the order in which `grams` numbered them
+            p = index.extended(index.single(np.arange(1, symbols)), True).where(live[live >= symbols - 1] - (symbols - 1))
+            pairs = np.sort(p.words[0].astype(np.int64) << 32 | p.words[1])
+        elif length > 2:
             leftwards = length % 2 == 0
             p = index.extended(p, leftwards)
-            p = p.where(known(p.words[0], p.words[1]) if leftwards else known(p.words[-2], p.words[-1]))
+            new = p.words[0].astype(np.int64) << 32 | p.words[1] if leftwards else p.words[-2].astype(np.int64) << 32 | p.words[-1]
+            p = p.where(pairs[np.minimum(np.searchsorted(pairs, new), len(pairs) - 1)] == new)
         if not len(p.size):
             return
-        parts = [names.take(pa.array(w)) for w in p.words]
-        phrase = parts[0] if length == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
+        columns = [names.take(pa.array(w)) for w in p.words]
+        phrase = columns[0] if length == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary()))
         yield length, text.as_text(phrase), p.size, *index.inner(p)
 
 
@@ -143,40 +190,21 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     and (lang, n): all words of a language.  n_left and n_right count the occurrences with a word before or after them."""
     made = cut(shards(docs, lang_col, text_col, shard_words))
     totals = made.where(F.col("kind") == _WORDS).groupBy("lang").agg(F.sum("n").alias("n"))
-    grams = made.where(F.col("kind") == _GRAMS).select("shard", "pair", "h", "n")
-    frequent = grams.groupBy("h").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count).select("h")
-    live = grams.join(frequent.hint("merge"), "h", "left_semi").select(F.lit(_GRAMS).alias("kind"), "shard", F.lit(None).cast("string").alias("lang"), F.lit(0).alias("seq"), "pair", F.lit(None).cast("binary").alias("data"))
-    parts = made.where(F.col("kind") != _GRAMS).select("kind", "shard", "lang", "seq", "pair", "data")
+    reached = grams(made, min_count).withColumn("f", F.sum("n").over(Window.partitionBy("h"))).where(F.col("f") >= min_count)
+    live = reached.select(
+        F.lit(_LIVE).alias("kind"), F.shiftright("at", _PLACE_BITS).alias("shard"), F.lit(None).cast("string").alias("lang"), F.lit(0).alias("seq"),
+        F.col("at").bitwiseAND((1 << _PLACE_BITS) - 1).alias("n"), F.lit(None).cast("binary").alias("data"))
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64()), ("n_left", pa.int64()), ("n_right", pa.int64())])
 
-    def told(held: dict) -> Iterator[pa.RecordBatch]:
-        if not held.get(_GRAMS):
-            return
-        words = b" ".join(held[_WORDS]).split(b" ")
-        codes = np.concatenate([np.frombuffer(c, np.int32) for c in held[_CODES]])
-        for length, phrase, n, left, right in enumerated(codes, words, np.concatenate(held[_GRAMS]), max_words):
-            for k in range(0, len(n), 100_000):
-                m = len(n[k : k + 100_000])
-                yield text.batch_of(schema, [held["lang"]] * m, phrase.slice(k, m), np.full(m, length), n[k : k + m], left[k : k + m], right[k : k + m])
-
     def run(batches):
-        shard, held = None, {}
-        for b in batches:
-            which, kind = b.column("shard").to_numpy(), b.column("kind").to_numpy()
-            edges = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (kind[1:] != kind[:-1])))
-            for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(which)]):
-                if which[a] != shard:
-                    yield from told(held)
-                    shard, held = which[a], {}
-                if kind[a] == _GRAMS:
-                    held.setdefault(_GRAMS, []).append(b.column("pair").slice(a, z - a).to_numpy().copy())
-                else:
-                    held["lang"] = b.column("lang")[a].as_py()
-                    held.setdefault(int(kind[a]), []).extend(b.column("data").slice(a, z - a).to_pylist())
-        yield from told(held)
-
-    dealt = parts.unionByName(live).repartition("shard").sortWithinPartitions("shard", "kind", "seq")
-    found = dealt.mapInArrow(run, "lang string, phrase string, words int, n long, n_left long, n_right long")
+        for _, parts in by_shard(batches):
+            if len(parts.live):
+                for length, phrase, n, left, right in enumerated(parts, max_words):
+                    for k in range(0, len(n), 100_000):
+                        m = len(n[k : k + 100_000])
+                        yield text.batch_of(schema, [parts.lang] * m, phrase.slice(k, m), np.full(m, length), n[k : k + m], left[k : k + m], right[k : k + m])
+
+    found = dealt(made.unionByName(live)).mapInArrow(run, "lang string, phrase string, words int, n long, n_left long, n_right long")
     summed = found.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("f"), F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
     return cut(summed.where(F.col("f") >= min_count)), totals
 
