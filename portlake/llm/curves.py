@@ -29,7 +29,7 @@ CURVES, AXES, BITS = 4, 6, 10
 #: Queries of the sample that fits the windows, the share of their neighbours that the windows must hold, the shortest window.
 SAMPLE, RECALL, SHORTEST = 128, 0.96, 4096
 #: Vectors in a block; queries compared with it at a time.
-BLOCK, AT_ONCE = 8192, 64
+BLOCK, AT_ONCE = 2048, 64
 _SLACK = 1e-9
 
 

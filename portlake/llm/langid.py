@@ -40,7 +40,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     room = F.greatest(F.length(body) - FIT_BYTES, F.lit(1))
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(body) > 0)).select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), h.alias("h"), F.substring(body, F.pmod(h, room).cast("int") + 1, F.lit(FIT_BYTES)).alias("part"))
-    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIT_DOCS).toPandas().sort_values(["lang", "k"])
+    total = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    share = {lang: min(1.0, (4 * FIT_DOCS + 200) / n) for lang, n in total.items()}
+    while total:
+        # only rows under a hash that some 4 x FIT_DOCS rows of their language stay under are ranked
+        limits = docs.sparkSession.createDataFrame([(lang, int((2 * s - 1) * 2**63) if s < 1 else None) for lang, s in share.items()], "lang string, below long")
+        few = rows.join(F.broadcast(limits), "lang").where(F.col("below").isNull() | (F.col("h") < F.col("below")))
+        chosen = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIT_DOCS).toPandas().sort_values(["lang", "k"])
+        got = chosen.groupby("lang").size().to_dict()
+        short = [lang for lang, n in total.items() if got.get(lang, 0) < min(n, FIT_DOCS) and share[lang] < 1]
+        if not short:
+            break
+        share |= {lang: min(1.0, 8 * share[lang]) for lang in short}
+    else:
+        return {}
     return {lang: b" ".join(letters(p.encode()) for p in g["part"])[:DICTIONARY] for lang, g in chosen.groupby("lang")}
 
 

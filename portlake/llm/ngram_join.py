@@ -171,21 +171,24 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, text_hash, class_id, n_links, n_texts, n_copies.
+    """One row per row of `docs`: doc_id, text_hash, class_id, class_hash, n_links, n_texts, n_copies.
 
     Two documents are linked if the Jaccard similarity of their sets of `words`-word runs is at least
-    `threshold`; class_id is the smallest doc_id that links lead to.  n_links counts the other documents linked to
+    `threshold`; class_id is the smallest doc_id that links lead to, class_hash the smallest text_hash under it.  n_links counts the other documents linked to
     this one, n_texts the other texts among them and n_copies the documents with the same set, this one included.
 
     A text with fewer words is one run.  A null or empty text, or one without words, links to nothing: its
-    class is its own id.  A document without an id takes part as a copy of one with an id, and else is linked
-    to nothing.  Repeated rows count as copies.  Other columns are left out.
+    class is its own id and text.  A document without an id takes part like any other; a class of such documents only has
+    no class_id and is known by its class_hash.  Repeated rows count as copies.  Other columns are left out.
     """
     rows = text.text_rows(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), "text")
     found = cut(prints(rows, words, trees * depth))
-    texts = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"))
-    tied = components(candidates(found.where("doc_id is not null"), threshold, trees, depth, recall))
-    members = cut(tied.join(texts, tied["node"] == texts["digest"]).select("root", "node", "first", "copies", "n_shingles"))
+    each = found.groupBy("digest", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"))
+    name = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    texts = each.groupBy("digest").agg(  # `own`: the row whose text is fetched, if possible one that stands once
+        F.min(name).alias("first"), F.min(F.struct((F.col("copies") > 1).alias("again"), "doc_id", "text_hash")).alias("own"), F.sum("copies").alias("copies"), F.max("n_shingles").alias("n_shingles"))
+    tied = components(candidates(found, threshold, trees, depth, recall))
+    members = cut(tied.join(texts, tied["node"] == texts["digest"]).select("root", "node", F.col("own.again").alias("again"), F.col("own.doc_id").alias("own_id"), F.col("own.text_hash").alias("own_hash"), "copies", "n_shingles"))
     groups = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     schema = pa.schema([("root", pa.binary()), ("node", pa.binary()), ("copies", pa.int64()), ("set", pa.binary())])
 
@@ -199,7 +202,9 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, t
             yield text.batch_of(schema, b.column("root").filter(keep), b.column("node").filter(keep), b.column("copies").filter(keep), [s.tobytes() for s, k in zip(made, same) if k])
 
     # candidates grow with the documents, so they are never broadcast, not even where they happen to be few
-    chosen = rows.join(members.withColumnRenamed("first", "doc_id").hint("merge"), "doc_id").select("root", "node", "copies", "text")
+    wanted = rows.join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))).select("root", "node", "again", "copies", "text")
+    once = wanted.where("again").groupBy("root", "node", "copies").agg(F.min("text").alias("text"))  # rows that repeat id and text
+    chosen = wanted.where("NOT again").drop("again").unionByName(once)
     made = chosen.mapInArrow(sets, "root binary, node binary, copies long, set binary").join(groups, "root")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
@@ -207,12 +212,13 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, t
     checked = cut(verify(blocks, threshold))
     links = checked.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(checked.where("b is not null").select("a", "b"))
-    classes = roots.join(texts, roots["node"] == texts["digest"]).groupBy("root").agg(F.min("first").alias("class_id"))
-    linked = roots.join(classes, "root").select(F.col("node").alias("digest"), "class_id").join(links, "digest")
+    classes = roots.join(texts, roots["node"] == texts["digest"]).groupBy("root").agg(F.min("first").alias("class"))
+    linked = roots.join(classes, "root").select(F.col("node").alias("digest"), "class").join(links, "digest")
     told = texts.select("digest", "first", "copies").join(linked, "digest", "left")
     empty = F.col("n_shingles") == 0
     out = found.select("doc_id", "text_hash", "digest", "n_shingles").join(told, "digest")
     return out.select(
-        "doc_id", "text_hash", F.when(empty, F.col("doc_id")).otherwise(F.coalesce("class_id", "first")).alias("class_id"),
+        "doc_id", "text_hash", F.when(empty, F.col("doc_id")).otherwise(F.coalesce("class", "first")["doc_id"]).alias("class_id"),
+        F.when(empty, F.col("text_hash")).otherwise(F.coalesce("class", "first")["text_hash"]).alias("class_hash"),
         F.when(empty, 0).otherwise(F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_texts"), F.when(empty, 1).otherwise(F.col("copies")).cast("long").alias("n_copies"))

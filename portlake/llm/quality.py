@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import linear, text
 
 #: The fit: so many labelled rows of each label, chosen by a hash of the id.
@@ -29,11 +30,6 @@ _FIRST = (np.arange(256) & 0xC0) != 0x80  # the first byte of a code point
 _MASK = np.uint64(DIMS - 1)
 
 
-def _sums(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.float64)])
-    return total[ends] - total[starts]
-
-
 class Slice:
     """Texts of a slice as one run of bytes and one run of words, with what the rules and features need."""
 
@@ -50,8 +46,8 @@ class Slice:
         at = (self.byte_starts, self.byte_ends)
         return {
             "n_words": self.ends - self.starts,
-            "word_chars": _sums(_FIRST[self.bytes] & ~_SPACE[self.bytes], *at).astype(np.int64),
-            "n_symbols": _sums(_SYMBOL[self.bytes], *at).astype(np.int64),
+            "word_chars": text.sums(_FIRST[self.bytes] & ~_SPACE[self.bytes], *at).astype(np.int64),
+            "n_symbols": text.sums(_SYMBOL[self.bytes], *at).astype(np.int64),
             "n_dup_lines": np.array([duplicate_lines(t) for t in self.texts], np.int64),
             "n_repeat_words": self.repeated(5),
         }
@@ -73,7 +69,7 @@ class Slice:
         begin = inside[twice]
         np.add.at(steps, begin, 1)
         np.add.at(steps, begin + n, -1)
-        return _sums(np.cumsum(steps[:-1]) > 0, self.starts, self.ends).astype(np.int64)
+        return text.sums(np.cumsum(steps[:-1]) > 0, self.starts, self.ends).astype(np.int64)
 
     def features(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each kind: hashed values in a row, and where each text's values start and end."""
@@ -95,7 +91,7 @@ class Slice:
     def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
         z = np.full(len(self.ends), bias)
         for values, starts, ends in self.features():
-            z += _sums(weights[values], starts, ends) / np.maximum(1, ends - starts)
+            z += text.sums(weights[values], starts, ends) / np.maximum(1, ends - starts)
         return z
 
     def sparse(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -119,11 +115,14 @@ def duplicate_lines(data: bytes) -> int:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, salt: str) -> DataFrame:
-    """(text, label, h): at most `rows` labelled documents of each label, chosen by a hash of the id."""
-    marked = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"), F.xxhash64(F.lit(salt), "doc_id").alias("h"))
-    chosen = [marked.where(F.col("label") == k).orderBy("h", "doc_id").limit(rows) for k in (0, 1)]
-    picked = chosen[0].unionAll(chosen[1])
-    return docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")).join(picked, "doc_id").select("text", "label", "h")
+    """(text, label, h): at most `rows` labelled documents of each label, chosen by a hash of the id; written, so that the fit
+    reads these rows only.  Of rows that repeat an id, the smallest text counts."""
+    spark = docs.sparkSession
+    marked = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"), F.xxhash64(F.lit(salt), "doc_id").alias("h")).distinct()
+    picked = [tuple(r) for k in (0, 1) for r in text.smallest(marked.where((F.col("label") == k) & F.col("doc_id").isNotNull()), rows, "doc_id")]
+    few = spark.createDataFrame(picked, marked.schema).distinct()  # at most 2 x `rows` rows
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(few), "doc_id")
+    return cut(found.groupBy("doc_id", "label", "h").agg(F.min("text").alias("text")).select("text", "label", "h"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> dict | None:
@@ -149,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         a, b0 = linear.calibrate(z, y[part])
         yield text.batch_of(pa.schema([("w", pa.binary()), ("bias", pa.float64()), ("a", pa.float64()), ("b", pa.float64())]), [w.astype(np.float32).tobytes()], [bias], [a], [b0])
 
-    got = sample(docs, labels, label, rows, "quality").coalesce(1).sortWithinPartitions("h").mapInArrow(run, "w binary, bias double, a double, b double").first()
+    got = sample(docs, labels, label, rows, "quality").repartition(1).sortWithinPartitions("h", "label", "text").mapInArrow(run, "w binary, bias double, a double, b double").first()
     return got and {"w": bytes(got["w"]), "bias": got["bias"], "a": got["a"], "b": got["b"]}
 
 
@@ -166,7 +165,7 @@ def assess(docs: DataFrame, model: dict | None, keep_at: float = KEEP_AT, id_col
     def run(batches):
         weights = np.frombuffer(sent.value["w"], np.float32) if sent.value else None
         hashes = text.plain_hash()
-        for b in text.slices(batches, 4 << 20):
+        for b in text.slices(batches, 1 << 20):
             s = Slice(b.column("text"), hashes)
             counts = s.counts()
             n, again = counts["n_words"], counts["n_repeat_words"]

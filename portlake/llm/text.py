@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 8 << 20
 CACHE_WORDS = 400_000
+#: Longer keys are worked out each time they come, so a table of keys has a bound in bytes.
+KEY_BYTES = 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,24 +114,34 @@ def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 class WordTable:
-    """A number for each distinct word, computed once per worker while the table has room."""
+    """A number for each distinct word, computed once per task while the table has room; words above `KEY_BYTES` are never kept."""
 
     def __init__(self, value, dtype, limit: int = CACHE_WORDS):
         self.value, self.dtype, self.limit, self.known = value, dtype, limit, {}
 
     def values(self, words: list[bytes]) -> list:
-        new = [w for w in words if w not in self.known]
+        new = [w for w in words if w not in self.known and len(w) <= KEY_BYTES]
         if len(new) + len(self.known) > self.limit:
             self.known, old = {}, self.known
             self.known.update([(w, old[w]) for w in words if w in old])
-        value = self.value
-        self.known.update([(w, value(w)) for w in new])
-        return [self.known[w] for w in words]
+        value, known = self.value, self.known
+        known.update([(w, value(w)) for w in new])
+        return [known[w] if w in known else value(w) for w in words]
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         return np.array(self.values(words), self.dtype)
 
 
+def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of stretches of `values`, each on its own, so that a sum doesn't depend on what stands beside it."""
+    out = np.zeros(len(ends))
+    some = np.flatnonzero(ends > starts)
+    if len(some):
+        cuts = np.stack([starts[some], ends[some]], 1).ravel()
+        out[some] = np.add.reduceat(np.append(values.astype(np.float64), 0.0), cuts)[::2]
+    return out
+
+
 def plain_hash() -> WordTable:
     """64-bit hashes of words as they stand."""
     return WordTable(xxhash.xxh3_64_intdigest, np.uint64)

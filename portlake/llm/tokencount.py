@@ -59,7 +59,7 @@ class PreTokens:
         doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         pairs, times = np.unique(doc * len(keys) + code, return_counts=True)
         doc, code = np.divmod(pairs, max(1, len(keys)))
-        if len(self.known) > self.limit:
+        if len(self.known) + len(keys) > self.limit:
             self.known = {k: self.known[k] for k in keys if k in self.known}
         number: dict[str, int] = {}
         flat: list[int] = []
@@ -72,7 +72,9 @@ class PreTokens:
                 if self.rule == "spaced" and body.isalpha() and max(body) < _BEYOND:
                     parts = (word,)  # letters only: one pre-token
                 else:
-                    parts = self.known[key] = self.cut(word)
+                    parts = self.cut(word)
+                    if len(key) <= text.KEY_BYTES:
+                        self.known[key] = parts
             sizes[k] = len(parts)
             flat += [number.setdefault(p, len(number)) for p in parts]
         begin, size = np.cumsum(sizes) - sizes, sizes[code]

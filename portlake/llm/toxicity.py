@@ -88,8 +88,7 @@ def toxic_features(counts: np.ndarray, docs_: np.ndarray) -> np.ndarray:
 def summary(one: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each text: log of the expected toxic words, of their share, and the log odds of the most toxic word."""
     starts = text.starts_of(ends)
-    total = np.concatenate([[0.0], np.cumsum(one)])
-    mass = np.maximum(total[ends] - total[starts], 0)
+    mass = text.sums(one, starts, ends)
     top = np.zeros(len(ends))
     some = ends > starts
     if some.any():
@@ -110,9 +109,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
     toxic = docs.sparkSession.sparkContext.broadcast(np.packbits(toxic_features(counts, docs_)).tobytes())
     h = F.xxhash64(F.lit("toxicity"), "doc_id")
     ids = known.select("doc_id", "label", h.alias("h"))
-    # a text is taken by its id; the two samples are small and are joined back to their texts
-    chosen = [ids.where(F.col("label") == k).orderBy("h", "doc_id").limit(rows) for k in (0, 1)]
-    sample = known.join(chosen[0].unionAll(chosen[1]).select("doc_id", "h").distinct(), "doc_id")
+    # a text is taken by its id (of rows that repeat one, the smallest text); the sample is written, so that the fit reads these rows only
+    chosen = [tuple(r) for k in (0, 1) for r in text.smallest(ids.where((F.col("label") == k) & F.col("doc_id").isNotNull()), rows, "doc_id")]
+    few = docs.sparkSession.createDataFrame(chosen, ids.schema).distinct()  # at most 2 x `rows` rows
+    sample = cut(known.join(F.broadcast(few), ["doc_id", "label"]).groupBy("doc_id", "label", "h").agg(F.min("text").alias("text")))
     names = ("w", "bias", "start", "trans", "theta")
 
     def run(batches):
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
         theta = linear.fit_dense(summary(one, np.cumsum(sizes[rest])), y[rest])
         yield text.batch_of(pa.schema([(n, pa.binary()) for n in names]), *[[np.asarray(v, np.float64).tobytes()] for v in (w, bias, start, trans, theta)])
 
-    got = sample.select("text", "label", "h").coalesce(1).sortWithinPartitions("h").mapInArrow(run, ", ".join(f"{n} binary" for n in names)).first()
+    got = sample.select("text", "label", "h").repartition(1).sortWithinPartitions("h", "label", "text").mapInArrow(run, ", ".join(f"{n} binary" for n in names)).first()
     if not got:
         return None
     model = {n: np.frombuffer(bytes(got[n]), np.float64) for n in names}

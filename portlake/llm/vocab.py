@@ -23,7 +23,7 @@ from . import text
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Text dealt with at a time, and distinct words whose ids a worker keeps; both set its memory.
+#: Text dealt with at a time, and distinct words (of at most `text.KEY_BYTES`) whose ids a worker keeps; both set its memory.
 SLICE_BYTES, KNOWN_WORDS = 6 << 20, 400_000
 _WHITE = rb"[ \n\t\r\x0b\x0c]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 _RUN = re.compile(rb"[ \n](?:" + _WHITE + rb")|(?:" + _WHITE + rb")[ \n]")
@@ -141,6 +141,8 @@ class Tokens:
         """Ids of distinct stretches of text; when there is no room, only what these use stays known."""
         known = self.known
         new = {w for w in words if w not in known}
+        long = [w for w in new if len(w) > text.KEY_BYTES]  # among them texts that could not be cut
+        new.difference_update(long)
         if len(new) + len(known) > self.limit:
             stay = [(w, known[w]) for w in words if w in known]
             known.clear()
@@ -149,7 +151,8 @@ class Tokens:
         known.update(zip(after, self._word_ids(after)))
         other = list(new.difference(after))
         known.update(zip(other, self._ids([w.decode("utf-8", "replace") for w in other])))
-        return [known[w] for w in words]
+        once = dict(zip(long, self._ids([w.decode("utf-8", "replace") for w in long])))
+        return [known[w] if len(w) <= text.KEY_BYTES else once[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids end."""

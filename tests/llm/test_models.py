@@ -131,3 +131,97 @@ def test_awkward_toxicity(spark):
     assert told.predicted == 1 and [(s.begin, s.end) for s in told.spans] == [(7, 13)]
     assert toxicity.fit(learn, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0} and toxicity.score(docs.limit(0), model).count() == 0
+
+
+def small(spark):
+    """Every 7th text of the table, with awkward ones: enough for results by hand."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id % 7 = 0").select("doc_id", "text")
+    odd = odd_docs(spark)[0].where("doc_id <> 4").select((F.col("doc_id") + 100_000).alias("doc_id"), "text")  # id 4 has three texts
+    return docs.unionByName(odd)
+
+
+def test_languages_equal_compressing_by_hand(spark):
+    """Each text alone, piece by piece, with each dictionary alone: the smallest sum wins, narrow ones are rejected."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    known = langid.fit(docs.where(text.in_fold()))
+    params = langid.zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    body = {r.doc_id: (r.text or "").encode() for r in small(spark).collect() if r.doc_id is not None}
+    for r in langid.classify(small(spark).where("doc_id is not null").dropDuplicates(["doc_id"]).join(spark.createDataFrame([(d,) for d in body], "doc_id long"), "doc_id"), known, keep=("text",)).collect():
+        plain = b" ".join(w for w in re.split(rb"[^a-z\x80-\xff]+", (r.text or "").encode().lower()) if w)
+        size = {}
+        for lang, data in known.items():
+            fresh = lambda: langid.zstandard.ZstdCompressor(dict_data=langid.zstandard.ZstdCompressionDict(data, dict_type=langid.zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)  # noqa: E731, B023
+            size[lang] = sum(len(fresh().compress(plain[k : k + langid.PIECE])) for k in range(0, len(plain), langid.PIECE))
+        if not any(c.isalpha() for c in plain.decode()):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        least, second = sorted((n, lang) for lang, n in size.items())[:2]
+        assert r.lang_pred == least[1] and r.rejected == (1 - least[0] / second[0] < langid.MARGIN)
+
+
+def test_quality_verdicts_equal_the_model_by_hand(spark):
+    """Features, probability and verdict of each text alone, from the written weights."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.fit(docs, labels)
+    w = np.frombuffer(model["w"], np.float32).astype(np.float64)
+    for r in quality.assess(small(spark), model, keep=("text",)).collect():
+        (index, share), = quality.Slice(pa.array([(r.text or "").encode()], pa.binary()), text.plain_hash()).sparse()
+        p = 1 / (1 + np.exp(-(model["a"] * (w[index] @ share + model["bias"]) + model["b"])))
+        words = base_counts(r.text)
+        failed = words[0] < 10 or 100 * words[4] > 20 * words[0]
+        assert abs(p - r.quality) < 1e-5 and r.base_failed == failed and (r.kept == (not failed and p >= 0.5) or abs(p - 0.5) < 1e-5)
+
+
+def test_toxicity_equals_the_field_by_hand(spark):
+    """Forward and backward sums of each text alone, word by word, and the score from them."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.fit(docs.select("doc_id", "text").where(text.in_fold()), labels)
+    start, trans = model["start"], model["trans"]
+    for r in toxicity.score(small(spark).where("length(text) < 20000 or text is null"), model).join(small(spark), "doc_id").collect():
+        words = WORD.findall(r.text or "")
+        emit = [np.array([1.0, np.exp(model["w"][np.frombuffer(toxicity.word_features(w.encode()), np.uint32)].sum() + model["bias"])]) for w in words]
+        ahead, behind = [], [np.ones(2)]
+        for k, e in enumerate(emit):
+            f = (start if k == 0 else ahead[-1] @ trans) * e
+            ahead.append(f / f.sum())
+        for e in reversed(emit[1:]):
+            b = trans @ (e * behind[0])
+            behind.insert(0, b / b.sum())
+        one = np.array([(f * b)[1] / (f @ b) for f, b in zip(ahead, behind)]) if words else np.zeros(0)
+        s = toxicity.summary(one, np.array([len(one)]))
+        want = linear.sigmoid(np.append(s[0], 1.0) @ model["theta"])
+        assert abs(want - r.score) < 1e-6 and (r.predicted == (want >= toxicity.PREDICT_AT) or abs(want - toxicity.PREDICT_AT) < 1e-6)
+
+
+def test_scores_do_not_depend_on_the_batch(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model, toxic = quality.fit(docs, labels), toxicity.fit(docs.select("doc_id", "text"), labels)
+    both = []
+    for parts in (1, 13):
+        dealt = small(spark).where("doc_id is not null").repartition(parts)
+        both.append((sorted(map(tuple, quality.assess(dealt, model).collect())), sorted((r.doc_id, r.score) for r in toxicity.score(dealt, toxic).collect())))
+    assert both[0][0] == both[1][0] and np.allclose([s for _, s in both[0][1]], [s for _, s in both[1][1]], rtol=0, atol=1e-12)
+
+
+def test_fits_read_their_sample_only(spark):
+    """The one-task fit reads written rows, no more than the sample; the scan and the join before it stay parallel."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    got = quality.sample(docs, labels, "quality", 30, "quality")
+    assert "Join" not in got._jdf.queryExecution().toString() and sorted(r["count"] for r in got.groupBy("label").count().collect()) == [30, 30]
+    repeated = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat("text", F.lit(" x"))))
+    assert sorted(r["count"] for r in quality.sample(repeated, labels.unionByName(labels), "quality", 30, "quality").groupBy("label").count().collect()) == [30, 30]
+
+
+def test_smallest_rows(spark):
+    rows = spark.range(20_000).withColumn("h", F.xxhash64("id"))
+    want = [r.id for r in rows.orderBy("h").limit(25).collect()]
+    assert [r.id for r in text.smallest(rows, 25, "id")] == want
+    assert len(text.smallest(rows.limit(7), 25, "id")) == 7 and text.smallest(rows.limit(0), 25, "id") == []
+    one = spark.range(5000).select(F.lit(3).alias("id"), F.xxhash64(F.lit(3)).alias("h")).unionByName(rows.limit(10))
+    assert len(text.smallest(one, 300, "id")) == 300
+
+
+def test_word_tables_keep_short_words_only():
+    table = text.plain_hash()
+    long = b"x" * 5000
+    assert table([long, b"a", long])[0] == table([long])[0] and set(table.known) == {b"a"}

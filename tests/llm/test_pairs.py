@@ -90,6 +90,49 @@ def test_awkward_join(spark):
     assert ngram_join.similar(docs.limit(0)).count() == 0
 
 
+def by_row(rows, threshold=0.8, n=5):
+    """(id, text, class id, links, texts, copies) of every row, rows compared with rows."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
+    linked = lambda a, b: sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])
+    near = [[b for b in range(len(rows)) if b != a and linked(a, b)] for a in range(len(rows))]
+    out = []
+    for a, (d, t) in enumerate(rows):
+        reached, todo = {a}, [a]
+        while todo:
+            new = set(near[todo.pop()]) - reached
+            reached |= new
+            todo += new
+        ids = [rows[b][0] for b in reached if rows[b][0] is not None]
+        out.append((d, t, min(ids, default=None), len(near[a]), len({sets[b] for b in near[a]} - {sets[a]}), 1 + sum(sets[b] == sets[a] for b in near[a])))
+    return sorted(out, key=repr)
+
+
+def test_repeated_and_missing_ids(spark):
+    """Rows that repeat an id next to a near copy, one id for several texts, and near copies that only rows without an id carry."""
+    w = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(w), " ".join([*w, "x"]), " ".join(["y", *w])
+    p, q = " ".join(f"p{k}" for k in range(50)), " ".join(f"p{k}" for k in range(51))
+    rows = [(1, a), (1, a), (3, b), (None, c), (None, a), (None, a), (7, b), (7, p), (None, q), (None, None), (8, "alone here"), (None, "no id at all but the same")] + [(None, "z " + " ".join(w[20:50])), (None, " ".join(w[20:50]) + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = {r.text_hash: r.text for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).distinct().collect()}
+    got = [(r.doc_id, names[r.text_hash], r.class_id, r.n_links, r.n_texts, r.n_copies) for r in ngram_join.similar(docs).collect()]
+    assert sorted(got, key=repr) == by_row(rows)
+    kept = corpus_pipeline.near_duplicates(spark, docs.withColumn("lang", F.lit("en")), SMALL).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == [(1, a), (7, p), (8, "alone here")]
+    assert len([r for r in kept if r.doc_id is None]) == 3  # no text, the lone one, and one of the two near copies
+
+
+def test_many_repeats_cost_no_pairs(spark):
+    """2,000 rows under one id and a near copy of them: links by row, work by text."""
+    w = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(w))] * 2000 + [(2, " ".join([*w, "x"]))]
+    got = {(r.doc_id, r.n_links, r.n_texts, r.n_copies, r.class_id) for r in ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 2000, 1, 2000, 1), (2, 2000, 1, 1, 1)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 50)] + [(200 + rng.randrange(40), 200 + rng.randrange(40)) for _ in range(25)]

@@ -106,3 +106,19 @@ def test_packing(spark):
     assert [r.length for r in by_length] == sorted((r.length for r in got), reverse=True)
     assert packing.pack(docs.limit(0), public_tokenizers.path(BYTE), end_id=0).count() == 0
     assert len(ODD) == len(rows) - 3
+
+
+def test_caches_hold_no_long_stretches():
+    """Texts that cannot be cut go through the library whole and leave nothing behind."""
+    import pyarrow as pa
+
+    from portlake.llm import text, tokencount, vocab
+
+    texts = [f"a  text that is {k} not cut because of its double space, and longer than any word" for k in range(50)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        model, counts = vocab.Tokens(path, 1000), tokencount.PreTokens(path)
+        ids, ends = model.encode(pa.array([t.encode() for t in texts], pa.binary()))
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [ids_of(name, t) for t in texts]
+        counts.count(pa.array([t.encode() for t in texts], pa.binary()))
+        assert all(len(k) <= text.KEY_BYTES for k in [*model.known, *counts.known])
