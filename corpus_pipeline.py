@@ -35,10 +35,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that with the smallest doc_id.
 
-    Of rows that repeat its id and text, the first by their other columns stays.  A document without an id has no class and
-    stays, once for each text.
+    Of rows that repeat its id and text, the first by their other columns stays.  Of a class without ids one text stays.
     """
-    first = ngram_join.similar(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_hash").distinct()
+    told = ngram_join.similar(docs)
+    first = told.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))).select("doc_id", "text_hash").distinct()
     first = first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     hashed = docs.withColumn("_text", text.text_hash())
     stay = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
