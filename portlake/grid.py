@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import cut
@@ -164,25 +164,72 @@ def near_segments(points: DataFrame, segs: DataFrame, group: Sequence[str], reac
 AREA_LEVELS = 4
 
 
+def edge_cells(rings: DataFrame, group: Sequence[str], area: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An index of ring edges: the frame of each area, its edges by the cells they touch, its edges by the middle lines they cross.
+
+    Each area has a grid of its own, from its corner (ox, oy), whose steps hx and hy are its mean edge's extents along the two axes.
+    So n edges touch some 4 n cells and cross some n middle lines, whatever the area's shape.
+    """
+    group = list(group)
+    rings = rings.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL").select(*group, area, "x1", "y1", "x2", "y2")
+    along = lambda c: F.sum(F.abs(F.col(f"{c}2") - F.col(f"{c}1"))) / F.count(F.lit(1))
+    lo, hi = (lambda c: F.min(F.least(f"{c}1", f"{c}2"))), (lambda c: F.max(F.greatest(f"{c}1", f"{c}2")))
+    step = lambda c: F.when(along(c) > 0, along(c)).otherwise(1.0)
+    frame = rings.groupBy(*group, area).agg(
+        lo("x").alias("ox"), lo("y").alias("oy"), hi("x").alias("ex"), hi("y").alias("ey"), step("x").alias("hx"), step("y").alias("hy"))
+    edges = cut(rings.join(frame, [*group, area]))
+    frame = cut(frame)
+    row = lambda y: F.floor((y - F.col("oy")) / F.col("hy"))
+    column = lambda x: F.floor((x - F.col("ox")) / F.col("hx"))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    slack = 1e-6  # of a cell, for what rounding may shift
+    spread = edges.withColumn("cy", F.explode(F.sequence(row(low - slack * F.col("hy")), row(high + slack * F.col("hy")))))
+    flat = F.col("y1") == F.col("y2")
+    part = lambda y: F.when(flat, F.col("x1")).otherwise(F.col("x1") + F.try_divide((F.col("x2") - F.col("x1")) * (F.greatest(low, F.least(high, y)) - F.col("y1")), F.col("y2") - F.col("y1")))
+    begin, end = part(F.col("oy") + (F.col("cy") - slack) * F.col("hy")), F.when(flat, F.col("x2")).otherwise(part(F.col("oy") + (F.col("cy") + 1 + slack) * F.col("hy")))
+    cells = spread.withColumn("cx", F.explode(F.sequence(column(F.least(begin, end) - slack * F.col("hx")), column(F.greatest(begin, end) + slack * F.col("hx")))))
+    middle = F.col("oy") + (F.col("cy") + 0.5) * F.col("hy")
+    lines = spread.withColumn("ym", middle).where((F.col("y1") > F.col("ym")) != (F.col("y2") > F.col("ym"))).select(*group, area, "cy", _meets("ym").alias("x"))
+    return frame, cells.select(*group, area, "cx", "cy", "x1", "y1", "x2", "y2"), lines
+
+
+def _meets(y: str) -> Column:
+    """Where the line through an edge is at height `y`."""
+    return F.try_divide((F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
+
+
 def inside_areas(points: DataFrame, rings: DataFrame, group: Sequence[str], key: str, area: str, size: float = 1000.0) -> DataFrame:
     """(`key`, `area`) for every point that lies in an area of its group by the even-odd rule over all its rings.
 
-    `rings` has the ring segments x1, y1, x2, y2 of each area; a hole is one more ring.  A large area is looked up in larger cells, so
-    that it is repeated over a bounded number of them; the crossings of a point are counted, never gathered."""
+    `rings` has the ring segments x1, y1, x2, y2 of each area; a hole is one more ring, every ring is closed.  A large area is looked up
+    in larger cells, so that it is repeated over a bounded number of them.  A point asks the edges of its own cell only: the
+    crossings right of the middle of each asked cell come from one running count over the middle line, and the way from a point
+    to that middle, along y and then along x, stays in the cell.  A point on an edge may count as inside or not; its distance is 0
+    in either case.
+    """
     group = list(group)
-    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    box = rings.groupBy(*group, area).agg(
-        F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x1"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y1"))
+    frame, cells, lines = edge_cells(rings, group, area)
+    side = F.greatest(F.col("ex") - F.col("ox"), F.col("ey") - F.col("oy"))
     level = F.greatest(F.lit(0.0), F.least(F.lit(float(AREA_LEVELS - 1)), F.ceil(F.log(16.0, F.greatest(side, F.lit(1.0)) / (16 * size)))))
-    box = box.withColumn("lv", level.cast("int")).withColumn("step", size * F.pow(F.lit(16.0), F.col("lv")))
+    box = frame.withColumn("lv", level.cast("int")).withColumn("step", size * F.pow(F.lit(16.0), F.col("lv")))
     at = lambda c: F.floor(F.col(c) / F.col("step")).cast("long")
-    box = box.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    box = box.withColumn("bx", F.explode(F.sequence(at("ox"), at("ex")))).withColumn("by", F.explode(F.sequence(at("oy"), at("ey")))).drop("step")
     levels = F.array(*[F.struct(F.lit(k).alias("lv"), F.lit(size * 16.0**k).alias("step")) for k in range(AREA_LEVELS)])
     probe = points.select(key, *group, F.col("x").alias("px"), F.col("y").alias("py"), F.explode(levels).alias("l")).select("*", "l.lv", "l.step").drop("l")
-    probe = probe.withColumns({"cx": at("px"), "cy": at("py")}).drop("step")
-    cand = probe.join(box.drop("step"), [*group, "lv", "cx", "cy"]).where("px between x0 and x1 and py between y0 and y1").select(key, *group, area, "px", "py")
-    lines = rings.select(*group, area, "x1", "y1", "x2", "y2")
-    crossing = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (
-        F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hits = cand.join(lines, [*group, area]).where(crossing).groupBy(key, *group, area).agg(F.count(F.lit(1)).alias("n"))
-    return hits.where("n % 2 = 1").select(key, area)
+    probe = probe.withColumns({"bx": at("px"), "by": at("py")}).drop("step")
+    held = probe.join(box, [*group, "lv", "bx", "by"]).where("px between ox and ex and py between oy and ey")
+    held = held.withColumns({"cx": F.floor((F.col("px") - F.col("ox")) / F.col("hx")), "cy": F.floor((F.col("py") - F.col("oy")) / F.col("hy"))})
+    held = cut(held.withColumns({"xm": F.col("ox") + (F.col("cx") + 0.5) * F.col("hx"), "ym": F.col("oy") + (F.col("cy") + 0.5) * F.col("hy")})
+               .select(key, *group, area, "px", "py", "cx", "cy", "xm", "ym"))
+    # crossings right of each middle: a running count from the right, middles before crossings at the same x
+    asked = held.select(*group, area, "cy", "cx", F.col("xm").alias("x")).distinct()
+    line = Window.partitionBy(*group, area, "cy").orderBy(F.col("x").desc(), F.col("hit")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = asked.withColumn("hit", F.lit(0)).unionByName(lines.select(*group, area, "cy", F.lit(None).cast("long").alias("cx"), "x", F.lit(1).alias("hit")))
+    right = marks.withColumn("right", F.sum("hit").over(line)).where("hit = 0").select(*group, area, "cx", "cy", (F.col("right") % 2).alias("odd"))
+    # crossings on the way to the middle, by the edges of the cell
+    level = F.try_divide((F.col("y2") - F.col("y1")) * (F.col("px") - F.col("x1")), F.col("x2") - F.col("x1")) + F.col("y1")
+    up = ((F.col("x1") > F.col("px")) != (F.col("x2") > F.col("px"))) & ((level > F.col("py")) != (level > F.col("ym")))
+    over = ((F.col("y1") > F.col("ym")) != (F.col("y2") > F.col("ym"))) & ((F.col("px") < _meets("ym")) != (F.col("xm") < _meets("ym")))
+    flips = held.join(cells, [*group, area, "cx", "cy"]).groupBy(key, *group, area, "px", "py").agg((F.sum(up.cast("int") + over.cast("int")) % 2).alias("flip"))
+    told = held.join(right, [*group, area, "cx", "cy"]).join(flips, [key, *group, area, "px", "py"], "left")
+    return told.where((F.col("odd") + F.coalesce("flip", F.lit(0))) % 2 == 1).select(key, area)

@@ -262,8 +262,8 @@ def _(v):
         "n_r500", "n_r1000", "nn"), 3)
 
 
-# areas: squares around every 25th object, each third with a square hole; the distance of a point to such a square is closed
-_AREAS = """, ar AS (SELECT object_id AS area_id, port, x AS ax, y AS ay, 600.0 * (1 + object_id % 4) AS h, CASE WHEN object_id % 3 = 0 THEN 150.0 * (1 + object_id % 4) ELSE 0.0 END AS hole, CASE WHEN object_id % 2 = 0 THEN 'basin' ELSE 'dock' END AS kind FROM objects WHERE object_id % 25 = 0),
+# areas: squares around every object, each third with a square hole; the distance of a point to such a square is closed
+_AREAS = """, ar AS (SELECT object_id AS area_id, port, x AS ax, y AS ay, 600.0 * (1 + object_id % 4) AS h, CASE WHEN object_id % 3 = 0 THEN 150.0 * (1 + object_id % 4) ELSE 0.0 END AS hole, CASE WHEN object_id % 2 = 0 THEN 'basin' ELSE 'dock' END AS kind FROM objects),
  p AS (SELECT o.object_id, ar.*, greatest(abs(o.x - ax), abs(o.y - ay)) AS c, greatest(abs(o.x - ax) - h, 0.0) AS ox, greatest(abs(o.y - ay) - h, 0.0) AS oy FROM objects o JOIN ar USING (port)),
  d AS (SELECT object_id, area_id, kind, CASE WHEN c < hole THEN hole - c WHEN c <= h THEN 0.0 ELSE sqrt(ox*ox + oy*oy) END AS dist FROM p)"""
 
@@ -271,7 +271,7 @@ _AREAS = """, ar AS (SELECT object_id AS area_id, port, x AS ax, y AS ay, 600.0
 def areas(v):
     """Ring segments of the squares and their holes."""
     k = F.col("object_id") % 4 + 1
-    a = v.objects.where("object_id % 25 = 0").select(
+    a = v.objects.select(
         F.col("object_id").alias("area_id"), "port", "x", "y", F.when(F.col("object_id") % 2 == 0, "basin").otherwise("dock").alias("kind"),
         F.explode(F.when(F.col("object_id") % 3 == 0, F.array(600.0 * k, 150.0 * k)).otherwise(F.array(600.0 * k))).alias("h"))
     corners = [(-1, -1), (1, -1), (1, 1), (-1, 1)]

@@ -141,3 +141,61 @@ def test_traffic_field_from_positions(spark):
     assert got and sum(r.points for r in got) <= 118
     for r in got:
         assert min(r.direction_deg, 180 - r.direction_deg) < 1 and 103.75 < r.cell_lon < 104.0 and abs(r.cell_lat - 1.2) < 0.05 and r.anisotropy > 100
+
+
+def loop(points):
+    """Edges of a closed ring."""
+    return [(*a, *b) for a, b in zip(points, [*points[1:], points[0]])]
+
+
+def brute_inside(x, y, edges):
+    """Even-odd rule by a ray to the right, over all edges."""
+    e = np.array(edges)
+    straddle = (e[:, 1] > y) != (e[:, 3] > y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        meets = (e[:, 2] - e[:, 0]) * (y - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0]
+    return bool((straddle & (x < meets)).sum() % 2)
+
+
+def shapes():
+    rng = np.random.default_rng(8)
+    out = {}
+    for k in range(6):  # stars of very different sizes, each with a hole
+        turn = np.sort(rng.uniform(0, 2 * np.pi, 40 + 30 * k))
+        r = 10.0 ** (1 + k) * rng.uniform(0.4, 1, len(turn))
+        star = np.stack([50 * k + r * np.cos(turn), r * np.sin(turn)], 1).tolist()
+        out[f"star{k}"] = loop(star) + loop([(50 * k + 0.1 * x, 0.1 * y) for x, y in zip(r * np.cos(turn), r * np.sin(turn))])
+    teeth = []
+    for k in range(150):  # a comb: every edge spans the whole height
+        teeth += [(10.0 * k, 0.0), (10.0 * k + 3, 1000.0), (10.0 * k + 6, 1000.0), (10.0 * k + 7, 0.0)]
+    out["comb"] = loop([*teeth, (1500.0, -5.0), (0.0, -5.0)])
+    t = np.linspace(0, 2 * np.pi, 1500, endpoint=False)  # a ragged coast, and one long edge that closes it
+    out["coast"] = loop([*zip((4000 * t / 6.3).tolist(), (300 * np.sin(5 * t) + rng.normal(0, 20, len(t))).tolist()), (4000.0, 5000.0), (0.0, 5000.0)])
+    out["flat"] = loop([(0.0, 0.0), (100.0, 0.0), (50.0, 0.0)])
+    out["line"] = loop([(5.0, 0.0), (5.0, 10.0)])
+    out["grid"] = loop([(0.0, 0.0), (0.0, 64.0), (64.0, 64.0), (64.0, 32.0), (32.0, 32.0), (32.0, 0.0)])  # vertices on cell borders
+    return out
+
+
+def test_areas_of_all_shapes(spark):
+    from portlake.grid import inside_areas
+
+    rng = np.random.default_rng(9)
+    xy = np.concatenate([rng.normal(0, 10.0**k, (60, 2)) for k in range(1, 7)] + [rng.uniform((-50, -350), (4100, 1100), (400, 2)), rng.uniform(0, 64, (60, 2)), np.repeat([[7.5, 8.25]], 30, 0)])
+    held = shapes()
+    rings = spark.createDataFrame([("g", a, *map(float, e)) for a, edges in held.items() for e in edges] + [("h", "star1", *map(float, e)) for e in held["star0"]], "p string, a string, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([("g", k, float(x), float(y)) for k, (x, y) in enumerate(xy)] + [("none", 10_000, 0.0, 0.0), ("g", 10_001, None, 0.0)], "p string, k long, x double, y double")
+    want = {(k, a) for k, (x, y) in enumerate(xy) for a, edges in held.items() if brute_inside(x, y, edges)}
+    assert {tuple(r) for r in inside_areas(points, rings, ["p"], "k", "a").collect()} == want
+    assert inside_areas(points.limit(0), rings, ["p"], "k", "a").count() == inside_areas(points, rings.limit(0), ["p"], "k", "a").count() == 0
+
+
+def test_area_index_grows_with_the_edges(spark):
+    """Rows for each edge: a few cells and middle lines, for smooth, ragged and comb-shaped areas, and few edges a cell."""
+    from portlake.grid import edge_cells
+
+    for name, edges in shapes().items():
+        rings = spark.createDataFrame([("g", name, *map(float, e)) for e in edges], "p string, a string, x1 double, y1 double, x2 double, y2 double")
+        _, cells, lines = edge_cells(rings, ["p"], "a")
+        assert cells.count() <= 6 * len(edges) + 20 and lines.count() <= 2 * len(edges) + 20, name
+        assert cells.groupBy("cx", "cy").count().agg({"count": "max"}).first()[0] <= 60, name
