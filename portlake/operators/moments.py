@@ -1,7 +1,8 @@
 """Additive moments per (port, class) and the linear models that follow from them.
 
-One scan gives n, the sum of x and the sum of x x' for every (port, class).  The moments of a fold are the totals
-minus those of the ports it leaves out, so all folds, inner folds, penalties and feature blocks share that scan.
+One scan gives n, the sum of x and the sum of x x' for every (port, class), the latter as the packed upper triangle.  The
+moments of a fold are the totals minus those of the ports it leaves out, so all folds, inner folds, penalties and feature
+blocks share that scan.  A fold is a row of names: the moments themselves reach the tasks once, not once a fold.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ HELD_GROUPS = 2048
 
 
 def sufficient_stats(df: DataFrame, port: str, cls: str, vector: str) -> DataFrame:
-    """`port`, `cls`, n, s (sum), g (flattened sum of outer products).
+    """`port`, `cls`, n, s (sum), g (sum of outer products, upper triangle row by row).
 
     Each task folds its batches into one row per (port, class); those rows are added up in two steps, so a port that
     fills many tasks is not gathered in one."""
@@ -35,7 +36,7 @@ def sufficient_stats(df: DataFrame, port: str, cls: str, vector: str) -> DataFra
     def fold(batches):
         acc: dict = {}
         salt = TaskContext.get().partitionId() % COMBINE_SALT
-        rows = lambda: pd.DataFrame([(p, c, salt, n, s, g.ravel()) for (p, c), (n, s, g) in acc.items()], columns=["port", "cls", "salt", "n", "s", "g"])
+        rows = lambda: pd.DataFrame([(p, c, salt, n, s, pack(g)) for (p, c), (n, s, g) in acc.items()], columns=["port", "cls", "salt", "n", "s", "g"])
         for pdf in batches:
             if len(acc) > HELD_GROUPS:
                 yield rows()
@@ -60,6 +61,21 @@ def sufficient_stats(df: DataFrame, port: str, cls: str, vector: str) -> DataFra
     return part.withColumn("salt", F.lit(0)).groupBy("port", "cls").applyInPandas(add, schema).drop("salt")
 
 
+def pack(g: np.ndarray) -> np.ndarray:
+    """Upper triangle of a symmetric matrix, row by row."""
+    return g[np.triu_indices(len(g))]
+
+
+def unpack(g, d: int) -> np.ndarray:
+    """Symmetric matrices of `d` rows from their packed triangles (the last axis of `g`)."""
+    g = np.asarray(g, float)
+    i, j = np.triu_indices(d)
+    out = np.empty((*g.shape[:-1], d, d))
+    out[..., i, j] = g
+    out[..., j, i] = g
+    return out
+
+
 def small_moments(df: DataFrame, keys: Sequence[str], vector: str, d: int) -> DataFrame:
     """The same moments as plain aggregates for few dimensions: n, s<i>, g<i>_<j>."""
     e = [F.element_at(vector, i + 1) for i in range(d)]
@@ -71,15 +87,106 @@ def small_moments(df: DataFrame, keys: Sequence[str], vector: str, d: int) -> Da
 def fold_moments(stats: DataFrame, folds: DataFrame) -> DataFrame:
     """Moments of every fold as signed rows: class totals, and minus the ports the fold leaves out.
 
-    folds(fold, target, leave_out array of ports)."""
+    folds(fold, target, leave_out array of ports).  Every fold receives classes x d x d / 2 numbers by the shuffle, so `on_folds`
+    takes this way only where the moments are too large for the tasks' memory."""
     total = stats.groupBy("cls").applyInPandas(
         lambda p: pd.DataFrame({"cls": [p.cls.iloc[0]], "n": [p.n.sum()], "s": [np.sum(np.stack(p.s), 0)], "g": [np.sum(np.stack(p.g), 0)]}),
         f"cls {dict(stats.dtypes)['cls']}, n double, s array<double>, g array<double>")
-    plus = folds.select("fold", "target").join(F.broadcast(total)).withColumn("sign", F.lit(1.0))
+    # both sides have a row per fold and class, no more
+    plus = folds.select("fold", "target").join(total).withColumn("sign", F.lit(1.0))
     minus = folds.select("fold", "target", F.explode("leave_out").alias("port")).join(stats, "port").drop("port").withColumn("sign", F.lit(-1.0))
     return plus.unionByName(minus)
 
 
+class Moments:
+    """The moments of all ports in one task's memory; a fold's are the totals less what it leaves out."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.cls = sorted(pdf.cls.unique())
+        self.place = {c: k for k, c in enumerate(self.cls)}
+        self.d = len(pdf.s.iloc[0])
+        self.ports = {port: ([self.place[c] for c in rows.cls], rows.n.to_numpy(float), np.stack(rows.s.to_numpy()).astype(float), np.stack(rows.g.to_numpy()).astype(float)) for port, rows in pdf.groupby("port")}
+        self.total = self._zero()
+        for port in self.ports:
+            self._add(self.total, port, 1.0)
+
+    def _zero(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = len(self.cls)
+        return np.zeros(k), np.zeros((k, self.d)), np.zeros((k, self.d * (self.d + 1) // 2))
+
+    def _add(self, to: tuple, port, sign: float) -> None:
+        if port in self.ports:
+            at, *parts = self.ports[port]
+            for whole, part in zip(to, parts):
+                whole[at] += sign * part
+
+    def only(self, ports: Sequence) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """The same of some ports alone."""
+        held = self._zero()
+        for port in set(ports):
+            self._add(held, port, 1.0)
+        return _with_extra(self.cls, *held, ())
+
+    def without(self, leave_out: Sequence, extra: Sequence[tuple] = ()) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, n[C], s[C, d], g[C, d, d] of a fold (classes without rows dropped); `extra` adds signed (class, n, s, g)."""
+        cls, (n, s, g) = self.cls, [x.copy() for x in self.total]
+        for port in set(leave_out):
+            self._add((n, s, g), port, -1.0)
+        return _with_extra(cls, n, s, g, extra)
+
+
+def _with_extra(cls: list, n, s, g, extra: Sequence[tuple]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Signed rows added to packed moments, classes without rows dropped, triangles unpacked."""
+    held = {c: [n[k], s[k], g[k]] for k, c in enumerate(cls)}
+    for c, m, t, q, sign in extra:
+        mine = held.setdefault(c, [0.0, 0.0, 0.0])
+        held[c] = [mine[0] + sign * m, mine[1] + sign * np.asarray(t, float), mine[2] + sign * np.asarray(q, float)]
+    kept = [c for c in sorted(held) if held[c][0] > 0.5]
+    if not kept:
+        return [], np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0, 0))
+    s = np.stack([held[c][1] for c in kept])
+    return kept, np.array([held[c][0] for c in kept]), s, unpack(np.stack([held[c][2] for c in kept]), s.shape[1])
+
+
+def on_folds(stats: DataFrame, folds: DataFrame, fn: Callable, schema: str, extra: DataFrame | None = None, limit: int = 0, left: bool = False) -> DataFrame:
+    """`fn(fold, target, classes, n, s, g)` -> rows, for every fold; with `left`, also the same four of what the fold leaves out.
+
+    The moments number ports x classes x d x d / 2, whatever the rows and the folds; once Spark has found that they keep within
+    the limit they go to all tasks, and a fold in the shuffle is its names only.  Beyond it each fold gets its signed rows.
+    `extra`: signed moment rows of a fold (fold, target, cls, n, s, g, sign), for example of pseudo-labelled target rows."""
+    spark = stats.sparkSession
+    stats = cut(stats)
+    size = stats.agg(F.sum((F.size("s") + F.size("g")) * 8)).first()[0] or 0
+    if not size:
+        return spark.createDataFrame([], schema)
+    more = lambda pdf: [(r.cls, r.n, r.s, r.g, r.sign) for r in pdf.itertuples()]
+    if size > (limit or MODEL_BYTES_LIMIT):
+        signed = fold_moments(stats, folds)
+        signed = signed if extra is None else signed.unionByName(extra)
+
+        def one(p: pd.DataFrame) -> pd.DataFrame:
+            out = [_with_extra([], [], [], [], more(p[p.sign < 0].assign(sign=1.0)))] if left else []
+            return fn(p.fold.iloc[0], p.target.iloc[0], *_with_extra([], [], [], [], more(p)), *out)
+
+        return signed.groupBy("fold").applyInPandas(one, schema)
+    held = spark.sparkContext.broadcast(Moments(stats.toPandas()))
+    if extra is None:
+        def run(batches):
+            for b in batches:
+                for f in b.itertuples():
+                    yield fn(f.fold, f.target, *held.value.without(f.leave_out), *([held.value.only(f.leave_out)] if left else []))
+
+        return folds.select("fold", "target", "leave_out").repartition("fold").mapInPandas(run, schema)
+
+    def both(mine: pd.DataFrame, added: pd.DataFrame) -> pd.DataFrame:
+        first = (mine if len(mine) else added).iloc[0]
+        if len(mine):
+            return fn(first.fold, first.target, *held.value.without(first.leave_out, more(added)))
+        return fn(first.fold, first.target, *_with_extra([], [], [], [], more(added)))
+
+    return folds.groupBy("fold").cogroup(extra.groupBy("fold")).applyInPandas(both, schema)
+
+
 def lopo(stats: DataFrame) -> DataFrame:
     """One fold per port, leaving it out."""
     return stats.select("port").distinct().select(F.col("port").cast("string").alias("fold"), F.col("port").alias("target"), F.array("port").alias("leave_out"))
@@ -92,21 +199,6 @@ def inner_folds(stats: DataFrame) -> DataFrame:
     return a.join(b, F.col("p") != F.col("q")).select(F.concat_ws("|", "p", "q").alias("fold"), F.col("q").alias("target"), F.array("p", "q").alias("leave_out"))
 
 
-def _gather(pdf: pd.DataFrame) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Signed rows of one fold to classes, n[C], s[C, d], g[C, d, d] (classes without rows dropped)."""
-    d = len(pdf.s.iloc[0])
-    cls, n, s, g = [], [], [], []
-    for c, rows in pdf.groupby("cls"):
-        w = rows.sign.to_numpy()
-        k = float((w * rows.n.to_numpy()).sum())
-        if k > 0.5:
-            cls.append(c)
-            n.append(k)
-            s.append((w[:, None] * np.stack(rows.s.to_numpy())).sum(0))
-            g.append((w[:, None] * np.stack(rows.g.to_numpy())).sum(0).reshape(d, d))
-    return cls, np.array(n), np.array(s), np.array(g)
-
-
 def scale_of(n, s, g, eps: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """Mean and deviation over all rows of a fold."""
     mu = s.sum(0) / n.sum()
@@ -114,46 +206,59 @@ def scale_of(n, s, g, eps: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     return mu, np.where(sd < eps, 1.0, sd)
 
 
-def balanced_ridge(n, s, g, alpha: float, dims: np.ndarray, standardise: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Weights [C, d] and intercepts [C] in raw features: one-against-rest targets of +-1, classes weighted equally."""
-    mu, sd = scale_of(n, s, g) if standardise else (np.zeros(s.shape[1]), np.ones(s.shape[1]))
-    mu, sd = mu[dims], sd[dims]
-    s, g = s[:, dims], g[:, dims][:, :, dims]
-    zs = (s - n[:, None] * mu) / sd
-    zg = (g - mu[None, :, None] * s[:, None, :] - s[:, :, None] * mu[None, None, :] + n[:, None, None] * np.outer(mu, mu)) / np.outer(sd, sd)
-    w = n.sum() / (len(n) * n)
-    total = (w * n).sum()
-    xbar = (w[:, None] * zs).sum(0) / total
-    gram = (w[:, None, None] * zg).sum(0) - total * np.outer(xbar, xbar)
-    ybar = (2 * w * n - total) / total
-    xy = 2 * w[:, None] * zs - (w[:, None] * zs).sum(0) - total * ybar[:, None] * xbar
-    coef = np.linalg.solve(gram + alpha * np.eye(len(dims)), xy.T).T
-    b = ybar - coef @ xbar
-    return coef / sd, b - (coef / sd) @ mu
+class Ridge:
+    """One-against-rest targets of +-1, classes weighted equally, over the moments of a fold; one scaled system for all arms."""
+
+    def __init__(self, n, s, g, standardise: bool):
+        d = s.shape[1]
+        self.mu, self.sd = scale_of(n, s, g) if standardise else (np.zeros(d), np.ones(d))
+        mu = self.mu
+        zs = (s - n[:, None] * mu) / self.sd
+        zg = (g - mu[None, :, None] * s[:, None, :] - s[:, :, None] * mu[None, None, :] + n[:, None, None] * np.outer(mu, mu)) / np.outer(self.sd, self.sd)
+        w = n.sum() / (len(n) * n)
+        total = (w * n).sum()
+        self.xbar = (w[:, None] * zs).sum(0) / total
+        self.gram = (w[:, None, None] * zg).sum(0) - total * np.outer(self.xbar, self.xbar)
+        self.ybar = (2 * w * n - total) / total
+        self.xy = 2 * w[:, None] * zs - (w[:, None] * zs).sum(0) - total * self.ybar[:, None] * self.xbar
+        self.inverse: dict[float, np.ndarray] = {}
+
+    def fit(self, alpha: float, dims: Sequence[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Weights [C, d] in raw features, 0 outside `dims`, and intercepts [C].
+
+        Leaving out one dimension takes a row and a column off the inverse of the whole system, which is found once a penalty."""
+        d = len(self.xbar)
+        keep = np.arange(d) if dims is None else np.asarray(list(dims))
+        coef = np.zeros((len(self.xy), d))
+        if len(keep) >= d - 1:
+            if alpha not in self.inverse:
+                self.inverse[alpha] = np.linalg.inv(self.gram + alpha * np.eye(d))
+            inverse = self.inverse[alpha]
+            coef = self.xy @ inverse
+            for out in np.setdiff1d(np.arange(d), keep):
+                coef = coef - np.outer(coef[:, out] / inverse[out, out], inverse[out])
+                coef[:, out] = 0.0
+        else:
+            coef[:, keep] = np.linalg.solve(self.gram[np.ix_(keep, keep)] + alpha * np.eye(len(keep)), self.xy[:, keep].T).T
+        b = self.ybar - coef @ self.xbar
+        return coef / self.sd, b - (coef / self.sd) @ self.mu
 
 
 def fit_ridge(stats: DataFrame, folds: DataFrame, arms: Sequence[tuple[str, float, Sequence[int] | None]], standardise: bool = True,
-              extra: DataFrame | None = None) -> DataFrame:
+              extra: DataFrame | None = None, limit: int = 0) -> DataFrame:
     """Models (fold, target, arm, cls, w over all dimensions, b) for every fold and arm (name, alpha, dimensions or all).
 
     `extra`: signed moment rows to add to a fold (for example pseudo-labelled target rows)."""
-    signed = fold_moments(stats, folds)
-    if extra is not None:
-        signed = signed.unionByName(extra)
-    t = dict(signed.dtypes)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        cls, n, s, g = _gather(pdf)
+    def solve(fold, target, cls, n, s, g) -> pd.DataFrame:
+        system = Ridge(n, s, g, standardise) if len(cls) else None
         out = []
-        for name, alpha, dims in arms:
-            keep = np.arange(s.shape[1]) if dims is None else np.array(list(dims))
-            coef, b = balanced_ridge(n, s, g, alpha, keep, standardise)
-            full = np.zeros((len(cls), s.shape[1]))
-            full[:, keep] = coef
-            out += [(pdf.fold.iloc[0], pdf.target.iloc[0], name, c, full[i], b[i]) for i, c in enumerate(cls)]
+        for name, alpha, dims in arms if system else ():
+            w, b = system.fit(alpha, dims)
+            out += [(fold, target, name, c, w[i], b[i]) for i, c in enumerate(cls)]
         return pd.DataFrame(out, columns=["fold", "target", "arm", "cls", "w", "b"])
 
-    return signed.groupBy("fold").applyInPandas(solve, f"fold string, target {t['target']}, arm string, cls {t['cls']}, w array<double>, b double")
+    t = dict(stats.dtypes)
+    return on_folds(stats, folds, solve, f"fold string, target {t['port']}, arm string, cls {t['cls']}, w array<double>, b double", extra, limit)
 
 
 def small_enough(df: DataFrame, *arrays: str) -> pd.DataFrame:
@@ -266,16 +371,6 @@ def tune_alpha(df: DataFrame, stats: DataFrame, port: str, truth: str, vector: s
         "p", "b.alpha", (-F.col("b.neg")).alias("inner_ba"))
 
 
-def per_fold(stats: DataFrame, folds: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """`fn(fold, target, classes, n, s, g)` -> rows, run as one group per fold on its moments (classes x d x d numbers)."""
-    signed = fold_moments(stats, folds)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf.fold.iloc[0], pdf.target.iloc[0], *_gather(pdf))
-
-    return signed.groupBy("fold").applyInPandas(run, schema)
-
-
 def fit_pca(stats: DataFrame, folds: DataFrame, k: int) -> DataFrame:
     """Leading axes of each fold's training covariance: (fold, target, axis, variance, share, v, mean)."""
     def axes(fold, target, cls, n, s, g):
@@ -288,7 +383,7 @@ def fit_pca(stats: DataFrame, folds: DataFrame, k: int) -> DataFrame:
                             columns=["fold", "target", "axis", "variance", "share", "v", "mean"])
 
     t = dict(stats.dtypes)["port"]
-    return per_fold(stats, folds, axes, f"fold string, target {t}, axis int, variance double, share double, v array<double>, mean array<double>")
+    return on_folds(stats, folds, axes, f"fold string, target {t}, axis int, variance double, share double, v array<double>, mean array<double>")
 
 
 def root_pair(side: str, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,29 +403,18 @@ def coral(stats: DataFrame, direction: str = "t2s", ridge: float = ALIGN_RIDGE)
 
     t2s moves the port's rows into the frame of the other ports, s2t the other way round.
     (target, origin_mean, destination_mean, m flattened, residual of the covariances)."""
-    port = stats.groupBy("port").applyInPandas(
-        lambda p: pd.DataFrame({"port": [p.port.iloc[0]], "n": [p.n.sum()], "s": [np.sum(np.stack(p.s), 0)], "g": [np.sum(np.stack(p.g), 0)]}),
-        f"port {dict(stats.dtypes)['port']}, n double, s array<double>, g array<double>")
-    total = port.select("n", "s", "g").groupBy(F.lit(0).alias("k")).applyInPandas(
-        lambda p: pd.DataFrame({"tn": [p.n.sum()], "ts": [np.sum(np.stack(p.s), 0)], "tg": [np.sum(np.stack(p.g), 0)]}), "tn double, ts array<double>, tg array<double>")
-    j = port.join(F.broadcast(total))
-
-    def align(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        d = len(r.s)
-
-        def side(n, s, g):
-            mu = s / n
-            return mu, (g.reshape(d, d) - n * np.outer(mu, mu)) / (n - 1) + ridge * np.eye(d)
-
-        own, rest = side(r.n, r.s, r.g), side(r.tn - r.n, r.ts - r.s, r.tg - r.g)
-        (mo, co), (md, cd) = (own, rest) if direction == "t2s" else (rest, own)
+    def mean_cov(n, s, g):
+        mu = s / n
+        return mu, (g - n * np.outer(mu, mu)) / (n - 1) + ridge * np.eye(len(mu))
+
+    def align(fold, target, cls, n, s, g, left) -> pd.DataFrame:
+        rest, own = (n.sum(), s.sum(0), g.sum(0)), tuple(x.sum(0) for x in left[1:])
+        (mo, co), (md, cd) = [mean_cov(*side) for side in ((own, rest) if direction == "t2s" else (rest, own))]
         m = root_pair("origin", co)[1] @ root_pair("destination", cd)[0]  # whiten, then colour
         res = np.linalg.norm(m.T @ co @ m - cd) / np.linalg.norm(cd)
-        return pd.DataFrame({"target": [r.port], "origin_mean": [mo], "destination_mean": [md], "m": [m.ravel()], "residual": [res]})
+        return pd.DataFrame({"target": [target], "origin_mean": [mo], "destination_mean": [md], "m": [m.ravel()], "residual": [res]})
 
-    t = dict(stats.dtypes)["port"]
-    return j.groupBy("port").applyInPandas(align, f"target {t}, origin_mean array<double>, destination_mean array<double>, m array<double>, residual double")
+    return on_folds(stats, lopo(stats), align, f"target {dict(stats.dtypes)['port']}, origin_mean array<double>, destination_mean array<double>, m array<double>, residual double", left=True)
 
 
 def apply_maps(df: DataFrame, maps: DataFrame, port: str, vector: str, own: bool = True) -> DataFrame:
@@ -368,7 +452,7 @@ def precision_models(stats: DataFrame, folds: DataFrame, centred: bool, diagonal
         return pd.DataFrame([(fold, target, c, mu[i], n[i], np.linalg.inv(cov).ravel()) for i, c in enumerate(cls)], columns=["fold", "target", "cls", "mu", "n", "precision"])
 
     t = dict(stats.dtypes)
-    return per_fold(stats, folds, fit, f"fold string, target {t['port']}, cls {t['cls']}, mu array<double>, n double, precision array<double>")
+    return on_folds(stats, folds, fit, f"fold string, target {t['port']}, cls {t['cls']}, mu array<double>, n double, precision array<double>")
 
 
 def class_distances(df: DataFrame, models: DataFrame, port: str, key: str, vector: str, keep: Sequence[str] = ()) -> DataFrame:

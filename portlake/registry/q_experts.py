@@ -33,8 +33,8 @@ def _(v):
 @query("sufficient_stats", "features", "SELECT port, y AS cls, CAST(count(*) AS DOUBLE) AS n, round(sum(v[1]), 6) + 0.0 AS s_first, round(sum(v[64]), 6) + 0.0 AS s_last, round(sum(v[2]*v[3]), 6) + 0.0 AS g_cross, round(sum(list_sum(list_transform(v, lambda z: z*z))), 6) AS g_trace FROM features GROUP BY port, y")
 def _(v):
     s = M.sufficient_stats(v.features, "port", "y", "v")
-    trace = S.total(F.array(*[F.element_at("g", i * D + i + 1) for i in range(D)]))
-    return rounded(s.select("port", "cls", "n", F.element_at("s", 1).alias("s_first"), F.element_at("s", D).alias("s_last"), F.element_at("g", D + 3).alias("g_cross"), trace.alias("g_trace")))
+    trace = S.total(F.array(*[F.element_at("g", i * D - i * (i - 1) // 2 + 1) for i in range(D)]))
+    return rounded(s.select("port", "cls", "n", F.element_at("s", 1).alias("s_first"), F.element_at("s", D).alias("s_last"), F.element_at("g", D + 2).alias("g_cross"), trace.alias("g_trace")))
 
 
 @query("standardise", "features dims", """, t AS (SELECT port, d, count(x) AS n, sum(x) AS s, sum(x*x) AS q FROM dims GROUP BY ALL), a AS (SELECT d, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM t GROUP BY d), m AS (SELECT t.port, t.d, (a.s - t.s)/(a.n - t.n) AS mu, (a.q - t.q)/(a.n - t.n) AS m2 FROM t JOIN a USING (d)) SELECT id, x.d, round((x - mu)/sqrt(m2 - mu*mu), 6) + 0.0 AS z FROM dims x JOIN m USING (port, d)""")

@@ -56,6 +56,48 @@ def test_inner_folds_leave_both_out(data):
     assert np.allclose(np.stack(got.w.to_numpy()), coef, atol=1e-9) and np.allclose(got.b, b, atol=1e-9)
 
 
+def test_folds_are_equal_by_memory_and_by_shuffle(data, spark):
+    """Moments held once by the tasks against signed rows for every fold, with extra rows and folds without sources too."""
+    from pyspark.sql import functions as F
+
+    _, df, st = data
+    extra = M.sufficient_stats(df.where("id % 5 = 0"), "port", "y", "v").select(F.col("port").cast("string").alias("fold"), F.col("port").alias("target"), "cls", "n", "s", "g", F.lit(1.0).alias("sign"))
+    arms = [("all", 1.0, None), *M.drop_one_arms(D, 1.0)[1:], *M.single_arms(D, 2.0)]
+    none = M.lopo(st).where("false")
+    for folds, more in ((M.lopo(st), None), (M.inner_folds(st), None), (M.lopo(st), extra), (none, extra)):
+        both = [M.fit_ridge(st, folds, arms, extra=more, limit=limit).toPandas().sort_values(["fold", "arm", "cls"]) for limit in (0, 1)]
+        assert len(both[0]) == len(both[1]) > 0
+        assert np.allclose(np.stack(both[0].w.to_numpy()), np.stack(both[1].w.to_numpy()), atol=1e-9) and np.allclose(both[0].b, both[1].b, atol=1e-9)
+    for direction in ("t2s", "s2t"):
+        a, b = M.coral(st, direction).toPandas(), M.coral(st, direction).toPandas()
+        assert np.allclose(np.stack(a.sort_values("target").m.to_numpy()), np.stack(b.sort_values("target").m.to_numpy()))
+
+
+def test_a_fold_in_the_shuffle_is_its_names(data):
+    """No moments travel with the folds, however many there are."""
+    _, _, st = data
+    plan = M.fit_ridge(st, M.inner_folds(st), [("r", 1.0, None)])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(fold#" in plan and " g#" not in plan and ", g#" not in plan
+
+
+def test_left_out_dimensions_equal_own_solutions(data):
+    """A dimension taken off the inverse against solving the smaller system."""
+    _, _, st = data
+    cls, n, s, g = M.Moments(st.toPandas()).without([2])
+    system = M.Ridge(n, s, g, True)
+    for out in range(D):
+        keep = [k for k in range(D) if k != out]
+        w, b = system.fit(3.0, keep)
+        coef = np.linalg.solve(system.gram[np.ix_(keep, keep)] + 3.0 * np.eye(D - 1), system.xy[:, keep].T).T
+        assert np.allclose(w[:, keep] * system.sd[keep], coef) and (w[:, out] == 0).all()
+
+
+def test_packed_triangles():
+    m = np.random.default_rng(0).normal(size=(3, 5, 5))
+    m = m + m.transpose(0, 2, 1)
+    assert (M.unpack(np.stack([M.pack(x) for x in m]), 5) == m).all()
+
+
 def test_scores_and_counts_agree(data):
     _, df, st = data
     models = M.fit_ridge(st, M.lopo(st), [("r", 1.0, None)])
