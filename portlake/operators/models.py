@@ -1,11 +1,11 @@
-"""Models from Spark's own learning library: probes, gates, domain odds, clusters."""
+"""Models from Spark's own learning library: probes, domain odds, clusters."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from ..ordered import running
 from .selective import hash_cap
 
-# fixed values: odds limits, harm weight, group pipeline
+# fixed values: odds limits, group pipeline
 ODDS_LOW, ODDS_HIGH = 0.05, 20.0
-HARM_WEIGHT = 2.0
 GROUP_AXES, GROUPS = 16, 4
 
 
@@ -38,23 +37,6 @@ def logistic_probe(train: DataFrame, test: DataFrame, columns, label: str, reg:
     return r.withColumns({out: F.col("_pred").cast("int"), out + "_p": vector_to_array("_prob")}).drop("_x", "_prob", "_pred", "_raw")
 
 
-def fit_gate(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str, weight: str | None = None, rounds: int = 20, depth: int = 4, out: str = "gate") -> DataFrame:
-    """Boosted trees on source episodes (binary benefit label); adds the benefit probability to `test`."""
-    g = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, seed=0)
-    if weight:
-        g = g.setWeightCol(weight)
-    r = g.fit(vectors(train, columns)).transform(vectors(test, columns))
-    return r.withColumn(out, F.element_at(vector_to_array("probability"), 2)).drop("_x", "probability", "prediction", "rawPrediction")
-
-
-def decision_weights(df: DataFrame, label: str, truth: str, harm: float = HARM_WEIGHT) -> DataFrame:
-    """Row weight: harms count `harm` times, classes inversely to their frequency (scaled to mean one)."""
-    c = df.groupBy(truth).agg(F.count(F.lit(1)).alias("_n"))
-    t = c.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    return df.join(F.broadcast(c), truth).join(F.broadcast(t)).withColumn(
-        "weight", F.when(F.col(label) < 0, harm).otherwise(1.0) * F.col("_t") / (F.col("_k") * F.col("_n"))).drop("_n", "_t", "_k")
-
-
 def density_ratio(source: DataFrame, target: DataFrame, columns, key: str) -> DataFrame:
     """Clipped odds that a source row comes from the target domain, from a classifier between the two."""
     both = source.select(key, *_names(columns), F.lit(0.0).alias("_d")).unionByName(target.select(key, *_names(columns), F.lit(1.0).alias("_d")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..operators import boosting as B
 from ..operators import gates as G
 from ..operators import metrics as E
 from ..operators import models as L
@@ -207,16 +208,26 @@ def _(v):
     return rounded(E.balanced_accuracy(r, ["port"], "y", "probe"))
 
 
+def gates(v, weight=None, balance=None):
+    """Every port by the trees of the others, with its threshold from inner episodes: rows, mean score, threshold, gated accuracy."""
+    taught = F.when(F.col("net") != 0, F.col("benefit"))
+    g = cut(gate_rows(v).select("id", "port", "truth", "p1", "p2", *GATE, taught.alias("label"), F.when(F.col("net") < 0, B.HARM_WEIGHT).otherwise(1.0).alias("harm")))
+    fitted = B.fit_gates(g, "port", GATE, "label", weight, balance)
+    taus = B.inner_taus(g, fitted, "port", "truth", "p1", "p2")
+    s = B.score_gates(g, fitted, "port", "id", ["truth", "p1", "p2"]).join(F.broadcast(taus), "port")  # a row for each port
+    s = s.withColumn("pick", G.gated("p1", "p2", F.col("gate") > F.col("tau")))
+    told = s.groupBy("port").agg(F.count(F.lit(1)).alias("n"), F.avg("gate").alias("mean_gate"), F.max("tau").alias("tau"), F.max("inner_ba").alias("inner_ba"))
+    return rounded(told.join(E.balanced_accuracy(s, ["port"], "truth", "pick").select("port", "ba"), "port"), 4)
+
+
 @query("fit_gate")
 def _(v):
-    r = lopo(v, gate_rows(v), lambda tr, te: L.fit_gate(tr.where("net <> 0"), te, GATE, "benefit"))
-    return rounded(r.groupBy("port").agg(F.count(F.lit(1)).alias("n"), F.avg("gate").alias("mean_gate")), 4)
+    return gates(v)
 
 
 @query("decision_weighted_gate")
 def _(v):
-    r = lopo(v, gate_rows(v), lambda tr, te: L.fit_gate(L.decision_weights(tr.where("net <> 0"), "net", "truth"), te, GATE, "benefit", "weight"))
-    return rounded(r.groupBy("port").agg(F.count(F.lit(1)).alias("n"), F.avg("gate").alias("mean_gate")), 4)
+    return gates(v, "harm", "truth")
 
 
 @query("density_ratio")
