@@ -97,7 +97,7 @@ def best_split(hist: np.ndarray, ridge: float, least: float) -> tuple[float, int
 
 
 class Growing:
-    """The trees of one round, level by level."""
+    """The trees of one round, level by level; the children of a split get their values from its sums."""
 
     def __init__(self, folds: int, depth: int):
         size = 2 ** (depth + 1) - 1
@@ -106,7 +106,7 @@ class Growing:
         #: (fold, node) whose sums the next job brings.
         self.wanted: list[tuple[int, int]] = [(k, 0) for k in range(folds)]
 
-    def grow(self, sums: dict[tuple[int, int], np.ndarray], last: bool, rate: float, ridge: float, least: float) -> None:
+    def grow(self, sums: dict[tuple[int, int], np.ndarray], rate: float, ridge: float, least: float) -> None:
         """Take the sums that were wanted, close or split their nodes and the siblings', and name the next ones wanted."""
         nodes = dict(sums)
         for k, node in list(sums):
@@ -115,15 +115,17 @@ class Growing:
                 nodes[k, twin] = self.hist[k, parent] - sums[k, node]
         self.hist, self.wanted = {}, []
         for (k, node), hist in sorted(nodes.items()):
-            g, h, _ = hist[0].sum(0)
-            tree = self.trees[k]
-            tree.value[node] = -rate * g / (h + ridge)
-            gain, f, b = (0.0, -1, 0) if last else best_split(hist, ridge, least)
+            whole, tree = hist[0].sum(0), self.trees[k]
+            if node == 0:
+                tree.value[0] = -rate * whole[0] / (whole[1] + ridge)
+            _, f, b = best_split(hist, ridge, least)
             if f >= 0:
                 tree.feature[node], tree.limit[node] = f, b
                 self.hist[k, node] = hist
-                left = hist[f, : b + 1, 2].sum()
-                self.wanted.append((k, 2 * node + (1 if 2 * left <= hist[f, :, 2].sum() else 2)))
+                left = hist[f, : b + 1].sum(0)
+                for child, part in ((2 * node + 1, left), (2 * node + 2, whole - left)):
+                    tree.value[child] = -rate * part[0] / (part[1] + ridge)
+                self.wanted.append((k, 2 * node + (1 if 2 * left[2] <= whole[2] else 2)))
 
 
 def _weights(rows: DataFrame, place: dict, label: str, weight: str | None, balance: str | None, folds: list[tuple[int, ...]], port: str) -> tuple[np.ndarray, np.ndarray, dict]:
@@ -227,9 +229,9 @@ def fit_gates(rows: DataFrame, port: str, columns: Sequence[str], label: str, we
 
     for _ in range(rounds if width and ports else 0):
         new = Growing(many, depth)
-        for d in range(depth + 1):
+        for _ in range(depth):  # the leaves' values follow from their parents' sums
             if new.wanted:
-                new.grow(level(new.trees, new.wanted), d == depth, rate, ridge, least)
+                new.grow(level(new.trees, new.wanted), rate, ridge, least)
         for k, tree in enumerate(new.trees):
             gates.trees[k].append(tree)
         trees = spark.sparkContext.broadcast(new.trees)

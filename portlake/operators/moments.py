@@ -550,51 +550,6 @@ def profile_gate(profiles: DataFrame, gains: DataFrame, alpha: float = 10.0) ->
     return j.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(fit, f"port {t}, predicted_gain double, gain double").withColumn("use_expert", F.col("predicted_gain") > 0)
 
 
-def linear_map(rows: DataFrame, port: str, truth: str, vector: str, key: str, grid: Sequence[tuple[float, float]], cap: int, steps: int = 300, rate: float = 1e-2) -> DataFrame:
-    """Diagonal feature map per target port and (lam, mu): cross-entropy on source rows plus covariance and mean penalties on
-    the target's rows, by Adam. The target enters by the mean and covariance of all its rows; the labelled source rows of a
-    fit are bounded by `cap` (chosen in hash order)."""
-    from .selective import hash_cap
-
-    s = hash_cap(rows.select(port, truth, vector, key), [port], key, cap)
-    folds = rows.select(F.col(port).alias("target")).distinct()
-    f = hash_cap(s.join(F.broadcast(folds)).where(F.col(port) != F.col("target")), ["target"], key, cap)
-    arms = F.explode(F.array(*[F.struct(F.lit(a).alias("lam"), F.lit(b).alias("mu")) for a, b in grid]))
-    g = f.withColumn("pen", arms).select("target", truth, vector, "pen.lam", "pen.mu")
-    whole = sufficient_stats(rows.withColumn("_all", F.lit(0)), port, "_all", vector).withColumn("pen", arms)
-    whole = whole.select(F.col("port").alias("target"), "pen.lam", "pen.mu", "n", "s", "g")
-    t = dict(rows.dtypes)[port]
-
-    def train(pdf: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or stats.empty:
-            return pd.DataFrame({"target": [], "lam": [], "mu": [], "scale": [], "loss": []})
-        lam, mu = float(pdf.lam.iloc[0]), float(pdf.mu.iloc[0])
-        x, y = np.stack(pdf[vector].to_numpy()).astype(float), pdf[truth].to_numpy()
-        n, mean = float(stats.n.iloc[0]), np.asarray(stats.s.iloc[0], float) / float(stats.n.iloc[0])
-        cov = (np.asarray(stats.g.iloc[0], float).reshape(len(mean), -1) - n * np.outer(mean, mean)) / max(1.0, n - 1)
-        cls = np.unique(y)
-        hot = (y[:, None] == cls[None, :]).astype(float)
-        d, c = x.shape[1], len(cls)
-        p = {"s": np.ones(d), "w": np.zeros((d, c)), "b": np.zeros(c)}
-        m1, m2 = ({k: np.zeros_like(q) for k, q in p.items()} for _ in range(2))
-        for step in range(1, steps + 1):
-            z = (x * p["s"]) @ p["w"] + p["b"]
-            e = np.exp(z - z.max(1, keepdims=True))
-            r = (e / e.sum(1, keepdims=True) - hot) / len(x)
-            mapped = cov * np.outer(p["s"], p["s"]) - cov
-            grad = {"w": (x * p["s"]).T @ r, "b": r.sum(0), "s": (x * (r @ p["w"].T)).sum(0)}
-            grad["s"] = grad["s"] + lam * 4 * (mapped * cov * p["s"][None, :]).sum(1) + mu * 2 * (mean * p["s"] - mean) * mean
-            for k in p:
-                m1[k] = 0.9 * m1[k] + 0.1 * grad[k]
-                m2[k] = 0.999 * m2[k] + 0.001 * grad[k] ** 2
-                p[k] = p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-        z = (x * p["s"]) @ p["w"] + p["b"]
-        loss = -np.log(np.maximum((np.exp(z - z.max(1, keepdims=True)) / np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True) * hot).sum(1), 1e-12)).mean()
-        return pd.DataFrame({"target": [pdf.target.iloc[0]], "lam": [lam], "mu": [mu], "scale": [p["s"]], "loss": [loss]})
-
-    return g.groupBy("target", "lam", "mu").cogroup(whole.groupBy("target", "lam", "mu")).applyInPandas(train, f"target {t}, lam double, mu double, scale array<double>, loss double")
-
-
 def drop_one_arms(d: int, alpha: float) -> list[tuple[str, float, list[int]]]:
     return [("all", alpha, list(range(d)))] + [(f"drop_{i}", alpha, [j for j in range(d) if j != i]) for i in range(d)]
 

@@ -178,8 +178,12 @@ def _(v):
 
 @query("linear_map_adapt")
 def _(v):
-    m = M.linear_map(v.features, "port", "y", "v", "id", [(0.0, 0.0), (1.0, 1.0)], 2000)
-    return rounded(m.select("target", "lam", "mu", "loss", F.array_min("scale").alias("least_scale"), F.array_max("scale").alias("largest_scale")), 4)
+    """Diagonal and full maps of every port over all source rows, without and with penalties."""
+    from ..operators.adapt import linear_maps
+
+    m = linear_maps(v.features, "port", "y", "v", [(0.0, 0.0), (1.0, 1.0)])
+    trace = S.total(F.transform(F.sequence(F.lit(0), F.lit(D - 1)), lambda i: F.get("m", i * (D + 1))))
+    return rounded(m.select("target", "kind", "lam", "mu", "loss", "objective", (trace / D).alias("mean_scale")), 3)
 
 
 # ---------------------------------------------------------------- library models: each port scored by a model of the others

@@ -215,15 +215,14 @@ def test_interventions_cover_all_dimensions_and_seeds(spark):
     assert rows == {w: 20 for w in ["none", "permute_all", *[f"{k}_{d}" for k in ("mean", "permute") for d in range(64)]]}
 
 
-@pytest.mark.parametrize("name", ["fit_gate", "decision_weighted_gate"])
-def test_gates_are_fitted_in_full(spark, monkeypatch, name):
+def test_gates_are_fitted_in_full(spark, monkeypatch):
     """The registered gates use the operator's own rounds and depth, in every fold and inner fold."""
     import __spark_entry__ as entry
     from portlake.operators import boosting as B
 
     made, real = [], B.fit_gates
     monkeypatch.setattr(B, "fit_gates", lambda *a, **kw: made.append(real(*a, **kw)) or made[-1])
-    rows = entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    rows = entry.queries()["decision_weighted_gate"](spark, "/root/testdata/sf0.001").collect()
     (fitted,) = made
     assert len(fitted.folds) == 8 + 28 and {len(t) for t in fitted.trees} == {20} and {len(t.feature) for trees in fitted.trees for t in trees} == {2**5 - 1}
     assert len(rows) == 8 and all(r.tau is not None and 0 < r.mean_gate < 1 for r in rows)
