@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,16 +30,27 @@ from . import text
 from .fmindex import BREAK, BothWays, OneWay
 
 MIN_COUNT, MAX_WORDS, TOP, SHARE = 30, 4, 2000, 80
-#: Words of a shard, and of all shards that a task has open.
-SHARD_WORDS = 3_000_000
-#: Word numbers, and words of the vocabulary, in a row of a shard.
-CHUNK = 2048
+#: Words of a shard, and of all shards that a task has open; bytes of the table that a task turns into shards.
+SHARD_WORDS, TASK_BYTES = 4_000_000, 64 << 20
+#: Word numbers, and words of the vocabulary, in a row of a shard; level of their compression.
+CHUNK, LEVEL = 4096, 1
 UNKNOWN = "und"
 _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c | 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS, _CODES, _LIVE = 0, 1, 2
 _ROWS = [("kind", pa.int32()), ("shard", pa.int64()), ("lang", pa.string()), ("seq", pa.int32()), ("n", pa.int64()), ("data", pa.binary())]
 #: Bits of a shard's number within its task, and of a word or pair within its shard.
 _SHARD_BITS, _PLACE_BITS = 14, 26
+#: Bits of a hash, and of the count beside it: 48 bits part far more pairs than a corpus holds.
+_HASH_BITS, _COUNT_BITS = 48, 15
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Word numbers by bytes of equal weight, compressed."""
+    return zstandard.compress(np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), LEVEL)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def pieces(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
@@ -76,18 +88,26 @@ class Shard:
         if not words:
             return
         count = int((codes != BREAK).sum())
-        chunk = [b" ".join(words[k : k + CHUNK]) for k in range(0, len(words), CHUNK)]
+        chunk = [zstandard.compress(b" ".join(words[k : k + CHUNK]), LEVEL) for k in range(0, len(words), CHUNK)]
         m = len(chunk)
         yield text.batch_of(schema, np.full(m, _WORDS), np.full(m, shard), [self.lang] * m, np.arange(m), [count] + [0] * (m - 1), chunk)
         for k in range(0, len(codes), 64 * CHUNK):
-            chunk = [codes[a : a + CHUNK].tobytes() for a in range(k, min(k + 64 * CHUNK, len(codes)), CHUNK)]
+            chunk = [packed(codes[a : a + CHUNK]) for a in range(k, min(k + 64 * CHUNK, len(codes)), CHUNK)]
             m = len(chunk)
             yield text.batch_of(schema, np.full(m, _CODES), np.full(m, shard), [self.lang] * m, np.arange(m) + k // CHUNK, np.zeros(m, np.int64), chunk)
 
 
+def tasks(docs: DataFrame) -> int:
+    """How many tasks make the shards: one for `TASK_BYTES` of the table as Spark knows its size, at least one a core.
+
+    The more text a task has of a language, the fewer counts of the same pair travel."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 1 << 20)
+
+
 def shards(docs: DataFrame, lang_col: str, text_col: str, shard_words: int) -> DataFrame:
     """The rows of all shards; a shard never leaves its task before it is whole."""
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = docs.coalesce(tasks(docs)).select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
         base, made = TaskContext.get().partitionId() << _SHARD_BITS, 0
@@ -112,8 +132,8 @@ class Parts:
     """A shard's rows put together: its language, words, word numbers, and what came back to it."""
 
     def __init__(self, held: dict):
-        self.lang, self.words = held["lang"], b" ".join(held[_WORDS]).split(b" ")
-        self.codes = np.concatenate([np.frombuffer(c, np.int32) for c in held[_CODES]])
+        self.lang, self.words = held["lang"], b" ".join([zstandard.decompress(c) for c in held[_WORDS]]).split(b" ")
+        self.codes = np.concatenate([unpacked(c) for c in held[_CODES]])
         self.live = np.concatenate(held[_LIVE]) if _LIVE in held else np.zeros(0, np.int64)
 
 
@@ -142,8 +162,10 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def grams(made: DataFrame, least: int) -> DataFrame:
-    """(h, n, at): a hash of each word and word pair of each shard, its count (at most `least`), and its shard and number there."""
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("at", pa.int64())])
+    """(x, at): a hash of each word and word pair of each shard with its count (at most `least`), and its shard and number there."""
+    schema = pa.schema([("x", pa.int64()), ("at", pa.int64())])
+    if least >= 1 << _COUNT_BITS:
+        raise ValueError(f"counts from {1 << _COUNT_BITS} on are not told apart here")
 
     def run(batches):
         for shard, parts in by_shard(batches):
@@ -153,12 +175,12 @@ def grams(made: DataFrame, least: int) -> DataFrame:
             hashes = np.array([0, *[xxhash.xxh3_64_intdigest(w) for w in parts.words]], np.uint64)
             salt = np.uint64(xxhash.xxh3_64_intdigest(parts.lang.encode()))
             h = text.mixed(hashes + salt)
-            h = np.concatenate([h[1:], text.mixed(h[before] + hashes[of + 1] * np.uint64(3))]).view(np.int64)
-            n = np.minimum(np.concatenate([each[1:], n]), least)
-            for k in range(0, len(n), 100_000):
-                yield text.batch_of(schema, h[k : k + 100_000], n[k : k + 100_000], shard << _PLACE_BITS | np.arange(k, min(k + 100_000, len(n))))
+            h = np.concatenate([h[1:], text.mixed(h[before] + hashes[of + 1] * np.uint64(3))]) >> np.uint64(64 - _HASH_BITS)
+            x = h.astype(np.int64) << _COUNT_BITS | np.minimum(np.concatenate([each[1:], n]), least)
+            for k in range(0, len(x), 100_000):
+                yield text.batch_of(schema, x[k : k + 100_000], shard << _PLACE_BITS | np.arange(k, min(k + 100_000, len(x))))
 
-    return dealt(made).mapInArrow(run, "h long, n long, at long")
+    return dealt(made).mapInArrow(run, "x long, at long")
 
 
 def enumerated(parts: Parts, max_words: int) -> Iterator[tuple]:
@@ -190,7 +212,9 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     and (lang, n): all words of a language.  n_left and n_right count the occurrences with a word before or after them."""
     made = cut(shards(docs, lang_col, text_col, shard_words))
     totals = made.where(F.col("kind") == _WORDS).groupBy("lang").agg(F.sum("n").alias("n"))
-    reached = grams(made, min_count).withColumn("f", F.sum("n").over(Window.partitionBy("h"))).where(F.col("f") >= min_count)
+    h = F.shiftright("x", _COUNT_BITS)
+    found = grams(made, min_count).repartition(h)  # two numbers a row travel; hash and count are parted behind the shuffle
+    reached = found.withColumn("f", F.sum(F.col("x").bitwiseAND((1 << _COUNT_BITS) - 1)).over(Window.partitionBy(h))).where(F.col("f") >= min_count)
     live = reached.select(
         F.lit(_LIVE).alias("kind"), F.shiftright("at", _PLACE_BITS).alias("shard"), F.lit(None).cast("string").alias("lang"), F.lit(0).alias("seq"),
         F.col("at").bitwiseAND((1 << _PLACE_BITS) - 1).alias("n"), F.lit(None).cast("binary").alias("data"))
