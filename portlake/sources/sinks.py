@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+#: Folders of an appended table, and the column that names them.
+BUCKETS, BUCKET = 64, "_bucket"
+
 
 def geojson_rows(objects: DataFrame, keys: Sequence[str], props: Sequence[str], pts: str = "pts") -> DataFrame:
     """One GeoJSON polygon feature per object; the ring is closed. `pts` holds lon/lat as x/y."""
@@ -39,15 +44,45 @@ def merge_shards(shards: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)
 
 
+def _same(keys: Sequence[str]) -> Column:
+    """Equal keys; two nulls are equal."""
+    return reduce(lambda a, b: a & b, [F.col(f"t.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys])
+
+
 def resume_filter(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key the sink does not hold yet."""
-    return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    """Rows whose key the sink does not hold yet; a null in a key equals a null."""
+    return todo.alias("t").join(done.select(*keys).distinct().alias("d"), _same(keys), "left_anti")
+
+
+def first_of_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key (nulls are equal): the first by the text of its other columns, so that a replay writes the same one."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})).alias("_r"))
+    return one.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in rows.columns])
 
 
-def append_new(todo: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append the rows a parquet table lacks; the first run creates it."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def append_new(todo: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
+    """Append the rows a table lacks; the first run creates it.
+
+    The table lies in `buckets` folders by a hash of the key, and only the folders that the new rows fall into are read, so an append
+    costs what it touches.  A replay adds nothing, rows with null keys included.  `buckets` stays what it was at the first run."""
     spark: SparkSession = todo.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        todo = resume_filter(todo, spark.read.parquet(path), keys)
-    todo.dropDuplicates(list(keys)).write.mode("append").parquet(path)
+    new = first_of_key(todo, keys).withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    if _exists(spark, path):
+        new = cut(new)
+        touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most `buckets` numbers
+        held = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
+        new = resume_filter(new, held, [*keys, BUCKET])
+    new.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
+
+
+def read_sink(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that `append_new` wrote."""
+    return spark.read.parquet(path).drop(BUCKET)

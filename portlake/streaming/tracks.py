@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.tracks import MAX_GAP, MIN_STEP, windowed_cell_counts
@@ -15,7 +18,7 @@ AIS_SCHEMA = "event_id bigint, mmsi bigint, product int, port int, t bigint, x d
 STEP_SCHEMA = "product int, mmsi bigint, event_id bigint, t bigint, x double, y double, dt bigint, dx double, dy double"
 
 
-def ais_stream(spark: SparkSession, path: str, schema: str = AIS_SCHEMA, files_per_trigger: int = 64) -> DataFrame:
+def ais_stream(spark: SparkSession, path: str, schema: str = AIS_SCHEMA, files_per_trigger: int = 10_000) -> DataFrame:
     """Parquet position files as they arrive, with `ts` as event time."""
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return s.withColumn("ts", F.timestamp_seconds("t"))
@@ -50,24 +53,63 @@ def track_steps_stream(ais: DataFrame, max_gap: int = MAX_GAP, min_step: float =
     return g.applyInPandasWithState(_steps_of(max_gap, min_step), STEP_SCHEMA, "t bigint, x double, y double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def track_steps_incremental(ais: DataFrame, tail_path: str, out_path: str, checkpoint: str, max_gap: int = MAX_GAP, min_step: float = MIN_STEP):
-    """The same steps by micro-batches: the last fixes kept in a table are put before the new rows.
+class LastFix(StatefulProcessor):
+    """The last fix of a (product, vessel), and the steps from it.
 
-    Works with any state store; both tables are rewritten per batch, so a replayed batch gives the same result."""
-    from ..operators.tracks import track_steps
+    In event time a timer drops the fix once the watermark has passed its gap; in processing time the state store drops it
+    when nothing came for that long.  Rows no later than the kept fix give no step; it stays."""
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        rows = df.drop("ts")
-        if epoch > 0:
-            rows = spark.read.parquet(f"{tail_path}/epoch={epoch - 1}").unionByName(rows)
-        steps = track_steps(rows, ["product", "mmsi"], max_gap, min_step)
-        new = steps.join(df.select("event_id"), "event_id", "left_semi")
-        new.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
-        keep = rows.groupBy("product", "mmsi").agg(F.max_by(F.struct(*rows.columns), F.struct("t", "event_id")).alias("r")).select("r.*")
-        keep.write.mode("overwrite").parquet(f"{tail_path}/epoch={epoch}")
+    def __init__(self, max_gap: int, min_step: float, event_time: bool):
+        self.max_gap, self.min_step, self.event_time = max_gap, min_step, event_time
 
-    return ais.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t bigint, x double, y double", None if self.event_time else self.max_gap * 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["t", "event_id"])
+        before = self.last.get() if self.last.exists() else None
+        if before is not None:
+            pdf = pdf[pdf.t > before[0]]
+        if pdf.empty:
+            return
+        t, x, y = pdf.t.tolist(), pdf.x.tolist(), pdf.y.tolist()
+        out = pd.DataFrame({"product": key[0], "mmsi": key[1], "event_id": pdf.event_id.to_numpy(), "t": t, "x": x, "y": y})
+        first = before or (None, None, None)
+        out["pt"], out["px"], out["py"] = [first[0], *t[:-1]], [first[1], *x[:-1]], [first[2], *y[:-1]]
+        self.last.update((int(t[-1]), float(x[-1]), float(y[-1])))
+        if self.event_time:
+            if before is not None:
+                self.handle.deleteTimer(self._expiry(before[0]))
+            self.handle.registerTimer(max(self._expiry(t[-1]), timerValues.getCurrentWatermarkInMs() + 1))
+        out = out[out.pt.notna()]
+        if len(out):
+            out = out.assign(dt=(out.t - out.pt).astype("int64"), dx=(out.x - out.px).astype(float), dy=(out.y - out.py).astype(float))
+            keep = (out.dt > 0) & (out.dt <= self.max_gap) & ((out.dx**2 + out.dy**2) ** 0.5 >= self.min_step)
+            yield out.loc[keep, ["product", "mmsi", "event_id", "t", "x", "y", "dt", "dx", "dy"]]
+
+    def _expiry(self, t: int) -> int:
+        return (int(t) + self.max_gap) * 1000
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # an earlier timer may outlive its fix; only the last one's counts
+        if self.last.exists() and self._expiry(self.last.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def track_steps_keyed(ais: DataFrame, max_gap: int = MAX_GAP, min_step: float = MIN_STEP, delay: str = "10 minutes", event_time: bool = True) -> DataFrame:
+    """Steps of a stream by the state store's own values, timers and expiry; rows later than the watermark are dropped.
+
+    Needs the RocksDB state store, which `drain(..., rocks=True)` sets."""
+    # Spark asks the processor for its state in a process that gets neither the package nor its path, so it travels whole
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    rows = ais.withWatermark("ts", delay) if event_time else ais
+    return rows.groupBy("product", "mmsi").transformWithStateInPandas(
+        LastFix(max_gap, min_step, event_time), outputStructType=STEP_SCHEMA, outputMode="Append", timeMode="EventTime" if event_time else "ProcessingTime")
 
 
 def mmsi_profile_stream(ais: DataFrame) -> DataFrame:
@@ -87,7 +129,7 @@ def visit_sessions_stream(ais: DataFrame, keys: Sequence[str], gap: str = f"{MAX
 
 
 def incremental_enrich(source: DataFrame, path: str, keys: Sequence[str], enrich: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Append enriched rows of new files; rows whose key the sink already holds are skipped, so a replay adds nothing."""
+    """Append enriched rows of new files to a bucketed table; rows whose key it already holds are skipped, so a replay adds nothing."""
     from ..sources.sinks import append_new
 
     def batch(df: DataFrame, _epoch: int) -> None:
@@ -96,11 +138,27 @@ def incremental_enrich(source: DataFrame, path: str, keys: Sequence[str], enrich
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available now into a parquet table and read it back.
+#: Setting and class of the store that keeps state in RocksDB, with snapshots in the checkpoint folder, instead of on the heap.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append", rocks: bool = False) -> DataFrame:
+    """Run a stream over what is available now into a parquet table and read it back; `rocks` keeps its state in RocksDB.
 
     In update and complete mode each batch is written under its number and the newest row per key is up to the reader."""
     spark = df.sparkSession
+    before = spark.conf.get(STORE)
+    if rocks:
+        spark.conf.set(STORE, ROCKS)
+    try:
+        _run(df, path, checkpoint, mode)
+    finally:
+        spark.conf.set(STORE, before)
+    return spark.read.parquet(path)
+
+
+def _run(df: DataFrame, path: str, checkpoint: str, mode: str) -> None:
     if mode == "append":
         q = df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     else:
@@ -109,4 +167,3 @@ def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> Da
 
         q = df.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(path)
