@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,13 +119,21 @@ def known_rate_at_budget(df: DataFrame, keys: Sequence[str], score: str, key: st
 
 
 def loo_bag_consistency(df: DataFrame, bag: Sequence[str], product: str, pred: str, out: str) -> DataFrame:
-    """Share of the bag's members in other products that carry the same prediction; null without such members."""
-    count = lambda *k: df.groupBy(*k).agg(F.count(F.lit(1)).alias("c"))
-    j = df
-    for name, k in {"_gp": [*bag, pred], "_sp": [*bag, product, pred], "_g": list(bag), "_s": [*bag, product]}.items():
-        j = j.join(count(*k).withColumnRenamed("c", name), k)
-    rest = F.col("_g") - F.col("_s")
-    return j.select(*df.columns, F.when(rest > 0, (F.col("_gp") - F.col("_sp")) / rest).alias(out))
+    """Share of the bag's members in other products that carry the same prediction; null without such members or without a bag.
+
+    Rows are counted once by (bag, product, prediction); the other three counts are sums over that table, which comes back to the
+    rows in one join that takes nulls as equal."""
+    bag = list(bag)
+    keys = [*bag, product, pred]
+    over = lambda *k: F.sum("_c").over(Window.partitionBy(*k))
+    c = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    rest = F.col("_all") - F.col("_own")
+    c = c.withColumns({"_all": over(*bag), "_own": over(*bag, product), "_same": over(*bag, pred)})
+    named = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in bag], F.lit(True))
+    share = F.when(named & (rest > 0), (F.col("_same") - F.col("_c")) / rest)
+    c = c.select(*[F.col(k).alias(f"_k_{k}") for k in keys], share.alias("_share"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(c, same).select(*df.columns, F.col("_share").alias(out))
 
 
 def joint_rank(df: DataFrame, keys: Sequence[str], a: str, b: str, key: str, share: float) -> DataFrame:

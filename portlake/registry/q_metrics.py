@@ -102,13 +102,13 @@ def _(v):
     return rounded(M.mutual_information(v.dims, "y"))
 
 
-_ACT = ", act AS (SELECT id, port, product, y, d, CASE WHEN x > 0.05 THEN x ELSE 0 END AS x FROM dims WHERE d < 16)"
+_ACT = ", act AS (SELECT id, port, product, y, d, CASE WHEN x > 0.05 THEN x ELSE 0 END AS x FROM dims)"
 _ENT = _ACT + """, nz AS (SELECT * FROM act WHERE x <> 0), q AS (SELECT d, quantile_cont(x, 0.75) AS q75, count(*) AS n FROM nz GROUP BY d), e1 AS (SELECT d, sum(-(c/t)*ln(c/t))/ln(10) AS h, max(t) AS t FROM (SELECT d, y, count(*) AS c, sum(count(*)) OVER (PARTITION BY d) AS t FROM nz GROUP BY d, y) u GROUP BY d),
  e2 AS (SELECT d, sum(-(c/t)*ln(c/t))/ln(10) AS h, max(t) AS t FROM (SELECT d, y, count(*) AS c, sum(count(*)) OVER (PARTITION BY d) AS t FROM nz JOIN q USING (d) WHERE x >= q75 GROUP BY d, y) u GROUP BY d), hh AS (SELECT q.d, q.n, CASE WHEN e1.t >= 30 THEN e1.h END AS h_present, CASE WHEN e2.t >= 30 AND q.n >= 30 THEN e2.h END AS h_top FROM q JOIN e1 USING (d) JOIN e2 USING (d))"""
 
 
 def active_dims(v):
-    return v.dims.where("d < 16").withColumn("x", F.when(F.col("x") > 0.05, F.col("x")).otherwise(0.0))
+    return v.dims.withColumn("x", F.when(F.col("x") > 0.05, F.col("x")).otherwise(0.0))
 
 
 @query("dim_class_entropy", "features dims", _ENT + " SELECT d, n, round(h_present, 6) AS h_present, round(h_top, 6) AS h_top FROM hh")
@@ -129,12 +129,12 @@ def _(v):
     return rounded(M.variance_components(v.preds, "port", "product", "truth", "p1", "p2"), 5)
 
 
-@query("within_group_percentile", "features dims", "SELECT id, d, round((row_number() OVER (PARTITION BY port, d ORDER BY x, id) - 1) / (count(*) OVER (PARTITION BY port, d) - 1), 6) AS pct FROM dims WHERE d < 8")
+@query("within_group_percentile", "features dims", "SELECT id, d, round((row_number() OVER (PARTITION BY port, d ORDER BY x, id) - 1) / (count(*) OVER (PARTITION BY port, d) - 1), 6) AS pct FROM dims")
 def _(v):
-    return rounded(M.within_group_percentile(v.dims.where("d < 8"), ["port", "d"], "x", "id").select("id", "d", "pct"))
+    return rounded(M.within_group_percentile(v.dims, ["port", "d"], "x", "id").select("id", "d", "pct"))
 
 
-_GS = """, gr AS (SELECT * FROM (VALUES ('liquid', 0), ('liquid', 1), ('liquid', 2), ('dry', 3), ('dry', 4), ('nav', 5), ('nav', 6), ('nav', 7)) t(name, d)), pc AS (SELECT id, d, (row_number() OVER (PARTITION BY port, d ORDER BY x, id) - 1) / (count(*) OVER (PARTITION BY port, d) - 1) AS pct FROM dims WHERE d < 8),
+_GS = """, gr AS (SELECT * FROM (VALUES ('liquid', 0), ('liquid', 1), ('liquid', 2), ('dry', 3), ('dry', 4), ('nav', 5), ('nav', 6), ('nav', 7)) t(name, d)), pc AS (SELECT id, d, (row_number() OVER (PARTITION BY port, d ORDER BY x, id) - 1) / (count(*) OVER (PARTITION BY port, d) - 1) AS pct FROM dims),
  sc AS (SELECT id, name, round(avg(pct), 9) AS score FROM pc JOIN gr USING (d) GROUP BY ALL), oc AS (SELECT id, CASE WHEN p1 <> truth AND p2 = truth THEN 1 WHEN p1 = truth AND p2 <> truth THEN -1 ELSE 0 END AS outcome FROM preds), jj AS (SELECT * FROM sc JOIN oc USING (id) WHERE outcome <> 0)"""
 
 
@@ -160,10 +160,10 @@ def _(v):
     return rounded(M.quartile_rates(s, o, "id"))
 
 
-@query("ks_distance", "features dims", """, pt AS (SELECT DISTINCT port FROM features), c AS (SELECT p.port, d, x, count(*) FILTER (m.port = p.port) AS i, count(*) AS k FROM dims m CROSS JOIN pt p WHERE d < 6 GROUP BY ALL), w AS (SELECT port, d, sum(i) OVER o AS ci, sum(k) OVER o AS ck, sum(i) OVER (PARTITION BY port, d) AS ti, sum(k) OVER (PARTITION BY port, d) AS tk FROM c WINDOW o AS (PARTITION BY port, d ORDER BY x ROWS UNBOUNDED PRECEDING))
+@query("ks_distance", "features dims", """, pt AS (SELECT DISTINCT port FROM features), c AS (SELECT p.port, d, x, count(*) FILTER (m.port = p.port) AS i, count(*) AS k FROM dims m CROSS JOIN pt p GROUP BY ALL), w AS (SELECT port, d, sum(i) OVER o AS ci, sum(k) OVER o AS ck, sum(i) OVER (PARTITION BY port, d) AS ti, sum(k) OVER (PARTITION BY port, d) AS tk FROM c WINDOW o AS (PARTITION BY port, d ORDER BY x ROWS UNBOUNDED PRECEDING))
 SELECT port, round(avg(ks), 6) AS ks FROM (SELECT port, d, max(abs(ci/ti - (ck-ci)/(tk-ti))) AS ks FROM w GROUP BY port, d) q GROUP BY port""")
 def _(v):
-    return rounded(M.ks_distance(v.dims.where("d < 6"), "port", list(range(PORTS))).withColumn("port", F.col("port").cast("long")))
+    return rounded(M.ks_distance(v.dims, "port", list(range(PORTS))).withColumn("port", F.col("port").cast("long")))
 
 
 @query("criterion_check", "preds", """, r AS (SELECT port, truth, avg(CAST(p2 = truth AS INT)) - avg(CAST(p1 = truth AS INT)) AS g FROM preds GROUP BY ALL), t AS (SELECT port AS fold, avg(g) AS target FROM r GROUP BY port), e AS (SELECT a.fold, min(round(b.target + 0.01*((a.fold*7 + b.fold*3) % 11), 9)) AS worst, avg(round(b.target + 0.01*((a.fold*7 + b.fold*3) % 11), 9)) AS mean FROM t a JOIN t b ON a.fold <> b.fold GROUP BY a.fold),
@@ -188,8 +188,8 @@ def _(v):
     return rounded(M.dim_support_gate(v.dims.withColumn("x", F.when(F.col("x") > F.col("d") / 200.0, F.col("x"))), "port"), 8)
 
 
-@query("impute_train_mean", "features dims", """, a AS (SELECT id, port, d, CASE WHEN x > -0.15 THEN x END AS x FROM dims WHERE d < 8), s AS (SELECT f.port AS fold, a.d, avg(a.x) AS mu, stddev_pop(a.x) AS sd FROM a JOIN (SELECT DISTINCT port FROM a) f ON f.port <> a.port GROUP BY ALL)
+@query("impute_train_mean", "features dims", """, a AS (SELECT id, port, d, CASE WHEN x > -0.15 THEN x END AS x FROM dims), s AS (SELECT f.port AS fold, a.d, avg(a.x) AS mu, stddev_pop(a.x) AS sd FROM a JOIN (SELECT DISTINCT port FROM a) f ON f.port <> a.port GROUP BY ALL)
 SELECT id, fold, a.d AS d, round((coalesce(x, mu) - mu)/sd, 6) + 0.0 AS z FROM a JOIN s ON s.fold = a.port AND s.d = a.d""")
 def _(v):
-    d = v.dims.where("d < 8").withColumn("x", F.when(F.col("x") > -0.15, F.col("x")))
+    d = v.dims.withColumn("x", F.when(F.col("x") > -0.15, F.col("x")))
     return rounded(M.impute_standardise(d, "port", v.features.select("port").distinct()))

@@ -94,3 +94,16 @@ def test_direction_operator_conserves_mass(spark):
     df = spark.createDataFrame([([.5, .2, .2, .1], [.0, .4, -.1, .2])], "p array<double>, g array<double>")
     out = df.select(P.direction_operator(F.col("p"), F.col("g")).alias("o")).head().o
     assert abs(sum(out) - 1) < 1e-12 and out[0] < .5 and out[1] > .2 and out[2] == .2
+
+
+def test_bag_consistency_keeps_rows_without_a_bag(spark):
+    from portlake.operators.selective import loo_bag_consistency
+
+    rows = [(1, "a", 1, 0), (2, "a", 2, 0), (3, "a", 2, 1), (4, "a", 3, None), (5, None, 1, 0), (6, None, 2, 0), (7, "b", 1, 0), (8, "b", 1, 0), (9, "a", None, 0)]
+    df = spark.createDataFrame(rows, "id long, bag string, product long, pred long")
+    got = {r.id: r.c for r in loo_bag_consistency(df, ["bag"], "product", "pred", "c").collect()}
+    want = {}
+    for i, bag, product, pred in rows:
+        rest = [r[3] == pred for r in rows if r[1] == bag and r[2] != product]
+        want[i] = sum(rest) / len(rest) if bag and rest else None
+    assert got == want
