@@ -6,8 +6,10 @@ relations(sample, mech, d, q array over classes).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,33 +103,68 @@ def ensemble_predict(probs: DataFrame, keep: DataFrame, keys: Sequence[str]) ->
     return e.join(agree, "sample")
 
 
-def subset_predictions(samples: DataFrame, heads: int, keep: Sequence[str], p: str = "ps") -> DataFrame:
-    """Argmax of the equal-weight mean of every non-empty subset of heads; `ps` is array<array<double>> by head."""
-    masks = F.explode(F.sequence(F.lit(1), F.lit(2**heads - 1)))
-    m = samples.select(*keep, p, masks.alias("mask"))
-    chosen = F.filter(F.col(p), lambda _, i: F.floor(F.col("mask") / F.pow(F.lit(2), i)) % 2 == 1)
-    size = F.size(chosen)
-    total = F.aggregate(F.slice(chosen, F.lit(2), F.greatest(size - 1, F.lit(0))), F.element_at(chosen, 1), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
-    return m.select(*keep, "mask", size.alias("size"), argmax(F.transform(total, lambda v: F.round(v / size, 9))).alias("pred"))
+#: Bytes of subset means that a task holds at a time.
+HELD_BYTES = 32 << 20
 
 
-def subset_oracle(samples: DataFrame, heads: int, key: str, truth: str) -> DataFrame:
-    """Accuracy, balanced accuracy, rescues and harms of every subset against the full bank (evaluation only)."""
+def subset_sizes(heads: int) -> np.ndarray:
+    """Heads in each subset, by mask."""
+    return np.array([bin(m).count("1") for m in range(2**heads)])
+
+
+def subset_picks(scores: np.ndarray) -> np.ndarray:
+    """Argmax of the equal-weight mean of every subset: [mask, row] from scores[row, head, class]; mask 0 has none (-1).
+
+    The sums of all subsets that a head ends follow from those without it, so each subset costs one addition."""
+    rows, heads, classes = scores.shape
+    sums = np.zeros((2**heads, rows, classes))
+    for h in range(heads):
+        sums[2**h : 2 ** (h + 1)] = sums[: 2**h] + scores[None, :, h]
+    pick = np.round(sums / np.maximum(1, subset_sizes(heads))[:, None, None], 9).argmax(2)
+    pick[0] = -1
+    return pick
+
+
+def _runs(batches, heads: int, truth: str, p: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(picks [mask, row], truths) of a bounded number of rows at a time; rows without scores have picks of -1."""
+    for b in batches:
+        y = np.array(b.column(truth).to_pylist(), object)
+        has = b.column(p).is_valid().to_numpy(zero_copy_only=False)
+        full = b.column(p).filter(b.column(p).is_valid())
+        scores = full.flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(full), heads, -1) if len(full) else np.zeros((0, heads, 1))
+        if not has.all():
+            yield np.full((2**heads, int((~has).sum())), -1), y[~has]
+        y, step = y[has], max(1, HELD_BYTES // (2**heads * scores.shape[2] * 8))
+        for k in range(0, len(y), step):
+            yield subset_picks(scores[k : k + step]), y[k : k + step]
+
+
+def subset_oracle(samples: DataFrame, heads: int, key: str, truth: str, p: str = "ps") -> DataFrame:
+    """Accuracy, balanced accuracy, rescues and harms of every subset against the full bank (evaluation only).
+
+    A row goes through all subsets inside its task; one row per subset and class leaves it.  `p` is array<array<double>> by head."""
     full = 2**heads - 1
-    s = subset_predictions(samples.withColumn("_full", full_bank(heads)), heads, [key, truth, "_full"])
-    ok, base = F.col("pred") == F.col(truth), F.col("_full") == F.col(truth)
-    c = s.groupBy("mask", "size", truth).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("ok"), F.count_if(ok & ~base).alias("r"), F.count_if(~ok & base).alias("h"))
-    return c.groupBy("mask", "size").agg(
+    kind = dict(samples.dtypes)[truth]
+
+    def run(batches):
+        held: dict = {}
+        for pick, y in _runs(batches, heads, truth, p):
+            for c in set(y.tolist()):
+                ok = pick[:, y == c] == (-2 if c is None else c)
+                base = ok[full]
+                mine = held.setdefault(c, np.zeros((4, 2**heads), np.int64))
+                mine += np.stack([np.full(2**heads, ok.shape[1]), ok.sum(1), (ok & ~base).sum(1), (~ok & base).sum(1)])
+        for c, counts in held.items():
+            yield pa.RecordBatch.from_pydict({"mask": np.arange(1, 2**heads, dtype=np.int32), "truth": pa.array([c] * full, pa.int32() if kind == "int" else pa.int64()), **dict(zip(("n", "ok", "r", "h"), counts[:, 1:]))})
+
+    c = samples.select(truth, p).mapInArrow(run, f"mask int, truth {kind}, n long, ok long, r long, h long")
+    c = c.groupBy("mask", "truth").agg(*[F.sum(x).alias(x) for x in ("n", "ok", "r", "h")])
+    size = F.bit_count("mask").alias("size")
+    return c.groupBy("mask", size).agg(
         (F.sum("ok") / F.sum("n")).alias("accuracy"), F.avg(F.col("ok") / F.col("n")).alias("ba"), F.sum("r").alias("rescue"), F.sum("h").alias("harm")).withColumn(
         "deployable", F.lit(False)).withColumn("is_full", F.col("mask") == full)
 
 
-def full_bank(heads: int, p: str = "ps") -> Column:
-    """Argmax of the mean over all heads."""
-    total = F.aggregate(F.slice(F.col(p), 2, heads - 1), F.element_at(F.col(p), 1), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
-    return argmax(F.transform(total, lambda v: F.round(v / heads, 9)))
-
-
 def oracle_summary(subsets: DataFrame) -> DataFrame:
     """Best subset by accuracy and by balanced accuracy (full bank, then the smaller mask, on a tie) and the most rescues at no harm."""
     pick = lambda c: F.min(F.struct((-F.col(c)).alias("neg"), (~F.col("is_full")).alias("nf"), "mask"))
@@ -135,11 +172,21 @@ def oracle_summary(subsets: DataFrame) -> DataFrame:
     return g.select(F.col("a.mask").alias("best_accuracy_mask"), (-F.col("a.neg")).alias("best_accuracy"), F.col("b.mask").alias("best_ba_mask"), (-F.col("b.neg")).alias("best_ba"), "rescue_without_harm", "subsets")
 
 
-def union_ceiling(samples: DataFrame, heads: int, key: str, truth: str) -> DataFrame:
-    """Share of samples some subset, or some single head, gets right."""
-    s = subset_predictions(samples, heads, [key, truth]).withColumn("_ok", F.col("pred") == F.col(truth))
-    g = s.groupBy(key).agg(F.max("_ok").alias("any_subset"), F.max(F.col("_ok") & (F.col("size") == 1)).alias("any_head"), F.max(F.col("_ok") & (F.col("size") == heads)).alias("full"))
-    return g.agg(*[F.avg(F.col(c).cast("int")).alias(c) for c in ("any_subset", "any_head", "full")], F.count_if(~F.col("full") & ~F.col("any_subset")).alias("beyond_reach"))
+def union_ceiling(samples: DataFrame, heads: int, key: str, truth: str, p: str = "ps") -> DataFrame:
+    """Share of samples some subset, or some single head, gets right; a task returns five numbers."""
+    single = subset_sizes(heads) == 1
+
+    def run(batches):
+        total = np.zeros(5, np.int64)
+        for pick, y in _runs(batches, heads, truth, p):
+            ok = pick[1:] == np.array([-2 if c is None else c for c in y.tolist()])
+            some, full = ok.any(0), ok[-1]
+            total += [len(y), some.sum(), ok[single[1:]].any(0).sum(), full.sum(), (~full & ~some).sum()]
+        if total[0]:
+            yield pa.RecordBatch.from_pydict(dict(zip(("n", "any_subset", "any_head", "full", "beyond"), total[:, None])))
+
+    c = samples.select(truth, p).mapInArrow(run, "n long, any_subset long, any_head long, full long, beyond long")
+    return c.agg(*[(F.sum(x) / F.sum("n")).alias(x) for x in ("any_subset", "any_head", "full")], F.coalesce(F.sum("beyond"), F.lit(0)).alias("beyond_reach"))
 
 
 def cell_report(m: DataFrame, keys: Sequence[str], group: str = "grp") -> DataFrame:

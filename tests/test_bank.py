@@ -1,5 +1,6 @@
 """Hand-made cases for the moment bank, the metrics and the contracts."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,29 @@ def test_bag_consistency_keeps_rows_without_a_bag(spark):
         rest = [r[3] == pred for r in rows if r[1] == bag and r[2] != product]
         want[i] = sum(rest) / len(rest) if bag and rest else None
     assert got == want
+
+
+def test_subset_oracle_of_twelve_heads(spark):
+    """All 4,095 subsets against one at a time, with rows that lack scores or a label."""
+    from portlake.operators import bank
+
+    rng = np.random.default_rng(3)
+    heads, classes, n = 12, 3, 60
+    ps = np.round(rng.random((n, heads, classes)), 6)
+    y = rng.integers(0, classes, n).tolist()
+    rows = [(i, None if i == 7 else y[i], None if i == 9 else ps[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, truth int, ps array<array<double>>").repartition(3)
+    got = {r.mask: r for r in bank.subset_oracle(df, heads, "id", "truth").collect()}
+    assert len(got) == 4095
+    for mask in (1, 6, 2048, 3000, 4095):
+        keep = [h for h in range(heads) if mask >> h & 1]
+        pick = lambda i, keep: -1 if i == 9 else int(np.round(sum(ps[i, h] for h in keep) / len(keep), 9).argmax())
+        ok = [rows[i][1] is not None and pick(i, keep) == rows[i][1] for i in range(n)]
+        base = [rows[i][1] is not None and pick(i, range(heads)) == rows[i][1] for i in range(n)]
+        by = {c: [ok[i] for i in range(n) if rows[i][1] == c] for c in {r[1] for r in rows}}
+        r = got[mask]
+        assert (r["size"], r.rescue, r.harm) == (len(keep), sum(a and not b for a, b in zip(ok, base)), sum(b and not a for a, b in zip(ok, base)))
+        assert abs(r.accuracy - sum(ok) / n) < 1e-12 and abs(r.ba - np.mean([np.mean(v) for v in by.values()])) < 1e-12 and r.is_full == (mask == 4095)
+    u = bank.union_ceiling(df, heads, "id", "truth").first()
+    assert u.any_head <= u.any_subset <= 1 and u.full <= u.any_subset and u.beyond_reach == round((1 - u.any_subset) * n)
+    assert bank.subset_oracle(df.limit(0), heads, "id", "truth").count() == 0
