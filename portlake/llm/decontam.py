@@ -1,36 +1,43 @@
-"""Benchmark decontamination: word pairs point at passages, then local alignment; no passage is lost on the way.
+"""Benchmark decontamination: rare word n-grams join documents to items, then local alignment; no passage is lost on the way.
 
-1. Two words of an item that are at most 2 places apart there and stand in the same order at most 2 places apart in a
-   document link their two places of the document to the item.
+1. The n-grams are pairs of words at most 2 places apart.  A pair of an item that stands in a document in the same order
+   at most 2 places apart links the item's two places.
 2. An alignment gains MATCH for a matched word.  A matched word without a link has 2 or more errors to the next one,
-   which cost what it gained.  So an alignment of score s has s / MATCH linked places, and one that starts and
+   which cost what it gained.  So an alignment of score s has p = s / MATCH linked places, and one that starts and
    ends in linked places scores no less.  With m matches it covers 3 m - s words at most.
-3. Stretches of a document with so many linked places in so many words are aligned by Smith-Waterman.  The score is the
-   best local alignment over that of an unchanged copy; documents with a score of at least `min_score` are contaminated.
+3. Of an item's m places any m - p + t hold t linked ones.  Those whose pairs are rarest in the documents are its seeds,
+   so only rare pairs leave the documents.  They meet the seeds in a shuffle join; a stretch with t seed places goes on.
+4. The texts of such stretches come once per digest; where enough linked places lie close by, Smith-Waterman decides.  The score
+   is the best local alignment over that of an unchanged copy; documents with a score of at least `min_score` are contaminated.
 
-The benchmark is dealt with in blocks of bounded size, each sent to all tasks; documents are never shuffled.
+Neither side is collected: tasks get bitmaps of at most 2^27 bits, which only spare rows that would meet nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import text
 
 WORDS, MIN_SCORE = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: How far apart linked words may be; with MATCH = 2 and errors of 1, a wider step pays for the match before it.
 NEAR = 2
-#: Words of benchmark text sent to the tasks at a time (8 bytes each, and some 16 more for each pair).
-BLOCK_WORDS = 500_000
-#: Links and counts held at a time, and words in a batch of alignments.
-HELD_LINKS, HELD_WORDS = 4_000_000, 100_000
+#: Seed places that a stretch must hold (t above): more of them mean more seeds and fewer stretches.
+AGREE = 3
+#: Words of a block; an item's stretch is two neighbouring blocks, doubled until a block is as long as its alignments.
+BLOCK = 128
+#: Bits of a bitmap at most.
+MAP_BITS = 27
+#: Words of stretches aligned together, and items held by a task.
+HELD_WORDS, HELD_ITEMS = 100_000, 4_096
 
 
 def folded_hash() -> text.WordTable:
@@ -38,13 +45,8 @@ def folded_hash() -> text.WordTable:
     return text.WordTable(lambda w: xxhash.xxh3_64_intdigest(f) if (f := text.folded(w)) else 0, np.uint64)
 
 
-def folded_numbers(number: dict[int, int]) -> text.WordTable:
-    """The same with the numbers of `number` for the hashes; 1 for a word that is not among them."""
-    return text.WordTable(lambda w: number.get(xxhash.xxh3_64_intdigest(f), 1) if (f := text.folded(w)) else 0, np.int64)
-
-
 def folded_words(texts: pa.Array, values: text.WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes or numbers of all texts' words in a row, where each text's words end, and each word's place in its text."""
+    """Hashes of all texts' words in a row, where each text's words end, and each word's place in its text."""
     words, code, ends = text.words_of(texts)
     h = values(words)[code]
     place = np.arange(len(h)) - np.repeat(text.starts_of(ends), np.diff(ends, prepend=0))
@@ -99,174 +101,255 @@ def best_scores(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarr
     return top
 
 
-class Items:
-    """Benchmark items as arrays of word numbers (2 and up), and what links a document to them."""
-
-    def __init__(self, ids: list[int], texts: list[bytes], n: int, min_score: float):
-        self.ids = ids
-        h, ends, _ = folded_words(pa.array(texts, pa.binary()), folded_hash())
-        known, numbers = np.unique(h, return_inverse=True)
-        self.number = {int(x): k + 2 for k, x in enumerate(known)}
-        self.base = len(known) + 2
-        self.words = [(numbers + 2)[a:b] for a, b in zip(text.starts_of(ends), ends)]
-        length = np.array([len(w) for w in self.words], np.int64)
-        least = min_score * MATCH * length
-        self.score = min_score
-        #: Linked places that an alignment needs, and the words it covers at most.
-        self.places = np.maximum(1, np.ceil(least / MATCH)).astype(np.int64)
-        self.reach = np.maximum(1, np.floor(3 * length - least)).astype(np.int64)
-        owned, whole = [], {}
-        for k, w in enumerate(self.words):
-            if 0 < len(w) < n:  # found as a whole only
-                whole.setdefault(tuple(w.tolist()), []).append(k)
-            elif len(w) and least[k] <= MATCH:  # a single word may do
-                owned.append(np.stack([w * self.base, np.full(len(w), k)]))
+def pair_keys(h: np.ndarray, step: int) -> np.ndarray:
+    """64-bit hashes of the words `step` places apart, at the place of the first; of the words alone for step 0."""
+    return text.mixed(h[: len(h) - step] * text._MULTIPLIER + (h[step:] if step else np.uint64(0))) if step < len(h) else h[:0]
+
+
+class Item:
+    """What an item asks of a document."""
+
+    def __init__(self, words: np.ndarray, n: int, min_score: float, block: int = BLOCK):
+        self.words, size = words, len(words)
+        least = min_score * MATCH * size
+        self.whole = size < n  # found as a whole only
+        #: Whether a single word may do.
+        self.single = size == 1 or not self.whole and least <= MATCH
+        #: Linked places that an alignment needs, the words it covers at most, and the score it must reach.
+        self.places = size if self.whole else max(1, int(np.ceil(least / MATCH)))
+        self.reach = size if self.whole else max(1, int(np.floor(3 * size - least)))
+        self.least = MATCH * size if self.whole else least
+        self.steps = (0,) if self.single else range(1, NEAR + 1)
+        self.level = max(0, int(np.ceil(np.log2(self.reach / block))))
+        self.keys = np.unique(np.concatenate([pair_keys(words, d) for d in self.steps]))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and the keys of their pairs."""
+        made = [(d, pair_keys(self.words, d)) for d in self.steps]
+        places = [np.arange(len(k)) + off for d, k in made for off in ((0, d) if d else (0,))]
+        return np.concatenate(places), np.concatenate([k for d, k in made for _ in ((0, d) if d else (0,))])
+
+    def stretches(self, keys: dict[int, np.ndarray], low: int, high: int) -> Iterator[tuple[int, int, int]]:
+        """Begin, end and linked places of the stretches of [low, high) that may hold an alignment."""
+        linked = np.zeros(high - low, bool)
+        for d in self.steps:
+            if high - d > low:
+                here = keys[d][low : high - d]
+                at = np.searchsorted(self.keys, here)
+                hit = self.keys[np.minimum(at, len(self.keys) - 1)] == here
+                linked[: len(here)] |= hit
+                linked[d:] |= hit
+        at = np.flatnonzero(linked) + low
+        if len(at) < self.places:
+            return
+        begins = np.flatnonzero(at[self.places - 1 :] - at[: len(at) - self.places + 1] < self.reach)
+        if not len(begins):
+            return
+        a, z = at[begins], np.minimum(at[begins] + self.reach, high)
+        first = np.flatnonzero(np.append(True, a[1:] > z[:-1]))
+        for b, e in zip(a[first].tolist(), z[np.append(first[1:], len(a)) - 1].tolist()):
+            yield b, e, int(np.searchsorted(at, e) - np.searchsorted(at, b))
+
+    def copies(self, h: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Where the whole item stands in [low, high)."""
+        count = max(0, high - low - len(self.words) + 1)
+        same = np.ones(count, bool)
+        for d, w in enumerate(self.words):
+            same &= h[low + d : low + d + count] == w
+        return np.flatnonzero(same) + low
+
+
+def item_words(texts: Iterable[bytes]) -> list[np.ndarray]:
+    h, ends, _ = folded_words(pa.array(texts, pa.binary()), folded_hash())
+    return [h[a:z] for a, z in zip(text.starts_of(ends), ends)]
+
+
+class Bitmap:
+    """A set of 64-bit hashes, perhaps with others: one bit for each run of hashes."""
+
+    def __init__(self, hashes: DataFrame):
+        """`hashes` has one long column; some 64 bits a row up to 2^MAP_BITS, so the size has a bound at any number of rows."""
+        name = hashes.columns[0]
+        bits = min(MAP_BITS, max(12, int(64 * hashes.count()).bit_length()))
+        slots = hashes.select(F.shiftrightunsigned(name, 64 - bits).alias("s"))
+        words = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("b")).toPandas()
+        self.shift = np.uint64(64 - bits)
+        self.words = np.zeros(1 << (bits - 6), np.uint64)
+        self.words[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        slot = h >> self.shift
+        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _places(items: DataFrame, n: int, min_score: float, agree: int, block: int) -> DataFrame:
+    """(item, place, key, spare, agree, level, single): the pairs at each place of each item, and what the item asks for."""
+    schema = pa.schema([("item", pa.binary()), ("place", pa.int64()), ("key", pa.int64()), ("spare", pa.int64()), ("agree", pa.int64()), ("level", pa.int32()), ("single", pa.bool_())])
+
+    def run(batches):
+        for b in text.slices(batches):
+            rows = [np.zeros(0, np.int64)] * 7
+            for k, words in enumerate(item_words(b.column("text").to_pylist())):
+                if len(words):
+                    item = Item(words, n, min_score, block)
+                    place, key = item.links()
+                    told = [len(words) - item.places, min(agree, item.places), item.level, item.single]
+                    rows = [np.concatenate(x) for x in zip(rows, [np.full(len(place), k), place, key.view(np.int64), *[np.full(len(place), x) for x in told]])]
+            yield text.batch_of(schema, b.column("digest").take(pa.array(rows[0], pa.int64())), *rows[1:5], pa.array(rows[5].astype(np.int32)), pa.array(rows[6].astype(bool)))
+
+    return items.mapInArrow(run, "item binary, place long, key long, spare long, agree long, level int, single boolean").distinct()
+
+
+def _pairs(rows: DataFrame, wanted: Bitmap, single: bool, size: int, counted: bool) -> DataFrame:
+    """The documents' pairs among `wanted`, once a block: their number (key, n) if `counted`, else (key, digest, block)."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
+    fields = [("key", pa.int64()), ("n", pa.int64())] if counted else [("key", pa.int64()), ("digest", pa.binary()), ("block", pa.int64())]
+
+    def run(batches):
+        hashes, wanted = folded_hash(), sent.value
+        for b in text.slices(batches):
+            h, ends, _ = folded_words(b.column("text"), hashes)
+            doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            block = (np.arange(len(h)) - text.starts_of(ends)[doc]) // size if len(h) else doc
+            got = []
+            for d in range(0 if single else 1, NEAR + 1):
+                key = pair_keys(h, d)
+                at = np.flatnonzero(wanted.holds(key) & (doc[: len(key)] == doc[len(doc) - len(key) :]))
+                got.append((key[at].view(np.int64), at))
+            key, at = (np.concatenate(x) for x in zip(*got))
+            order = np.lexsort((key, block[at], doc[at]))
+            key, at = key[order], at[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (block[at][1:] != block[at][:-1]) | (doc[at][1:] != doc[at][:-1])
+            key, at = key[new], at[new]
+            if counted:
+                yield text.batch_of(pa.schema(fields), *np.unique(key, return_counts=True))
             else:
-                owned += [np.stack([w[:-d] * self.base + w[d:], np.full(len(w) - d, k)]) for d in range(1, NEAR + 1) if d < len(w)]
-        pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *owned], 1), axis=1)
-        self.keys, first = np.unique(pairs[0], return_index=True)
-        self.first, self.owners = np.append(first, pairs.shape[1]), pairs[1]
-        self.single = bool(len(self.keys)) and bool((self.keys % self.base == 0).any())
-        self.whole = whole
-        self.sizes = sorted({len(w) for w in whole})
-
-    def linked(self, h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(item, position) of linked places in order, for runs of whole documents."""
-        doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        at, key, step = [], [], []
-        for d in range(0 if self.single else 1, NEAR + 1):
-            here = np.flatnonzero((h[: len(h) - d] > 1) & ((h[d:] > 1) & (doc[: len(h) - d] == doc[d:]))) if d < len(h) else np.zeros(0, np.int64)
-            wanted = h[here] * self.base + (h[here + d] if d else 0)
-            found = np.searchsorted(self.keys, wanted)
-            found[found == len(self.keys)] = 0
-            hit = self.keys[found] == wanted if len(self.keys) else np.zeros(len(wanted), bool)
-            at.append(here[hit])
-            key.append(found[hit])
-            step.append(np.full(len(at[-1]), d))
-        at, key, step = np.concatenate(at), np.concatenate(key), np.concatenate(step)
-        times = self.first[key + 1] - self.first[key]
-        # an alignment lies in two neighbouring stretches of `wide` words, so a link stays if those have enough for its item
-        wide, items = int(self.reach.max()), len(self.words)
-        load = np.cumsum(np.bincount(doc[at], times, len(ends)) + (np.diff(ends, prepend=0) / wide + 1) * items)
-        run = (load // HELD_LINKS).astype(np.int64)[doc[at]]
-        for r in np.unique(run):
-            a, k, d, t = (x[run == r] for x in (at, key, step, times))
-            owner = self.owners[np.repeat(self.first[k] - np.cumsum(t) + t, t) + np.arange(t.sum())]
-            low = a.min() // wide
-            part = np.repeat(a // wide - low, t)
-            ahead = np.repeat((a + d) // wide - low, t)
-            rows = int(ahead.max()) + 1
-            count = (np.bincount(part * items + owner, minlength=rows * items) + np.bincount(ahead * items + owner, minlength=rows * items)).reshape(rows, items)
-            both = count.copy()
-            both[1:] += count[:-1]  # with the stretch before
-            enough = both >= self.places
-            enough[:-1] |= enough[1:]
-            stay = enough[part, owner] | enough[ahead, owner]
-            code = owner[stay] * len(h) + np.repeat(a, t)[stay]
-            code = np.sort(np.concatenate([code, code + np.repeat(d, t)[stay]]))
-            code = code[np.diff(code, prepend=-1) > 0]
-            yield code // len(h), code % len(h)
-
-    def stretches(self, h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, list[tuple[int, int]]]]:
-        """(document, item, its linked places, stretches of positions) wherever the item may lie."""
-        for item, at in self.linked(h, ends):
-            far = np.arange(len(at)) + self.places[item] - 1
-            inside = far < len(at)
-            far[~inside] = 0
-            doc = np.searchsorted(ends, at, "right")
-            begins = np.flatnonzero(inside & (item[far] == item) & (doc[far] == doc) & (at[far] - at < self.reach[item]))
-            stops = np.minimum(at[begins] + self.reach[item[begins]], ends[doc[begins]])
-            group = np.cumsum(np.append(0, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])))[: len(at)]
-            places = np.bincount(group)[group[begins]]
-            held: list = []
-            for k, d, n, a, z in zip(*(x.tolist() for x in (item[begins], doc[begins], places, at[begins], stops))):
-                if held and held[:2] == [d, k]:
-                    if a <= held[3][-1][1]:
-                        held[3][-1] = (held[3][-1][0], max(z, held[3][-1][1]))
-                    else:
-                        held[3].append((a, z))
-                    continue
-                if held:
-                    yield tuple(held)
-                held = [d, k, n, [(a, z)]]
-            if held:
-                yield tuple(held)
-
-    def found(self, h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, float, int, int, int]]:
-        """(document, item, score, begin, end, linked places) of each contaminated document and item."""
-        for size in self.sizes:
-            held: dict[tuple[int, int], list[int]] = {}
-            for w, owners in self.whole.items():
-                if len(w) == size:
-                    same = np.ones(max(0, len(h) - size + 1), bool)
-                    for d, x in enumerate(w):
-                        same &= h[d : len(h) - size + 1 + d] == x
-                    where = np.flatnonzero(same)
-                    doc = np.searchsorted(ends, where, "right")
-                    for d, p in zip(doc[where + size <= ends[doc]].tolist(), where[where + size <= ends[doc]].tolist()):
-                        for k in owners:
-                            held.setdefault((d, k), []).append(p)
-            for (d, k), places in held.items():
-                yield d, k, 1.0, places[0], places[0] + size, len(places)
-        held, load = [], 0
-        for d, k, places, parts in self.stretches(h, ends):
-            for a, z in parts:
-                held.append((d, k, places, a, z))
-                load += z - a
-            if load > HELD_WORDS:  # all stretches of a document and item are held together
-                yield from self._aligned(h, held)
-                held, load = [], 0
-        yield from self._aligned(h, held)
-
-    def _aligned(self, h: np.ndarray, held: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int, float, int, int, int]]:
-        best: dict[tuple[int, int], tuple] = {}
-        order = sorted(range(len(held)), key=lambda x: held[x][4] - held[x][3])
-        for first in range(0, len(order), 256):
-            some = [held[x] for x in order[first : first + 256]]
-            scores = best_scores([self.words[k] for _, k, *_ in some], [h[a:z] for *_, a, z in some])
-            for (d, k, places, a, z), score in zip(some, scores.tolist()):
-                if score and score >= self.score * MATCH * len(self.words[k]) and (score, -a) > best.get((d, k), (0, 0)):
-                    best[d, k] = (score, -a, z, places)
-        for (d, k), (score, a, z, places) in best.items():
-            _, begin, end = align(self.words[k], h[-a:z])
-            yield d, k, score / (MATCH * len(self.words[k])), begin - a, end - a, places
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS,
-                 id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and item found in it: doc_id, text_hash, item_id, score (0 to 1), begin and end (words of the document), seeds (linked places).
+                yield text.batch_of(pa.schema(fields), key, b.column("digest").take(pa.array(doc[at], pa.int64())), block[at])
 
-    Null and empty texts match nothing; an item with fewer than `n` words is found as a whole only.  Repeated documents
-    and items each give their rows.  Null ids are carried as nulls.  An empty benchmark or table gives no rows.
-    """
-    spark = docs.sparkSession
-    rows = text.text_rows(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), "text")
-    items = text.text_rows(benchmark, item_col, item_text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + int(size) // (6 * block_words)
-    found = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k).toPandas()
-        hits = _in_block(rows, Items(part["doc_id"].tolist(), [bytes(t) for t in part["text"]], n, min_score))
-        found = hits if found is None else found.unionAll(hits)
-    return found
-
-
-def _in_block(rows: DataFrame, items: Items) -> DataFrame:
-    spark = rows.sparkSession
-    kind = "doc_id long, text_hash long, item_id long, score double, begin long, end long, seeds long"
-    if not any(len(w) for w in items.words):
-        return spark.createDataFrame([], kind)
-    sent = spark.sparkContext.broadcast(items)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int64()), ("end", pa.int64()), ("seeds", pa.int64())])
+    made = rows.select("text") if counted else rows.select("digest", "text")
+    return made.mapInArrow(run, "key long, n long" if counted else "key long, digest binary, block long")
+
+
+def _seeds(places: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, item, place, agree, level): the pairs at an item's rarest places, as many places as any alignment must meet in `agree`.
+
+    A place costs what its pairs bring to the join; pairs that no document holds cost nothing and are left out at the end."""
+    owners = places.groupBy("key").agg(F.count(F.lit(1)).alias("_owners"))
+    cost = counts.join(owners, "key").select("key", (F.col("n") * F.col("_owners")).alias("_cost"))
+    ofp = places.join(cost, "key", "left").groupBy("item", "place", "spare", "agree", "level").agg(
+        F.sum(F.coalesce("_cost", F.lit(0))).alias("_cost"), F.collect_list(F.when(F.col("_cost") > 0, F.col("key"))).alias("_keys"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("_cost", "place"))
+    kept = ofp.withColumn("_r", rank).where(F.col("_r") <= F.col("spare") + F.col("agree"))
+    return kept.select(F.explode("_keys").alias("key"), "item", "place", "agree", "level")
+
+
+def _stretches(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(digest, item, level, regions): texts and items that share enough seed places within two neighbouring blocks."""
+    met = pairs.join(seeds, "key").withColumn("_b", F.expr("shiftright(block, level)"))
+    near = met.select("digest", "item", "agree", "level", "place", F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("region"))
+    enough = near.groupBy("digest", "item", "agree", "level", "region").agg(F.count_distinct("place").alias("_n")).where(F.col("_n") >= F.col("agree"))
+    return enough.groupBy("digest", "item", "level").agg(F.sort_array(F.collect_list("region")).alias("regions"))
+
+
+def _chosen(rows: DataFrame, wanted: Bitmap) -> DataFrame:
+    """Rows whose text may be among those `wanted`."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(sent.value.holds(b.column("mark").to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _verified(texts: DataFrame, n: int, min_score: float, block: int) -> DataFrame:
+    """(digest, item, score, begin, end, seeds) of the texts and items in (digest, text, asked) whose alignment reaches the score."""
+    schema = pa.schema([("digest", pa.binary()), ("item", pa.binary()), ("score", pa.float64()), ("begin", pa.int64()), ("end", pa.int64()), ("seeds", pa.int64())])
 
     def run(batches):
-        items = sent.value
-        numbers = folded_numbers(items.number)
+        hashes, known = folded_hash(), {}
         for b in text.slices(batches):
-            h, ends, place = folded_words(b.column("text"), numbers)
-            out = [(d, items.ids[k], score, int(place[begin]), int(place[end - 1]) + 1, seeds) for d, k, score, begin, end, seeds in items.found(h, ends)]
-            doc, *told = zip(*out) if out else [()] * 6
-            yield text.batch_of(schema, b.column("doc_id").take(pa.array(doc, pa.int64())), b.column("text_hash").take(pa.array(doc, pa.int64())), *told)
+            h, ends, place = folded_words(b.column("text"), hashes)
+            keys = {d: pair_keys(h, d) for d in range(NEAR + 1)}
+            out: dict[tuple[int, bytes], tuple] = {}
+            held, load = [], 0
+            for doc, (start, stop, asked) in enumerate(zip(text.starts_of(ends).tolist(), ends.tolist(), b.column("asked").to_pylist())):
+                for ask in asked:
+                    if ask["item"] not in known:
+                        if len(known) >= HELD_ITEMS:
+                            known.clear()
+                        known[ask["item"]] = Item(item_words([ask["words"]])[0], n, min_score, block)
+                    item, size = known[ask["item"]], block << ask["level"]
+                    for low, high in _joined([(max(start, start + r * size), min(stop, start + (r + 2) * size)) for r in ask["regions"]]):
+                        if item.whole:
+                            at = item.copies(h, low, high)
+                            if len(at) and (doc, ask["item"]) not in out:
+                                out[doc, ask["item"]] = (item.least, -int(at[0]), int(at[0]) + item.reach, len(at), item)
+                            continue
+                        for a, z, links in item.stretches(keys, low, high):
+                            held.append((doc, ask["item"], item, a, z, links))
+                            load += z - a
+                            if load > HELD_WORDS:
+                                _align(h, held, out)
+                                held, load = [], 0
+            _align(h, held, out)
+            told = []
+            for (doc, key), (score, a, z, links, item) in out.items():
+                begin, end = (0, z + a) if item.whole else align(item.words, h[-a:z])[1:]
+                told.append((doc, key, score / (MATCH * len(item.words)), int(place[begin - a]), int(place[end - a - 1]) + 1, links))
+            doc, *rest = zip(*told) if told else [()] * 6
+            yield text.batch_of(schema, b.column("digest").take(pa.array(doc, pa.int64())), *rest)
 
-    return rows.mapInArrow(run, kind)
+    return texts.mapInArrow(run, "digest binary, item binary, score double, begin long, end long, seeds long")
+
+
+def _joined(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted stretches with those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, z in parts:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def _align(h: np.ndarray, held: list[tuple], out: dict[tuple[int, bytes], tuple]) -> None:
+    """Adds the best stretch of each text and item to `out` where its alignment reaches the score; ties go to the first."""
+    order = sorted(held, key=lambda x: x[4] - x[3])
+    for first in range(0, len(order), 256):
+        some = order[first : first + 256]
+        scores = best_scores([x[2].words.view(np.int64) for x in some], [h[a:z].view(np.int64) for *_, a, z, _ in some])
+        for (doc, key, item, a, z, links), score in zip(some, scores.tolist()):
+            if score and score >= item.least and (score, -a) > out.get((doc, key), (0, 0))[:2]:
+                out[doc, key] = (score, -a, z, links, item)
+
+
+def _digest(column: str) -> Column:
+    return F.unhex(F.md5(column))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, min_score: float = MIN_SCORE, agree: int = AGREE, block: int = BLOCK,
+                 id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document and item found in it: doc_id, text_hash, item_id, score (0 to 1), begin and end (words of the document), seeds (linked places there).
+
+    Null and empty texts match nothing; an item with fewer than `n` words is found as a whole only.  Repeated documents
+    and items each give their rows.  Null ids are carried as nulls.  An empty benchmark or table gives no rows.
+    """
+    rows = text.text_rows(docs, id_col, text_col).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), _digest("text").alias("digest"), "text")
+    listed = cut(text.text_rows(benchmark, item_col, item_text).select(F.col("doc_id").cast("long").alias("item_id"), _digest("text").alias("item"), "text"))
+    items = cut(listed.groupBy("item").agg(F.first("text").alias("text")))
+    places = cut(_places(items.select(F.col("item").alias("digest"), "text"), n, min_score, agree, block))
+    single = not places.where("single").isEmpty()
+    counts = _pairs(rows, Bitmap(places.select("key").distinct()), single, block, True).groupBy("key").agg(F.sum("n").alias("n"))
+    seeds = cut(_seeds(places, counts))
+    asked = cut(_stretches(_pairs(rows, Bitmap(seeds.select("key").distinct()), single, block, False), seeds))
+    marked = _chosen(rows.withColumn("mark", F.xxhash64("digest")), Bitmap(asked.select(F.xxhash64("digest").alias("mark")).distinct()))
+    chosen = cut(marked.select("doc_id", "text_hash", "digest", "text"))
+    lists = asked.join(items.withColumnRenamed("text", "words"), "item").groupBy("digest").agg(F.collect_list(F.struct("item", "words", "level", "regions")).alias("asked"))
+    texts = chosen.groupBy("digest").agg(F.first("text").alias("text")).join(lists, "digest")
+    found = cut(_verified(texts.select("digest", "text", "asked"), n, min_score, block))
+    told = chosen.select("doc_id", "text_hash", "digest").join(found, "digest").join(listed.select("item", "item_id"), "item")
+    return told.select("doc_id", "text_hash", "item_id", "score", "begin", "end", "seeds")

@@ -198,11 +198,10 @@ def test_edited_copies(spark):
     for r in got:  # the passage, but for a few words at its edges
         inside = [w.endswith(",") for w in texts[r.doc_id].split()[r.begin : r.end]]
         assert 30 <= len(inside) <= 65 and sum(inside) >= 0.9 * len(inside)
-    in_blocks = decontam.contaminated(frame, bench, block_words=300).collect()
-    assert {(r.doc_id, r.item_id, r.score) for r in in_blocks} == {(r.doc_id, r.item_id, r.score) for r in got}
 
 
-def test_single_copies_with_many_edits(spark):
+@pytest.mark.parametrize("agree, block", [(3, 128), (1, 16)])
+def test_single_copies_with_many_edits(spark, agree, block):
     """One edited copy of an item is found however its edits lie, if its alignment reaches the score."""
     rng = random.Random(6)
     words = [f"v{k}" for k in range(300)]
@@ -226,27 +225,38 @@ def test_single_copies_with_many_edits(spark):
     want = {x: s for x, s in want.items() if s >= 0.5}
     frame = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
-    for more in ({}, {"block_words": 300}):
-        got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(frame, bench, **more).collect()}
-        assert got == want
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(frame, bench, agree=agree, block=block).collect()}
+    assert got == want
     assert all((10 * k + e, k) in want for k in range(24) for e in (0, 1, 2, 3))
 
 
-def test_search_in_runs(monkeypatch):
-    """Any bound on what is held at a time, short items and other scores give what the whole table gives."""
+@pytest.mark.parametrize("score", [0.3, 0.5, 0.8])
+def test_short_items_and_other_scores(spark, score):
+    """What the whole table of alignments gives, for items from one word up."""
     rng = random.Random(8)
     words = [f"v{k}" for k in range(25)]
     items = [rng.choices(words, k=k) for k in (1, 2, 3, 4, 9, 20)]
     texts = [rng.choices(words, k=rng.randrange(120)) for _ in range(40)]
-    for score in (0.3, 0.5, 0.8):
-        made = decontam.Items(list(range(6)), [" ".join(w).encode() for w in items], 3, score)
-        h, ends, _ = decontam.folded_words(decontam.pa.array([" ".join(t).encode() for t in texts], decontam.pa.binary()), decontam.folded_numbers(made.number))
-        want = {(d, k): smith_waterman(w, t) / (2 * len(w)) for d, t in enumerate(texts) for k, w in enumerate(items) if t}
-        want = {x: s for x, s in want.items() if s >= (1 if len(items[x[1]]) < 3 else score)}
-        for held in (decontam.HELD_LINKS, 50):
-            monkeypatch.setattr(decontam, "HELD_LINKS", held)
-            assert {(d, k): s for d, k, s, *_ in made.found(h, ends)} == want
-        monkeypatch.undo()
+    want = {(d, k): smith_waterman(w, t) / (2 * len(w)) for d, t in enumerate(texts) for k, w in enumerate(items) if t}
+    want = {x: s for x, s in want.items() if s >= (1 if len(items[x[1]]) < 3 else score)}
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(frame, bench, min_score=score).collect()} == want
+
+
+def test_many_items_and_a_long_text(spark):
+    """A text of common words costs by its seeds, not by the number of items; copies far apart in it are found."""
+    rng = random.Random(9)
+    words = [f"v{k}" for k in range(3000)]
+    items = [rng.choices(words, k=30) for _ in range(10_000)]
+    long = rng.choices(words[:60], k=300_000)
+    planted = {k: 29_000 * n for n, k in enumerate((5, 77, 4_000, 9_999, 1_234))}
+    for k, at in planted.items():
+        long[at : at + 30] = items[k]
+    frame = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(rng.choices(words, k=500)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.begin) for r in decontam.contaminated(frame, bench).collect()}
+    assert got == {(1, k): (1.0, at) for k, at in planted.items()}
 
 
 def test_awkward_decontamination(spark):
