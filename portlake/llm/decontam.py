@@ -188,13 +188,14 @@ def _places(items: DataFrame, n: int, min_score: float, agree: int, block: int)
 
     def run(batches):
         for b in text.slices(batches):
-            rows = [np.zeros(0, np.int64)] * 7
+            made = [[np.zeros(0, np.int64)] * 7]
             for k, words in enumerate(item_words(b.column("text").to_pylist())):
                 if len(words):
                     item = Item(words, n, min_score, block)
                     place, key = item.links()
                     told = [len(words) - item.places, min(agree, item.places), item.level, item.single]
-                    rows = [np.concatenate(x) for x in zip(rows, [np.full(len(place), k), place, key.view(np.int64), *[np.full(len(place), x) for x in told]])]
+                    made.append([np.full(len(place), k), place, key.view(np.int64), *[np.full(len(place), x) for x in told]])
+            rows = [np.concatenate(x) for x in zip(*made)]
             yield text.batch_of(schema, b.column("digest").take(pa.array(rows[0], pa.int64())), *rows[1:5], pa.array(rows[5].astype(np.int32)), pa.array(rows[6].astype(bool)))
 
     return items.mapInArrow(run, "item binary, place long, key long, spare long, agree long, level int, single boolean").distinct()
