@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,15 +41,28 @@ MAP_BITS = 27
 HELD_WORDS, HELD_ITEMS = 100_000, 4_096
 
 
-def folded_hash() -> text.WordTable:
-    """Hashes of words in lower case without punctuation at the edges; 0 for a word of punctuation only."""
-    return text.WordTable(lambda w: xxhash.xxh3_64_intdigest(f) if (f := text.folded(w)) else 0, np.uint64)
+#: What `text.folded` strips among ASCII.
+_PLAIN_EDGES = "".join(c for c in map(chr, range(128)) if not (c.isalnum() or c == "_"))
 
 
-def folded_words(texts: pa.Array, values: text.WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all texts' words in a row, where each text's words end, and each word's place in its text."""
-    words, code, ends = text.words_of(texts)
-    h = values(words)[code]
+def _folded_hash(word: str) -> int:
+    """Hash of a word in lower case without punctuation at its edges; 0 for a word of punctuation only."""
+    plain = word.strip(_PLAIN_EDGES)
+    if not plain.isalnum():  # letters of other kinds may have punctuation of other kinds around them
+        plain = text.folded(word.encode())
+    return xxhash.xxh3_64_intdigest(plain) if plain else 0
+
+
+def folded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded hashes of all texts' words in a row, where each text's words end, and each word's place in its text."""
+    lists = pc.ascii_split_whitespace(text.as_text(texts))
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    codes = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    words, code, ends = codes.dictionary.to_pylist(), codes.indices.to_numpy(), ends[1:] - ends[0]
+    if "" in words:  # at the edges of a text
+        keep = code != words.index("")
+        code, ends = code[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+    h = np.array([_folded_hash(w.lower()) for w in words], np.uint64)[code]
     place = np.arange(len(h)) - np.repeat(text.starts_of(ends), np.diff(ends, prepend=0))
     keep = h != 0
     return h[keep], np.concatenate([[0], np.cumsum(keep)])[ends], place[keep]
@@ -160,7 +174,7 @@ class Item:
 
 
 def item_words(texts: Iterable[bytes]) -> list[np.ndarray]:
-    h, ends, _ = folded_words(pa.array(texts, pa.binary()), folded_hash())
+    h, ends, _ = folded_words(pa.array(texts, pa.binary()))
     return [h[a:z] for a, z in zip(text.starts_of(ends), ends)]
 
 
@@ -207,9 +221,9 @@ def _pairs(rows: DataFrame, wanted: Bitmap, single: bool, size: int, counted: bo
     fields = [("key", pa.int64()), ("n", pa.int64())] if counted else [("key", pa.int64()), ("digest", pa.binary()), ("block", pa.int64())]
 
     def run(batches):
-        hashes, wanted = folded_hash(), sent.value
+        wanted = sent.value
         for b in text.slices(batches):
-            h, ends, _ = folded_words(b.column("text"), hashes)
+            h, ends, _ = folded_words(b.column("text"))
             doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
             block = (np.arange(len(h)) - text.starts_of(ends)[doc]) // size if len(h) else doc
             got = []
@@ -269,9 +283,9 @@ def _verified(texts: DataFrame, n: int, min_score: float, block: int) -> DataFra
     schema = pa.schema([("digest", pa.binary()), ("item", pa.binary()), ("score", pa.float64()), ("begin", pa.int64()), ("end", pa.int64()), ("seeds", pa.int64())])
 
     def run(batches):
-        hashes, known = folded_hash(), {}
+        known: dict[bytes, Item] = {}
         for b in text.slices(batches):
-            h, ends, place = folded_words(b.column("text"), hashes)
+            h, ends, place = folded_words(b.column("text"))
             keys = {d: pair_keys(h, d) for d in range(NEAR + 1)}
             out: dict[tuple[int, bytes], tuple] = {}
             held, load = [], 0
