@@ -62,7 +62,7 @@ def folded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if "" in words:  # at the edges of a text
         keep = code != words.index("")
         code, ends = code[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
-    h = np.array([_folded_hash(w.lower()) for w in words], np.uint64)[code]
+    h = np.array([xxhash.xxh3_64_intdigest(w) if w.isalnum() else _folded_hash(w) for w in map(str.lower, words)], np.uint64)[code]
     place = np.arange(len(h)) - np.repeat(text.starts_of(ends), np.diff(ends, prepend=0))
     keep = h != 0
     return h[keep], np.concatenate([[0], np.cumsum(keep)])[ends], place[keep]
@@ -216,7 +216,7 @@ def _places(items: DataFrame, n: int, min_score: float, agree: int, block: int)
 
 
 def _pairs(rows: DataFrame, wanted: Bitmap, single: bool, size: int, counted: bool) -> DataFrame:
-    """The documents' pairs among `wanted`, once a block: their number (key, n) if `counted`, else (key, digest, block)."""
+    """The documents' pairs among `wanted`: (key, n) for their number if `counted`, else (key, digest, block), each once a block."""
     sent = rows.sparkSession.sparkContext.broadcast(wanted)
     fields = [("key", pa.int64()), ("n", pa.int64())] if counted else [("key", pa.int64()), ("digest", pa.binary()), ("block", pa.int64())]
 
@@ -225,22 +225,21 @@ def _pairs(rows: DataFrame, wanted: Bitmap, single: bool, size: int, counted: bo
         for b in text.slices(batches):
             h, ends, _ = folded_words(b.column("text"))
             doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-            block = (np.arange(len(h)) - text.starts_of(ends)[doc]) // size if len(h) else doc
             got = []
             for d in range(0 if single else 1, NEAR + 1):
                 key = pair_keys(h, d)
                 at = np.flatnonzero(wanted.holds(key) & (doc[: len(key)] == doc[len(doc) - len(key) :]))
                 got.append((key[at].view(np.int64), at))
             key, at = (np.concatenate(x) for x in zip(*got))
-            order = np.lexsort((key, block[at], doc[at]))
-            key, at = key[order], at[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (block[at][1:] != block[at][:-1]) | (doc[at][1:] != doc[at][:-1])
-            key, at = key[new], at[new]
             if counted:
                 yield text.batch_of(pa.schema(fields), *np.unique(key, return_counts=True))
-            else:
-                yield text.batch_of(pa.schema(fields), key, b.column("digest").take(pa.array(doc[at], pa.int64())), block[at])
+                continue
+            block, doc = (at - text.starts_of(ends)[doc[at]]) // size if len(at) else at, doc[at]
+            order = np.lexsort((key, block, doc))
+            key, block, doc = key[order], block[order], doc[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])
+            yield text.batch_of(pa.schema(fields), key[new], b.column("digest").take(pa.array(doc[new], pa.int64())), block[new])
 
     made = rows.select("text") if counted else rows.select("digest", "text")
     return made.mapInArrow(run, "key long, n long" if counted else "key long, digest binary, block long")
@@ -353,7 +352,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, min_scor
     and items each give their rows.  Null ids are carried as nulls.  An empty benchmark or table gives no rows.
     """
     rows = text.text_rows(docs, id_col, text_col).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), _digest("text").alias("digest"), "text")
+        F.col("doc_id").cast("long").alias("doc_id"), _digest("text").alias("digest"), "text")
     listed = cut(text.text_rows(benchmark, item_col, item_text).select(F.col("doc_id").cast("long").alias("item_id"), _digest("text").alias("item"), "text"))
     items = cut(listed.groupBy("item").agg(F.first("text").alias("text")))
     places = cut(_places(items.select(F.col("item").alias("digest"), "text"), n, min_score, agree, block))
@@ -362,7 +361,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, min_scor
     seeds = cut(_seeds(places, counts))
     asked = cut(_stretches(_pairs(rows, Bitmap(seeds.select("key").distinct()), single, block, False), seeds))
     marked = _chosen(rows.withColumn("mark", F.xxhash64("digest")), Bitmap(asked.select(F.xxhash64("digest").alias("mark")).distinct()))
-    chosen = cut(marked.select("doc_id", "text_hash", "digest", "text"))
+    chosen = cut(marked.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), "digest", "text"))
     lists = asked.join(items.withColumnRenamed("text", "words"), "item").groupBy("digest").agg(F.collect_list(F.struct("item", "words", "level", "regions")).alias("asked"))
     texts = chosen.groupBy("digest").agg(F.first("text").alias("text")).join(lists, "digest")
     found = cut(_verified(texts.select("digest", "text", "asked"), n, min_score, block))
