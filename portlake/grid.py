@@ -143,20 +143,24 @@ def segment_distance(px="x", py="y", x1="x1", y1="y1", x2="x2", y2="y2") -> Colu
 
 def cover_cells(segs: DataFrame, size: float, reach: float) -> DataFrame:
     """Repeat each segment for every cell of `size` its box, grown by `reach`, touches and that lies near it."""
-    lo = lambda p, q: cell(F.least(F.col(p), F.col(q)) - F.lit(float(reach)), size)
-    hi = lambda p, q: cell(F.greatest(F.col(p), F.col(q)) + F.lit(float(reach)), size)
-    out = segs.withColumn("cx", F.explode(F.sequence(lo("x1", "x2"), hi("x1", "x2")))).withColumn(
-        "cy", F.explode(F.sequence(lo("y1", "y2"), hi("y1", "y2"))))
-    # a long diagonal segment misses most cells of its box: keep those whose centre is within reach + half diagonal
+    low, high, flat = F.least("y1", "y2"), F.greatest("y1", "y2"), F.col("y1") == F.col("y2")
+    out = segs.withColumn("cy", F.explode(F.sequence(cell(low - F.lit(float(reach)), size), cell(high + F.lit(float(reach)), size))))
+    # what of the segment lies within reach of the row
+    at = lambda y: F.col("x1") + F.try_divide((F.col("x2") - F.col("x1")) * (F.greatest(low, F.least(high, y)) - F.col("y1")), F.col("y2") - F.col("y1"))
+    a, b = F.when(flat, F.col("x1")).otherwise(at(F.col("cy") * size - 1.001 * reach)), F.when(flat, F.col("x2")).otherwise(at((F.col("cy") + 1) * size + 1.001 * reach))
+    slack = 1.001 * reach + 1e-6 * size
+    out = out.withColumn("cx", F.explode(F.sequence(cell(F.least(a, b) - slack, size), cell(F.greatest(a, b) + slack, size))))
+    # of these, keep those whose centre is within reach + half diagonal
     centre = out.withColumns({"_mx": (F.col("cx") + 0.5) * size, "_my": (F.col("cy") + 0.5) * size})
     return centre.where(segment_distance("_mx", "_my") <= reach + size).drop("_mx", "_my")
 
 
-def near_segments(points: DataFrame, segs: DataFrame, group: Sequence[str], reach: float) -> DataFrame:
+def near_segments(points: DataFrame, segs: DataFrame, group: Sequence[str], reach: float, size: float = 0.0) -> DataFrame:
     """Pairs of point row and segment row of the same group at distance `dist` <= reach (segments are repeated
-    over cells, points are not)."""
-    p = points.withColumns({"cx": cell("x", reach), "cy": cell("y", reach)})
-    s = cover_cells(segs, reach, reach)
+    over cells of `size`, `reach` at least; points are not)."""
+    size = max(size, reach)
+    p = points.withColumns({"cx": cell("x", size), "cy": cell("y", size)})
+    s = cover_cells(segs, size, reach)
     return p.join(s, [*group, "cx", "cy"]).withColumn("dist", segment_distance()).where(F.col("dist") <= reach).drop("cx", "cy")
 
 
@@ -233,3 +237,104 @@ def inside_areas(points: DataFrame, rings: DataFrame, group: Sequence[str], key:
     flips = held.join(cells, [*group, area, "cx", "cy"]).groupBy(key, *group, area, "px", "py").agg((F.sum(up.cast("int") + over.cast("int")) % 2).alias("flip"))
     told = held.join(right, [*group, area, "cx", "cy"]).join(flips, [key, *group, area, "px", "py"], "left")
     return told.where((F.col("odd") + F.coalesce("flip", F.lit(0))) % 2 == 1).select(key, area)
+
+
+#: Side of the cells in which areas cover points, and how many of them an area spans before it moves to cells 16 times as large.
+COVER_CELL, COVER_SPAN = 250.0, 64
+_EPS = 1e-6  # of a cell, for what rounding may shift
+
+
+def ring_rows(rings: DataFrame, group: Sequence[str], area: str, size: float = COVER_CELL) -> DataFrame:
+    """Ring edges by the rows `cy` of cells they touch, in cells of the area's level `lv`: the first and last cell c0, c1 touched
+    there, the row's middle line `ym` and whether the edge crosses it (`hit`)."""
+    whole = Window.partitionBy(*group, area)
+    span = lambda c: F.max(F.greatest(f"{c}1", f"{c}2")).over(whole) - F.min(F.least(f"{c}1", f"{c}2")).over(whole)
+    level = F.ceil(F.log(16.0, F.greatest(span("x"), span("y"), F.lit(1.0)) / (COVER_SPAN * size)))
+    r = rings.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
+    r = r.withColumn("lv", F.greatest(F.lit(0), F.least(F.lit(AREA_LEVELS - 1), level)).cast("int")).withColumn("step", size * F.pow(F.lit(16.0), F.col("lv")))
+    low, high, flat = F.least("y1", "y2"), F.greatest("y1", "y2"), F.col("y1") == F.col("y2")
+    r = r.withColumn("cy", F.explode(F.sequence(F.floor(low / F.col("step") - _EPS), F.floor(high / F.col("step") + _EPS))))
+    at = lambda y: F.col("x1") + F.try_divide((F.col("x2") - F.col("x1")) * (F.greatest(low, F.least(high, y * F.col("step"))) - F.col("y1")), F.col("y2") - F.col("y1"))
+    a, b = F.when(flat, F.col("x1")).otherwise(at(F.col("cy") - _EPS)), F.when(flat, F.col("x2")).otherwise(at(F.col("cy") + 1 + _EPS))
+    r = r.withColumns({"c0": F.floor(F.least(a, b) / F.col("step") - _EPS), "c1": F.floor(F.greatest(a, b) / F.col("step") + _EPS), "ym": (F.col("cy") + 0.5) * F.col("step")})
+    return r.withColumn("hit", ((F.col("y1") > F.col("ym")) != (F.col("y2") > F.col("ym"))).cast("int"))
+
+
+def covered_cells(rows: DataFrame, group: Sequence[str], area: str, rank: Sequence[str]) -> DataFrame:
+    """Cells (lv, cx, cy) that lie whole inside an area, with the smallest `r` (struct of `rank`) of those areas.
+
+    Between two cells that edges touch, a row of cells is inside where an odd number of edges cross its middle line before."""
+    before = Window.partitionBy(*group, area, "lv", "cy").orderBy("c0", "c1").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = rows.withColumns({"_from": F.max("c1").over(before) + 1, "_to": F.col("c0") - 1, "_odd": F.sum("hit").over(before) % 2}).where("_from <= _to and _odd = 1")
+    return gaps.withColumn("cx", F.explode(F.sequence("_from", "_to"))).groupBy(*group, "lv", "cx", "cy").agg(F.min(F.struct(*rank)).alias("r"))
+
+
+def nearest_features(points: DataFrame, segs: DataFrame, group: Sequence[str], reach: float, rank: Sequence[str] = (), area: str | None = None,
+                     size: float = COVER_CELL) -> DataFrame:
+    """One row per distinct (group, x, y) with a feature within `reach`: `dist` to the nearest, and the smallest `rank` columns at that distance.
+
+    `area` names the column of `segs` that tells the area whose ring a segment belongs to, null for points and lines; inside an area the
+    distance is 0.  No pair of point and area is listed where an area covers the point's whole cell: of those areas only the one of
+    smallest rank is kept, and only areas of smaller rank whose edges touch the cell are asked as well.  Points in no such cell
+    climb a ladder of two distances, and only segments near them are spread over cells."""
+    group, rank = list(group), list(rank)
+    if not rank:
+        segs, rank = segs.withColumn("_one", F.lit(0)), ["_one"]
+    free = rank == ["_one"]
+    spot = [*group, "x", "y"]
+    pos = cut(points.where("x IS NOT NULL AND y IS NOT NULL").select(*spot).distinct())
+    keep = [*group, *rank, "x1", "y1", "x2", "y2"]
+    found = []
+    open_ = pos
+    if area is not None:
+        rows = cut(ring_rows(segs.where(F.col(area).isNotNull()).select(*dict.fromkeys([*keep, area])), group, area, size))
+        levels = rows.select("lv", "step").distinct()
+        at = lambda c: F.floor(F.col(c) / F.col("step"))
+        probe = lambda d: d.join(F.broadcast(levels)).withColumns({"cx": at("x"), "cy": at("y")})  # noqa: E731  (a few levels at most)
+        cells = [*group, "lv", "cx", "cy"]
+        full = cut(covered_cells(rows, group, area, rank))
+        best = probe(pos).join(full, cells).groupBy(*spot).agg(F.min("r").alias("least"))
+        todo = cut(pos.join(best, spot, "left"))
+        found.append(todo.where("least IS NOT NULL").select(*spot, F.lit(0.0).alias("dist"), F.col("least").alias("r")))
+        open_ = todo.where("least IS NULL").select(*spot)
+        asking = open_.withColumn("least", F.lit(None).cast(todo.schema["least"].dataType)) if free else todo
+        # what else can hold the points of a cell: areas whose edges touch it, of smaller rank than the one that covers it
+        wanted = cut(probe(asking).groupBy(*cells).agg(F.max("least").alias("most"), F.bool_or(F.col("least").isNull()).alias("bare")))
+        touched = rows.withColumn("cx", F.explode(F.sequence("c0", "c1"))).withColumn("r", F.struct(*rank)).join(wanted, cells).where("bare OR r < most")
+        touched = cut(touched.select(*cells, F.col(area).alias("_a"), "r", "x1", "y1", "x2", "y2", ((F.col("cx") + 0.5) * F.col("step")).alias("xm"), "ym"))
+        # crossings right of the middle of each asked cell: a running count from the right, middles before crossings at the same x
+        row = [*group, "_a", "lv", "cy"]
+        asked = touched.select(*row, "cx", F.col("xm").alias("mx")).distinct()
+        lines = rows.where("hit = 1").select(*group, F.col(area).alias("_a"), "lv", "cy", _meets("ym").alias("mx")).join(asked.select(*row).distinct(), row, "left_semi")
+        line = Window.partitionBy(*row).orderBy(F.col("mx").desc(), "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        marks = asked.withColumn("mark", F.lit(0)).unionByName(lines.withColumns({"mark": F.lit(1), "cx": F.lit(None).cast("long")}))
+        odd = marks.withColumn("odd", F.sum("mark").over(line) % 2).where("mark = 0").select(*row, "cx", "odd")
+        # crossings on the way from a point to that middle, along y and then along x
+        level = F.try_divide((F.col("y2") - F.col("y1")) * (F.col("x") - F.col("x1")), F.col("x2") - F.col("x1")) + F.col("y1")
+        up = ((F.col("x1") > F.col("x")) != (F.col("x2") > F.col("x"))) & ((level > F.col("y")) != (level > F.col("ym")))
+        over = ((F.col("y1") > F.col("ym")) != (F.col("y2") > F.col("ym"))) & ((F.col("x") < _meets("ym")) != (F.col("xm") < _meets("ym")))
+        told = probe(asking).join(touched, cells).where("least IS NULL OR r < least").groupBy(*spot, *[c for c in row if c not in group], "cx", "r").agg(
+            (F.sum(up.cast("int") + over.cast("int")) % 2).alias("flip"), F.min(segment_distance()).alias("edge"))
+        told = told.join(odd, [*row, "cx"]).where("(odd + flip) % 2 = 1 OR edge = 0")
+        held = cut(told.groupBy(*spot).agg(F.min("r").alias("r")).select(*spot, F.lit(0.0).alias("dist"), "r"))
+        found.append(held)
+        if free:
+            open_ = open_.join(held.select(*spot), spot, "left_anti")
+        else:  # a point or line at distance 0 of smaller rank
+            on = near_segments(todo.where("least IS NOT NULL"), segs.where(F.col(area).isNull()).select(*keep), group, 0.0, size)
+            found.append(on.withColumn("r", F.struct(*rank)).where("r < least").groupBy(*spot).agg(F.min("r").alias("r")).select(*spot, F.lit(0.0).alias("dist"), "r"))
+        open_ = cut(open_)
+    for k, far in enumerate([reach / 8, reach]):
+        side = max(far, size)
+        here = open_.select(*group, cell("x", side).alias("cx"), cell("y", side).alias("cy")).distinct()
+        cover = cover_cells(segs.select(*keep), side, far).join(here, [*group, "cx", "cy"], "left_semi").withColumn("r", F.struct(*rank))
+        near = open_.withColumns({"cx": cell("x", side), "cy": cell("y", side)}).join(cover, [*group, "cx", "cy"]).withColumn("dist", segment_distance())
+        near = cut(near.where(F.col("dist") <= far).groupBy(*spot).agg(F.min(F.struct("dist", "r")).alias("b")).select(*spot, "b.dist", "b.r"))
+        found.append(near)
+        if k == 0:
+            open_ = cut(open_.join(near.select(*spot), spot, "left_anti"))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    every = every.groupBy(*spot).agg(F.min(F.struct("dist", "r")).alias("b"))
+    return every.select(*spot, "b.dist", *([] if free else ["b.r.*"]))

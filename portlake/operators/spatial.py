@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axial, axial_diff
-from ..grid import around, cell, inside_areas, near_segments, nearest_position, sq_dist, with_radius_sums
+from ..grid import around, cell, near_segments, nearest_features, nearest_position, sq_dist, with_radius_sums
 from ..ordered import quantiles
 from ..session import cut
 
@@ -25,35 +25,34 @@ HEADING_RADIUS = 1000.0
 NEAR_DUPLICATE = 10.0
 
 
-def near_features(points: DataFrame, segs: DataFrame, group: Sequence[str], key: str, reach: float, attrs: Sequence[str], area: str | None = None) -> DataFrame:
-    """(`key`, attrs, dist): segments within `reach` of each point.
+def nearest_by_layer(points: DataFrame, segs: DataFrame, group: Sequence[str], layers: Sequence[str], layer: str, reach: float, area: str | None, rest: bool = False) -> DataFrame:
+    """One row per position (group, x, y) near a feature: `d_<layer>`, the distance to the nearest of each layer within `reach`, and `d_any` if `rest`.
 
-    `area` names the column of `segs` that tells the area whose boundary a segment belongs to, null for points and lines.
-    A point inside an area is at distance 0 from it."""
-    rows = points.select(key, *group, "x", "y")
-    near = near_segments(rows, segs, group, reach).select(key, *attrs, "dist")
-    if area is None:
-        return near
-    rings = segs.where(F.col(area).isNotNull())
-    named = rings.select(F.col(area).alias("_area"), *[F.col(a).alias(f"_{a}") for a in attrs]).dropDuplicates(["_area"])
-    held = inside_areas(rows, rings, group, key, area).withColumnRenamed(area, "_area").join(named, "_area")
-    return near.unionByName(held.select(key, *[F.col(f"_{a}").alias(a) for a in attrs], F.lit(0.0).alias("dist")))
+    Layers are looked up side by side, as one more column of the group; with `rest`, what is in none of them is a layer of its own."""
+    name = F.col(layer)
+    known = F.when(name.isin(list(layers)), F.array_position(F.array(*[F.lit(n) for n in layers]), name).cast("int")).otherwise(0)
+    s = segs.withColumn("_layer", known)
+    if not rest:
+        s = s.where("_layer > 0")
+    p = points.select(*group, "x", "y").distinct().withColumn("_layer", F.explode(F.array(*[F.lit(k) for k in range(0 if rest else 1, len(layers) + 1)])))
+    near = nearest_features(p, s, [*group, "_layer"], reach, (), area)
+    return near.groupBy(*group, "x", "y").agg(
+        *[F.min(F.when(F.col("_layer") == k, F.col("dist"))).alias(f"d_{n}") for k, n in enumerate(layers, 1)], *([F.min("dist").alias("d_any")] if rest else []))
 
 
 def nearest_within(points: DataFrame, segs: DataFrame, group: Sequence[str], key: str, layers: Sequence[str], layer: str = "layer",
                    reach: float = LAYER_REACH, area: str | None = None) -> DataFrame:
     """Distance to the nearest feature of each layer, capped at `reach`: columns `d_<layer>`; 0 inside an area."""
-    near = near_features(points, segs, group, key, reach, [layer], area)
-    d = near.groupBy(key).agg(*[F.min(F.when(F.col(layer) == n, F.col("dist"))).alias(f"d_{n}") for n in layers])
-    return points.join(d, key, "left").withColumns({f"d_{n}": F.coalesce(f"d_{n}", F.lit(float(reach))) for n in layers})
+    d = nearest_by_layer(points, segs, group, layers, layer, reach, area)
+    return points.join(d, [*group, "x", "y"], "left").select(*points.columns, *[F.coalesce(f"d_{n}", F.lit(float(reach))).alias(f"d_{n}") for n in layers])
 
 
 def facility_hit(points: DataFrame, segs: DataFrame, group: Sequence[str], key: str, attrs: Sequence[str], id_col: str,
                  buffer: float = FACILITY_BUFFER, area: str | None = None) -> DataFrame:
     """Nearest feature within `buffer` of each point with its attributes; null when none (ties to the smallest id)."""
-    near = near_features(points, segs, group, key, buffer, attrs, area)
-    best = near.groupBy(key).agg(F.min(F.struct("dist", F.col(id_col), *[a for a in attrs if a != id_col])).alias("b"))
-    return points.join(best.select(key, "b.*"), key, "left")
+    order = [id_col, *[a for a in attrs if a != id_col]]
+    best = nearest_features(points, segs, group, buffer, order, area)
+    return points.join(best, [*group, "x", "y"], "left").select(*points.columns, "dist", *order)
 
 
 def nearest_field_cell(points: DataFrame, cells: DataFrame, group: Sequence[str], key: str, reach: float = LAYER_REACH) -> DataFrame:
@@ -178,10 +177,8 @@ def hotspot_cell(df: DataFrame, key: str, size: float, x: str = "x", y: str = "y
 def proximity_by_group(points: DataFrame, segs: DataFrame, group: Sequence[str], key: str, kinds: Sequence[str], kind: str = "kind",
                        reach: float = LAYER_REACH, area: str | None = None) -> DataFrame:
     """Nearest feature of each kind and of any kind within `reach`, 0 inside an area; rows with none in reach are dropped."""
-    near = near_features(points, segs, group, key, reach, [kind], area)
-    d = near.groupBy(key).agg(
-        *[F.min(F.when(F.col(kind) == k, F.col("dist"))).alias(f"d_{k}") for k in kinds], F.min("dist").alias("d_any"))
-    return points.join(d, key)
+    d = nearest_by_layer(points, segs, group, kinds, kind, reach, area, rest=True)
+    return points.join(d, [*group, "x", "y"]).select(*points.columns, *[f"d_{k}" for k in kinds], "d_any")
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:

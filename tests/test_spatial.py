@@ -199,3 +199,66 @@ def test_area_index_grows_with_the_edges(spark):
         _, cells, lines = edge_cells(rings, ["p"], "a")
         assert cells.count() <= 6 * len(edges) + 20 and lines.count() <= 2 * len(edges) + 20, name
         assert cells.groupBy("cx", "cy").count().agg({"count": "max"}).first()[0] <= 60, name
+
+
+def squares(n, seed=3):
+    rng = np.random.default_rng(seed)
+    c, h = np.round(rng.normal(0, 1200, (n, 2)), 3), 300.0 * rng.integers(1, 9, n)
+    rows = []
+    for k in range(n):
+        for side in (h[k], h[k] / 4) if k % 3 == 0 else (h[k],):
+            x, y = c[k]
+            rows += [(1, k, "ab"[k % 2], *map(float, e)) for e in loop([(x - side, y - side), (x + side, y - side), (x + side, y + side), (x - side, y + side)])]
+    return c, h, rows
+
+
+SQUARES = "g int, a int, kind string, x1 double, y1 double, x2 double, y2 double"
+
+
+def test_crowded_areas_without_pairs(spark, monkeypatch):
+    """What is written grows with points and areas, not with their pairs; distances and the smallest id equal those of all pairs."""
+    from portlake import grid
+
+    c, h, rows = squares(700)
+    xy = np.round(np.concatenate([np.random.default_rng(4).normal(0, 1500, (700, 2)), c[:50] + [[150.0, 0.0]], [[30_000.0, 0.0], [5_000.0, 5_000.0]]]), 3)
+    points = spark.createDataFrame([(k, 1, float(x), float(y)) for k, (x, y) in enumerate(xy)], "k int, g int, x double, y double")
+    written, real = [], grid.cut
+    monkeypatch.setattr(grid, "cut", lambda df: (lambda d: written.append(d.count()) or d)(real(df)))
+    segs = spark.createDataFrame(rows, SQUARES)
+    hit = {r.k: r for r in D.facility_hit(points, segs, ["g"], "k", ["a", "kind"], "a", area="a").collect()}
+    near = {r.k: r for r in D.proximity_by_group(points, segs, ["g"], "k", ["a"], area="a").collect()}
+    capped = {r.k: r for r in D.nearest_within(points, segs, ["g"], "k", ["a", "b"], "kind", area="a").collect()}
+    assert sum(written) < 150 * len(xy)
+    far = np.abs(xy[:, None] - c[None]).max(2)
+    out = np.hypot(*np.maximum(np.abs(xy[:, None] - c[None]) - h[None, :, None], 0).transpose(2, 0, 1))
+    hole = np.where(np.arange(len(c)) % 3 == 0, h / 4, 0)
+    d = np.where(far < hole, hole - far, np.where(far <= h, 0, out))
+    for k in range(len(xy)):
+        best = min((v, a) for a, v in enumerate(d[k]))
+        assert (hit[k].dist, hit[k].a) == (pytest.approx(best[0], abs=1e-6), best[1]) if best[0] <= 25 else hit[k].dist is None, k
+        assert abs(near[k].d_any - best[0]) < 1e-6 if best[0] <= 2000 else k not in near
+        assert abs(capped[k].d_a - min(2000, d[k, ::2].min())) < 1e-6 and abs(capped[k].d_b - min(2000, d[k, 1::2].min())) < 1e-6
+
+
+def test_nearest_of_areas_of_all_shapes(spark):
+    """Insides by the even-odd rule for ragged rings, with lines of smaller and larger id on the points."""
+    from portlake.grid import nearest_features
+
+    rng = np.random.default_rng(19)
+    held = shapes()
+    names = {a: 2 * k + 2 for k, a in enumerate(held)}
+    xy = np.round(np.concatenate([rng.normal(0, 10.0**k, (60, 2)) for k in range(1, 7)] + [rng.uniform((-50, -350), (4100, 1100), (300, 2)), rng.uniform(0, 64, (60, 2))]), 3)
+    segs = [(1, names[a], names[a], *map(float, e)) for a, edges in held.items() for e in edges] + [(1, None, k, *map(float, xy[5 * k]), *map(float, xy[5 * k])) for k in range(1, 18, 2)]
+    got = {(r.x, r.y): r for r in nearest_features(
+        spark.createDataFrame([(1, float(x), float(y)) for x, y in xy], "g int, x double, y double"),
+        spark.createDataFrame(segs, "g int, a int, f int, x1 double, y1 double, x2 double, y2 double"), ["g"], 400.0, ["f"], "a", 20.0).collect()}
+    e = np.array([s[3:] for s in segs])
+    dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
+    for x, y in xy.tolist():
+        t = np.clip(np.divide((x - e[:, 0]) * dx + (y - e[:, 1]) * dy, dx * dx + dy * dy, out=np.zeros(len(e)), where=dx * dx + dy * dy > 0), 0, 1)
+        all_ = [(d, s[2]) for d, s in zip(np.hypot(x - e[:, 0] - t * dx, y - e[:, 1] - t * dy), segs)] + [(0.0, names[a]) for a, edges in held.items() if brute_inside(x, y, edges)]
+        d, f = min(all_)
+        if d > 400:
+            assert (x, y) not in got
+        else:
+            assert abs(got[x, y].dist - d) < 1e-6 and (d > 1e-9 or got[x, y].f == f), (x, y)
