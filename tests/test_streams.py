@@ -168,3 +168,16 @@ def test_appends_read_touched_buckets_only(spark, tmp_path):
     assert 0 < len({f.split("_bucket=")[1].split("/")[0] for f in (r[0] for r in seen[0].select(F.input_file_name()).distinct().collect())}) <= 2
     assert "PartitionFilters: [isnotnull" in seen[0]._jdf.queryExecution().toString() or "_bucket" in seen[0]._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
     assert read_sink(spark, path).count() == 5001
+
+
+def test_state_calls_do_not_grow_with_the_vessels(spark, tmp_path):
+    """Vessels share states: 3000 of them in two runs leave at most BUCKETS states, and null keys are vessels of their own."""
+    rows = [(i, None if i % 1500 == 7 else i % 1500, 1, 0, 1_700_000_000 + i // 1500 * 300 + (2 if i % 1500 == 8 else 0), float(i // 1500 * 50), 0.0, "a") for i in range(6000)]
+    want = steps(track_steps(spark.createDataFrame(rows, R.AIS_SCHEMA), ["product", "mmsi"]))
+    assert len(want) == 4500
+    got = landed(spark, tmp_path, "many", [rows[:3000], rows[3000:]])(lambda s: R.track_steps_keyed(s, delay="30 days"))
+    assert steps(got) == want
+    got = R.drain(R.track_steps_stream(R.ais_stream(spark, f"{tmp_path}/many/*"), delay="30 days"), f"{tmp_path}/o", f"{tmp_path}/ck")
+    assert steps(got) == want
+    seen = spark.read.format("statestore").load(f"{tmp_path}/ck").count()
+    assert 0 < seen <= R.BUCKETS
