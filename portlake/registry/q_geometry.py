@@ -38,9 +38,11 @@ def _(v):
         F.array_max(side).alias("long_side"), F.array_min(side).alias("short_side")), 3)
 
 
-@query("long_axis", "objects", _BOX_SQL + """SELECT object_id, round(least(abs(axis_deg - 0.0), 180 - axis_deg), 4) AS fold FROM box JOIN objects USING (object_id)""")
+@query("long_axis", "objects", _BOX_SQL + """, e AS (SELECT object_id, list_min([{'l': -((p[i % 4 + 1].x - p[i].x) * (p[i % 4 + 1].x - p[i].x) + (p[i % 4 + 1].y - p[i].y) * (p[i % 4 + 1].y - p[i].y)), 'i': i,
+ 'dx': p[i % 4 + 1].x - p[i].x, 'dy': p[i % 4 + 1].y - p[i].y} FOR i IN [1, 2, 3, 4]]) AS b FROM box), a AS (SELECT object_id, (degrees(atan2(b.dy, b.dx)) % 180 + 180) % 180 AS a FROM e)
+SELECT object_id, round(least(a, 180 - a), 4) + 0.0 AS fold FROM a""")
 def _(v):
-    """The rectangle's long side runs along the axis it was drawn from."""
+    """Direction of the rectangle's longest edge, folded into [0, 90]; a rectangle of size 0 has none, which counts as 0."""
     a = G.long_axis_deg(F.col("p"))
     return rounded(boxes(v).select("object_id", F.least(a, 180.0 - a).alias("fold")), 4)
 

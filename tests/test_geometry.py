@@ -49,3 +49,17 @@ def test_scores(spark):
     r = df.select(S.argmax(F.col("s")).alias("a"), S.softmax(F.col("s")).alias("p"), S.margin(F.col("s")).alias("m"), S.energy(F.col("s")).alias("e")).collect()
     assert [x.a for x in r] == [1, 0] and [x.m for x in r] == [0.0, 0.0]
     assert abs(sum(r[0].p) - 1) < 1e-12 and abs(r[1].e - np.log(3)) < 1e-12
+
+
+def test_long_axis_of_rectangles_of_size_0_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(k, [0.1, 0.05 * k, 0.02 * k, z] + [0.0] * 60, 0) for k, z in enumerate((0.0, 0.3, -0.0, 1e-6, -0.2, 3.4e-5, 0.0))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(entry.oracle_sql()["long_axis"]).fetchall())
+    assert sorted(tuple(r) for r in entry.queries()["long_axis"](spark, str(tmp_path)).collect()) == want
+    assert [f for _, f in want][:3] == [0.0, 36.0, 0.0]
