@@ -74,7 +74,7 @@ def _(v):
 @query("visit_sessions_stream", "ais", """, l AS (SELECT mmsi, t, CASE WHEN t - lag(t) OVER (PARTITION BY mmsi ORDER BY t) <= 21600 THEN 0 ELSE 1 END AS s FROM ais), g AS (SELECT mmsi, t, sum(s) OVER (PARTITION BY mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM l)
 SELECT mmsi, min(t) AS start, max(t) AS "end", count(*) AS fixes FROM g GROUP BY mmsi, k""")
 def _(v):
-    """Sessions kept across batches, taken after the last one. A session window ends before its gap, so the gap is one second longer."""
-    r = fed(v, lambda s: R.visit_sessions_stream(s, ["mmsi"], "21601 seconds"), "complete")
+    """Sessions kept across batches, taken after the last one. Session windows that touch are one, so a silence of just the gap stays inside."""
+    r = fed(v, lambda s: R.visit_sessions_stream(s, ["mmsi"], "21600 seconds"), "complete")
     last = r.agg(F.max("epoch")).first()[0]
     return r.where(F.col("epoch") == last).select("mmsi", "start", "end", "fixes")

@@ -181,3 +181,15 @@ def test_state_calls_do_not_grow_with_the_vessels(spark, tmp_path):
     assert steps(got) == want
     seen = spark.read.format("statestore").load(f"{tmp_path}/ck").count()
     assert 0 < seen <= R.BUCKETS
+
+
+def test_silence_of_just_the_gap_stays_in_the_session(spark, tmp_path):
+    """The registered query, with silences of 21,600 and 21,601 seconds inside a part and between parts."""
+    import __spark_entry__ as entry
+
+    t = [0, 21_600, 43_201, 43_202, 64_802, 86_403, 108_003, 108_004]
+    rows = [(k, 1, float(k), '{"k": 1}', "a", 1_700_000_000 + s) for k, s in enumerate(t)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, value double, props string, event_type string, s long")
+    e.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.start - 1_700_000_000, r.end - 1_700_000_000, r.fixes) for r in entry.queries()["visit_sessions_stream"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 21_600, 2), (43_201, 64_802, 3), (86_403, 108_004, 3)}
