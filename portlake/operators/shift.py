@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -15,6 +15,9 @@ from ..session import cut
 from .selective import cap_per_group, hash_cap
 
 BLOCK_ROWS = 2048
+#: Blocks grow with the rows, so that a row is repeated a bounded number of times: at most so many blocks a port, or of all ports
+#: beside one a port.  A tile is worked off in strips of `STRIP` rows.
+PORT_BLOCKS, ALL_BLOCKS, STRIP = 8, 24, 512
 
 
 def shift_decompose(source: DataFrame, target: DataFrame, fold: str, truth: str, source_pred: str, target_pred: str) -> DataFrame:
@@ -55,8 +58,8 @@ def neighbour_entropy(df: DataFrame, port: str, key: str, vector: str, temperatu
     """Mean entropy of the softmax over cosine neighbours per port.
 
     The measure compares every row with every other row of its port.  Rows are dealt into blocks of about `block`
-    rows; each pair of blocks is one task that returns two partial sums per row, never the pairs."""
-    n = df.groupBy(port).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(block)))).cast("int").alias("_k"))
+    rows, `PORT_BLOCKS` at most; each pair of blocks is one task that returns two partial sums per row, never the pairs."""
+    n = df.groupBy(port).agg(F.least(F.lit(PORT_BLOCKS), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(block))))).cast("int").alias("_k"))
     d = df.join(F.broadcast(n), port).select(port, key, vector, "_k", F.pmod(F.xxhash64(key), F.col("_k")).cast("int").alias("_b"))
     left = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select(port, key, vector, F.col("_b").alias("_i"), F.col("_o").alias("_j"))
     right = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select(
@@ -67,11 +70,16 @@ def neighbour_entropy(df: DataFrame, port: str, key: str, vector: str, temperatu
         if a.empty or b.empty:
             return pd.DataFrame({port: [], key: [], "z": [], "zs": []})
         unit = lambda m: m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
-        s = unit(np.stack(a[vector].to_numpy())) @ unit(np.stack(b["_rv"].to_numpy())).T / temperature
-        e = np.exp(s)
-        same = a[key].to_numpy()[:, None] == b["_rk"].to_numpy()[None, :]
-        e[same] = 0.0
-        return pd.DataFrame({port: a[port], key: a[key], "z": e.sum(1), "zs": (e * s).sum(1)})
+        p, q, ka, kb = unit(np.stack(a[vector].to_numpy())), unit(np.stack(b["_rv"].to_numpy())).T, a[key].to_numpy(), b["_rk"].to_numpy()
+        diagonal = bool(np.isin(ka, kb).any())  # equal keys meet in the pair of a block with itself only
+        z, zs = np.zeros(len(a)), np.zeros(len(a))
+        for at in range(0, len(a), STRIP):
+            s = p[at : at + STRIP] @ q / temperature
+            e = np.exp(s)
+            if diagonal:
+                e[ka[at : at + STRIP, None] == kb[None, :]] = 0.0
+            z[at : at + STRIP], zs[at : at + STRIP] = e.sum(1), np.einsum("ij,ij->i", e, s)
+        return pd.DataFrame({port: a[port], key: a[key], "z": z, "zs": zs})
 
     parts = left.groupBy(port, "_i", "_j").cogroup(right.groupBy("_rp", "_ri", "_rj")).applyInPandas(
         tile, f"`{port}` {kt[port]}, `{key}` {kt[key]}, z double, zs double")
@@ -82,10 +90,12 @@ def neighbour_entropy(df: DataFrame, port: str, key: str, vector: str, temperatu
 def energy_distance(df: DataFrame, port: str, key: str, vector: str, cap: int | None = None, seed: str = "", block: int = BLOCK_ROWS) -> DataFrame:
     """Energy distance between every two ports over all their rows, or over `cap` rows a port in hash order if given.
 
-    Rows are dealt into blocks of about `block` rows; each pair of blocks is one task that returns a single sum of distances."""
+    Rows are dealt into blocks of about `block` rows, larger ones if there would be more than `ALL_BLOCKS`; each pair of blocks is one task
+    that returns a single sum of distances."""
     rows = hash_cap(df.select(port, key, vector), [port], key, cap, seed) if cap else df.select(port, key, vector)
     sizes = rows.groupBy(port).agg(F.count(F.lit(1)).alias("rows"))
-    blocks = sizes.select(F.col(port).alias("p"), F.ceil(F.col("rows") / F.lit(float(block))).cast("int").alias("k"))
+    each = F.greatest(F.lit(float(block)), F.ceil(F.sum("rows").over(Window.partitionBy()) / ALL_BLOCKS))  # over one row a port
+    blocks = cut(sizes.select(F.col(port).alias("p"), F.ceil(F.col("rows") / each).cast("int").alias("k")))
     dealt = rows.select(F.col(port).alias("p"), key, vector).join(blocks, "p").select("p", F.pmod(F.xxhash64(key), F.col("k")).cast("int").alias("i"), vector)
     each = blocks.select("p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
     one, two = each.toDF("a", "i"), each.toDF("b", "j")
@@ -98,9 +108,11 @@ def energy_distance(df: DataFrame, port: str, key: str, vector: str, cap: int |
         if x.empty or y.empty:
             return pd.DataFrame({"a": [], "b": [], "total": []})
         p, q = (np.stack(s[vector].to_numpy()).astype(float) for s in (x, y))
-        apart = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T, 0))
+        pp, qq, total = (p * p).sum(1), (q * q).sum(1), 0.0
+        for at in range(0, len(p), STRIP):
+            total += np.sqrt(np.maximum(pp[at : at + STRIP, None] + qq[None, :] - 2 * p[at : at + STRIP] @ q.T, 0)).sum()
         a, i, b, j = key
-        return pd.DataFrame({"a": [a], "b": [b], "total": [apart.sum() * (2 if a == b and i != j else 1)]})
+        return pd.DataFrame({"a": [a], "b": [b], "total": [total * (2 if a == b and i != j else 1)]})
 
     sums = left.groupBy("a", "i", "b", "j").cogroup(right.groupBy("_a", "_i", "_b", "_j")).applyInPandas(tile, f"a {pt}, b {pt}, total double")
     sums = sums.groupBy("a", "b").agg(F.sum("total").alias("total"))

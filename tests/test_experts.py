@@ -1,5 +1,7 @@
 """Experts from moments against direct fits; alignment and prior estimation invariants."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -226,3 +228,40 @@ def test_gates_are_fitted_in_full(spark, monkeypatch):
     (fitted,) = made
     assert len(fitted.folds) == 8 + 28 and {len(t) for t in fitted.trees} == {20} and {len(t.feature) for trees in fitted.trees for t in trees} == {2**5 - 1}
     assert len(rows) == 8 and all(r.tau is not None and 0 < r.mean_gate < 1 for r in rows)
+
+
+def metrics(df):
+    """Metrics of the executed plan's nodes, the query stages of adaptive execution included."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            if node.metrics().contains("shuffleRecordsWritten"):
+                out.append(f"shuffle records written {node.metrics().apply('shuffleRecordsWritten').value()}")
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+    return "; ".join(out)
+
+
+def test_rows_of_block_pairs_grow_with_the_table(spark):
+    """However small the blocks asked for, a row is repeated over a bounded number of them, and the results stay."""
+    from portlake.operators import shift as H
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(0, 1, (400, 5))
+    df = spark.createDataFrame([(int(i % 2), i, v[i].tolist()) for i in range(400)], "port int, id int, v array<double>")
+    entropy, energy = H.neighbour_entropy(df, "port", "id", "v", block=2), H.energy_distance(df, "port", "id", "v", block=2)
+    u = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)
+    for r in entropy.collect():
+        s = u[r.port::2] @ u[r.port::2].T / 0.05
+        e = np.exp(s)
+        np.fill_diagonal(e, 0)
+        assert abs(r.snd - (np.log(e.sum(1)) - (e * s).sum(1) / e.sum(1)).mean()) < 1e-9
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    assert abs(energy.first().energy - (2 * d[::2, 1::2].mean() - d[::2, ::2].mean() - d[1::2, 1::2].mean())) < 1e-6
+    rows = [int(m) for m in re.findall(r"shuffle records written\D*(\d+)", metrics(entropy))]
+    assert rows and max(rows) <= 400 * H.PORT_BLOCKS
