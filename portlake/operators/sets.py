@@ -39,8 +39,9 @@ def fold_class_sets(df: DataFrame, port: str, cls: str, min_objects: int = MIN_O
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys only one side has."""
-    a, b = left.select(key).distinct(), right.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("missing_from", F.lit("right")).unionByName(b.join(a, key, "left_anti").withColumn("missing_from", F.lit("left")))
+    sides = left.select(key, F.lit(1).alias("_s")).unionByName(right.select(key, F.lit(2).alias("_s")))
+    seen = sides.groupBy(key).agg(F.bit_or("_s").alias("_s")).where("_s < 3")  # one shuffle, no join; null keys equal null keys
+    return seen.select(key, F.when(F.col("_s") == 1, "right").otherwise("left").alias("missing_from"))
 
 
 def manifest_diff(expected: DataFrame, actual: DataFrame, keys: Sequence[str], role: str = "role") -> DataFrame:

@@ -262,3 +262,13 @@ def test_nearest_of_areas_of_all_shapes(spark):
             assert (x, y) not in got
         else:
             assert abs(got[x, y].dist - d) < 1e-6 and (d > 1e-9 or got[x, y].f == f), (x, y)
+
+
+def test_reconcile_without_a_join(spark):
+    """One grouping tells what only one side has; repeated keys count once and null keys equal null keys."""
+    from portlake.operators.sets import reconcile
+
+    side = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k int")
+    got = reconcile(side(1, 1, 2, None, 3), side(3, 4, 4, None), "k")
+    assert sorted(map(tuple, got.collect())) == [(1, "right"), (2, "right"), (4, "left")]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
