@@ -1,19 +1,27 @@
 """Spatial joins as equi-joins on grid cells followed by an exact predicate.
 
-Sums over a radius use two grids: occupied fine cells are compared box to box first, so a crowded berth is
-added as one number and only cells that straddle the circle are opened up to positions.
+Sums over a radius compare blocks of positions as arrays (`discs`): boxes meet first, so a crowded berth is added as one number and only
+what straddles a circle is opened up to positions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .discs import disc_sums
+from .ordered import running
 from .session import cut
 
-SUBDIVISION = 8
+#: Blocks of positions a group, and the positions of a block.
+BLOCKS, BLOCK_LEAST, BLOCK_MOST = 8, 2048, 1 << 18
+#: Positions in the cell of a position, above which a search for the nearest one begins with smaller cells.
+CROWD = 16.0
 
 
 def cell(c: Column | str, size: float) -> Column:
@@ -38,51 +46,66 @@ def sq_dist(x1, y1, x2, y2) -> Column:
 
 def radius_sums(
     df: DataFrame, group: Sequence[str], radii: Mapping[str, float], values: Mapping[str, Column] | None = None,
-    x: str = "x", y: str = "y",
+    x: str = "x", y: str = "y", least: int = BLOCK_LEAST, most: int = BLOCK_MOST,
 ) -> DataFrame:
     """One row per distinct (group, x, y): for each radius, `n_<r>` rows and `<value>_<r>` sums over all rows
-    of the group within it, the position's own rows included.  Output columns start with the group and x, y."""
-    group = list(group)
+    of the group within it, the position's own rows included.  Output columns start with the group and x, y.
+
+    Positions are dealt by place into blocks: `BLOCKS` a group, but of at least `least` and at most `most` positions, so a position travels
+    at most 2 x `BLOCKS` times in groups of up to `BLOCKS` x `most` positions.  A block that all discs of another hold whole, or none
+    touches, does not travel; the other pairs of blocks are one task each, which returns sums.  Whole numbers are exact up to 2^53.
+    """
+    group, bounds = list(group), list(radii.values())
     vals = {"n": F.lit(1).cast("long"), **dict(values or {})}
-    big = max(radii.values())
-    fine = big / SUBDIVISION
-    pos = df.groupBy(*group, x, y).agg(*[F.sum(e).alias(v) for v, e in vals.items()])
-    pos = pos.withColumn("fx", cell(x, fine)).withColumn("fy", cell(y, fine))
-    boxes = pos.groupBy(*group, "fx", "fy").agg(
-        F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"),
-        *[F.sum(v).alias(v) for v in vals],
-    )
-    coarse = lambda c: F.floor(F.col(c) / F.lit(float(SUBDIVISION)))
-    a = around(
-        boxes.select(*group, F.col("fx").alias("ax"), F.col("fy").alias("ay"), *[F.col(c).alias("a" + c) for c in ("x0", "x1", "y0", "y1")],
-                     coarse("fx").alias("cx"), coarse("fy").alias("cy")), "cx", "cy")
-    b = boxes.select(*group, F.col("fx").alias("bx"), F.col("fy").alias("by"), *[F.col(c).alias("b" + c) for c in ("x0", "x1", "y0", "y1")],
-                     *[F.col(v).alias("b_" + v) for v in vals], coarse("fx").alias("cx"), coarse("fy").alias("cy"))
-    zero = F.lit(0.0)
-    near = lambda t: F.greatest(F.col(f"b{t}0") - F.col(f"a{t}1"), F.col(f"a{t}0") - F.col(f"b{t}1"), zero)
+    v, big = [f"_v{k}" for k in range(len(vals))], max(bounds)
+    parts = [f"_p{i}_{k}" for i in range(len(bounds)) for k in range(len(vals))]
+    pos = cut(df.groupBy(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(*[F.sum(e).alias(c) for c, e in zip(v, vals.values())]))
+    placed = F.coalesce((F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf")), F.lit(False))
+    ranked = running(pos.where(placed), group, [cell("_x", big), F.col("_y"), F.col("_x")])
+    size = F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.col("n") / BLOCKS)))
+    dealt = cut(ranked.select(*group, "_x", "_y", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in v], F.floor((F.col("rn") - 1) / size).alias("_b")))
+    blocks = dealt.groupBy(*group, "_b").agg(
+        F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1"), *[F.sum(c).alias(c) for c in v])
+    a = blocks.select(*group, F.col("_b").alias("_i"), *[F.col(c).alias("a" + c) for c in ("x0", "x1", "y0", "y1")])
+    b = blocks.select(*group, F.col("_b").alias("_j"), *[F.col(c).alias("b" + c) for c in ("x0", "x1", "y0", "y1")], *v)
+    near = lambda t: F.greatest(F.col(f"b{t}0") - F.col(f"a{t}1"), F.col(f"a{t}0") - F.col(f"b{t}1"), F.lit(0.0))
     far = lambda t: F.greatest(F.col(f"b{t}1") - F.col(f"a{t}0"), F.col(f"a{t}1") - F.col(f"b{t}0"))
-    pairs = a.join(b, [*group, "cx", "cy"]).withColumns(
+    pairs = a.join(b, group).withColumns(
         {"min2": near("x") * near("x") + near("y") * near("y"), "max2": far("x") * far("x") + far("y") * far("y")}
     ).where(F.col("min2") <= big * big)
-    whole = pairs.groupBy(*group, "ax", "ay").agg(
-        *[F.sum(F.when(F.col("max2") <= r * r, F.col("b_" + v))).alias(f"w_{v}_{n}") for n, r in radii.items() for v in vals]
-    ).withColumnsRenamed({"ax": "fx", "ay": "fy"})
-    split = {n: (F.col("min2") <= r * r) & (F.col("max2") > r * r) for n, r in radii.items()}
-    opened = pairs.select(*group, "ax", "ay", "bx", "by", *[c.alias(f"o_{n}") for n, c in split.items()])
-    opened = opened.where(" or ".join(f"o_{n}" for n in radii))
-    left = pos.select(*group, F.col("fx").alias("ax"), F.col("fy").alias("ay"), F.col(x).alias("px"), F.col(y).alias("py"))
-    right = pos.select(*group, F.col("fx").alias("bx"), F.col("fy").alias("by"), F.col(x).alias("qx"), F.col(y).alias("qy"),
-                       *[F.col(v).alias("q_" + v) for v in vals])
-    d2 = sq_dist("px", "py", "qx", "qy")
-    partial = left.join(opened, [*group, "ax", "ay"]).join(right, [*group, "bx", "by"]).withColumn("d2", d2)
-    partial = partial.where(F.col("d2") <= big * big).groupBy(*group, F.col("px").alias(x), F.col("py").alias(y)).agg(
-        *[F.sum(F.when(F.col(f"o_{n}") & (F.col("d2") <= r * r), F.col("q_" + v))).alias(f"p_{v}_{n}") for n, r in radii.items() for v in vals]
-    )
-    out = pos.select(*group, x, y, "fx", "fy").join(whole, [*group, "fx", "fy"], "left").join(partial, [*group, x, y], "left")
-    return out.select(
-        *group, x, y,
-        *[(F.coalesce(F.col(f"w_{v}_{n}"), F.lit(0)) + F.coalesce(F.col(f"p_{v}_{n}"), F.lit(0))).alias(f"{v}_{n}") for n in radii for v in vals],
-    )
+    rim = F.lit(False)
+    for r in bounds:
+        rim = rim | (F.col("min2") <= r * r) & (F.col("max2") > r * r)
+    pairs = cut(pairs.withColumn("rim", rim))
+    whole = pairs.where("NOT rim").groupBy(*group, F.col("_i").alias("_b")).agg(
+        *[F.sum(F.when(F.col("max2") <= r * r, F.col(c))).alias("_w" + p) for p, (r, c) in zip(parts, [(r, c) for r in bounds for c in v])])
+    opened = pairs.where("rim").select(*group, "_i", "_j")
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    def meet(side: str, tag: str):
+        rows = dealt.withColumnRenamed("_b", side).join(opened, [*group, side])
+        rows = rows.select(*[F.col(c).alias(tag + c) for c in (*group, "_i", "_j", "_x", "_y", *v)])
+        keys = [tag + c for c in (*group, "_i", "_j")]
+        return rows.repartition(tasks, *keys).groupBy(*keys)
+
+    schema = T.StructType([*[dealt.schema[g] for g in group], *[T.StructField(c, T.DoubleType()) for c in ("_x", "_y", *parts)]])
+
+    def block_sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, d = ([t.column(tag + c).to_numpy() for c in ("_x", "_y", *v)] for t, tag in ((left, "l"), (right, "r")))
+        sums = disc_sums(q[0], q[1], d[0], d[1], np.stack(d[2:], 1), [r * r for r in bounds])
+        out = left.select(["l" + c for c in (*group, "_x", "_y")]).rename_columns([*group, "_x", "_y"])
+        for p, c in zip(parts, sums.transpose(0, 2, 1).reshape(len(parts), -1)):
+            out = out.append_column(p, pa.array(c))
+        return out
+
+    partial = meet("_i", "l").cogroup(meet("_j", "r")).applyInArrow(block_sums, schema).groupBy(*group, "_x", "_y").agg(*[F.sum(p).alias(p) for p in parts])
+    zero = F.lit(0.0)
+    out = dealt.select(*group, "_x", "_y", "_b").join(whole, [*group, "_b"], "left").join(partial, [*group, "_x", "_y"], "left")
+    out = out.select(*group, "_x", "_y", *[(F.coalesce(F.col("_w" + p), zero) + F.coalesce(F.col(p), zero)).alias(p) for p in parts])
+    out = out.unionByName(pos.where(~placed).select(*group, "_x", "_y", *[zero.alias(p) for p in parts]))
+    names = [(f"{name}_{r}", pos.schema[c].dataType) for r in radii for name, c in zip(vals, v)]
+    return out.select(*group, F.col("_x").alias(x), F.col("_y").alias(y), *[F.col(p).cast(kind).alias(name) for p, (name, kind) in zip(parts, names)])
 
 
 def with_radius_sums(df, group, radii, values=None, x="x", y="y", rows: DataFrame | None = None) -> DataFrame:
@@ -90,11 +113,12 @@ def with_radius_sums(df, group, radii, values=None, x="x", y="y", rows: DataFram
     return df.join(radius_sums(df if rows is None else rows, group, radii, values, x, y), [*group, x, y], "left")
 
 
-def nearest_position(df: DataFrame, group: Sequence[str], x: str = "x", y: str = "y", first: float = 50.0, steps: int = 3) -> DataFrame:
+def nearest_position(df: DataFrame, group: Sequence[str], x: str = "x", y: str = "y", first: float = 50.0, steps: int = 3, crowd: float = CROWD) -> DataFrame:
     """One row per distinct (group, x, y) with `nn`: distance to the nearest other row of the group.
 
     Positions shared by several rows have distance 0.  The rest climb a ladder of cell sizes, each eight
-    times the last; a distance no larger than the cell is final.  Positions still open after the ladder are compared
+    times the last; a distance no larger than the cell is final.  Where the cell of a position holds more than `crowd` positions on average,
+    the ladder begins eight times finer, and again, 64 steps at most.  Positions still open after the ladder are compared
     with the boxes of occupied coarse cells, and only cells that can hold the nearest row are opened.
     """
     group = list(group)
@@ -104,6 +128,11 @@ def nearest_position(df: DataFrame, group: Sequence[str], x: str = "x", y: str =
     q = pos.select(*group, F.col(x).alias("qx"), F.col(y).alias("qy"))
     not_self = (F.col("qx") != F.col(x)) | (F.col("qy") != F.col(y))
     size = first
+    while steps < 64:
+        met = pos.groupBy(*group, cell(x, size), cell(y, size)).agg(F.count(F.lit(1)).cast("double").alias("m")).agg(F.sum(F.col("m") * F.col("m")) / F.sum("m"))
+        if (met.first()[0] or 0.0) <= crowd:
+            break
+        size, steps = size / 8, steps + 1
     for _ in range(steps):
         cells = q.withColumns({"cx": cell("qx", size), "cy": cell("qy", size)})
         probe = around(rest.withColumns({"cx": cell(x, size), "cy": cell(y, size)}), "cx", "cy")
