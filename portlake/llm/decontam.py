@@ -212,7 +212,7 @@ def _places(items: DataFrame, n: int, min_score: float, agree: int, block: int)
             rows = [np.concatenate(x) for x in zip(*made)]
             yield text.batch_of(schema, b.column("digest").take(pa.array(rows[0], pa.int64())), *rows[1:5], pa.array(rows[5].astype(np.int32)), pa.array(rows[6].astype(bool)))
 
-    return items.mapInArrow(run, "item binary, place long, key long, spare long, agree long, level int, single boolean").distinct()
+    return items.mapInArrow(text.tidy(run, "decontam"), "item binary, place long, key long, spare long, agree long, level int, single boolean").distinct()
 
 
 def _pairs(rows: DataFrame, wanted: Bitmap, single: bool, size: int, counted: bool) -> DataFrame:
@@ -242,7 +242,7 @@ def _pairs(rows: DataFrame, wanted: Bitmap, single: bool, size: int, counted: bo
             yield text.batch_of(pa.schema(fields), key[new], b.column("digest").take(pa.array(doc[new], pa.int64())), block[new])
 
     made = rows.select("text") if counted else rows.select("digest", "text")
-    return made.mapInArrow(run, "key long, n long" if counted else "key long, digest binary, block long")
+    return made.mapInArrow(text.tidy(run, "decontam"), "key long, n long" if counted else "key long, digest binary, block long")
 
 
 def _seeds(places: DataFrame, counts: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def _chosen(rows: DataFrame, wanted: Bitmap) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(sent.value.holds(b.column("mark").to_numpy().view(np.uint64))))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(text.tidy(run, "decontam"), rows.schema)
 
 
 def _verified(texts: DataFrame, n: int, min_score: float, block: int) -> DataFrame:
@@ -315,7 +315,7 @@ def _verified(texts: DataFrame, n: int, min_score: float, block: int) -> DataFra
             doc, *rest = zip(*told) if told else [()] * 6
             yield text.batch_of(schema, b.column("digest").take(pa.array(doc, pa.int64())), *rest)
 
-    return texts.mapInArrow(run, "digest binary, item binary, score double, begin long, end long, seeds long")
+    return texts.mapInArrow(text.tidy(run, "decontam"), "digest binary, item binary, score double, begin long, end long, seeds long")
 
 
 def _joined(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:

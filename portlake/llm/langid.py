@@ -94,5 +94,5 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                     c.append(v)
             yield text.with_rides(b, told, *cols)
 
-    made = rows.mapInArrow(run, text.ddl(rows, "lang_pred string", "score double", "margin double", "rejected boolean"))
+    made = rows.mapInArrow(text.tidy(run, "langid"), text.ddl(rows, "lang_pred string", "score double", "margin double", "rejected boolean"))
     return text.restored(made, keep, "doc_id", "lang_pred", "score", "margin", "rejected")

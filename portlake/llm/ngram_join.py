@@ -75,7 +75,7 @@ def prints(docs: DataFrame, n: int, values: int) -> DataFrame:
             sets = shingles(b.column("text"), hashes, n)
             yield text.batch_of(schema, b.column("doc_id"), b.column("text_hash"), [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [signature(s, factors).tobytes() for s in sets])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
+    return docs.mapInArrow(text.tidy(run, "ngram_join"), "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
 
 
 def candidates(found: DataFrame, threshold: float, trees: int, depth: int, recall: float) -> DataFrame:
@@ -166,7 +166,7 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
             yield text.batch_of(schema, *zip(*held))
 
     dealt = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a binary, b binary, texts long, docs long")
+    return dealt.mapInArrow(text.tidy(run, "ngram_join"), "a binary, b binary, texts long, docs long")
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
@@ -205,7 +205,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, t
     wanted = rows.join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))).select("root", "node", "again", "copies", "text")
     once = wanted.where("again").groupBy("root", "node", "copies").agg(F.min("text").alias("text"))  # rows that repeat id and text
     chosen = wanted.where("NOT again").drop("again").unionByName(once)
-    made = chosen.mapInArrow(sets, "root binary, node binary, copies long, set binary").join(groups, "root")
+    made = chosen.mapInArrow(text.tidy(sets, "ngram_join"), "root binary, node binary, copies long, set binary").join(groups, "root")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
     blocks = made.withColumn("own", own).withColumn("pair", F.explode(others)).select(F.col("root").alias("key"), "pair.i", "pair.j", "own", "node", "copies", "set")

@@ -64,4 +64,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 1024, id_col
             yield text.batch_of(schema, *rows, np.zeros(len(rows[0]), np.int64))
 
     rows = text.text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(text.tidy(run, "packing"), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         a, b0 = linear.calibrate(z, y[part])
         yield text.batch_of(pa.schema([("w", pa.binary()), ("bias", pa.float64()), ("a", pa.float64()), ("b", pa.float64())]), [w.astype(np.float32).tobytes()], [bias], [a], [b0])
 
-    got = sample(docs, labels, label, rows, "quality").repartition(1).sortWithinPartitions("h", "label", "text").mapInArrow(run, "w binary, bias double, a double, b double").first()
+    got = sample(docs, labels, label, rows, "quality").repartition(1).sortWithinPartitions("h", "label", "text").mapInArrow(text.tidy(run, "quality"), "w binary, bias double, a double, b double").first()
     return got and {"w": bytes(got["w"]), "bias": got["bias"], "a": got["a"], "b": got["b"]}
 
 
@@ -174,5 +174,5 @@ def assess(docs: DataFrame, model: dict | None, keep_at: float = KEEP_AT, id_col
             told = [*[(c, pa.int64()) for c in names], ("base_failed", pa.bool_()), ("quality", pa.float64()), ("kept", pa.bool_())]
             yield text.with_rides(b, told, *[counts[c] for c in names], failed, p, ~failed & (p >= keep_at))
 
-    made = rows.mapInArrow(run, text.ddl(rows, *[f"{c} long" for c in names], "base_failed boolean", "quality double", "kept boolean"))
+    made = rows.mapInArrow(text.tidy(run, "quality"), text.ddl(rows, *[f"{c} long" for c in names], "base_failed boolean", "quality double", "kept boolean"))
     return text.restored(made, keep, "doc_id", *names, "base_failed", "quality", "kept")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,42 @@ CACHE_WORDS = 400_000
 KEY_BYTES = 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
+#: The work that this worker process did last, and what empties the tables that it keeps between tasks.
+_last: list[str] = [""]
+KEPT: list[Callable[[], None]] = []
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def turn_to(work: str) -> None:
+    """Drop what was kept for another kind of work."""
+    if _last[0] != work:
+        _last[0] = work
+        for empty in KEPT:
+            empty()
+        give_back()
+
+
+def tidy(run: Callable, work: str) -> Callable:
+    """`run` for `mapInArrow`, in workers that serve several stages: tables kept by another kind of work are dropped before a task, and
+    freed memory goes back to the system before and after it.  Tables of the same work stay for the next task."""
+
+    def told(batches):
+        turn_to(work)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return told
+
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text as UTF-8 bytes): a null text is an empty one; other columns stay out, whatever their names.

@@ -175,3 +175,6 @@ class Tokens:
 def tokens(path: str, limit: int = KNOWN_WORDS) -> Tokens:
     """One per worker process and vocabulary."""
     return Tokens(path, limit)
+
+
+text.KEPT.append(tokens.cache_clear)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 from common import odd_docs
 from pyspark.sql import functions as F
 
@@ -225,3 +226,20 @@ def test_word_tables_keep_short_words_only():
     table = text.plain_hash()
     long = b"x" * 5000
     assert table([long, b"a", long])[0] == table([long])[0] and set(table.known) == {b"a"}
+
+
+def test_a_worker_drops_the_tables_of_other_work():
+    """What one stage of the pipeline keeps in a worker does not stay through the next; tables of the same work do."""
+    from pyspark import cloudpickle
+
+    from portlake.llm import vocab
+
+    def task(work):
+        return list(cloudpickle.loads(cloudpickle.dumps(text.tidy(lambda batches: iter(batches), work)))([1, 2]))
+
+    assert task("packing") == [1, 2]
+    first = vocab.tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    task("packing")
+    assert vocab.tokens(public_tokenizers.path("byte_bpe_50k.json")) is first
+    task("langid")
+    assert vocab.tokens.cache_info().currsize == 0
