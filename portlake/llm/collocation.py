@@ -30,8 +30,8 @@ from . import text
 from .fmindex import BREAK, BothWays, OneWay
 
 MIN_COUNT, MAX_WORDS, TOP, SHARE = 30, 4, 2000, 80
-#: Words of a shard, and of all shards that a task has open; bytes of the table that a task turns into shards.
-SHARD_WORDS, TASK_BYTES = 4_000_000, 64 << 20
+#: Words of a shard; how many shards' worth of words a task has open; bytes of the table that a task turns into shards.
+SHARD_WORDS, OPEN_SHARDS, TASK_BYTES = 4_000_000, 6, 64 << 20
 #: Word numbers, and words of the vocabulary, in a row of a shard; level of their compression.
 CHUNK, LEVEL = 4096, 1
 UNKNOWN = "und"
@@ -106,7 +106,11 @@ def tasks(docs: DataFrame) -> int:
 
 
 def shards(docs: DataFrame, lang_col: str, text_col: str, shard_words: int) -> DataFrame:
-    """The rows of all shards; a shard never leaves its task before it is whole."""
+    """The rows of all shards; a shard never leaves its task before it is whole.
+
+    A language's shard is closed when it is full itself, not when all languages together are: each shard that holds a
+    frequent phrase counts it in a row of its own, so shards of parts of a language make several times the rows.
+    """
     rows = docs.coalesce(tasks(docs)).select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
@@ -115,10 +119,11 @@ def shards(docs: DataFrame, lang_col: str, text_col: str, shard_words: int) -> D
         for b in text.slices(batches, 4 << 20):
             for lang in b.column("lang").unique().to_pylist():
                 open_.setdefault(lang, Shard(lang)).add(b.column("text").filter(pc.equal(b.column("lang"), lang)))
-            while sum(s.size for s in open_.values()) >= shard_words:
-                largest = max(open_, key=lambda name: open_[name].size)
+            largest = max(open_, key=lambda name: open_[name].size, default=None)
+            while open_ and (open_[largest].size >= shard_words or sum(s.size for s in open_.values()) >= OPEN_SHARDS * shard_words):
                 yield from open_.pop(largest).rows(base + made)
                 made += 1
+                largest = max(open_, key=lambda name: open_[name].size, default=None)
         for shard in open_.values():
             yield from shard.rows(base + made)
             made += 1

@@ -23,7 +23,7 @@ def rotations(codes: np.ndarray, depth: int) -> np.ndarray:
         order = np.argsort(rank, kind="stable")
         ranked = rank[order]
         rank = np.empty(len(codes), np.int64)
-        rank[order] = np.cumsum(np.append(0, ranked[1:] != ranked[:-1]))
+        rank[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1]))
         known += step
     return order
 
@@ -33,9 +33,9 @@ class OneWay:
 
     def __init__(self, codes: np.ndarray, depth: int):
         self.bwt = codes[rotations(codes, depth) - 1]
-        self.follow = np.empty(len(codes), np.int64)
-        self.follow[np.argsort(self.bwt, kind="stable")] = np.arange(len(codes))
-        self.breaks = np.concatenate([[0], np.cumsum(self.bwt == BREAK)])
+        self.follow = np.empty(len(codes), np.int32)  # a shard has far fewer words
+        self.follow[np.argsort(self.bwt, kind="stable")] = np.arange(len(codes), dtype=np.int32)
+        self.breaks = np.append(np.zeros(1, np.int32), np.cumsum(self.bwt == BREAK, dtype=np.int32))
 
     def inner(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
         """How many entries of each interval are no break."""

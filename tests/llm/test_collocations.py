@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from portlake.llm import collocation
 from portlake.llm.fmindex import BothWays, rotations
@@ -59,6 +60,34 @@ def test_continuations_are_counted(spark):
     assert got == {"a b": (6, 2, 2), "b c": (2, 2, 0), "a b c": (2, 0, 0), "x a": (2, 0, 2), "x a b": (2, 0, 0)}
 
 
+def test_shards_fill_up_by_language(spark):
+    """Each shard of a language but the last one of a task is full, so that a phrase is counted in few of them; all words are kept."""
+    rows = [(f"w{k} a b c d e f g h i", ["en", "de", "fr"][k % 3]) for k in range(600)]
+    made = spark.createDataFrame(rows, "text string, lang string").repartition(1)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(limit, "10")
+    try:
+        got = collocation.shards(made, "lang", "text", 500).where("kind = 0").groupBy("shard", "lang").agg(F.sum("n").alias("n")).collect()
+    finally:
+        spark.conf.unset(limit)
+    by_lang = {lang: sorted(r["n"] for r in got if r["lang"] == lang) for lang in ("en", "de", "fr")}
+    assert {lang: sum(n) for lang, n in by_lang.items()} == {"en": 2000, "de": 2000, "fr": 2000}
+    assert all(n >= 400 for sizes in by_lang.values() for n in sizes[1:])
+
+
+def test_open_shards_are_bounded(spark):
+    """With many languages the largest of the open shards is closed, whole or not."""
+    rows = [("a b c d e f g h i", f"l{k % 40}") for k in range(800)]
+    made = spark.createDataFrame(rows, "text string, lang string").repartition(1)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(limit, "10")
+    try:
+        got = collocation.shards(made, "lang", "text", 100).where("kind = 0").groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    finally:
+        spark.conf.unset(limit)
+    assert sum(r["n"] for r in got) == 7200 and len(got) > 40
+
+
 def test_empty_tables(spark):
     for rows in ([], [(None, None)], [("", "en"), (".", "de")]):
         assert collocation.collocations(spark.createDataFrame(rows, "text string, lang string")).collect() == []
