@@ -7,12 +7,14 @@ again, so a lost executor costs a stage no more than its own tasks.  All stages
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portlake.llm import decontam, langid, ngram_join, packing, quality, text
-from portlake.session import cut, ship
+from portlake.session import bound_batches, cut, ship
 
 #: Models are fitted and texts are encoded in the stages, which SQL cannot express.
 ORACLE_SQL = None
@@ -59,7 +61,18 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("ngram_join", near_duplicates), ("decontamination", decontamination), ("packing", packed)]
+def bounded(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`stage`, with texts in batches that leave room for the tables of an executor's workers."""
+
+    def told(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return told
+
+
+_STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("ngram_join", near_duplicates), ("decontamination", decontamination), ("packing", packed)]
+STAGES = [(name, bounded(stage)) for name, stage in _STAGES]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[str, list[str]] = {}
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch on its way to Python, and the setting that bounds them.
+BATCH_BYTES, _BATCH_LIMIT = 6 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def local_session(cpus: str = "8", app: str = "portlake") -> SparkSession:
@@ -80,6 +82,16 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of some `BATCH_BYTES`, unless the session has a limit of its own.
+
+    Without it 10,000 rows are one batch, however long their texts, and each task holds it in the JVM, outside the heap, and in
+    its worker.  All rows still go, only in more batches; a longer row is a batch by itself.
+    """
+    if _BATCH_LIMIT not in spark.conf.getAll:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 

@@ -243,3 +243,21 @@ def test_a_worker_drops_the_tables_of_other_work():
     assert vocab.tokens(public_tokenizers.path("byte_bpe_50k.json")) is first
     task("langid")
     assert vocab.tokens.cache_info().currsize == 0
+
+
+def test_stages_send_texts_in_small_batches(spark):
+    """A stage's tasks meet long texts in batches of some megabytes, not 10,000 rows at once, and no text is lost or cut."""
+    import corpus_pipeline
+
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('alpha beta ', 10000) AS text", "'en' AS lang").coalesce(1)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    try:
+        dict(corpus_pipeline.STAGES)["packing"](spark, docs, "")
+        sizes = [r["n"] for r in docs.select("text").mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+        spark.conf.set(limit, "1000000")
+        dict(corpus_pipeline.STAGES)["packing"](spark, docs, "")
+        assert spark.conf.get(limit) == "1000000"
+    finally:
+        spark.conf.unset(limit)
+    assert sum(sizes) >= 200 * 110_000 and max(sizes) <= 7 << 20
