@@ -98,7 +98,10 @@ class Tokens:
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
-        self.library, self.rule, self.limit = Tokenizer.from_file(path), word_rule(path), limit
+        self.rule, self.limit = word_rule(path), limit
+        text.give_back()  # the file's objects go before the library reads it: both at once set the peak of a worker
+        self.library = Tokenizer.from_file(path)
+        text.give_back()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.sizes = self._sizes()
